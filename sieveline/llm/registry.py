@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, exact_dedup, mixing
+from sieveline.llm import chat, exact_dedup, mixing, packing, simhash
 from sieveline.llm.common import table
 
 
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -19,5 +27,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_simhash, op7_exact_dedup, op9_chat_format, op10_mixing)}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
