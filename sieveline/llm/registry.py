@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, exact_dedup, mixing, packing, simhash
+from sieveline.llm import chat, exact_dedup, mixing, packing, pii, simhash
 from sieveline.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_simhash, op7_exact_dedup, op9_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op5_simhash, op7_exact_dedup, op9_chat_format, op10_mixing)}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
