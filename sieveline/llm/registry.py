@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, exact_dedup, mixing, packing, pii, simhash
+from sieveline.llm import chat, exact_dedup, mixing, packing, pii, simhash, toxicity
 from sieveline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark, sf_dir):
     turns = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.format_turns(turns)).drop("attachments", "expanded_tokens")
@@ -31,5 +35,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op5_simhash, op7_exact_dedup, op9_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op5_simhash, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
