@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, exact_dedup, mixing, packing, pii, simhash, toxicity
+from sieveline.llm import chat, exact_dedup, mixing, packing, pii, simhash, topk, toxicity
 from sieveline.llm.common import table
 
 
+def op1_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op5_simhash, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op5_simhash, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
+ORACLES = {"op1_topk": topk.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
