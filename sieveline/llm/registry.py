@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, exact_dedup, mixing, packing, pii, simhash, topk, toxicity
+from sieveline.llm import chat, exact_dedup, lm, mixing, packing, pii, simhash, topk, toxicity
 from sieveline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op5_simhash, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op4_lm, op5_simhash, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
 ORACLES = {"op1_topk": topk.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
