@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, exact_dedup, lm, mixing, packing, pii, simhash, topk, toxicity
+from sieveline.llm import chat, exact_dedup, lm, mixing, packing, pii, simhash, substring_dedup, topk, toxicity
 from sieveline.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op4_lm, op5_simhash, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
-ORACLES = {"op1_topk": topk.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op4_lm, op5_simhash, op6_substring_dedup, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
+ORACLES = {"op1_topk": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
