@@ -1,6 +1,8 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sieveline.plans import capability_plans, graph_plans, incremental_plans, metric_plans, policy_plans, selection_plans, text_plans
+from sieveline.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "capability_plans", "graph_plans", "incremental_plans", "metric_plans", "policy_plans", "selection_plans", "text_plans"]
