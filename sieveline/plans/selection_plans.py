@@ -1 +1,195 @@
-"""Plans."""
+"""Selection strategies on the given tables: documents by language, events by type, turns by conversation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sieveline.functions import text as tx
+from sieveline.operators import graph, render, selection
+from sieveline.plans.text_plans import _RELEVANCE, TERMS, TOKENS_SQL
+from sieveline.queries import query
+from sieveline.sources import tables
+from sieveline.store import read_table
+
+ALLOWANCE = 5000
+_ITEMS = f"""i0 AS MATERIALIZED (SELECT doc_id AS node_id, lang, 'doc://' || source || '/' || doc_id AS uri, {TOKENS_SQL} AS cost, {_RELEVANCE} AS relevance,
+row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy, CASE WHEN source LIKE 'src1%' THEN 0.0 ELSE 0.2 END AS trust FROM documents),
+i AS MATERIALIZED (SELECT *, round(relevance + trust, 12) AS value FROM i0 WHERE copy = 1)"""
+
+
+def _walk(table: str, by: str, order: str, allowance: int, where: str = "true") -> str:
+    """A greedy walk in SQL, one recursion step an item."""
+    return f"""o AS MATERIALIZED (SELECT {by}, node_id, cost, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS n FROM {table} WHERE cost <= {allowance} AND {where}),
+w AS (SELECT {by}, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS node_id, 0::BIGINT AS cost, false AS taken FROM o GROUP BY {by}
+UNION ALL SELECT o.{by}, o.n, CASE WHEN w.used + o.cost <= {allowance} THEN w.used + o.cost ELSE w.used END, o.node_id, o.cost, w.used + o.cost <= {allowance} FROM w JOIN o ON o.{by} = w.{by} AND o.n = w.n + 1),
+s AS (SELECT {by}, node_id, cost, row_number() OVER (PARTITION BY {by} ORDER BY n) AS rank, used FROM w WHERE taken)"""
+
+
+_STABLE = "round(-{0}, 9), round(-relevance, 9), cost, uri, node_id"
+_FINAL = " SELECT lang, node_id, cost, rank, used FROM s"
+
+
+def items(spark, sf_dir):
+    """Documents that no copy supersedes, with cost, relevance and value."""
+    gone = graph.supersession(tables.copy_edges(spark, sf_dir))[0].select(F.col("node_id").alias("gone_id"))
+    docs = tables.document_nodes(spark, sf_dir)
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    trust = F.when(F.col("trust_domain") == "external_content", 0.0).otherwise(1.0)
+    scored = kept.select(F.col("doc_id").alias("node_id"), "lang", "uri", tx.token_count(F.col("content")).alias("cost"), tx.relevance(F.col("content"), TERMS).alias("relevance"), trust.alias("trust"), "content")
+    return scored.withColumn("value", tx.base_value(relevance=F.col("relevance"), trust=F.col("trust")))
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {_walk('i', 'lang', 'uri, node_id', ALLOWANCE)}{_FINAL}")
+def naive_budget(spark, sf_dir):
+    return selection.naive(items(spark, sf_dir), "lang", ALLOWANCE)
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {_walk('i', 'lang', _STABLE.format('relevance'), ALLOWANCE)}{_FINAL}")
+def relevance_budget(spark, sf_dir):
+    return selection.relevance_greedy(items(spark, sf_dir), "lang", ALLOWANCE)
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {_walk('i', 'lang', _STABLE.format('value / greatest(1, cost)'), ALLOWANCE, 'value > 0')}{_FINAL}")
+def density_budget(spark, sf_dir):
+    return selection.density_greedy(items(spark, sf_dir), "lang", ALLOWANCE)
+
+
+_EVENTS = """e AS MATERIALIZED (SELECT event_id AS node_id, event_type, lpad(user_id::VARCHAR, 8, '0') AS uri, (1 + length(props))::BIGINT AS cost, 0.0 AS relevance,
+1 / (1 + greatest(0, epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(ts)) / 1e6 / 86400) AS freshness FROM events)"""
+
+
+@query(f"WITH RECURSIVE {_EVENTS}, {_walk('e', 'event_type', _STABLE.format('freshness'), 400)} SELECT event_type, node_id, cost, rank, used FROM s")
+def recency_budget(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events")
+    fresh = tx.freshness(F.col("ts"), F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    rows = events.select(F.col("event_id").alias("node_id"), "event_type", F.lpad(F.col("user_id").cast("string"), 8, "0").alias("uri"), (1 + F.length("props")).cast("long").alias("cost"), F.lit(0.0).alias("relevance"), fresh.alias("freshness"))
+    return selection.recency(rows, "event_type", 400)
+
+
+_COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], a.v), 6)"
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, a AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+k AS MATERIALIZED (SELECT i.*, {_COSINE} AS semantic_score FROM i JOIN embeddings e ON e.vec_id = i.node_id, a), {_walk('k', 'lang', _STABLE.format('semantic_score'), ALLOWANCE)}{_FINAL}""")
+def topk_semantic_budget(spark, sf_dir):
+    """Documents that have a vector, by cosine to the first vector."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    anchor = vectors.agg(F.min_by("embedding", "vec_id").alias("anchor"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    cosine = dot("embedding", "anchor") / (F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("anchor", "anchor")))
+    scored = vectors.crossJoin(anchor).select("vec_id", F.round(cosine, 6).alias("semantic_score"))  # one anchor row
+    both = items(spark, sf_dir).join(scored, F.col("node_id") == F.col("vec_id"))
+    return selection.top_k(both, "lang", ALLOWANCE)
+
+
+_TURNS = f"t AS MATERIALIZED (SELECT conv_id, turn AS node_id, role, text, {TOKENS_SQL} AS cost, 1::DOUBLE + length(text) % 17 AS value FROM conversations)"
+
+
+def turns(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations")
+    deps = F.when(F.col("turn") > 0, F.array(F.col("turn") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("conv_id", F.col("turn").alias("node_id"), "role", tx.token_count(F.col("text")).alias("cost"), (1.0 + F.length("text") % 17).alias("value"), F.lit(0.0).alias("relevance"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("uri"), deps.alias("deps"))
+
+
+@query()
+def density_closure_budget(spark, sf_dir):
+    """Density greedy where each turn needs the one before it."""
+    return selection.solve(turns(spark, sf_dir), "conv_id", 400)
+
+
+@query(f"""WITH {_TURNS}, p AS (SELECT *, sum(cost) OVER w AS total, sum(value) OVER w + 0.1::DOUBLE * (row_number() OVER w - 1) AS objective FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY node_id))
+SELECT conv_id, max(objective) AS objective, count(*) AS n_chosen FROM p WHERE total <= 400 GROUP BY conv_id""")
+def exact_closure_budget(spark, sf_dir):
+    """The best closed set of turns; since each turn needs the one before it, SQL can try the beginnings of a conversation."""
+    rows = turns(spark, sf_dir)
+    chosen = selection.solve(rows, "conv_id", 400, selection.Problem.exact)
+    totals = chosen.join(rows, ["conv_id", "node_id"]).groupBy("conv_id").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n_chosen"))
+    return totals.select("conv_id", (F.col("v") + 0.1 * (F.col("n_chosen") - 1)).alias("objective"), "n_chosen")
+
+
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id, (1 + length(text) // 50)::BIGINT AS cost, (1 + length(text) % 17)::BIGINT AS value, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS best FROM o GROUP BY conv_id
+UNION SELECT conv_id, n, used, max(best) FROM (SELECT o.conv_id, o.n, r.used + k * o.cost AS used, r.best + k * o.value AS best FROM r JOIN o ON o.conv_id = r.conv_id AND o.n = r.n + 1, (VALUES (0), (1)) AS c(k)) WHERE used <= 30 GROUP BY ALL)
+SELECT conv_id, max(best) AS best FROM r WHERE conv_id IN (SELECT conv_id FROM o WHERE cost <= 30) GROUP BY conv_id""")
+def knapsack_dp(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("node_id"), (1 + F.floor(F.length("text") / 50)).alias("cost"), (1 + F.length("text") % 17).cast("long").alias("value"))
+    return selection.knapsack(rows, "conv_id", 30)
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, sum(cost)::BIGINT AS mandatory_cost, sum(cost) <= 300 AS feasible FROM t WHERE node_id <= 1 GROUP BY conv_id")
+def mandatory_feasibility(spark, sf_dir):
+    """Turn 1 is mandatory, so its closure must fit."""
+    rows = turns(spark, sf_dir)
+    return rows.where("node_id <= 1").groupBy("conv_id").agg(F.sum("cost").alias("mandatory_cost")).withColumn("feasible", F.col("mandatory_cost") <= 300)
+
+
+@query(f"""WITH {_TURNS}, s AS (SELECT * FROM t WHERE cost < 150) SELECT s.conv_id, round(sum(s.value) + 0.1::DOUBLE * count(d.node_id), 6) AS objective FROM s LEFT JOIN s d ON d.conv_id = s.conv_id AND d.node_id = s.node_id - 1 GROUP BY s.conv_id""")
+def objective_value(spark, sf_dir):
+    """Values of the short turns, and the dependency bonus for pairs that are both chosen."""
+    chosen = turns(spark, sf_dir).where("cost < 150")
+    needed = chosen.select(F.col("conv_id").alias("dep_conv"), F.col("node_id").alias("dep_id"))
+    pairs = chosen.join(needed, (F.col("conv_id") == F.col("dep_conv")) & (F.col("node_id") - 1 == F.col("dep_id")), "left").select("conv_id", "value", "dep_id")
+    return pairs.groupBy("conv_id").agg(F.round(F.sum("value") + tx.DEPENDENCY_WEIGHT * F.count("dep_id"), 6).alias("objective"))
+
+
+@query(f"""WITH {_TURNS}, s AS (SELECT * FROM t WHERE cost < 150) SELECT 'dependency' AS violation, count(*) AS n FROM s ANTI JOIN s d ON d.conv_id = s.conv_id AND d.node_id = s.node_id - 1 WHERE node_id > 0
+UNION ALL SELECT 'allowance', count(*) FROM (SELECT conv_id FROM s GROUP BY conv_id HAVING sum(cost) > 200) UNION ALL SELECT 'mandatory', count(*) FROM t WHERE node_id = 1 AND cost >= 150""")
+def selection_violations(spark, sf_dir):
+    rows = turns(spark, sf_dir)
+    chosen = rows.where("cost < 150")
+    have = chosen.select("conv_id", (F.col("node_id") + 1).alias("node_id"))
+    lacking = chosen.where("node_id > 0").join(have, ["conv_id", "node_id"], "left_anti").agg(F.lit("dependency").alias("violation"), F.count(F.lit(1)).alias("n"))
+    over = chosen.groupBy("conv_id").agg(F.sum("cost").alias("c")).where("c > 200").agg(F.lit("allowance"), F.count(F.lit(1)))
+    left_out = rows.where("node_id = 1 AND cost >= 150").agg(F.lit("mandatory"), F.count(F.lit(1)))
+    return lacking.unionAll(over).unionAll(left_out)
+
+
+@query(f"""WITH {_ITEMS}, g AS (SELECT lang, value, relevance, count(*) AS n_nodes, min(node_id) AS first_node FROM i GROUP BY ALL HAVING count(*) > 1)
+SELECT lang, round(value, 6) AS value, round(relevance, 6) AS relevance, n_nodes, first_node, row_number() OVER (PARTITION BY lang ORDER BY value DESC, relevance DESC, first_node)::INT AS ordinal FROM g QUALIFY ordinal <= 8""")
+def tie_groups(spark, sf_dir):
+    found = selection.tie_groups(items(spark, sf_dir), "lang")
+    return found.select("lang", F.round("value", 6).alias("value"), F.round("relevance", 6).alias("relevance"), "n_nodes", "first_node", "ordinal")
+
+
+@query("""SELECT conv_id, CASE WHEN n <= 8 THEN 'brute_force' ELSE 'ilp' END AS strategy FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""".replace("n <= 8", "n <= 16"))
+def cascade_choice(spark, sf_dir):
+    rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_optional"), F.sum(F.size("deps")).alias("n_edges"), F.lit(True).alias("feasible"))
+    return selection.cascade(rows, 400).select("conv_id", "strategy")
+
+
+_SELECTED = f"{_ITEMS}, {_walk('i', 'lang', _STABLE.format('relevance'), ALLOWANCE)}, g AS (SELECT s.*, i.uri, d.text, '<<<CONTEXT node_id=' || s.node_id || ' kind=document source=' || i.uri || '>>>' || chr(10) || d.text || chr(10) || '<<<END_CONTEXT>>>' AS segment FROM s JOIN i USING (lang, node_id) JOIN documents d ON d.doc_id = s.node_id)"
+
+
+def selected_segments(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    chosen = selection.relevance_greedy(rows.drop("content"), "lang", ALLOWANCE)
+    kept = rows.select("lang", "node_id", "uri", "content")
+    return chosen.join(kept, ["lang", "node_id"]).withColumn("segment", render.segment(F.col("node_id").cast("string"), F.lit("document"), F.col("uri"), F.col("content")))
+
+
+@query(f"WITH RECURSIVE {_SELECTED} SELECT lang, node_id, cost, rank, used, round(i.relevance, 6) AS relevance, sha256(segment) AS segment_sha256 FROM g JOIN i USING (lang, node_id)".replace("SELECT lang, node_id, cost, rank, used, round", "SELECT g.lang, g.node_id, g.cost, g.rank, g.used, round"))
+def select_documents(spark, sf_dir):
+    """The flagship: tokens, relevance, supersession, the greedy walk, and a rendered segment for each chosen document."""
+    chosen = selected_segments(spark, sf_dir)
+    scores = items(spark, sf_dir).select("node_id", F.round("relevance", 6).alias("relevance"))
+    return chosen.join(scores, "node_id").select("lang", "node_id", "cost", "rank", "used", "relevance", F.sha2("segment", 256).alias("segment_sha256"))
+
+
+@query(f"WITH RECURSIVE {_SELECTED} SELECT lang, length(string_agg(segment, chr(10) || chr(10) ORDER BY rank))::BIGINT AS n_chars, sha256('<<<GENERIC_CHAT version=1>>>' || chr(10) || '<<<ROLE user>>>' || chr(10) || string_agg(segment, chr(10) || chr(10) ORDER BY rank) || chr(10) || '<<<END_ROLE>>>' || chr(10) || '<<<GENERATION_PROMPT role=assistant>>>' || chr(10)) AS rendered_sha256 FROM g GROUP BY lang")
+def rendered_segments(spark, sf_dir):
+    """Each language's context as a generic chat; what is joined is bounded by the allowance."""
+    text = render.joined("segment", "rank")
+    done = selected_segments(spark, sf_dir).groupBy("lang").agg(text.alias("context"))
+    return done.select("lang", F.length("context").cast("long").alias("n_chars"), F.sha2(render.generic_chat([("user", F.col("context"))]), 256).alias("rendered_sha256"))
+
+
+@query(f"WITH RECURSIVE {_SELECTED} SELECT lang, node_id, start_char, start_char + length(segment) AS end_char, start_char + length(segment) - length(text) - 18 AS content_start FROM (SELECT *, coalesce(sum(length(segment) + 2) OVER (PARTITION BY lang ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM g)")
+def source_map_offsets(spark, sf_dir):
+    return render.source_map(selected_segments(spark, sf_dir), "lang").select("lang", "node_id", "start_char", "end_char", "content_start")
+
+
+@query(f"WITH RECURSIVE {_SELECTED} SELECT lang, node_id, rank FROM (SELECT *, sum({TOKENS_SQL.replace('text', 'segment')}) OVER (PARTITION BY lang ORDER BY rank) AS total FROM g) WHERE total + 15 <= {ALLOWANCE}")
+def budget_trim(spark, sf_dir):
+    """Rendering adds tokens that no cost counts; what then overflows is dropped from the end."""
+    return render.trim(selected_segments(spark, sf_dir), "lang", ALLOWANCE, render.ROLE_TOKENS).select("lang", "node_id", "rank")
