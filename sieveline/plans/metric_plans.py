@@ -1 +1,88 @@
-"""Plans."""
+"""Metrics of selections on the given tables. A document's lines are blocks of 500 characters; of a source's documents those
+labelled good are required, and the neighbours (next id) of a required one are accepted. Spans run over the source's lines:
+documents that start close to each other share some."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sieveline.operators import metrics
+from sieveline.queries import query
+from sieveline.store import read_table
+
+#: A strategy is a rule of choice, so that one query evaluates several at once.
+STRATEGIES = {"short": "n_chars < 1500", "even": "doc_id % 2 = 0", "all": "true"}
+_SPANS = """d AS MATERIALIZED (SELECT doc_id, source AS uri, (doc_id % 97)::INT AS start_line, (doc_id % 97 + n_chars // 500)::INT AS end_line, (1 + n_chars // 4)::BIGINT AS tokens, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)),
+s AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT '{k}' AS strategy, * FROM d WHERE {v}" for k, v in STRATEGIES.items()) + """),
+st AS (SELECT DISTINCT strategy FROM s), req AS (SELECT strategy, d.* FROM d, st WHERE quality = 1 AND doc_id % 7 = 1)"""
+_LINES = "SELECT strategy, uri, unnest(range(start_line, end_line + 1)) AS line FROM {0}"
+
+
+def spans(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    start = (F.col("doc_id") % 97).cast("int")
+    end = (F.col("doc_id") % 97 + F.floor(F.col("n_chars") / 500)).cast("int")
+    rows = docs.join(labels, "doc_id", "left").select("doc_id", F.col("doc_id").alias("node_id"), F.col("doc_id").alias("rank"), F.col("source").alias("uri"), start.alias("start_line"), end.alias("end_line"), (1 + F.floor(F.col("n_chars") / 4)).alias("tokens"), "n_chars", "quality")
+    names = F.array_compact(F.array(*[F.when(F.expr(rule.replace(" = ", " == ")), F.lit(name)) for name, rule in STRATEGIES.items()]))
+    chosen = rows.withColumn("strategy", F.explode(names))
+    required = rows.where("quality = 1 AND doc_id % 7 = 1").withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in STRATEGIES])))
+    return chosen, required
+
+
+@query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT strategy, uri FROM req), h AS (SELECT DISTINCT strategy, uri FROM s),
+r AS (SELECT n.strategy, count(h.uri) / count(*) AS file_recall FROM n LEFT JOIN h USING (strategy, uri) GROUP BY n.strategy),
+p AS (SELECT h.strategy, count(n.uri) / count(*) AS file_precision FROM h LEFT JOIN n USING (strategy, uri) GROUP BY h.strategy)
+SELECT strategy, round(file_recall, 6) AS file_recall, round(file_precision, 6) AS file_precision FROM r JOIN p USING (strategy)""")
+def file_recall_precision(spark, sf_dir):
+    chosen, required = spans(spark, sf_dir)
+    found = metrics.file_metrics(chosen, required, required, "strategy")
+    return found.select("strategy", F.round("file_recall", 6).alias("file_recall"), F.round("file_precision", 6).alias("file_precision"))
+
+
+@query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('req')})), h AS (SELECT DISTINCT * FROM ({_LINES.format('s')}))
+SELECT n.strategy, round(count(h.line) / count(*), 6) AS span_recall FROM n LEFT JOIN h USING (strategy, uri, line) GROUP BY n.strategy""")
+def span_recall(spark, sf_dir):
+    chosen, required = spans(spark, sf_dir)
+    return metrics.span_recall(chosen, required, "strategy").select("strategy", F.round("span_recall", 6).alias("span_recall"))
+
+
+@query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('req')})), c AS (SELECT strategy, uri, doc_id, tokens / (end_line - start_line + 1) AS share, unnest(range(start_line, end_line + 1)) AS line FROM s),
+m AS (SELECT c.*, n.line IS NOT NULL AS good, row_number() OVER (PARTITION BY c.strategy, c.uri, c.line ORDER BY doc_id) AS turn FROM c LEFT JOIN n ON n.strategy = c.strategy AND n.uri = c.uri AND n.line = c.line)
+SELECT strategy, round(sum(share) FILTER (good AND turn = 1) / sum(share), 6) AS useful_ratio, round(sum(share) FILTER (good AND turn > 1) / sum(share), 6) AS redundant_ratio, round(sum(share) FILTER (NOT good) / sum(share), 6) AS unsupported_ratio FROM m GROUP BY strategy""")
+def useful_redundant_unsupported(spark, sf_dir):
+    chosen, required = spans(spark, sf_dir)
+    names = ("useful_ratio", "redundant_ratio", "unsupported_ratio")
+    return metrics.token_ratios(chosen, required, "strategy").select("strategy", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query(f"WITH {_SPANS} SELECT strategy, uri, count(DISTINCT line) AS n_lines, count(*) AS n_line_units FROM ({_LINES.format('s')}) GROUP BY ALL")
+def line_units(spark, sf_dir):
+    chosen, _ = spans(spark, sf_dir)
+    return metrics.lines(chosen, "strategy").groupBy("strategy", "uri").agg(F.count_distinct("line").alias("n_lines"), F.count(F.lit(1)).alias("n_line_units"))
+
+
+_DEPS = "dep AS (SELECT strategy, a.source AS src, b.source AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1, st WHERE a.lang <> b.lang)"
+
+
+@query(f"""WITH {_SPANS}, {_DEPS}, h AS (SELECT DISTINCT strategy, uri FROM s) SELECT dep.strategy, round(count(*) FILTER (x.uri IS NOT NULL AND y.uri IS NOT NULL) / count(*), 6) AS dependency_coverage
+FROM dep LEFT JOIN h x ON x.strategy = dep.strategy AND x.uri = dep.src LEFT JOIN h y ON y.strategy = dep.strategy AND y.uri = dep.dst GROUP BY dep.strategy""")
+def dependency_coverage(spark, sf_dir):
+    """A document depends on the next one if that has another language."""
+    chosen, _ = spans(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("source").alias("dst"), F.col("lang").alias("next_lang"))
+    pairs = docs.join(following, "doc_id").where("lang <> next_lang").select(F.explode(F.array(*[F.lit(s) for s in STRATEGIES])).alias("strategy"), F.col("source").alias("src"), "dst")
+    return metrics.dependency_coverage(chosen, pairs, "strategy").select("strategy", F.round("dependency_coverage", 6).alias("dependency_coverage"))
+
+
+@query("SELECT l_shipmode_group AS strategy, round(avg(recall), 6) AS mean_recall, round(avg(use), 6) AS mean_budget_use, count(*) AS n_runs FROM (SELECT l_returnflag AS l_shipmode_group, l_orderkey, avg((l_linestatus = 'F')::INT) AS recall, least(1.0::DOUBLE, sum(l_quantity) / 100) AS use FROM lineitem GROUP BY ALL) GROUP BY 1")
+def strategy_means(spark, sf_dir):
+    """Unweighted means over runs: a run is an order's lines of one return flag, its strategy."""
+    runs = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("strategy"), "l_orderkey").agg(F.avg((F.col("l_linestatus") == "F").cast("int")).alias("recall"), F.least(F.lit(1.0), F.sum("l_quantity") / 100).alias("use"))
+    return runs.groupBy("strategy").agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("use"), 6).alias("mean_budget_use"), F.count(F.lit(1)).alias("n_runs"))
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'infeasible' ELSE 'failed' END AS status, o_orderpriority AS task, count(*) AS n FROM orders GROUP BY ALL")
+def suite_status(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "infeasible").otherwise("failed")
+    return read_table(spark, sf_dir, "orders").groupBy(status.alias("status"), F.col("o_orderpriority").alias("task")).agg(F.count(F.lit(1)).alias("n"))
