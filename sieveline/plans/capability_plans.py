@@ -1 +1,141 @@
-"""Plans."""
+"""Capability flows over the events: a user's events are the calls of a plan, their types the tools, each call feeds the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sieveline.operators import capabilities as cp
+from sieveline.queries import query
+from sieveline.store import read_table
+
+TOOLS = [
+    ("view", ["file_read"], ["secrets"], "public"),
+    ("signup", ["database_read"], ["profile"], "internal"),
+    ("error", ["code_execute"], ["log"], "public"),
+    ("click", ["network_send"], [], "public"),
+    ("purchase", ["external_write"], ["orders"], "public"),
+]
+RESOURCES = [
+    ("secrets", "credential", "internal", "local_repository", ["external"]),
+    ("profile", "user_data", "sensitive", "local_repository", ["external"]),
+    ("log", "file", "public", "unverified_tool", []),
+    ("orders", "database", "sensitive", "local_repository", ["external"]),
+]
+_CALLS = "c AS MATERIALIZED (SELECT user_id AS plan_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS ordinal FROM events)"
+_READ = "CASE {0}.event_type WHEN 'view' THEN 'secrets' WHEN 'signup' THEN 'profile' WHEN 'error' THEN 'log' WHEN 'purchase' THEN 'orders' END"
+_SINK = "CASE {0}.event_type WHEN 'click' THEN 'network' WHEN 'purchase' THEN 'external' WHEN 'error' THEN 'execution' END"
+_FLOWS = f"""{_CALLS}, p AS (SELECT a.plan_id, {_READ.format('a')} AS source_id, {_SINK.format('b')} AS sink, a.ordinal AS i, b.ordinal AS j FROM c a JOIN c b ON b.plan_id = a.plan_id AND b.ordinal BETWEEN a.ordinal AND a.ordinal + 7),
+r AS (SELECT *, 'sensitive_to_external' AS risk FROM p WHERE source_id IN ('profile', 'orders') AND sink = 'network'
+UNION ALL SELECT *, 'untrusted_to_execution' FROM p WHERE source_id = 'log' AND sink = 'execution' UNION ALL SELECT *, 'credential_to_network' FROM p WHERE source_id = 'secrets' AND sink = 'network' AND j > i),
+f AS MATERIALIZED (SELECT *, 'sha256:' || sha256(plan_id || '|' || risk || '|' || source_id || '|' || array_to_string(range(i, j + 1), ',') || '|' || sink) AS flow_id,
+CASE WHEN risk = 'credential_to_network' THEN 'block' ELSE 'require_explicit_approval' END AS action, row_number() OVER (PARTITION BY plan_id ORDER BY risk, source_id, i, j, sink) AS flow FROM r QUALIFY flow <= 64)"""
+
+
+def inputs(spark, sf_dir):
+    tools = spark.createDataFrame(TOOLS, "tool_id string, capabilities array<string>, resources_read array<string>, output_sensitivity string")
+    resources = spark.createDataFrame(RESOURCES, "resource_id string, kind string, sensitivity string, trust_domain string, allowed_sinks array<string>")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    calls = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("plan_id"), F.row_number().over(order).alias("ordinal"), F.col("event_id").alias("call_id"), F.col("event_type").alias("tool_id"))
+    bindings = calls.where("ordinal > 1").select("plan_id", (F.col("ordinal") - 1).alias("from_ordinal"), F.col("ordinal").alias("to_ordinal"))
+    return calls, bindings, tools, resources
+
+
+def decided_flows(spark, sf_dir):
+    calls, bindings, tools, resources = inputs(spark, sf_dir)
+    reached = cp.provenance(calls, bindings, tools, resources)
+    return cp.decide(cp.flows(calls, reached, tools))
+
+
+@query(f"WITH {_FLOWS} SELECT plan_id, risk, source_id, sink, flow_id, flow::INT AS flow FROM f")
+def capability_flows(spark, sf_dir):
+    return decided_flows(spark, sf_dir).select("plan_id", "risk", "source_id", "sink", "flow_id", "flow")
+
+
+@query(f"WITH {_FLOWS} SELECT risk, sink, action, count(*) AS n_flows, count(DISTINCT plan_id) AS n_plans FROM f GROUP BY ALL")
+def policy_decisions(spark, sf_dir):
+    return decided_flows(spark, sf_dir).groupBy("risk", "sink", "action").agg(F.count(F.lit(1)).alias("n_flows"), F.count_distinct("plan_id").alias("n_plans"))
+
+
+_APPROVALS = """g AS (SELECT plan_id, CASE WHEN flow % 9 = 8 THEN flow_id || 'x' ELSE flow_id END AS flow_id, CASE WHEN flow % 4 = 2 AND plan_id % 3 = 0 THEN 'external_content' ELSE 'user_instruction' END AS approver_domain, flow % 6 <> 5 AS approved FROM f WHERE plan_id % 2 = 0 AND action <> 'block')"""
+_STATUS = f"""{_FLOWS}, {_APPROVALS}, ok AS (SELECT DISTINCT plan_id, flow_id FROM g WHERE approved AND approver_domain = 'user_instruction'),
+s AS (SELECT f.*, CASE WHEN action = 'block' THEN 'blocked' WHEN ok.flow_id IS NOT NULL THEN 'approved' ELSE 'pending' END AS status FROM f LEFT JOIN ok USING (plan_id, flow_id))"""
+
+
+def approvals_for(decided):
+    """Half of the plans have approvals: some for another flow, some by an untrusted approver, some refused."""
+    rows = decided.where("plan_id % 2 = 0 AND action <> 'block'")
+    return rows.select("plan_id", F.when(F.col("flow") % 9 == 8, F.concat("flow_id", F.lit("x"))).otherwise(F.col("flow_id")).alias("flow_id"), F.when((F.col("flow") % 4 == 2) & (F.col("plan_id") % 3 == 0), "external_content").otherwise("user_instruction").alias("approver_domain"), (F.col("flow") % 6 != 5).alias("approved"))
+
+
+@query(f"WITH {_STATUS} SELECT plan_id, status, count(*) AS n_flows FROM s GROUP BY ALL")
+def approval_match(spark, sf_dir):
+    decided = decided_flows(spark, sf_dir)
+    return cp.approve(decided, approvals_for(decided)).groupBy("plan_id", "status").agg(F.count(F.lit(1)).alias("n_flows"))
+
+
+@query(f"""WITH {_STATUS}, b AS (SELECT plan_id, count(*) AS n_invalid FROM g WHERE NOT approved OR approver_domain <> 'user_instruction' OR flow_id NOT IN (SELECT flow_id FROM f) GROUP BY plan_id),
+k AS (SELECT plan_id, count(*) FILTER (status = 'approved') AS n_approved, count(*) FILTER (status = 'pending') AS n_pending, count(*) FILTER (status = 'blocked') AS n_blocked FROM s GROUP BY plan_id)
+SELECT plan_id, coalesce(n_approved, 0) AS n_approved, coalesce(n_pending, 0) AS n_pending, coalesce(n_blocked, 0) AS n_blocked, coalesce(n_invalid, 0) AS n_invalid, coalesce(n_blocked, 0) > 0 OR coalesce(n_invalid, 0) > 0 AS is_blocked
+FROM (SELECT DISTINCT plan_id FROM c) LEFT JOIN k USING (plan_id) LEFT JOIN b USING (plan_id)""")
+def capability_manifest(spark, sf_dir):
+    calls, *_ = inputs(spark, sf_dir)
+    decided = decided_flows(spark, sf_dir)
+    approvals = approvals_for(decided)
+    return cp.manifest(calls, cp.approve(decided, approvals), cp.invalid_approvals(decided, approvals))
+
+
+_DECLARED = "CASE event_type WHEN 'view' THEN ['file_read'] WHEN 'signup' THEN ['database_read'] WHEN 'error' THEN ['code_execute'] WHEN 'click' THEN ['network_send'] ELSE ['external_write'] END"
+_OBSERVED = f"CASE event_id % 11 WHEN 3 THEN NULL WHEN 5 THEN [] WHEN 7 THEN list_append({_DECLARED}, 'shell_execute') ELSE {_DECLARED} END"
+_SEEN = f"{_CALLS}, q AS (SELECT *, CASE WHEN o IS NULL THEN 'unknown' WHEN len(list_filter(o, lambda x: NOT list_contains(d, x))) > 0 THEN 'observed_mismatch' WHEN len(list_filter(d, lambda x: NOT list_contains(o, x))) > 0 THEN 'declared_but_unobserved' ELSE 'observed_match' END AS status FROM (SELECT *, {_DECLARED} AS d, {_OBSERVED} AS o FROM c))"
+
+
+def observations(spark, sf_dir):
+    calls, _, tools, _ = inputs(spark, sf_dir)
+    rows = calls.join(tools.select("tool_id", F.col("capabilities").alias("declared")), "tool_id")
+    kind = F.col("call_id") % 11
+    observed = F.when(kind == 3, F.lit(None)).when(kind == 5, F.array().cast("array<string>")).when(kind == 7, F.array_append("declared", F.lit("shell_execute"))).otherwise(F.col("declared"))
+    return rows.select("plan_id", "ordinal", "tool_id", cp.correspondence(F.col("declared"), observed).alias("status"))
+
+
+@query(f"WITH {_SEEN} SELECT event_type AS tool_id, status, count(*) AS n_calls FROM q GROUP BY ALL")
+def correspondence_status(spark, sf_dir):
+    return observations(spark, sf_dir).groupBy("tool_id", "status").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
+@query(f"WITH {_SEEN}, m AS (SELECT plan_id, min(ordinal) AS drift_at FROM q WHERE status = 'observed_mismatch' GROUP BY plan_id) SELECT plan_id, count(*) FILTER (drift_at IS NULL OR ordinal <= drift_at) AS n_invoked, count(*) FILTER (ordinal > drift_at) AS n_stopped FROM q LEFT JOIN m USING (plan_id) GROUP BY plan_id")
+def execution_replay(spark, sf_dir):
+    done = cp.replay(observations(spark, sf_dir))
+    return done.groupBy("plan_id").agg(F.count_if("invoked").alias("n_invoked"), F.count_if(~F.col("invoked")).alias("n_stopped"))
+
+
+@query(f"""WITH {_STATUS}, {_SEEN.split(', q AS')[0].replace('c AS MATERIALIZED', 'c2 AS MATERIALIZED')}, q AS{_SEEN.split(', q AS')[1].replace('FROM c)', 'FROM c2)')},
+k AS (SELECT plan_id, bool_or(status = 'blocked') AS b, bool_or(status = 'pending') AS p FROM s GROUP BY plan_id), m AS (SELECT plan_id, bool_or(status = 'observed_mismatch') AS d FROM q GROUP BY plan_id)
+SELECT plan_id, CASE WHEN d OR coalesce(b, false) THEN 'block' WHEN coalesce(p, false) THEN 'require_approval' ELSE 'allow' END AS decision FROM m LEFT JOIN k USING (plan_id)""")
+def execution_gate(spark, sf_dir):
+    """Drift or a blocked flow blocks a plan, a pending flow asks for approval."""
+    decided = decided_flows(spark, sf_dir)
+    flows = cp.approve(decided, approvals_for(decided)).groupBy("plan_id").agg(F.bool_or(F.col("status") == "blocked").alias("b"), F.bool_or(F.col("status") == "pending").alias("p"))
+    drift = observations(spark, sf_dir).groupBy("plan_id").agg(F.bool_or(F.col("status") == "observed_mismatch").alias("d"))
+    choice = F.when(F.col("d") | F.coalesce("b", F.lit(False)), "block").when(F.coalesce("p", F.lit(False)), "require_approval").otherwise("allow")
+    return drift.join(flows, "plan_id", "left").select("plan_id", choice.alias("decision"))
+
+
+@query(f"""WITH {_CALLS}, k AS (SELECT c.*, c.event_id - json_extract(e.props, '$.k')::BIGINT AS ref FROM c JOIN events e USING (event_id))
+SELECT CASE WHEN r.event_id IS NULL THEN 'unknown_call' WHEN r.plan_id <> k.plan_id THEN 'other_plan' WHEN r.ordinal >= k.ordinal THEN 'forward_binding' ELSE 'valid' END AS outcome, count(*) AS n_bindings FROM k LEFT JOIN c r ON r.event_id = k.ref GROUP BY 1""")
+def plan_validation(spark, sf_dir):
+    """A call binds to the output of the call whose id lies as far back as its properties say."""
+    calls, *_ = inputs(spark, sf_dir)
+    props = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), (F.col("event_id") - F.get_json_object("props", "$.k").cast("long")).alias("ref"))
+    other = calls.select(F.col("call_id").alias("ref"), F.col("plan_id").alias("r_plan"), F.col("ordinal").alias("r_ordinal"))
+    joined = calls.join(props, "call_id").join(other, "ref", "left")
+    outcome = F.when(F.col("r_plan").isNull(), "unknown_call").when(F.col("r_plan") != F.col("plan_id"), "other_plan").when(F.col("r_ordinal") >= F.col("ordinal"), "forward_binding").otherwise("valid")
+    return joined.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n_bindings"))
+
+
+@query("""SELECT p_partkey AS tool_id, count(DISTINCT l_suppkey) AS n_undeclared FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1""")
+def undeclared_resources(spark, sf_dir):
+    """Parts as tools that read suppliers; those in debt are not declared."""
+    declared = read_table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    reads = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(declared, "l_suppkey", "left_anti")
+    return reads.groupBy(F.col("l_partkey").alias("tool_id")).agg(F.count(F.lit(1)).alias("n_undeclared"))
