@@ -48,7 +48,7 @@ def span_recall(spark, sf_dir):
 
 @query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('req')})), c AS (SELECT strategy, uri, doc_id, tokens / (end_line - start_line + 1) AS share, unnest(range(start_line, end_line + 1)) AS line FROM s),
 m AS (SELECT c.*, n.line IS NOT NULL AS good, row_number() OVER (PARTITION BY c.strategy, c.uri, c.line ORDER BY doc_id) AS turn FROM c LEFT JOIN n ON n.strategy = c.strategy AND n.uri = c.uri AND n.line = c.line)
-SELECT strategy, round(sum(share) FILTER (good AND turn = 1) / sum(share), 6) AS useful_ratio, round(sum(share) FILTER (good AND turn > 1) / sum(share), 6) AS redundant_ratio, round(sum(share) FILTER (NOT good) / sum(share), 6) AS unsupported_ratio FROM m GROUP BY strategy""")
+SELECT strategy, round(coalesce(sum(share) FILTER (good AND turn = 1), 0) / sum(share), 6) AS useful_ratio, round(coalesce(sum(share) FILTER (good AND turn > 1), 0) / sum(share), 6) AS redundant_ratio, round(coalesce(sum(share) FILTER (NOT good), 0) / sum(share), 6) AS unsupported_ratio FROM m GROUP BY strategy""")
 def useful_redundant_unsupported(spark, sf_dir):
     chosen, required = spans(spark, sf_dir)
     names = ("useful_ratio", "redundant_ratio", "unsupported_ratio")
