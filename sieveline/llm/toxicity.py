@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HELD_OUT, SAMPLE, ENTRIES, PHRASES, SUPPORT, Z = 5, 200_000, 4000, 2000, 5, 4.5
+HELD_OUT, SAMPLE, ENTRIES, PHRASES, SUPPORT, EVIDENCE = 5, 200_000, 4000, 2000, 5, 24.0
 #: Look-alike letters and the digits and signs used for letters.
 LOOKALIKES = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"}
@@ -170,9 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return {e for w in set(fold(text).split()) for e in entries_of(w)}
 
     odds = F.log((F.col("toxic_n") + 0.5) / (toxic + 1)) - F.log((F.col("clean_n") + 0.5) / (clean + 1))
-    error = F.sqrt(1 / (F.col("toxic_n") + 0.5) + 1 / (F.col("clean_n") + 0.5))
-    counted = _counted(rows, entries).where(F.col("toxic_n") >= SUPPORT).select("entry", odds.alias("weight"), (odds / error).alias("z"))
-    best = counted.where(f"z >= {Z} AND weight > 1").orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
+    # the likelihood-ratio statistic against the share of toxic texts holds for small counts too; 24 is one chance in a million
+    share, both = toxic / (toxic + clean), F.col("toxic_n") + F.col("clean_n")
+    more = lambda n, p: F.when(n > 0, n * F.log(n / (both * F.lit(p)))).otherwise(F.lit(0.0))
+    evidence = 2 * (more(F.col("toxic_n"), share) + more(F.col("clean_n"), 1 - share))
+    counted = _counted(rows, entries).where(F.col("toxic_n") >= SUPPORT).select("entry", odds.alias("weight"), evidence.alias("evidence"))
+    best = counted.where(f"evidence >= {EVIDENCE} AND weight > 1").orderBy(F.desc("evidence"), "entry").limit(ENTRIES).collect()
     model = Model({r["entry"]: r["weight"] for r in best})
     key = model.key()
 

@@ -13,7 +13,8 @@ from sieveline.llm.common import table
 from tests.llm.test_operators import plain_fingerprint
 
 
-def test_stages(spark, sf):
+def test_stages(spark):
+    sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
     columns = docs.columns
     rows = {r.doc_id: r for r in docs.collect()}
