@@ -13,7 +13,8 @@ TAINT = ("enables", "taints")
 
 
 def dependency_edges(edges: DataFrame, types: tuple[str, ...] = DEPENDENCY) -> DataFrame:
-    return edges.where(F.col("edge_type").isin(*types)).select("src", "dst").distinct()
+    """Parallel edges stay; what walks over them keeps distinct nodes."""
+    return edges.where(F.col("edge_type").isin(*types)).select("src", "dst")
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
