@@ -111,7 +111,7 @@ def base_spans(text):
 
 def test_pii(spark, docs, none):
     rng = random.Random(5)
-    hard = ["a@b.c_d@e.f x", "a@b.c.d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.3.0255", "4381893557741609 4381-8935-5774-1609 é", "😀+49 30 1234567-", "@@a@b@c.d", "9" * 300, "x" * 50_000 + "@", "a.b@" + "c." * 20_000 + "d", "1.2.3.4," * 3000]
+    hard = ["a@b.c_d@e.f x", "a@b.c.d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.3.0255", "10.0.0.1 0.0.0.0 000.00.0.0000 255.255.255.255 10.0.0.256 0.0.0.0256", "4381893557741609 4381-8935-5774-1609 é", "😀+49 30 1234567-", "@@a@b@c.d", "9" * 300, "x" * 50_000 + "@", "a.b@" + "c." * 20_000 + "d", "1.2.3.4," * 3000]
     hard += ["".join(rng.choice("a1.@+- é4") for _ in range(50)) for _ in range(300)] + ["".join(rng.choice("0123456789 -.") for _ in range(40)) for _ in range(200)]
     table = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")
     for r in pii.personal_data(table).collect():
