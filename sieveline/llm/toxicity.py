@@ -40,13 +40,30 @@ _LEET = re.compile(r"(?<=\w)[@$!€](?=\w)|[@$](?=[^\W\d_])|(?<=[^\W\d_])[013457
 _OTHER = re.compile(r"[\W_]+")
 
 
+_STRANGE = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + "]")
+_folded: dict[str, str] = {}
+
+
+def _fold_word(word: str) -> str:
+    """A word with other than letters in it; what it gives is kept for the next time, in a table that is emptied when full."""
+    found = _folded.get(word)
+    if found is None:
+        if len(_folded) > 100_000:
+            _folded.clear()
+        found = _folded[word] = _OTHER.sub(" ", _LEET.sub(lambda m: "".join(DIGITS.get(c, c) for c in m[0]), word)).strip()
+    return found
+
+
 def fold(text: str) -> str:
     """The words of the text, folded, each between single spaces."""
     low = text.lower()
     if not low.isascii():
-        low = unicodedata.normalize("NFKC", low).translate(_FOLD)
-    low = _LEET.sub(lambda m: "".join(DIGITS.get(c, c) for c in m[0]), low)
-    return f" {_OTHER.sub(' ', low).strip()} "
+        if not unicodedata.is_normalized("NFKC", low):
+            low = unicodedata.normalize("NFKC", low)
+        if _STRANGE.search(low):
+            low = low.translate(_FOLD)
+    words = [w if w.isalpha() else _fold_word(w) for w in low.split()]
+    return f" {' '.join([w for w in words if w])} "
 
 
 def entries_of(word: str) -> Iterator[str]:
