@@ -52,10 +52,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) ->
 
 def keep_exact(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    groups = exact_groups(docs, digest).select(F.col("keep_id").alias("__keep_id"), F.col("content_key").alias("__key"))
+    groups = exact_groups(docs, digest).select(F.col("keep_id").alias("__keep_id"), F.col("content_key").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("group_size").alias("__size"))
     norm = F.regexp_replace(text_or_empty(), f"{SPACE_CLASS}+", "")
     stays = (docs["doc_id"] == F.col("__keep_id")) | F.col("__keep_id").isNull()
-    return docs.join(groups, (digest(norm) == F.col("__key")) & stays, "left_semi")
+    same = (digest(norm) == F.col("__key")) & (F.sha2(norm, 256) == F.col("__sha"))
+    return docs.join(groups, same & stays & (F.col("__size") > 0), "left_semi")  # the size holds the byte comparison
 
 
 ORACLE = r"""
