@@ -98,14 +98,14 @@ def cell_weights(rows: DataFrame, targets: dict[str, dict[str, float]] | None =
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, n_tokens, weight, probability, sampled."""
     rows = durable(features(docs))
-    cells = cell_weights(rows, targets, temper, share, rounds).drop("cell_tokens")
+    cells = durable(cell_weights(rows, targets, temper, share, rounds).drop("cell_tokens"))  # its size is known from here on
     joined = rows.join(cells, list(DIMENSIONS), "left")
     return joined.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", (unit_hash(F.col("doc_id"), SALT) < F.col("probability")).alias("sampled"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of docs with all their columns: cells are looked up by value, ids aren't joined."""
-    cells = cell_weights(durable(features(docs)), **options)
+    cells = durable(cell_weights(durable(features(docs)), **options))
     cells = cells.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__probability"))
     own = {d: F.coalesce(docs[d].cast("string"), F.lit("unknown")) for d in ("source", "lang")} | {"topic": topic_of(text_or_empty())}
     same = [own[d] == F.col(f"__{d}") for d in DIMENSIONS]
