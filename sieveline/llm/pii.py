@@ -2,15 +2,20 @@ r"""Personal data: exact patterns, then information-theoretic sanitisation of th
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern in whole texts. Each
 distinct value found is a protected entity. The corpus says how much a term t reveals of an entity e: with document counts
-over all documents, PMI(e; t) = log(p(e, t) / (p(e) p(t))) and IC(e) = -log p(e); PMI / IC is 1 when t occurs only
-beside e, and 0 when they are independent. Terms beside an entity (within ``CONTEXT`` code points) whose ratio reaches
-``GENERALISE`` get a span of kind ``generalise`` (the value is replaced by its shape), from ``REMOVE`` on of kind ``remove``.
-Counts below ``SUPPORT`` common documents are no evidence and give no span, so a term that is merely rare stays.
+over all documents, PMI(e; t) = log(p(e, t) / (p(e) p(t))) and IC(e) = -log p(e); PMI / IC is 1 when t occurs only in
+documents that hold e, and 0 when they are independent. Every term of a document that holds e is judged, wherever it stands.
+Where the ratio reaches ``GENERALISE``, every occurrence of the term in the documents that hold e gets a span of kind
+``generalise`` (the value is replaced by its shape), from ``REMOVE`` on of kind ``remove``. Chance must be ruled out: the
+probability that independent e and t share so many documents, times the number of distinct terms of the corpus, is
+``SIGNIFICANCE`` at most. No number of documents is asked for: an entity of two documents passes in a common corpus, one of a
+single document where documents outnumber the distinct terms by far; elsewhere its terms can't be told from words that are
+merely rare, and stay.
 
 All of it is DataFrame functions. Patterns start only where a run of their characters starts or where the last match
 ended, which gives the same matches as the plain patterns without trying every start of a long run. Texts are scanned for
-patterns once; only rows with a hit are kept. Pairs of entity and term grow with the spans, never with the square of a
-group: a span brings at most the terms of its own context, and pairs are counted with map-side combine.
+patterns once; terms are looked up only in rows with a hit. Entities that stand in the same documents count as one, and a
+term is paired only with entities whose ratio it can reach by its document count, which loses none; pairs are counted with
+map-side combine.
 
 Defined cases: null text counts as empty; repeated rows each get their spans and each count as a document; an empty table
 gives an empty result; other columns are ignored.
@@ -18,7 +23,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import durable, text_or_empty
@@ -34,7 +39,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.9, 0.999
+GENERALISE, REMOVE, SIGNIFICANCE = 0.9, 0.999, 0.01
 #: A term is a whole run of letters that is no part of an address.
 TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])\p{L}[\p{L}\p{M}]{2,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
@@ -81,61 +86,76 @@ _MAY_HOLD = {"email": lambda t: t.contains("@"), "ip": lambda t: t.contains(".")
 
 
 def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Stored, one row per row of docs: uid, doc_id, spans (by start, then kind) with the text around each."""
+    """Stored, one row per row of docs: uid, doc_id, spans (by start, then kind), text (of rows with spans only, unless keep_text)."""
     text = text_or_empty()
     empty = F.array().cast(SPAN)
     found = F.concat(*[F.when(_MAY_HOLD[k](text), _positions(text, k)).otherwise(empty) for k in KINDS])
     rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
     ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"))))
-    around = F.transform(
-        ordered,
-        lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"),
-            F.greatest(F.lit(0), x["start"] - CONTEXT).alias("left_at"),
-            F.substring(F.col("text"), F.greatest(F.lit(0), x["start"] - CONTEXT) + 1, F.least(F.lit(CONTEXT), x["start"])).alias("left"),
-            F.substring(F.col("text"), x["end"] + 1, F.lit(CONTEXT)).alias("right"),
-        ),
-    )
+    spans = F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("found", found)
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string,left_at:int,left:string,right:string>>")
-    return durable(rows.select("uid", "doc_id", *(["text"] if keep_text else []), F.when(F.size("found") > 0, around).otherwise(none).alias("spans")))
+    held = F.col("text") if keep_text else F.when(F.size("found") > 0, F.col("text"))
+    return durable(rows.select("uid", "doc_id", held.alias("text"), F.when(F.size("found") > 0, spans).otherwise(empty).alias("spans")))
 
 
-def _terms(context: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-    """The terms of a context with their places in the text; words that the context cuts are left out."""
-    found, gaps = F.regexp_extract_all(context, F.lit(TERM), F.lit(0)), F.split(context, TERM, -1)
-    pairs = F.transform(found, lambda value, i: F.struct(F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda s, g: s + F.length(g)).alias("gaps"), F.aggregate(F.slice(found, 1, i), F.lit(0), lambda s, g: s + F.length(g)).alias("words"), value.alias("value")))
-    placed = F.transform(pairs, lambda p: F.struct((offset + p["gaps"] + p["words"]).alias("start"), (offset + p["gaps"] + p["words"] + F.length(p["value"])).alias("end"), F.lower(p["value"]).alias("term")))
-    return F.filter(placed, lambda p: ~(cut_left & (p["start"] == offset)) & ~(cut_right & (p["end"] == offset + F.length(context))))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def beside(scanned: DataFrame) -> DataFrame:
-    """uid, entity, term, start, end: the terms beside each span."""
-    rows = scanned.select("uid", F.explode("spans").alias("s"))
-    terms = F.concat(_terms(F.col("s.left"), F.col("s.left_at"), F.col("s.left_at") > 0, F.lit(False)), _terms(F.col("s.right"), F.col("s.end"), F.lit(False), F.length("s.right") == CONTEXT))
-    return rows.select("uid", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.explode(terms).alias("t")).select("uid", "entity", "t.term", "t.start", "t.end")
+def _groups(scanned: DataFrame) -> DataFrame:
+    """uid, grp, n_entity: the entities of each row; those that stand in the same rows are one group."""
+    held = scanned.select("uid", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))).alias("entity"))
+    # two hashes over the set of rows, 128 bits, tell the sets apart
+    rows = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("rows"), F.col("uid"))).alias("y"))
+    grouped = held.groupBy("entity").agg(rows.alias("grp"))
+    return held.join(grouped, "entity").select("uid", "grp", F.col("grp.n").alias("n_entity")).distinct()
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """entity, term, ratio: how much of an entity's information each term beside it reveals."""
-    pairs = near.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    entities = scanned.select("uid", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    words = F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}\p{M}]+")))
-    in_docs = docs.select(words.alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    all_docs = scanned.agg(F.count(F.lit(1)).alias("n_docs"))
-    joined = pairs.join(entities, "entity").join(in_docs, "term").crossJoin(F.broadcast(all_docs))
+def chance(n_both: Column, n_entity: Column, n_term: Column, n_docs: Column) -> Column:
+    """A bound on the logarithm of the probability that an independent entity and term share n_both documents or more (Hoeffding's, valid without replacement)."""
+
+    def bound(drawn: Column, others: Column) -> Column:
+        p, q = n_both / drawn, others / n_docs
+        rest = F.when(p < 1, (1 - p) * F.log((1 - p) / F.nullif(1 - q, F.lit(0.0)))).otherwise(0.0)
+        return F.when(p > q, -drawn * (p * F.log(p / q) + rest)).otherwise(0.0)
+
+    return F.least(bound(n_entity, n_term), bound(n_term, n_entity))
+
+
+def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float = GENERALISE, significance: float = SIGNIFICANCE) -> DataFrame:
+    """uid, term, ratio: the terms of each row that give away an entity of it, and how much of its information at most."""
+    in_docs = durable(docs.select(F.explode(_words(text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    sizes = scanned.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(in_docs.agg(F.count(F.lit(1)).alias("n_terms")))
+    # n_both is n_entity at most, so a term of more documents than this stays below the ratio
+    most = F.col("n_entity") * F.pow(F.col("n_docs") / F.col("n_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
+    groups = durable(_groups(scanned).crossJoin(F.broadcast(sizes)).withColumn("most", most))
+    reach = F.broadcast(groups.agg(F.max("most").alias("reach")))
+    counted = scanned.where(F.size("spans") > 0).select("uid", F.explode(_words(F.col("text"))).alias("term")).join(in_docs.join(reach, F.col("n_term") <= F.col("reach")).drop("reach"), "term")
+    pairs = durable(groups.join(counted, "uid").where(F.col("n_term") <= F.col("most")).drop("most"))
+    both = pairs.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("n_both"), *[F.first(c).alias(c) for c in ("n_entity", "n_term", "n_docs", "n_terms")])
     information = -F.log(F.col("n_entity") / F.col("n_docs"))
-    ratio = 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / F.nullif(information, F.lit(0.0))
-    return joined.select("entity", "term", ratio.alias("ratio"))
+    ratio = 1 + F.log(F.col("n_both") / F.col("n_term")) / F.nullif(information, F.lit(0.0))
+    sure = chance(*map(F.col, ("n_both", "n_entity", "n_term", "n_docs"))) + F.log("n_terms") <= F.log(F.lit(significance))
+    told = both.where(sure).select("grp", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    return pairs.select("uid", "grp", "term").join(told, ["grp", "term"]).groupBy("uid", "term").agg(F.max("ratio").alias("ratio"))
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """uid, term, start, end: every term of uid, text with its place."""
+    words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    each = rows.select("uid", F.posexplode(F.arrays_zip(words.alias("word"), F.split("text", TERM, -1).alias("gap")))).where(F.col("col.word").isNotNull())
+    end = F.sum(F.length("col.gap") + F.length("col.word")).over(Window.partitionBy("uid").orderBy("pos")).cast("int")
+    return each.select("uid", "col.word", end.alias("end")).select("uid", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
-def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, keep_text: bool = False) -> DataFrame:
+def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, significance: float = SIGNIFICANCE, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, base and added (arrays of start, end, kind), ordered by start, then kind."""
     scanned = scan(docs, keep_text)
-    near = beside(scanned)
-    told = disclosures(docs, scanned, near, support).where(F.col("ratio") >= generalise)
-    kind = F.when(F.max("ratio") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    extra = near.join(told, ["entity", "term"]).groupBy("uid", "start", "end").agg(kind.alias("kind")).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind")).alias("extra")).withColumnRenamed("uid", "x_uid")
+    told = durable(disclosures(docs, scanned, generalise, significance))
+    kind = F.when(F.col("ratio") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
+    places = _occurrences(scanned.where(F.size("spans") > 0).join(told.select("uid").distinct(), "uid", "left_semi").select("uid", "text"))
+    extra = places.join(told, ["uid", "term"]).groupBy("uid").agg(F.collect_list(F.struct("start", "end", kind.alias("kind"))).alias("extra")).withColumnRenamed("uid", "x_uid")
     joined = scanned.join(extra, F.col("uid") == F.col("x_uid"), "left")
     plain = "array<struct<start:int,end:int,kind:string>>"
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))

@@ -130,6 +130,23 @@ def test_pii_terms_that_disclose(spark):
     assert all(n == 0 for k, n in added.items() if k >= 6) and added[0] == 1
 
 
+def test_pii_terms_far_from_a_rare_entity(spark):
+    far = " and".join([""] * 30)
+    rows = [(k, f"Zorblatt wrote{far} to z@x.org. Later zorblatt left") for k in range(2)] + [(k, f"Nobody wrote{far} to nobody. Later he left") for k in range(2, 400)]
+    table = spark.createDataFrame(rows + [(400, "Zorblatt2 wrote here")], "doc_id long, text string")
+    text = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    assert all(text[k] == f" wrote{far} to [EMAIL]. Later  left" for k in range(2)) and all(text[k] == t for k, t in rows[2:])
+    spans = {r.doc_id: r.spans for r in pii.personal_data(table).collect()}
+    start = rows[0][1].index("z@x.org")
+    assert spans[1] == f"remove:0:8,email:{start}:{start + 7},remove:{start + 15}:{start + 23}"
+    many = [(0, "Zorblatt wrote to z@x.org and y@x.org")] + [(k, "Nobody wrote to nobody and left") for k in range(1, 3000)]
+    alone = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert alone[0] == " wrote to [EMAIL] and [EMAIL]" and alone[7] == many[7][1]
+    # few documents: a word of one of them is no evidence
+    few = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(many[:9], "doc_id long, text string")).collect()}
+    assert few[0] == "Zorblatt wrote to [EMAIL] and [EMAIL]"
+
+
 def test_language_model(docs, none, spark):
     got = lm.score_documents(docs, head_size=5).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
