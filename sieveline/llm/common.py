@@ -33,6 +33,11 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Stored, with a number __row for each row, on which all reads agree."""
+    return durable(df.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -1,7 +1,8 @@
 """Exact deduplication: group by a 128-bit content hash, keep one row, compare bytes inside the groups.
 
 Equal texts are those identical once white space (0x20, 0x09 to 0x0D) is deleted. Of equal texts the row with the most
-code points in its original text stays, then the one with the smallest id.
+code points in its original text stays, then the one with the smallest id, then the first one stored: exactly one row of
+each group. Rows are written first, with a number each, so that all reads agree on the numbers.
 
 One shuffle moves each distinct text of a partition once: ``collect_set`` combines copies on the map side, so a text that
 a third of all rows share leaves every partition as a single row. The set is also the byte comparison: two different
@@ -9,8 +10,8 @@ texts under one hash stay two elements of it. Rows are told apart by a second ha
 first splits the group; a set with two members under both hashes stops the job instead of dropping a text.
 
 Defined cases: null text counts as empty, and all empty texts are equal. A null id never wins over an id that is set; a
-group with null ids only has a null keep_id and keeps all of its rows. Rows that repeat both id and text are the same
-document and share its fate. An empty table gives an empty result. Other columns are ignored.
+group with null ids only has a null keep_id and keeps one row. Of rows that repeat both id and text one stays at most. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,43 +21,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACE_CLASS, text_or_empty
+from sieveline.llm.common import SPACE_CLASS, durable, numbered, text_or_empty
 
 
-def _keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def _keyed(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     norm = F.regexp_replace(text_or_empty(), f"{SPACE_CLASS}+", "")
-    return docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("n_points"), norm.alias("norm")).select("doc_id", "n_points", digest(F.col("norm")).alias("content_key"), F.sha2("norm", 256).alias("text_sha256"), "norm")
-
-
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """One row per distinct text: content_key, text_sha256, keep_id, group_size."""
-    # ~id turns the order of ids around without overflow, so that max_by takes the smallest
-    best = F.struct("n_points", F.bitwise_not(F.col("doc_id").cast("long")))
-    usable = F.when(F.col("doc_id").isNotNull(), best)
-    grouped = (
-        _keyed(docs, digest)
-        .groupBy("content_key", "text_sha256")
-        .agg(F.max_by("doc_id", usable).alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.collect_set("norm").alias("texts"))
-    )
+    keyed = rows.select("__row", "doc_id", F.length(text_or_empty()).cast("long").alias("n_points"), norm.alias("norm"))
+    return keyed.select("__row", "doc_id", "n_points", digest(F.col("norm")).alias("content_key"), F.sha2("norm", 256).alias("text_sha256"), "norm")
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
+    """One row per distinct text: content_key, text_sha256, keep (the id and number of the row that stays), group_size."""
+    # ~id and ~number turn their order around without overflow, so that max_by takes the smallest
+    best = F.struct(F.col("doc_id").isNotNull(), "n_points", F.bitwise_not(F.col("doc_id").cast("long")), F.bitwise_not("__row"))
+    keep = F.max_by(F.struct("doc_id", F.col("__row").alias("row")), best).alias("keep")
+    grouped = keyed.groupBy("content_key", "text_sha256").agg(keep, F.count(F.lit(1)).alias("group_size"), F.collect_set("norm").alias("texts"))
     same = F.when(F.size("texts") <= 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts share both hashes")).cast("long"))
-    return grouped.select("content_key", "text_sha256", "keep_id", same.alias("group_size"))
+    return grouped.select("content_key", "text_sha256", "keep", same.alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = exact_groups(docs, digest).withColumnsRenamed({"content_key": "g_key", "text_sha256": "g_sha"})
-    rows = _keyed(docs, digest).drop("norm", "n_points")
+    keyed = durable(_keyed(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"), digest))
+    groups = _groups(keyed).withColumnsRenamed({"content_key": "g_key", "text_sha256": "g_sha"})
+    rows = keyed.drop("norm", "n_points")
     joined = rows.join(groups, (F.col("content_key") == F.col("g_key")) & (F.col("text_sha256") == F.col("g_sha")), "left")
-    return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("keep.row")).alias("kept"), "text_sha256")
 
 
 def keep_exact(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    groups = exact_groups(docs, digest).select(F.col("keep_id").alias("__keep_id"), F.col("content_key").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("group_size").alias("__size"))
-    norm = F.regexp_replace(text_or_empty(), f"{SPACE_CLASS}+", "")
-    stays = (docs["doc_id"] == F.col("__keep_id")) | F.col("__keep_id").isNull()
-    same = (digest(norm) == F.col("__key")) & (F.sha2(norm, 256) == F.col("__sha"))
-    return docs.join(groups, same & stays & (F.col("__size") > 0), "left_semi")  # the size holds the byte comparison
+    rows = numbered(docs)
+    groups = _groups(_keyed(rows, digest)).where(F.col("group_size") > 0)  # the size holds the byte comparison
+    return rows.join(groups.select(F.col("keep.row").alias("__keep")), F.col("__row") == F.col("__keep"), "left_semi").drop("__row")
 
 
 ORACLE = r"""

@@ -15,8 +15,9 @@ Places with more than ``PLACE`` rows are dealt out: rows fall into chunks by has
 task of its own. That is exact and bounds the memory of a task.
 
 Defined cases: null text counts as empty; documents without words share fingerprint zero and are linked; null ids never
-become a component_id unless all ids of the component are null; repeated rows are linked; an empty table gives an empty
-result; other columns are ignored.
+become a component_id unless all ids of the component are null; repeated rows are linked; ``keep_near`` keeps exactly one row
+of each component, the first one stored of those that repeat its smallest id; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import durable
+from sieveline.llm.common import durable, numbered
 from sieveline.llm.components import connected_components
 
 SEED, SHINGLE, BITS, PLACE, SMALL = 42, 3, 3, 1024, 8
@@ -69,15 +70,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp for every row of docs."""
+    """doc_id, fp for every row of docs; and __row, if docs has it."""
+    carried = [c for c in docs.columns if c == "__row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = [fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in carried)]))
 
 
 def _near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
@@ -167,18 +170,25 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS, place: int = PLACE)
     return placed.mapInArrow(_link_places(bits), "a long, b long").distinct()
 
 
+def _labelled(rows: DataFrame, first: Column, bits: int, place: int) -> DataFrame:
+    """rows and least, the smallest value of first in the component of each."""
+    distinct = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    labels = connected_components(fingerprint_links(distinct.select("fp"), bits, place))
+    grouped = durable(distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = grouped.groupBy("root").agg(F.min("first").alias("least"))
+    named = grouped.join(least, "root").select(F.col("fp").alias("g_fp"), "least")
+    return rows.join(named, F.col("fp") == F.col("g_fp"), "left").drop("g_fp")
+
+
 def simhash_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, place: int = PLACE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id."""
-    rows = durable(fingerprints(docs, shingle))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = connected_components(fingerprint_links(distinct.select("fp"), bits, place))
-    grouped = durable(distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "root").select(F.col("fp").alias("g_fp"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("g_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _labelled(durable(fingerprints(docs, shingle)), F.col("doc_id"), bits, place)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_near(docs: DataFrame, **options) -> DataFrame:
+def keep_near(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, place: int = PLACE) -> DataFrame:
     """The rows of docs that stay, the one with the smallest id of each component, with all their columns."""
-    stay = simhash_groups(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay.distinct(), docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    rows = numbered(docs)
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("__row").alias("row"))
+    stay = _labelled(durable(fingerprints(rows, shingle)), first, bits, place).where(F.col("__row") == F.col("least.row")).select(F.col("__row").alias("__stay"))
+    return rows.join(stay, F.col("__row") == F.col("__stay"), "left_semi").drop("__row")

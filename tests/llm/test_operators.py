@@ -277,6 +277,19 @@ def test_exact_dedup(docs, none, digest):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_dedup_of_a_table_ingested_twice(spark):
+    rows = [(1, "one two three four"), (1, "one two three four"), (1, "another text of the same id"), (2, "one two  three four"), (2, "one two  three four"), (None, "no id at all"), (None, "no id at all")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, "no id at all"), (1, "another text of the same id"), (2, "one two  three four")]
+    order = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    assert order(exact_dedup.keep_exact(table)) == sorted(want, key=str)
+    got = exact_dedup.exact_dedup(table)
+    assert got.count() == 7 and order(got.where("kept").select("doc_id", "group_size")) == sorted([(None, 2), (1, 1), (2, 4)], key=str)
+    near = [(1, "one two three four"), (1, "one two three four"), (3, "one two three four"), (3, "a text by itself"), (0, "a text by itself"), (None, "no id at all"), (None, "no id at all"), (None, "one two three four")]
+    left = order(simhash.keep_near(spark.createDataFrame(near, "doc_id long, text string").repartition(3)))
+    assert left == sorted([(1, "one two three four"), (0, "a text by itself"), (None, "no id at all")], key=str)
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(8)
     words = [f"word{k}" for k in range(50)]
