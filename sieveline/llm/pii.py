@@ -5,11 +5,11 @@ distinct value found is a protected entity. The corpus says how much a term t re
 over all documents, PMI(e; t) = log(p(e, t) / (p(e) p(t))) and IC(e) = -log p(e); PMI / IC is 1 when t occurs only in
 documents that hold e, and 0 when they are independent. Every term of a document that holds e is judged, wherever it stands.
 Where the ratio reaches ``GENERALISE``, every occurrence of the term in the documents that hold e gets a span of kind
-``generalise`` (the value is replaced by its shape), from ``REMOVE`` on of kind ``remove``. Chance must be ruled out: the
-probability that independent e and t share so many documents, times the number of distinct terms of the corpus, is
-``SIGNIFICANCE`` at most. No number of documents is asked for: an entity of two documents passes in a common corpus, one of a
-single document where documents outnumber the distinct terms by far; elsewhere its terms can't be told from words that are
-merely rare, and stay.
+``generalise`` (the value is replaced by its shape), from ``REMOVE`` on of kind ``remove``. Chance must be ruled out: of the
+terms told for an entity an expected share of ``FALSE_SHARE`` at most may share so many documents with it by chance (Benjamini
+and Hochberg's procedure over all distinct terms of the corpus). No number of documents is asked for: the terms that only the two
+documents of an entity have are told in a common corpus, those of a single document where documents outnumber the distinct
+terms by far; elsewhere they can't be told from words that are merely rare, and stay.
 
 All of it is DataFrame functions. Patterns start only where a run of their characters starts or where the last match
 ended, which gives the same matches as the plain patterns without trying every start of a long run. Texts are scanned for
@@ -39,10 +39,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-GENERALISE, REMOVE, SIGNIFICANCE = 0.9, 0.999, 0.01
+GENERALISE, REMOVE, FALSE_SHARE, SUBSET = 0.9, 0.999, 0.01, 64
 #: A term is a whole run of letters that is no part of an address.
 TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])\p{L}[\p{L}\p{M}]{2,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
+PAIRS, BLOCK = "array<struct<value:string,gap:string>>", 128
 
 
 def _digits(value: Column) -> Column:
@@ -69,7 +70,6 @@ def _positions(text: Column, kind: str) -> Column:
     """The valid matches of a kind with their places: what lies between the matches tells where each begins."""
     found, gaps = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1)
     empty = F.array().cast(SPAN)
-    state = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["gap"])
@@ -77,9 +77,16 @@ def _positions(text: Column, kind: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(_valid(kind, x["value"]), F.concat(s["spans"], one)).otherwise(s["spans"]).alias("spans"))
 
-    # the gap before each match; the text after the last is not needed
-    pairs = F.transform(found, lambda value, i: F.struct(gaps[i].alias("gap"), value.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, state, step)["spans"]).otherwise(empty)
+    def block(s: Column, part: Column) -> Column:
+        # spans are gathered by block, and blocks then joined, so that no long array is copied for each match
+        done = F.aggregate(part, F.struct(s["at"].alias("at"), empty.alias("spans")), step)
+        return F.aggregate(F.array(done), s, lambda t, d: F.struct(d["at"].alias("at"), F.array_append(t["parts"], d["spans"]).alias("parts")))
+
+    # zipped, both arrays are made once; the text after the last match has no value and is not needed
+    pairs = F.filter(F.arrays_zip(found.alias("value"), gaps.alias("gap")), lambda x: x["value"].isNotNull())
+    blocks = F.aggregate(F.array(pairs), F.array().cast(f"array<{PAIRS}>"), lambda _, all_pairs: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_pairs, k * BLOCK + 1, BLOCK)))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(blocks, state, block)["parts"])).otherwise(empty)
 
 
 _MAY_HOLD = {"email": lambda t: t.contains("@"), "ip": lambda t: t.contains("."), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": lambda t: t.contains("+")}
@@ -113,17 +120,20 @@ def _groups(scanned: DataFrame) -> DataFrame:
 
 
 def chance(n_both: Column, n_entity: Column, n_term: Column, n_docs: Column) -> Column:
-    """A bound on the logarithm of the probability that an independent entity and term share n_both documents or more (Hoeffding's, valid without replacement)."""
+    """A bound on the logarithm of the probability that an independent entity and term share n_both documents or more: the better of
+    Hoeffding's (valid without replacement) and the expected number of sets of up to ``SUBSET`` documents that both have."""
 
     def bound(drawn: Column, others: Column) -> Column:
         p, q = n_both / drawn, others / n_docs
         rest = F.when(p < 1, (1 - p) * F.log((1 - p) / F.nullif(1 - q, F.lit(0.0)))).otherwise(0.0)
         return F.when(p > q, -drawn * (p * F.log(p / q) + rest)).otherwise(0.0)
 
-    return F.least(bound(n_entity, n_term), bound(n_term, n_entity))
+    k = F.least(n_both, F.lit(SUBSET)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.log((n_entity - i) * (n_term - i) / ((n_docs - i) * (k - i))))
+    return F.least(bound(n_entity, n_term), bound(n_term, n_entity), F.aggregate(each, F.lit(0.0), lambda s, x: s + x))
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float = GENERALISE, significance: float = SIGNIFICANCE) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float = GENERALISE, false_share: float = FALSE_SHARE) -> DataFrame:
     """uid, term, ratio: the terms of each row that give away an entity of it, and how much of its information at most."""
     in_docs = durable(docs.select(F.explode(_words(text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
     sizes = scanned.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(in_docs.agg(F.count(F.lit(1)).alias("n_terms")))
@@ -136,8 +146,11 @@ def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float = GENERAL
     both = pairs.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("n_both"), *[F.first(c).alias(c) for c in ("n_entity", "n_term", "n_docs", "n_terms")])
     information = -F.log(F.col("n_entity") / F.col("n_docs"))
     ratio = 1 + F.log(F.col("n_both") / F.col("n_term")) / F.nullif(information, F.lit(0.0))
-    sure = chance(*map(F.col, ("n_both", "n_entity", "n_term", "n_docs"))) + F.log("n_terms") <= F.log(F.lit(significance))
-    told = both.where(sure).select("grp", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    judged = both.select("grp", "term", ratio.alias("ratio"), chance(*map(F.col, ("n_both", "n_entity", "n_term", "n_docs"))).alias("chance"), "n_terms")
+    # Benjamini and Hochberg's step: the largest chance that is no more than its rank's share of what may be false
+    ranked = judged.groupBy("grp", "chance").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms")).withColumn("rank", F.sum("n").over(Window.partitionBy("grp").orderBy("chance")))
+    cut = ranked.where(F.col("chance") <= F.log(F.col("rank") * false_share / F.col("n_terms"))).groupBy("grp").agg(F.max("chance").alias("cut"))
+    told = judged.where(F.col("ratio") >= generalise).join(cut, "grp").where("chance <= cut").select("grp", "term", "ratio")
     return pairs.select("uid", "grp", "term").join(told, ["grp", "term"]).groupBy("uid", "term").agg(F.max("ratio").alias("ratio"))
 
 
@@ -149,10 +162,10 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return each.select("uid", "col.word", end.alias("end")).select("uid", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
-def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, significance: float = SIGNIFICANCE, keep_text: bool = False) -> DataFrame:
+def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, false_share: float = FALSE_SHARE, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, base and added (arrays of start, end, kind), ordered by start, then kind."""
     scanned = scan(docs, keep_text)
-    told = durable(disclosures(docs, scanned, generalise, significance))
+    told = durable(disclosures(docs, scanned, generalise, false_share))
     kind = F.when(F.col("ratio") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
     places = _occurrences(scanned.where(F.size("spans") > 0).join(told.select("uid").distinct(), "uid", "left_semi").select("uid", "text"))
     extra = places.join(told, ["uid", "term"]).groupBy("uid").agg(F.collect_list(F.struct("start", "end", kind.alias("kind"))).alias("extra")).withColumnRenamed("uid", "x_uid")
