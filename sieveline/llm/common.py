@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Space and the control characters 0x09 to 0x0D, the only white space that the contracts know.
@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local one serves a local session; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,9 +35,28 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Stored, with a number __row for each row, on which all reads agree."""
-    return durable(df.withColumn("__row", F.monotonically_increasing_id()))
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Stored, with a number ``name`` for each row, on which all reads agree."""
+    return durable(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def running_total(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """rows (small ones, one for each ``by``) and before, the sum of ``value`` over the rows of lesser ``by``.
+
+    Ranges of ``by`` are summed apart and only the sums of ranges are run through together, so no task holds all rows."""
+    dealt = durable(rows.repartitionByRange(by).withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("range").agg(F.sum(value).alias("whole"))
+    starts = sums.select(F.col("range").alias("s_range"), F.coalesce(F.sum("whole").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy("range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("inner", inner).join(starts, F.col("range") == F.col("s_range")).withColumn("before", F.col("start") + F.col("inner")).drop("range", "s_range", "start", "inner")
 
 
 def text_or_empty(name: str = "text") -> Column:

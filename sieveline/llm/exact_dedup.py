@@ -9,6 +9,9 @@ a third of all rows share leaves every partition as a single row. The set is als
 texts under one hash stay two elements of it. Rows are told apart by a second hash (SHA-256), so that a collision of the
 first splits the group; a set with two members under both hashes stops the job instead of dropping a text.
 
+Rows then look their group up. Groups larger than a ``HOT_GROUPS``-th of the rows number at most ``HOT_GROUPS``, so they are
+broadcast and their rows stay where they are; the other groups are joined by hash.
+
 Defined cases: null text counts as empty, and all empty texts are equal. A null id never wins over an id that is set; a
 group with null ids only has a null keep_id and keeps one row. Of rows that repeat both id and text one stays at most. An
 empty table gives an empty result. Other columns are ignored.
@@ -21,12 +24,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACE_CLASS, durable, numbered, text_or_empty
+from sieveline.llm.common import SPACE_CLASS, durable, numbered, text_or_empty, unused
+
+HOT_GROUPS, SMALL_GROUP = 10_000, 64
 
 
-def _keyed(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def _keyed(rows: DataFrame, digest: Callable[[Column], Column], row: str) -> DataFrame:
     norm = F.regexp_replace(text_or_empty(), f"{SPACE_CLASS}+", "")
-    keyed = rows.select("__row", "doc_id", F.length(text_or_empty()).cast("long").alias("n_points"), norm.alias("norm"))
+    keyed = rows.select(F.col(row).alias("__row"), "doc_id", F.length(text_or_empty()).cast("long").alias("n_points"), norm.alias("norm"))
     return keyed.select("__row", "doc_id", "n_points", digest(F.col("norm")).alias("content_key"), F.sha2("norm", 256).alias("text_sha256"), "norm")
 
 
@@ -42,18 +47,22 @@ def _groups(keyed: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    keyed = durable(_keyed(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"), digest))
-    groups = _groups(keyed).withColumnsRenamed({"content_key": "g_key", "text_sha256": "g_sha"})
+    keyed = durable(_keyed(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"), digest, "__row"))
+    groups = durable(_groups(keyed)).withColumnsRenamed({"content_key": "g_key", "text_sha256": "g_sha"})
     rows = keyed.drop("norm", "n_points")
-    joined = rows.join(groups, (F.col("content_key") == F.col("g_key")) & (F.col("text_sha256") == F.col("g_sha")), "left")
+    hot = F.col("group_size") > max(SMALL_GROUP, keyed.count() // HOT_GROUPS)
+    same = (F.col("content_key") == F.col("g_key")) & (F.col("text_sha256") == F.col("g_sha"))
+    large = F.broadcast(groups.where(hot))  # HOT_GROUPS rows at most
+    joined = rows.join(large, same).unionByName(rows.join(large, same, "left_anti").join(groups.where(~hot), same))
     return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("keep.row")).alias("kept"), "text_sha256")
 
 
 def keep_exact(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    rows = numbered(docs)
-    groups = _groups(_keyed(rows, digest)).where(F.col("group_size") > 0)  # the size holds the byte comparison
-    return rows.join(groups.select(F.col("keep.row").alias("__keep")), F.col("__row") == F.col("__keep"), "left_semi").drop("__row")
+    row, keep = unused(docs, "__row"), unused(docs, "__keep")
+    rows = numbered(docs, row)
+    groups = _groups(_keyed(rows, digest, row)).where(F.col("group_size") > 0)  # the size holds the byte comparison
+    return rows.join(groups.select(F.col("keep.row").alias(keep)), F.col(row) == F.col(keep), "left_semi").drop(row)
 
 
 ORACLE = r"""
