@@ -5,14 +5,17 @@ reference and the number of tokens it expands to are recorded. The template is
 
     <|im_start|>ROLE\nBODY<|im_end|>\n
 
-Inside roles and texts a backslash doubles and ``<|`` becomes ``<\|``, so no control string survives in them and
-``unescape`` gives the original back. The loss mask covers the text parts of assistant turns.
+Inside roles and texts a backslash doubles and ``<|`` becomes ``<\|``, also where the ``<`` ends one text part and the ``|``
+begins the next, so no control string survives in them and ``unescape`` gives the original back. The loss mask covers the text
+parts of assistant turns.
 
 Turns are formatted where they lie, without a shuffle. Reading back orders the turns of each conversation with one shuffle
 on its id and a sort, and streams them: hashes and counters are all that is held, however long a conversation is.
 
 Defined cases: null text is empty, null role is the empty role, null conv_id is a conversation of its own, null turns come
-first; equal turn numbers are ordered by role, then text; an empty table gives an empty result; other columns are ignored.
+first; equal turn numbers are ordered by role, then text; a null part is left out, a part of unknown or null kind counts as
+text, an empty list of parts is an empty turn and a null one leaves the turn its text; a part's own number of tokens counts
+even if it is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,21 +67,24 @@ class TurnVisitor:
         self.at += len(text)
 
     def text(self, part: dict) -> None:
-        start = self.at
-        self.write(escape(part.get("text") or ""))
+        start, text = self.at, escape(part.get("text") or "")
+        if text.startswith("|") and self.pieces[-1].endswith("<"):
+            text = f"\\{text}"
+        if text:
+            self.write(text)
         if self.role == "assistant" and self.at > start:
             self.loss.append({"start": start, "end": self.at})
 
     def attachment(self, part: dict) -> None:
         kind, k = part["kind"], len(self.attachments)
         self.write(f"<|{kind}_{k}|>")
-        self.attachments.append({"kind": kind, "ref": part.get("ref"), "ordinal": k, "tokens": part.get("tokens") or self.expanded[kind]})
+        self.attachments.append({"kind": kind, "ref": part.get("ref"), "ordinal": k, "tokens": self.expanded[kind] if part.get("tokens") is None else part["tokens"]})
 
     image = audio = document = attachment
 
     def visit(self, parts: list[dict]) -> str:
-        for part in parts:
-            getattr(self, part["kind"] if part["kind"] in self.expanded else "text")(part)
+        for part in filter(None, parts):
+            getattr(self, part["kind"] if part.get("kind") in self.expanded else "text")(part)
         self.write(f"{CLOSE}\n")
         return "".join(self.pieces)
 
@@ -93,7 +99,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
         for batch in batches:
             out = {k: [] for k in ("conv_id", "turn", "role", "formatted", "loss_spans", "attachments")}
             for row in batch.to_pylist():
-                parts = row.get("parts") or [{"kind": "text", "text": row["text"]}]
+                parts = [{"kind": "text", "text": row["text"]}] if row.get("parts") is None else row["parts"]
                 visitor = TurnVisitor(row["role"])
                 out["formatted"].append(visitor.visit(parts))
                 out["loss_spans"].append(visitor.loss)
