@@ -11,7 +11,7 @@ Learning uses at most ``SAMPLE`` labelled rows (by hash of the id), never those
 rows only; the model is a few thousand entries. Scoring is one pass over all documents without a shuffle.
 
 Defined cases: null text counts as empty and gets the score of a text without hits; without usable labels every score is
-that of the prior; rows of a repeated id are scored alike if their texts are; an empty table gives an empty result; other
+that of the prior; a null id is not held out and never labelled; rows of a repeated id are scored alike if their texts are; an empty table gives an empty result; other
 columns are ignored, and labels, lang, source and doc_id never enter a score.
 """
 
@@ -128,11 +128,11 @@ def measure(text: str, model: Model, automaton) -> tuple[float, float]:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
 
 
 def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, toxic of at most ``sample`` labelled rows, so their ids may be broadcast."""
+    """text, toxic of at most ``sample`` labelled rows: their ids and labels, some 10 MB at most, may be broadcast."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.select(F.col("doc_id").alias("l_id"), "toxic")
@@ -242,4 +242,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that aren't toxic, with all their columns."""
     model = train(docs, labels, sample)
-    return docs.withColumn("__toxicity", score(model, F.col("text"))).where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    return docs.where(score(model, F.col("text")) < 0.5)
