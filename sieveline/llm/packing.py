@@ -6,14 +6,19 @@ windows the deficits telescope, so what queue j has given after k windows is flo
 where S_j are the cumulative shares. Any token's window and offset therefore follow from its place in its queue alone: the
 windows need no driver, no order of tasks and no shuffle of tokens, and deficits carry over partitions as over windows.
 A queue that runs out ends a phase; the window in which that happens is filled round-robin by what is left, and the other
-queues go on with their shares scaled up. Default shares are the sources' own, so that all queues end together.
+queues go on with their shares scaled up.
+
+Each source with a target is scheduled by itself; the sources without one share what is left of the target, in proportion to
+their own tokens, by the same rule inside their common part, so that all of them end together. Only the targets, which the
+caller gives, and their totals come to the driver; sources are rows of a table, however many there are. Without targets every
+window has the corpus's own proportions.
 
 Steps: (1) tokenise each document once and store its ids with their place in the partition's part of the queue; (2) sum the
-parts by partition and queue, and make running sums of these sums; (3) cut the stored ids at the window borders.
+parts by partition and source, and make running sums of these sums; (3) cut the stored ids at the window borders.
 
-Queues: the ``QUEUES - 1`` sources with most rows have one each, all others share the last, so what the driver holds is
-bounded. Defined cases: null text counts as empty (its end id is packed still); null source is a source; repeated rows are
-packed each; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty (its end id is packed still); null source is the source ''; a target without
+documents gives its share to the others; repeated rows are packed each; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import base64
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -31,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import durable
+from sieveline.llm.common import durable, running_total
 
-SIZE, END, QUEUES = 2048, 1, 256
+SIZE, END = 2048, 1
 NAME = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 @lru_cache
@@ -59,29 +65,26 @@ def token_ids(text: str, name: str = NAME) -> np.ndarray:
     return np.append(np.asarray(ids, dtype="<u4"), np.uint32(END)).astype("<u4")
 
 
-def tokenise(docs: DataFrame, names: list[str], name: str = NAME) -> DataFrame:
-    """doc_id, chunk, queue, place (of its first token in the chunk's part of the queue), n_tokens, ids (16 bits each where they fit)."""
-    queue_of, other = {s: k for k, s in enumerate(names)}, len(names)
+def tokenise(docs: DataFrame, name: str = NAME) -> DataFrame:
+    """doc_id, chunk, source, place (of its first token in the chunk's part of the queue), n_tokens, ids (16 bits each where they fit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, places = TaskContext.get().partitionId(), [0] * (other + 1)
+        chunk, places = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            queues, starts, lengths, ids = [], [], [], []
+            starts, lengths, ids = [], [], []
             for text, source in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = token_ids(text.as_py() or "", name)
-                queue = queue_of.get(source, other)
-                queues.append(queue)
-                starts.append(places[queue])
+                starts.append(places[source])
                 lengths.append(len(found))
                 ids.append(found.astype("<u2").tobytes() if found.max() < 65536 else found.tobytes())
-                places[queue] += len(found)
+                places[source] += len(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([chunk] * len(ids), pa.int32()), pa.array(queues, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "chunk", "queue", "place", "n_tokens", "ids"],
+                [batch.column(0), pa.array([chunk] * len(ids), pa.int32()), batch.column(2), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
+                names=["doc_id", "chunk", "source", "place", "n_tokens", "ids"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    return rows.mapInArrow(run, "doc_id long, chunk int, queue int, place long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, chunk int, source string, place long, n_tokens long, ids binary")
 
 
 def schedule(totals: list[int], weights: list[int], size: int = SIZE) -> list[dict]:
@@ -119,42 +122,61 @@ def schedule(totals: list[int], weights: list[int], size: int = SIZE) -> list[di
     return phases
 
 
-def cut(queue: int, place: int, length: int, phases: list[dict], firsts: list[list[int]]) -> Iterator[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of each piece of the tokens place to place + length of a queue."""
+def cut(queue: int, place: int, length: int, phases: list[dict], firsts: list[list[int]], share: tuple[int, int, int] = (0, 1, 1)) -> Iterator[tuple[int, int, int, int]]:
+    """(start, length, sequence, offset) of each piece of the tokens place to place + length of a source.
+
+    share tells which part of the queue is the source's own: from, to, and the queue's whole."""
     at, end = place, place + length
-    p = bisect.bisect_right(firsts[queue], at) - 1
+    own_lo, own_hi, own_whole = share
+    inner = lambda x: x * own_hi // own_whole - x * own_lo // own_whole
+    p = bisect.bisect_right(firsts[queue], at, key=inner) - 1
     while at < end:
         phase = phases[p]
-        given, size, cum = phase["given"][queue], phase["size"], phase["cum"]
-        lo, hi, whole = cum[queue], cum[queue + 1], cum[-1]
-        if hi == lo or (phase["k1"] - phase["k0"]) * size * hi // whole - (phase["k1"] - phase["k0"]) * size * lo // whole <= at - given:
+        given, size, windows = phase["given"][queue], phase["size"], phase["k1"] - phase["k0"]
+        lo, hi, whole = phase["cum"][queue], phase["cum"][queue + 1], phase["cum"][-1]
+        reach = lambda k: inner(given + k * size * hi // whole - k * size * lo // whole)  # noqa: B023, E731
+        if reach(windows) <= at:
             p += 1
             continue
-        k = max(0, (at - given) * whole // (size * (hi - lo)) - 1)
-        while (k + 1) * size * hi // whole - (k + 1) * size * lo // whole <= at - given:
-            k += 1
-        while at < end and k < phase["k1"] - phase["k0"]:
-            below, above = k * size * lo // whole, (k + 1) * size * lo // whole
-            before, after = k * size * hi // whole - below, (k + 1) * size * hi // whole - above
-            stop = min(end, given + after)
-            if stop > at:
-                # where this queue's part of the window begins: what the queues before it take in it
-                yield at - place, stop - at, phase["k0"] + k, above - below + at - given - before
-                at = stop
-            k += 1
+        # the first window that reaches beyond at: from just before where it should be, in doubling steps, then halving
+        low = max(0, (max(0, at - 1) * own_whole // (own_hi - own_lo) - given - 1) * whole // (size * (hi - lo)) - 1)
+        while low and reach(low) > at:
+            low = max(0, low - 2)
+        step = 1
+        while reach(min(low + step, windows)) <= at:
+            low, step = low + step, 2 * step
+        high = min(low + step, windows)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if reach(middle) > at else (middle, high)
+        stop = min(end, reach(high))
+        before, after = (given + k * size * hi // whole - k * size * lo // whole for k in (low, high))
+        # what the queues before this one take in the window, then what the sources before this one take of the queue's part
+        offset = high * size * lo // whole - low * size * lo // whole + after * own_lo // own_whole - before * own_lo // own_whole + at - inner(before)
+        yield at - place, stop - at, phase["k0"] + low, offset
+        at = stop
+
+
+def _shares(bases: DataFrame, named: list[str]) -> DataFrame:
+    """source, queue, lo, hi: the queue of each source, and which part of the queue's tokens is its own."""
+    queue = F.coalesce(*[F.when(F.col("source") == s, k) for k, s in enumerate(named)], F.lit(len(named)))
+    totals = bases.groupBy("source").agg(F.sum("part_tokens").alias("total")).withColumn("queue", queue)
+    alone = totals.where(F.col("queue") < len(named)).select("source", "queue", F.lit(0).cast("long").alias("lo"), F.col("total").alias("hi"))
+    common = running_total(totals.where(F.col("queue") == len(named)), "source", "total")
+    return alone.unionByName(common.select("source", "queue", F.col("before").alias("lo"), (F.col("before") + F.col("total")).alias("hi")))
 
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, size: int = SIZE, name: str = NAME, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (and ids)."""
-    by_rows = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    names = [r["source"] for r in by_rows.orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()]
-    stored = durable(tokenise(docs, names, name))
-    parts = stored.groupBy("chunk", "queue").agg(F.sum("n_tokens").alias("part_tokens"))
-    before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = durable(parts.select(F.col("chunk").alias("b_chunk"), F.col("queue").alias("b_queue"), "part_tokens", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base")))
-    sums = {r["b_queue"]: r["t"] for r in bases.groupBy("b_queue").agg(F.sum("part_tokens").alias("t")).collect()}
-    totals = [sums.get(q, 0) for q in range(len(names) + 1)]
-    weights = totals if targets is None else [round(targets.get(s, 0) * 10**9) for s in names] + [round(max(0.0, 1 - sum(targets.values())) * 10**9)]
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (and ids)."""
+    named = sorted(targets or {})
+    stored = durable(tokenise(docs, name))
+    parts = stored.groupBy("chunk", "source").agg(F.sum("n_tokens").alias("part_tokens"))
+    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = durable(parts.select("chunk", "source", "part_tokens", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base")))
+    shares = durable(_shares(bases, named))
+    sums = {r["queue"]: r["t"] for r in shares.groupBy("queue").agg(F.sum(F.col("hi") - F.col("lo")).alias("t")).collect()}  # a row for each target
+    totals = [sums.get(q, 0) for q in range(len(named) + 1)]
+    weights = totals if not named else [round(targets[s] * 10**9) for s in named] + [round(max(0.0, 1 - sum(targets.values())) * 10**9)]
     phases = schedule(totals, weights, size)
     firsts = [[p["given"][q] for p in phases] for q in range(len(totals))]
 
@@ -162,21 +184,22 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, size: int = S
         for batch in batches:
             out: list[tuple] = []
             ids_out: list[list[int]] = []
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3)]
-            for doc_id, queue, place, n, ids in zip(*columns, batch.column(4), strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for doc_id, source, queue, lo, hi, place, n, ids in zip(*columns, batch.column(7), strict=True):
                 raw = ids.as_buffer()
                 wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 view = memoryview(wide).cast("B")
-                for start, length, sequence, offset in cut(queue, place, n, phases, firsts):
-                    out.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, sequence, offset, queue))
+                for start, length, sequence, offset in cut(queue, place, n, phases, firsts, (lo, hi, totals[queue])):
+                    out.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, sequence, offset, source))
                     if with_ids:
                         ids_out.append(wide[start : start + length].tolist())
             columns = list(zip(*out, strict=True)) if out else [()] * 8
-            arrays = [pa.array(c, pa.int64() if k < 7 else pa.int32()) for k, c in enumerate(columns)]
-            names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
+            arrays = [pa.array(c, pa.int64() if k < 7 else pa.string()) for k, c in enumerate(columns)]
+            names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
             if with_ids:
                 arrays, names_out = [*arrays, pa.array(ids_out, pa.list_(pa.int64()))], [*names_out, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names_out)
 
-    joined = stored.join(bases, (F.col("chunk") == F.col("b_chunk")) & (F.col("queue") == F.col("b_queue")))
-    return joined.select("doc_id", "queue", (F.col("place") + F.col("base")).alias("place"), "n_tokens", "ids").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    places = durable(bases.join(shares, "source").select(F.col("chunk").alias("p_chunk"), F.col("source").alias("p_source"), "base", "queue", "lo", "hi"))
+    joined = stored.join(places, (F.col("chunk") == F.col("p_chunk")) & (F.col("source") == F.col("p_source")))
+    return joined.select("doc_id", "source", "queue", "lo", "hi", (F.col("place") + F.col("base")).alias("place"), "n_tokens", "ids").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
