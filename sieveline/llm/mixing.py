@@ -3,12 +3,15 @@
 Every document belongs to a cell (source, language, topic). Token totals of the cells are raked until their sums by
 source, by language and by topic meet the target marginals; a cell's raked total over its own total is the weight of its
 tokens. The weights are scaled so that the expected number of sampled tokens is the wanted share of the corpus, with
-probabilities capped at 1 and the excess spread over the rest (water filling). A document is sampled when a hash of its
+probabilities of at most 1 and the excess spread over the rest (water filling). A document is sampled when a hash of its
 id is below its cell's probability, so that the choice is stable and needs no state.
 
 The texts are read once; what follows works on small rows. Cells are sums with map-side combine, so a source with a third
 of all rows is one row per partition. Targets default to tempered shares (share ** temper).
 
+The topic is the column ``topic`` of documents if there is one, else a class by marker words; ``targets`` gives wanted shares by
+dimension and value.
+
 Defined cases: null text counts as empty (no tokens, topic 'general'); null source or language is 'unknown'; a cell without
 tokens gets weight 1 and the mean probability; repeated rows are sampled alike; an empty table gives an empty result.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import durable, text_or_empty, unit_hash
+from sieveline.llm.common import durable, text_or_empty, unit_hash, unused
 
 #: Topics by marker words, in order of precedence.
 TOPICS = {
@@ -46,6 +49,11 @@ def topic_of(text: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
     return found
 
 
+def topic_column(docs: DataFrame) -> Column:
+    """The topic that docs has, or the one that the markers tell."""
+    return F.coalesce(docs["topic"].cast("string"), F.lit("unknown")) if "topic" in docs.columns else topic_of(text_or_empty())
+
+
 def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
@@ -56,7 +64,7 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("lang"),
-        topic_of(text).alias("topic"),
+        topic_column(docs).alias("topic"),
         token_count(text).alias("n_tokens"),
     )
 
@@ -65,7 +73,6 @@ def cell_weights(rows: DataFrame, targets: dict[str, dict[str, float]] | None =
     """One row per cell: source, lang, topic, cell_tokens, weight, probability. targets: shares by dimension and value."""
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("cell_tokens"))
     fitted = cells.withColumn("raked", F.col("cell_tokens").cast("double"))
-    everything = Window.partitionBy(F.lit(0))
     for dim in DIMENSIONS:
         own = Window.partitionBy(dim)
         if targets and dim in targets:
@@ -74,27 +81,33 @@ def cell_weights(rows: DataFrame, targets: dict[str, dict[str, float]] | None =
             wanted = F.pow(F.sum("cell_tokens").over(own).cast("double"), F.lit(temper))
         fitted = fitted.withColumn(f"goal_{dim}", wanted).withColumn(f"parts_{dim}", F.count(F.lit(1)).over(own))
     # every value's goal counts once, whatever the number of its cells
+    fitted = durable(fitted)
+    sums = fitted.agg(F.sum("cell_tokens").alias("all"), *[F.sum(F.col(f"goal_{d}") / F.col(f"parts_{d}")).alias(d) for d in DIMENSIONS]).first()
     for dim in DIMENSIONS:
-        whole = F.sum(F.col(f"goal_{dim}") / F.col(f"parts_{dim}")).over(everything)
-        fitted = fitted.withColumn(f"goal_{dim}", F.coalesce(F.col(f"goal_{dim}") / F.nullif(whole, F.lit(0.0)) * F.sum("cell_tokens").over(everything), F.lit(0.0)))
+        whole = F.lit(sums[dim] or None).cast("double")
+        fitted = fitted.withColumn(f"goal_{dim}", F.coalesce(F.col(f"goal_{dim}") / whole * F.lit(sums["all"]).cast("double"), F.lit(0.0)))
     for _ in range(rounds):
         for dim in DIMENSIONS:
             now = F.sum("raked").over(Window.partitionBy(dim))
             fitted = fitted.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"goal_{dim}") / now).otherwise(F.lit(0.0)))
-    total = F.sum("cell_tokens").over(everything).cast("double")
-    fitted = fitted.select(*DIMENSIONS, "cell_tokens", F.when(F.col("cell_tokens") > 0, F.col("raked") / F.col("cell_tokens")).otherwise(F.lit(1.0)).alias("weight"), (total * share).alias("wanted"))
-    # water filling: the cells of largest weight reach probability 1 first; the rest shares what is left in proportion
-    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("weight"), *DIMENSIONS).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(F.lit(0)).orderBy(F.desc("weight"), *DIMENSIONS).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    fitted = fitted.withColumn("full", F.coalesce(F.sum("cell_tokens").over(before), F.lit(0)).cast("double")).withColumn("rest", F.sum(F.col("cell_tokens") * F.col("weight")).over(after))
-    scale = (F.col("wanted") - F.col("full")) / F.nullif(F.col("rest"), F.lit(0.0))
-    fitted = fitted.withColumn("scale", scale).withColumn("open", F.col("scale") * F.col("weight") <= 1)
-    # the first cell in this order that stays under 1 fixes the scale for all below it
-    final = F.max(F.when(F.col("open"), F.struct("weight", "scale"))).over(everything)["scale"]
-    probability = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(final * F.col("weight"), F.lit(1.0))))
+    fitted = durable(fitted.select(*DIMENSIONS, "cell_tokens", F.when(F.col("cell_tokens") > 0, F.col("raked") / F.col("cell_tokens")).otherwise(F.lit(1.0)).alias("weight")))
+    scale = _fill(fitted, share)
+    probability = F.least(F.lit(1.0), F.lit(scale) * F.col("weight"))
     return fitted.select(*DIMENSIONS, "cell_tokens", F.round("weight", 9).alias("weight"), F.round(F.when(F.col("cell_tokens") > 0, probability).otherwise(F.lit(share)), 9).alias("probability"))
 
 
+def _fill(cells: DataFrame, share: float) -> float:
+    """The scale of the weights at which the expected tokens are the wanted share: cells that reach probability 1 are full, the rest
+    shares what is left. Each round only adds full cells, so it ends; all that comes to the driver is three sums a round."""
+    scale, seen = 0.0, None
+    while True:
+        full = F.col("weight") * scale >= 1
+        sums = cells.agg(F.sum("cell_tokens").alias("all"), F.coalesce(F.sum(F.when(full, F.col("cell_tokens"))), F.lit(0)).alias("full"), F.sum(F.when(~full, F.col("cell_tokens") * F.col("weight"))).alias("rest")).first()
+        if not sums["rest"] or sums["full"] == seen:
+            return scale
+        seen, scale = sums["full"], (sums["all"] * share - sums["full"]) / sums["rest"]
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, n_tokens, weight, probability, sampled."""
     rows = durable(features(docs))
@@ -105,11 +118,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tem
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of docs with all their columns: cells are looked up by value, ids aren't joined."""
-    cells = durable(cell_weights(durable(features(docs)), **options))
-    cells = cells.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__probability"))
-    own = {d: F.coalesce(docs[d].cast("string"), F.lit("unknown")) for d in ("source", "lang")} | {"topic": topic_of(text_or_empty())}
-    same = [own[d] == F.col(f"__{d}") for d in DIMENSIONS]
-    chosen = unit_hash(docs["doc_id"], SALT) < F.col("__probability")
+    names = {d: unused(docs, f"cell_{d}") for d in (*DIMENSIONS, "probability")}
+    cells = durable(cell_weights(durable(features(docs)), **options)).select(*[F.col(d).alias(n) for d, n in names.items()])
+    own = {d: F.coalesce(docs[d].cast("string"), F.lit("unknown")) for d in ("source", "lang")} | {"topic": topic_column(docs)}
+    same = [own[d] == F.col(names[d]) for d in DIMENSIONS]
+    chosen = unit_hash(docs["doc_id"], SALT) < F.col(names["probability"])
     return docs.join(cells, same[0] & same[1] & same[2] & chosen, "left_semi")
 
 
