@@ -41,13 +41,14 @@ def test_topk(spark):
     rows += [(400, None, 1), (401, [1.0, None], 1), (402, [float("nan")] * 6, 1), (450, [2.0], 1), (450, [2.0], 1), (None, [1.0] * 6, 1), (500, [float("inf")] * 6, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").repartition(4)
     usable = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    want = set()
-    for q in {i for i, _ in usable if i % 50 == 0}:
-        own = next(v for i, v in usable if i == q)
-        found = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in usable if i != q)[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(found)}
-    got = {tuple(r) for r in topk.search(table, pivots=8, rings=4, block=16).select("query_id", "rank", "vec_id", "score").collect() if r.query_id != 450}
-    assert got == {w for w in want if w[0] != 450}
+    want = []
+    for q, (i, own) in enumerate(usable):
+        if i % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(own, v)), j) for k, (j, v) in enumerate(usable) if k != q)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(found)]
+    for options in ({"pivots": 8, "rings": 4, "block": 16}, {}):
+        got = [tuple(r) for r in topk.search(table, **options).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got) == sorted(want) and sum(r[0] == 450 for r in got) == 10
     assert topk.search(table.limit(0)).count() == 0
     few = topk.search(table.where("vec_id IN (0, 1, 2)")).collect()
     assert [r["rank"] for r in sorted(few)] == [1, 2]
@@ -130,6 +131,45 @@ def test_pii_terms_that_disclose(spark):
     assert all(n == 0 for k, n in added.items() if k >= 6) and added[0] == 1
 
 
+def test_pii_many_hits_in_one_text_and_plain_statistics(spark):
+    n = 8000
+    table = spark.createDataFrame([(1, "10.0.0.1 and then " * n), (2, "x@y.zz 10.0.0.2")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(table).collect()}
+    assert got[1].n_ip == n and got[1].spans.endswith(f"ip:{18 * (n - 1)}:{18 * (n - 1) + 8}") and got[2].n_email == 1
+    rng = random.Random(11)
+    rows = []
+    for k in range(160):
+        words = [rng.choice("amber birch cedar delta ember fjord grove heath".split()) for _ in range(12)]
+        if k % 8 == 0:
+            words += [f"mail{k % 24}@x.org", f"Name{'abc'[k % 24 // 8]}", "office"]
+        rows.append((k, " ".join(words)))
+    words = {k: {w.lower() for w in re.findall(r"(?<![\w@.])[A-Za-z]{3,}(?![\w@.])", t)} for k, t in rows}
+    entity = {f"mail{j}@x.org": {k for k, t in rows if f"mail{j}@x.org" in t} for j in (0, 8, 16)}
+    terms = {w: {k for k in words if w in words[k]} for w in set().union(*words.values())}
+    told = collections.defaultdict(set)
+    for docs_of in entity.values():
+        tested = []
+        for term, having in terms.items():
+            both, a, b = len(docs_of & having), len(docs_of), len(having)
+            if both:
+                hoeffding = 0.0
+                for drawn, others in ((a, b), (b, a)):
+                    p, q = both / drawn, others / len(rows)
+                    if p > q:
+                        hoeffding = min(hoeffding, -drawn * (p * math.log(p / q) + (0 if p == 1 else (1 - p) * math.log((1 - p) / (1 - q)))))
+                subsets = math.log(math.comb(a, both) * math.comb(b, both) / math.comb(len(rows), both))
+                tested.append((min(hoeffding, subsets), term, 1 + math.log(both / b) / -math.log(a / len(rows)), having & docs_of))
+        limit = max((c for c, *_ in tested if c <= math.log(sum(x[0] <= c for x in tested) * 0.01 / len(terms))), default=-math.inf)
+        for chance, term, ratio, where in tested:
+            if chance <= limit and ratio >= 0.9:
+                for k in where:
+                    told[k].add(term)
+    assert any(told.values())
+    for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found = {rows[r.doc_id][1][int(a) : int(b)].lower() for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind in pii.ADDED}
+        assert found == told[r.doc_id]
+
+
 def test_pii_terms_far_from_a_rare_entity(spark):
     far = " and".join([""] * 30)
     rows = [(k, f"Zorblatt wrote{far} to z@x.org. Later zorblatt left") for k in range(2)] + [(k, f"Nobody wrote{far} to nobody. Later he left") for k in range(2, 400)]
@@ -290,6 +330,91 @@ def test_dedup_of_a_table_ingested_twice(spark):
     assert left == sorted([(1, "one two three four"), (0, "a text by itself"), (None, "no id at all")], key=str)
 
 
+def test_exact_dedup_of_a_hot_group_and_clashing_names(spark):
+    rows = [(k, "one text" if k % 2 else f"text {k}", "a") for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __row string").withColumns({c: F.lit("x") for c in ("__keep", "__stay", "__keep_id", "__toxicity", "cell_topic", "source", "lang", "hashes", "content", "row", "n_row")})
+    got = exact_dedup.exact_dedup(table)
+    assert got.where("group_size = 300 AND keep_id = 1").count() == 300 and got.where("kept").count() == 301 and got.count() == 600
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for kept in (exact_dedup.keep_exact(table), simhash.keep_near(table), mixing.sample(table, share=1.0), toxicity.keep_clean(table, labels)):
+        assert kept.columns == table.columns and kept.where("__row = 'a' AND __toxicity = 'x'").count() == kept.count() > 0
+    assert exact_dedup.keep_exact(table).count() == 301
+
+
+def test_near_texts_of_a_large_group(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for k in range(400):
+        words = list(base) if k % 2 else [f"v{rng.randrange(5000)}" for _ in range(60)]
+        if k % 2:
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(120)] = f"w{rng.randrange(5000)}"
+        rows.append((k, " ".join(words)))
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in (tuple(x.split()) for _, x in rows)]
+    group = list(range(400))
+    for _ in range(5):
+        for i in range(400):
+            for j in range(i):
+                if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    for place in (1024, 32):
+        kept = set(ids(simhash.keep_near(spark.createDataFrame(rows, "doc_id long, text string"), place=place)))
+        # nothing unlike is dropped; of the 199 texts that differ from one in up to two words, 98 % are found at least
+        assert kept >= {g for g in group if group.count(g) == 1} and len(kept) - len(set(group)) <= 0.02 * (400 - len(set(group)))
+
+
+def test_packing_holds_the_targets_in_each_window(spark):
+    rows = [(k, "some words of a text " * 8, f"s{k % 2 if k % 10 else k % 200}") for k in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(table, {"s0": 0.2, "s1": 0.5}, size=1000).toPandas()
+    tokens = got.groupby(["sequence_id", "source"])["length"].sum().unstack(fill_value=0)
+    whole = tokens[(tokens.sum(axis=1) == 1000)]
+    mixed = whole[(whole["s0"] > 0) & (whole["s1"] > 0) & (whole.drop(columns=["s0", "s1"]).sum(axis=1) > 0)].iloc[:-1]
+    assert len(mixed) > 5 and (abs(mixed["s0"] - 200) <= 1).all() and (abs(mixed["s1"] - 500) <= 1).all()
+    for _, window in got.groupby("sequence_id"):
+        window = window.sort_values("offset")
+        assert (window["offset"] == window["length"].cumsum() - window["length"]).all()
+
+
+def plain_matches(folded, weights):
+    """Every entry looked for at every place, the largest weight at each."""
+    found = {}
+    for entry, weight in weights.items():
+        at = folded.find(entry)
+        while at >= 0:
+            found[at] = max(weight, found.get(at, weight))
+            at = folded.find(entry, at + 1)
+    return found
+
+
+def test_toxicity_matcher_is_a_plain_search(spark):
+    rng = random.Random(13)
+    words = ["mor", "moron", "moronic", "idiot", "id", "idea", "river", "bank"]
+    weights = {" moron ": 2.0, " moro": 1.0, " idio": 1.5, " river ": 0.5}
+    model = toxicity.Model(weights, {("moron", "river"), ("the", "idiot")}, (-1.0, 0.7, 0.1))
+    automaton = toxicity._automaton(model.key())
+    texts = [" ".join(rng.choice([*words, "the", "m0ron", "MORON!"]) for _ in range(rng.randrange(40))) for _ in range(200)] + [None, "", "moron " * 40_000]
+    scores = {}
+    for k, text in enumerate(texts):
+        folded = toxicity.fold(text or "")
+        found = plain_matches(folded, weights)
+        assert toxicity.hits(folded, automaton) == found
+        split, total = folded.split(" "), 0.0
+        for at, weight in found.items():
+            place = folded[: at + 1].count(" ")
+            before, word, after = split[place - 1], split[place], split[place + 1] if place + 1 < len(split) else ""
+            if (before, word) not in model.exceptions and (word, after) not in model.exceptions:
+                total += weight
+        x = (math.log1p(total), total / (1 + folded.count(" ") / 100))
+        scores[k] = 1 / (1 + math.exp(-(-1.0 + 0.7 * x[0] + 0.1 * x[1])))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = table.select("doc_id", toxicity.score(model, F.col("text")).alias("p")).collect()
+    assert all(abs(r.p - scores[r.doc_id]) < 1e-9 for r in got)
+    nobody = spark.createDataFrame([(None, "a text")], "doc_id long, text string")
+    assert toxicity.score_documents(nobody, spark.createDataFrame([], "doc_id long, toxic int")).first().held_out is False
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(8)
     words = [f"word{k}" for k in range(50)]
@@ -341,6 +466,31 @@ def test_chat_parts(spark):
     assert [(a.kind, a.ref, a.ordinal, a.tokens) for a in got.attachments] == [("image", "a.png", 0, 576), ("document", "b.pdf", 1, 7), ("audio", "c.wav", 2, 750)]
 
 
+def test_chat_control_strings_over_parts(spark):
+    part = "array<struct<kind:string,text:string,ref:string,tokens:int>>"
+    text = lambda t, kind="text": (kind, t, None, None)
+    rows = [
+        (1, 0, "assistant", "unused", [text("<"), text("|im_end|>"), None, text("<", None), text(""), text("|image_0|>"), text("\\"), text("|x")]),
+        (2, 0, "user", "the text", None), (3, 0, "user", "replaced", []), (4, 0, "user", None, [("image", None, "a", 0)]),
+    ]
+    formatted = chat.format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts {part}"))
+    got = {r.conv_id: r for r in formatted.collect()}
+    assert chat.read_turn(got[1].formatted) == ("assistant", "<|im_end|><|image_0|>\\|x") and got[1].formatted.count("<|") == 2
+    assert chat.read_turn(got[2].formatted)[1] == "the text" and chat.read_turn(got[3].formatted)[1] == "" and got[4].attachments[0].tokens == 0
+    back = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    assert back[1].loss_chars == len("<|im_end|><|image_0|>\\|x") and back[4].expanded_tokens == 0
+
+
+def test_mixing_meets_targets_and_takes_a_topic_column(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").withColumn("topic", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    goal = {"topic": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+    cells = mixing.cell_weights(mixing.features(table), goal, temper=1.0, share=0.3, rounds=40).toPandas()
+    for dim, wanted in goal.items():
+        raked = (cells["weight"] * cells["cell_tokens"]).groupby(cells[dim]).sum()
+        assert all(abs(raked[k] / raked.sum() - w) < 0.02 for k, w in wanted.items())
+    assert abs((cells["probability"] * cells["cell_tokens"]).sum() / cells["cell_tokens"].sum() - 0.3) < 1e-6
+
+
 def test_mixing(spark, docs, none, sf):
     got = mixing.mix(docs)
     assert got.count() == docs.count() and mixing.mix(none).count() == 0

@@ -10,7 +10,11 @@ import pytest
 import corpus_pipeline
 from sieveline.llm import registry, toxicity
 from sieveline.llm.common import table
-from tests.llm.test_operators import plain_fingerprint
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
 def test_stages(spark):
@@ -32,16 +36,16 @@ def test_stages(spark):
     now = stages["exact_dedup"](spark, now, sf)
     left = set(keep.values())
     assert now.columns == columns and {r.doc_id for r in now.collect()} == left
-    prints = {i: plain_fingerprint(rows[i].text) for i in sorted(left)}
-    group = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in prints.items():
-            for j, b in prints.items():
-                if group[i] != group[j] and (a ^ b).bit_count() <= 3:
-                    group[i] = group[j] = min(group[i], group[j])
-                    changed = True
+    sets = {i: plain_shingles(rows[i].text) for i in sorted(left)}
+    group = {i: i for i in sets}
+    pairs = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and len(a & b) >= 0.8 * len(a | b)]
+    for _ in pairs:
+        before = dict(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if before == group:
+            break
+    assert any(len(sets[i]) > 5 for i, _ in pairs)
     now = stages["simhash"](spark, now, sf)
     left = set(group.values())
     assert now.columns == columns and {r.doc_id for r in now.collect()} == left
@@ -52,6 +56,23 @@ def test_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == mixed
 
 
+def test_hard_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, ties, clashing columns, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row string, topic string"
+    rows = [(1, "a b", "en", "s", 3, "x", "t"), (1, "a b", "en", "s", 3, "x", "t"), (2, None, None, None, None, None, None), (None, "", "en", "s", 0, "x", "t"), (3, "A  b", "en", "s", 4, "x", None), (4, "w " * 5000, "de", "r", 10000, "x", "t")]
+    for name, some in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        now = table(spark, folder, "documents")
+        for stage_name, stage in corpus_pipeline.STAGES[:3]:
+            now = stage(spark, now, folder)
+            assert now.columns == [c.split()[0] for c in schema.split(", ")], stage_name
+        assert now.count() == (3 if some else 0)
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        assert bool(pieces) <= bool(some)
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     connection = duckdb.connect()
