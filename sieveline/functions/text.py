@@ -22,6 +22,15 @@ def content_hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(normalize_newlines(text), 256))
 
 
+def canonical_json(value: Column) -> Column:
+    """Compact JSON of a struct, whose fields are to be in the order of their names; nulls are written."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def semantic_hash(value: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(value), 256))
+
+
 def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 

@@ -1,11 +1,17 @@
-"""Evidence of a build: manifest rows, a two-step commit, and verification against the sources as they are now."""
+"""Evidence of a build: manifest, commit, verification against the sources as they are now, rebuild, consistency, explanation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.incremental import snapshot_diff
+from sieveline.operators.graph import neighbours
+from sieveline.operators.incremental import differences, snapshot_diff
+from sieveline.store import stored
 
 MANIFEST = "_manifest"
 
@@ -18,17 +24,89 @@ def identity(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def commit(artifact: DataFrame, nodes: DataFrame, path: str, **facts: str) -> None:
-    """Writes the artifact, then the manifest; a build without a manifest is none, whatever stopped it."""
-    artifact.write.mode("overwrite").parquet(f"{path}/artifact")
-    nodes.select("node_id", "content_hash").write.mode("overwrite").parquet(f"{path}/nodes")
-    stored = artifact.sparkSession.read.parquet(f"{path}/artifact")
-    row = identity(stored, *stored.columns)
-    row.select("*", *[F.lit(v).alias(k) for k, v in sorted(facts.items())]).coalesce(1).write.mode("overwrite").json(f"{path}/{MANIFEST}")
+    """Writes a build into a folder of its own, then the manifest that names it. Readers see the build before until the new
+    manifest stands; a build without a manifest is none, whatever stopped it."""
+    spark, build = artifact.sparkSession, uuid.uuid4().hex
+    artifact.write.parquet(f"{path}/builds/{build}/artifact")
+    nodes.select("node_id", "content_hash").write.parquet(f"{path}/builds/{build}/nodes")
+    kept = spark.read.parquet(f"{path}/builds/{build}/artifact")
+    row = identity(kept, *kept.columns).select(F.unix_micros(F.current_timestamp()).alias("committed"), F.lit(build).alias("build"), "*", *[F.lit(v).alias(k) for k, v in sorted(facts.items())])
+    row.coalesce(1).write.mode("append").json(f"{path}/{MANIFEST}")
+
+
+def latest(spark: SparkSession, path: str) -> dict:
+    """The manifest of the last committed build."""
+    return spark.read.json(f"{path}/{MANIFEST}").orderBy(F.desc("committed"), "build").first().asDict()
+
+
+def read_build(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Artifact, nodes and manifest of the last committed build."""
+    manifest = latest(spark, path)
+    folder = f"{path}/builds/{manifest['build']}"
+    return spark.read.parquet(f"{folder}/artifact"), spark.read.parquet(f"{folder}/nodes"), manifest
 
 
 def verify(spark: SparkSession, path: str, current: DataFrame) -> DataFrame:
     """code, node_id: CTX610 where the artifact isn't the one of the manifest, CTX600 for each node that differs now."""
-    artifact, manifest = spark.read.parquet(f"{path}/artifact"), spark.read.json(f"{path}/{MANIFEST}").select(F.col("identity").alias("recorded"))
-    changed = identity(artifact, *artifact.columns).join(manifest, F.col("identity") != F.col("recorded")).select(F.lit("CTX610").alias("code"), F.lit(None).cast("string").alias("node_id"))
-    drift = snapshot_diff(spark.read.parquet(f"{path}/nodes"), current.select("node_id", "content_hash"), "node_id").where("status <> 'unchanged'")
+    artifact, nodes, manifest = read_build(spark, path)
+    changed = identity(artifact, *artifact.columns).where(F.col("identity") != manifest["identity"]).select(F.lit("CTX610").alias("code"), F.lit(None).cast("string").alias("node_id"))
+    drift = snapshot_diff(nodes, current.select("node_id", "content_hash"), "node_id").where("status <> 'unchanged'")
     return changed.unionAll(drift.select(F.lit("CTX600"), F.col("node_id").cast("string")))
+
+
+def rebuild(spark: SparkSession, path: str, current: DataFrame, build_again: Callable[[], DataFrame], **facts: str) -> DataFrame:
+    """Verifies the last build against the sources and the wanted facts, builds again, and commits if nothing differs.
+
+    Returns what differs: codes of the verification, CTX720 for each fact that isn't the recorded one, CTX700 for rows that
+    only one of the two artifacts has."""
+    artifact, nodes, manifest = read_build(spark, path)
+    again = build_again()
+    facts_now = [k for k, v in sorted(facts.items()) if manifest.get(k) != v]
+    other = spark.createDataFrame([("CTX720", k) for k in facts_now], "code string, node_id string")
+    counts = differences(artifact, again).select(F.explode(F.array("only_first", "only_second")).alias("n")).where("n > 0")
+    found = stored(verify(spark, path, current).unionAll(other).unionAll(counts.select(F.lit("CTX700"), F.lit(None).cast("string"))))
+    if found.isEmpty():
+        commit(again, current, path, **facts)
+    return found
+
+
+def manifest_problems(builds: DataFrame, selected: DataFrame, final: DataFrame, excluded: DataFrame, mandatory: DataFrame, trims: DataFrame, by: str) -> DataFrame:
+    """by, problem, n: where the parts of a manifest contradict each other.
+
+    builds: by, budget, source_allowance, before_tokens, final_tokens; the sets: by, node_id; trims: by, iteration, node_id,
+    tokens_before, tokens_after (a row for each removed node)."""
+    keys = [by, "node_id"]
+    counted = lambda df, name: df.groupBy(by).agg(F.lit(name).alias("problem"), F.count(F.lit(1)).alias("n"))
+    flagged = lambda condition, name: builds.where(condition).select(by, F.lit(name).alias("problem"), F.lit(1).cast("long").alias("n"))
+    steps = trims.select(by, "iteration", "tokens_before", "tokens_after").distinct()
+    order = Window.partitionBy(by).orderBy("iteration")
+    chained = steps.join(builds.select(by, "before_tokens", "final_tokens"), by).withColumns({"place": F.row_number().over(order), "due": F.coalesce(F.lag("tokens_after").over(order), "before_tokens"), "next": F.lead("iteration").over(order)})
+    removed = selected.join(final, keys, "left_anti")
+    parts = [
+        flagged("final_tokens > budget", "final count exceeds budget"),
+        flagged("source_allowance > budget", "allowance exceeds budget"),
+        counted(final.join(selected, keys, "left_anti"), "final node not selected"),
+        counted(mandatory.join(final, keys, "left_anti"), "mandatory node absent"),
+        counted(excluded.join(selected, keys, "left_semi"), "excluded node selected"),
+        counted(chained.where("iteration <> place"), "trim iterations not contiguous"),
+        counted(chained.where("tokens_before <> due"), "trim chain inconsistent"),
+        counted(chained.where("next IS NULL AND tokens_after <> final_tokens"), "last trim differs from final count"),
+        counted(trims.select(*keys).exceptAll(removed.select(*keys)).unionAll(removed.select(*keys).exceptAll(trims.select(*keys))), "trimmed nodes differ from the delta"),
+    ]
+    untrimmed = builds.join(steps.select(by).distinct(), by, "left_anti").where("before_tokens <> final_tokens")
+    return reduce(DataFrame.unionAll, [*parts, counted(untrimmed, "untrimmed counts differ")])
+
+
+def explain(nodes: DataFrame, selected: DataFrame, reasons: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, status, reason, codes, related: what the stored evidence says of each node; nothing is selected again.
+
+    nodes: node_id; selected: node_id; reasons: node_id, reason of those left out; codes: node_id, code; edges: src, dst."""
+    one = lambda df, name: df.withColumnRenamed("node_id", f"{name}_node")
+    around = neighbours(edges).where("neighbour <> node_id").groupBy("node_id").agg(F.array_sort(F.collect_set("neighbour")).alias("related"))
+    coded = codes.groupBy("node_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    chosen = selected.select("node_id", F.lit(True).alias("chosen")).distinct()
+    joined = nodes.select("node_id")
+    for name, part in (("s", chosen), ("r", reasons), ("c", coded), ("n", around)):
+        joined = joined.join(one(part, name), F.col("node_id") == F.col(f"{name}_node"), "left").drop(f"{name}_node")
+    status = F.when(F.col("chosen"), "included").when(F.col("reason").isNotNull(), "excluded").otherwise("unknown")
+    return joined.select("node_id", status.alias("status"), F.when(F.col("chosen"), None).otherwise(F.col("reason")).alias("reason"), "codes", "related")

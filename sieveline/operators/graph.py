@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.store import stored
@@ -60,19 +63,121 @@ def dependents(edges: DataFrame, candidates: DataFrame, selected: DataFrame) ->
     return closure(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), candidates)
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """The links between nodes that others lead to and that lead to others; the rest is in no cycle."""
+    before = -1
+    while (now := links.count()) != before:
+        before = now
+        links = stored(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+    return links
+
+
+def _least_reaching(links: DataFrame) -> DataFrame:
+    """node_id, label: the least node from which each node is reached, itself included."""
+    labels = stored(links.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("label", F.col("node_id")))
+    seen = None
+    while (state := labels.agg(F.sum(F.xxhash64("node_id", "label").cast("decimal(38,0)"))).first()) != seen:
+        seen = state
+        sent = links.join(labels, F.col("src") == F.col("node_id")).select(F.col("dst").alias("node_id"), "label")
+        labels = stored(labels.unionAll(sent).groupBy("node_id").agg(F.min("label").alias("label")))
+    return labels
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node_id, component (its least node) of components with several nodes: pairs that reach each other both ways.
-
-    Reaching pairs are kept, so this is for graphs whose parts are of bounded size."""
-    pairs = stored(edges.select("src", "dst").where("src <> dst").distinct())
-    count = -1
-    while (now := pairs.count()) != count:
-        count = now
-        longer = pairs.alias("p").join(pairs.alias("q"), F.col("p.dst") == F.col("q.src")).select("p.src", "q.dst")
-        pairs = stored(pairs.unionAll(longer.where("src <> dst")).distinct())
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = pairs.join(back, ["src", "dst"])
-    return both.groupBy(F.col("src").alias("node_id")).agg(F.least(F.col("node_id"), F.min("dst")).alias("component"))
+    """node_id, component (its least node) of components with several nodes.
+
+    Forward and backward colouring: each node takes the least node that reaches it; what reaches such a node back, under its
+    colour, is its component. Found components are taken out, and the rest is coloured again. Only frontiers are joined."""
+    links = _trimmed(stored(edges.select("src", "dst").where("src <> dst").distinct()))
+    done = None
+    while not links.isEmpty():
+        labels = _least_reaching(links)
+        frontier = stored(labels.where("node_id = label"))
+        found = frontier
+        within = stored(links.join(labels.select(F.col("node_id").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node_id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")))
+        while not frontier.isEmpty():
+            back = within.join(frontier, (F.col("dst") == F.col("node_id")) & (F.col("colour") == F.col("label"))).select(F.col("src").alias("node_id"), "label").distinct()
+            frontier = stored(back.join(found, ["node_id", "label"], "left_anti"))
+            found = found.unionAll(frontier)
+        found = stored(found)
+        done = found if done is None else done.unionAll(found)
+        ids = found.select(F.col("node_id").alias("found_id"))
+        links = _trimmed(stored(links.join(ids, F.col("src") == F.col("found_id"), "left_anti").join(ids, F.col("dst") == F.col("found_id"), "left_anti")))
+    if done is None:
+        return edges.select(F.col("src").alias("node_id"), F.col("src").alias("component")).limit(0)
+    several = done.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
+    return done.join(several, "label", "left_semi").select("node_id", F.col("label").alias("component"))
+
+
+def outgoing(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """The edges that start at one of the nodes, of the given types only if any are given."""
+    rows = edges.where(F.col("edge_type").isin(*types)) if types else edges
+    return rows.join(nodes.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+
+
+def incoming(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    rows = edges.where(F.col("edge_type").isin(*types)) if types else edges
+    return rows.join(nodes.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi")
+
+
+def add_nodes(nodes: DataFrame, added: DataFrame, content: str = "content_hash") -> tuple[DataFrame, DataFrame]:
+    """nodes and added ones, and the collisions: ids that stand for other content already (in nodes, or twice in added). Added rows
+    that are there already, or collide, change nothing. Both have node_id and the column ``content``."""
+    fresh = added.select("node_id", content).distinct()
+    known = nodes.select("node_id", F.col(content).alias("known"))
+    twice = fresh.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node_id")
+    other = fresh.join(known, "node_id").where(~F.col(content).eqNullSafe(F.col("known"))).select("node_id")
+    collisions = twice.unionAll(other).distinct()
+    rows = fresh.join(known, "node_id", "left_anti").join(collisions, "node_id", "left_anti")
+    return nodes.select("node_id", content).unionAll(rows), collisions
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of nodes and edges (edges go with either end), and the ids of gone that weren't there."""
+    ids = gone.select(F.col("node_id").alias("gone_id")).distinct()
+    kept = nodes.join(ids, F.col("node_id") == F.col("gone_id"), "left_anti")
+    left = edges.join(ids, F.col("src") == F.col("gone_id"), "left_anti").join(ids, F.col("dst") == F.col("gone_id"), "left_anti")
+    return kept, left, ids.join(nodes, F.col("gone_id") == F.col("node_id"), "left_anti").select(F.col("gone_id").alias("node_id"))
+
+
+def edge_identity(src: Column, dst: Column, edge_type: Column, confidence: Column, evidence: Column) -> Column:
+    """evidence: canonical JSON of an object."""
+    text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    payload = F.concat(F.lit('{"confidence":'), confidence.cast("double").cast("string"), F.lit(',"edge_type":'), text(edge_type), F.lit(',"evidence":'), evidence, F.lit(',"schema_version":1,"source_node_id":'), text(src), F.lit(',"target_node_id":'), text(dst), F.lit("}"))
+    return F.concat(F.lit("edge-"), F.substring(F.sha2(payload, 256), 1, 24))
+
+
+def topological_order(nodes: DataFrame, edges: DataFrame, by: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """by, node_id, place in the order that takes, of the nodes whose dependencies (dst) are out, the least first; and a row
+    CTX320 for each graph (value of ``by``) with a cycle, which has no order.
+
+    The order is a walk, so each graph is one group: it is for the chosen nodes of a task, and one of more than ``most`` nodes is
+    an error. ``levels`` orders graphs of any size by depth."""
+    kind = dict(nodes.dtypes)
+    deps = edges.groupBy(by, F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("deps"))
+    rows = nodes.select(by, "node_id").join(deps, [by, "node_id"], "left").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    checked = rows.withColumn("size", F.when(F.col("size") <= most, F.col("size")).otherwise(F.raise_error(F.lit("a graph has too many nodes for this order")).cast("long")))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        known = set(group["node_id"])
+        waits = {n: {d for d in ([] if deps is None else deps) if d in known and d != n} for n, deps in zip(group["node_id"], group["deps"], strict=True)}
+        needed_by: dict = {}
+        for n, ds in waits.items():
+            for d in ds:
+                needed_by.setdefault(d, []).append(n)
+        ready, out = [n for n, ds in waits.items() if not ds], []
+        heapq.heapify(ready)
+        while ready:
+            out.append(heapq.heappop(ready))
+            for n in needed_by.get(out[-1], ()):
+                waits[n].discard(out[-1])
+                if not waits[n]:
+                    heapq.heappush(ready, n)
+        whole = len(out) == len(waits)
+        return pd.DataFrame({by: [group[by].iloc[0]] * (len(out) if whole else 1), "node_id": out if whole else [None], "place": range(1, len(out) + 1) if whole else [0], "code": [None] * len(out) if whole else ["CTX320"]})
+
+    walked = stored(checked.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, node_id {kind['node_id']}, place long, code string"))
+    return walked.where("code IS NULL").drop("code"), walked.where("code IS NOT NULL").select(by, "code")
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -56,3 +56,24 @@ def dependency_coverage(selected: DataFrame, dependencies: DataFrame, by: str) -
     second = have.select(by, F.col("uri").alias("dst"), F.lit(1).alias("b"))
     joined = dependencies.join(first, [by, "src"], "left").join(second, [by, "dst"], "left")
     return joined.groupBy(by).agg(ratio(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()), F.count(F.lit(1)), 1.0).alias("dependency_coverage"))
+
+
+def budget_use(selected: DataFrame, by: str, budget: int) -> DataFrame:
+    """by, used_tokens, budget_use: the share of the budget that a selection uses; a budget of nothing is used up."""
+    return selected.groupBy(by).agg(F.sum("cost").alias("used_tokens")).withColumn("budget_use", ratio(F.col("used_tokens"), F.lit(budget), 1.0))
+
+
+def incident_metrics(edges: DataFrame, required: DataFrame, superseded: DataFrame, selected: DataFrame, decided: DataFrame, expected: DataFrame, by: str) -> DataFrame:
+    """by, relation_coverage (required by, src, dst, edge_type that are edges), superseded_exclusion (superseded by, node_id that
+    aren't selected), security_correctness (expected by, node_id, action that were decided so). Nothing asked for is met."""
+    parts = []
+    for name, wanted, have, keys, hit in (
+        ("relation_coverage", required, edges, ["src", "dst", "edge_type"], True),
+        ("superseded_exclusion", superseded, selected, ["node_id"], False),
+        ("security_correctness", expected, decided, ["node_id", "action"], True),
+    ):
+        found = wanted.select(by, *keys).distinct().join(have.select(by, *keys).distinct().withColumn("there", F.lit(1)), [by, *keys], "left")
+        good = F.col("there").isNotNull() if hit else F.col("there").isNull()
+        parts.append(found.groupBy(by).agg(ratio(F.count_if(good), F.count(F.lit(1)), 1.0).alias(name)))
+    joined = parts[0].join(parts[1], by, "full_outer").join(parts[2], by, "full_outer")
+    return joined.na.fill(1.0)

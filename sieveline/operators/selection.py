@@ -1,20 +1,26 @@
 """Choosing nodes under a token allowance, for many tasks at once: one task is one value of the column ``by``.
 
 The greedy walk skips what doesn't fit and goes on, so it can't be a running sum. It is cut down before it runs: of the
-items of one cost c at most allowance / c can ever be taken, and only the first ones in order, so each task folds at most
+items of one cost c at most allowance / c can ever be taken, and only the first ones in order, so each task walks at most
 about allowance * ln(allowance) candidates, however many items there are. Items that cost nothing are always taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.graph import induced, strong_components
+from sieveline.store import stored
+
 #: Limits of the exact methods and of evidence.
-BRUTE_FORCE, DP_NODES, DP_BUDGET, DP_STATES, DP_BYTES, ILP_NODES, ILP_EDGES = 16, 256, 100_000, 2_000_000, 256 * 1024 * 1024, 120, 2000
+BRUTE_FORCE, DP_NODES, DP_BUDGET, DP_STATES, DP_BYTES, ILP_NODES, ILP_EDGES, ILP_SECONDS = 16, 256, 100_000, 2_000_000, 256 * 1024 * 1024, 120, 2000, 2.0
 TIES, TOLERANCE = 8, 1e-12
 
 
@@ -31,20 +37,30 @@ def candidates(items: DataFrame, by: str, order: list[Column], allowance: int) -
 
 
 def greedy(items: DataFrame, by: str, order: list[Column], allowance: int) -> DataFrame:
-    """by, node_id, cost, rank, used (tokens up to and including this node) of what a walk in the given order takes."""
-    listed = candidates(items, by, order, allowance).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("key", "node_id", "cost"))).alias("walk"))
-    taken_type = f"array<struct<node_id:{dict(items.dtypes)['node_id']},cost:bigint,used:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(taken_type).alias("taken"))
-
-    def step(state: Column, item: Column) -> Column:
-        used = state["used"] + item["cost"]
-        more = F.concat(state["taken"], F.array(F.struct(item["node_id"].alias("node_id"), item["cost"].cast("long").alias("cost"), used.cast("long").alias("used"))))
-        fits = used <= allowance
-        return F.struct(F.when(fits, used).otherwise(state["used"]).cast("long").alias("used"), F.when(fits, more).otherwise(state["taken"]).cast(taken_type).alias("taken"))
+    """by, node_id, cost, rank, used (tokens up to and including this node) of what a walk in the given order takes.
 
-    taken = listed.select(by, F.posexplode(F.aggregate("walk", start, step)["taken"]).alias("position", "t"))
+    The walk streams over the sorted candidates and holds only the tokens used so far."""
+    kind = dict(items.dtypes)
+    rows = candidates(items, by, order, allowance).select(F.col(by), "node_id", F.col("cost").cast("long").alias("cost"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, used, rank = object(), 0, 0
+        for batch in batches:
+            taken, ranks, sums = [], [], []
+            for k, (group, cost) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if group != task:
+                    task, used, rank = group, 0, 0
+                if used + cost <= allowance:
+                    used, rank = used + cost, rank + 1
+                    taken.append(k)
+                    ranks.append(rank)
+                    sums.append(used)
+            chosen = batch.take(pa.array(taken, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(ranks, pa.int64()), pa.array(sums, pa.int64())], names=[by, "node_id", "cost", "rank", "used"])
+
+    walked = rows.repartition(by).sortWithinPartitions(by, "key").select(by, "node_id", "cost").mapInArrow(run, f"{by} {kind[by]}, node_id {kind['node_id']}, cost long, rank long, used long")
     free = items.where("cost <= 0").select(by, "node_id", F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("used"))
-    return taken.select(by, "t.node_id", "t.cost", (F.col("position") + 1).cast("long").alias("rank"), "t.used").unionAll(free)
+    return walked.unionAll(free)
 
 
 def naive(items: DataFrame, by: str, allowance: int) -> DataFrame:
@@ -72,13 +88,130 @@ def top_k(items: DataFrame, by: str, allowance: int) -> DataFrame:
 
 
 def knapsack(items: DataFrame, by: str, allowance: int) -> DataFrame:
-    """by, best: the largest sum of whole values under the allowance without dependencies (dynamic programming over tokens)."""
-    listed = candidates(items, by, [-F.col("value"), F.col("node_id")], allowance).groupBy(by).agg(F.collect_list(F.struct(F.col("cost").cast("int").alias("cost"), F.col("value").cast("long").alias("value"))).alias("list"))
+    """by, best, chosen: the largest sum of whole values under the allowance without dependencies, of those the one of lower cost,
+    and the node_ids that give it (dynamic programming over tokens, for tasks within the limits of the exact methods)."""
+    kind = dict(items.dtypes)["node_id"]
+    listed = candidates(items, by, [-F.col("value"), F.col("node_id")], allowance).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("node_id", F.col("cost").cast("int").alias("cost"), F.col("value").cast("long").alias("value")))).alias("list"))
+    start = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).alias("saved"), F.array().cast(f"array<{kind}>").alias("chosen"))
 
     def step(state: Column, item: Column) -> Column:
-        return F.transform(state, lambda best, j: F.when(j >= item["cost"], F.greatest(best, F.get(state, j - item["cost"]) + item["value"])).otherwise(best))
-
-    return listed.select(by, F.element_at(F.aggregate("list", F.array_repeat(F.lit(0).cast("long"), allowance + 1), step), -1).alias("best"))
+        def with_item(old: Column) -> Column:
+            return F.struct((old["best"] + item["value"]).alias("best"), (old["saved"] - item["cost"]).alias("saved"), F.array_append(old["chosen"], item["node_id"]).alias("chosen"))
+
+        better = lambda a, b: (a["best"] > b["best"]) | ((a["best"] == b["best"]) & (a["saved"] > b["saved"]))
+
+        def choose(old: Column, j: Column) -> Column:
+            other = with_item(F.get(state, j - item["cost"]))
+            return F.when((j >= item["cost"]) & better(other, old), other).otherwise(old)
+
+        return F.transform(state, choose)
+
+    table = F.array_repeat(start, allowance + 1)
+    return listed.select(by, F.element_at(F.aggregate("list", table, step), -1).alias("end")).select(by, "end.best", "end.chosen")
+
+
+def brute_force(items: DataFrame, by: str, allowance: int, dependency_weight: float = 0.1) -> DataFrame:
+    """by, objective, cost, chosen: the best closed set of each task with at most BRUTE_FORCE nodes; others have no row.
+
+    Every subset of a task is a row of its own (a number whose bits name the nodes), so subsets are spread over tasks of Spark."""
+    small = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("node_id", "cost", "value", "deps"))).alias("nodes")).where(F.size("nodes") <= BRUTE_FORCE)
+    at = lambda node, d: F.array_position(F.transform("nodes", lambda n: n["node_id"]), d) - 1
+    masks = F.transform("nodes", lambda n: F.aggregate(F.array_distinct(F.filter(n["deps"], lambda d: at(n, d) >= 0)), F.lit(0).cast("long"), lambda m, d: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at(n, d).cast("int")))))
+    ready = stored(small.select(by, "nodes", masks.alias("masks")))
+    tried = ready.select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size("nodes")).cast("long") - 1)).alias("subset"), F.arrays_zip("nodes", "masks").alias("pairs"))
+    start = F.struct(F.lit(True).alias("closed"), F.lit(0.0).alias("objective"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("i"))
+
+    def step(s: Column, x: Column) -> Column:
+        inside = F.call_function("shiftright", F.col("subset"), s["i"]).bitwiseAND(F.lit(1)) == 1
+        closed = s["closed"] & (~inside | (x["masks"].bitwiseAND(F.col("subset")) == x["masks"]))
+        gain = x["nodes"]["value"] + dependency_weight * F.bit_count(x["masks"])
+        return F.struct(closed.alias("closed"), (s["objective"] + F.when(inside, gain).otherwise(0.0)).alias("objective"), (s["cost"] + F.when(inside, x["nodes"]["cost"]).otherwise(0)).cast("long").alias("cost"), (s["i"] + 1).alias("i"))
+
+    valued = tried.select(by, "subset", F.aggregate("pairs", start, step).alias("r")).where((F.col("r.closed")) & (F.col("r.cost") <= allowance))
+    best = valued.groupBy(by).agg(F.max(F.struct(F.round("r.objective", 9).alias("objective"), (-F.col("r.cost")).alias("saved"), (-F.col("subset")).alias("minus"))).alias("b"))
+    taken = F.filter("nodes", lambda n, i: F.call_function("shiftright", -F.col("b.minus"), i).bitwiseAND(F.lit(1)) == 1)
+    return best.join(ready, by).select(by, "b.objective", (-F.col("b.saved")).alias("cost"), F.transform(taken, lambda n: n["node_id"]).alias("chosen"))
+
+
+def problem_differences(nodes: DataFrame, analyses: DataFrame, configured: DataFrame) -> DataFrame:
+    """problem, node_id: analyses of no node, nodes without an analysis, configured ids of no node. A problem with any is no problem to solve."""
+    ids = nodes.select("node_id").distinct()
+    parts = [(analyses, ids, "unknown_analysis"), (ids, analyses, "missing_analysis"), (configured, ids, "unknown_configured")]
+    return reduce(DataFrame.unionAll, (a.select("node_id").distinct().join(b.select("node_id"), "node_id", "left_anti").select(F.lit(name).alias("problem"), "node_id") for a, b, name in parts))
+
+
+def bounded_closures(items: DataFrame, by: str, allowance: int, seeds: DataFrame | None = None) -> DataFrame:
+    """by, seed, node_id: the closure of each node (or seed: by, node_id) whose closure costs the allowance at most. A closure is
+    given up as soon as it costs more, so each holds at most as many nodes as the allowance has tokens."""
+    costs = items.select(F.col(by).alias("c_by"), F.col("node_id").alias("c_node"), "cost")
+    links = stored(items.select(F.col(by).alias("l_by"), F.col("node_id").alias("l_src"), F.explode("deps").alias("l_dst")).distinct())
+    priced = lambda pairs: pairs.join(costs, (F.col(by) == F.col("c_by")) & (F.col("node_id") == F.col("c_node"))).select(by, "seed", "node_id", "cost")
+    start = (items if seeds is None else seeds).select(by, F.col("node_id").alias("seed"), "node_id").distinct()
+    frontier = stored(priced(start).where(F.col("cost") <= allowance))
+    reached = frontier
+    while not frontier.isEmpty():
+        step = frontier.join(links, (F.col(by) == F.col("l_by")) & (F.col("node_id") == F.col("l_src"))).select(by, "seed", F.col("l_dst").alias("node_id")).distinct()
+        fresh = priced(step.join(reached.select(by, "seed", "node_id"), [by, "seed", "node_id"], "left_anti"))
+        both = stored(reached.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True))))
+        dear = both.groupBy(by, "seed").agg(F.sum("cost").alias("whole")).where(F.col("whole") > allowance).select(by, "seed")
+        left = stored(both.join(dear, [by, "seed"], "left_anti"))
+        frontier, reached = left.where("fresh").drop("fresh"), left.drop("fresh")
+    return reached
+
+
+def mandatory_problems(items: DataFrame, by: str, mandatory: DataFrame, allowed: DataFrame, allowance: int) -> DataFrame:
+    """by, code, reason, cost for tasks (by, node_id of mandatory) that can't be met: the closure of the mandatory nodes holds one that
+    isn't allowed, or costs more than the allowance."""
+    whole = closure_of(items, by, mandatory)
+    priced = whole.join(items.select(by, "node_id", "cost"), [by, "node_id"]).join(allowed.select(by, "node_id", F.lit(True).alias("fine")).distinct(), [by, "node_id"], "left")
+    sums = priced.groupBy(by).agg(F.sum("cost").alias("cost"), F.bool_or(F.col("fine").isNull()).alias("barred"))
+    reason = F.when(F.col("barred"), "mandatory_closure_not_allowed").when(F.col("cost") > allowance, "mandatory_closure_exceeds_allowance")
+    return sums.select(by, F.lit("CTX530").alias("code"), reason.alias("reason"), "cost").where("reason IS NOT NULL")
+
+
+def closure_of(items: DataFrame, by: str, seeds: DataFrame) -> DataFrame:
+    """by, node_id: what the seeds of each task need, with them. A round joins only the new nodes."""
+    links = items.select(F.col(by).alias("l_by"), F.col("node_id").alias("l_src"), F.explode("deps").alias("l_dst"))
+    frontier = stored(seeds.select(by, "node_id").distinct())
+    reached = frontier
+    while not frontier.isEmpty():
+        step = frontier.join(links, (F.col(by) == F.col("l_by")) & (F.col("node_id") == F.col("l_src"))).select(by, F.col("l_dst").alias("node_id")).distinct()
+        frontier = stored(step.join(reached, [by, "node_id"], "left_anti"))
+        reached = reached.unionAll(frontier)
+    return reached
+
+
+def violations(items: DataFrame, by: str, selected: DataFrame, mandatory: DataFrame, blocked: DataFrame, allowance: int) -> DataFrame:
+    """by, violation, n: duplicate, unknown, blocked, mandatory, dependency (nodes) and allowance (1) of each task's selection."""
+    keys = [by, "node_id"]
+    chosen, known = selected.select(*keys).distinct(), items.select(*keys)
+    counted = lambda df, name: df.groupBy(by).agg(F.lit(name).alias("violation"), F.count(F.lit(1)).alias("n"))
+    unknown = chosen.join(known, keys, "left_anti")
+    sound = chosen.join(unknown.select(by).distinct(), by, "left_anti")  # closures and costs are told where all ids are known
+    lacking = closure_of(items, by, sound).join(chosen, keys, "left_anti")
+    over = sound.join(items.select(*keys, "cost"), keys).groupBy(by).agg(F.sum("cost").alias("c")).where(F.col("c") > allowance)
+    parts = [
+        counted(selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "duplicate"), counted(unknown, "unknown"),
+        counted(chosen.join(blocked.select(*keys).distinct(), keys, "left_semi"), "blocked"), counted(mandatory.select(*keys).distinct().join(chosen, keys, "left_anti"), "mandatory"),
+        counted(lacking, "dependency"), counted(over, "allowance"),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def canonical_seeds(selected: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id of a least set whose closure is the selection: selected has node_id, rank, mandatory; edges src, dst.
+
+    Taken in the order of rank, a node goes when the others still need it. So what stays is mandatory, or the last of a cycle
+    (or the node alone) that nothing outside of it needs."""
+    within = stored(induced(edges.select("src", "dst"), selected).where("src <> dst").distinct())
+    rounds = strong_components(within)
+    part = selected.join(rounds, "node_id", "left").select("node_id", "rank", "mandatory", F.coalesce("component", "node_id").alias("part"))
+    part = stored(part)
+    of = lambda end: part.select(F.col("node_id").alias(end), F.col("part").alias(f"{end}_part"))
+    needed = within.join(of("src"), "src").join(of("dst"), "dst").where("src_part <> dst_part").select(F.col("dst_part").alias("part")).distinct()
+    held = part.where("mandatory").select("part").distinct()
+    alone = part.join(needed, "part", "left_anti").join(held, "part", "left_anti").groupBy("part").agg(F.max_by("node_id", "rank").alias("node_id")).select("node_id")
+    return alone.unionAll(part.where("mandatory").select("node_id"))
 
 
 def tie_groups(items: DataFrame, by: str) -> DataFrame:
@@ -132,8 +265,10 @@ class Problem:
                 gain, cost = self.objective(union) - self.objective(chosen), self.total(union) - self.total(chosen)
                 if gain <= TOLERANCE or self.total(union) > self.allowance:
                     open_ids.discard(node)
-                elif best is None or (-round(gain / max(1, cost), 12), self.key[node]) < best[0]:
-                    best = ((-round(gain / max(1, cost), 12), self.key[node]), union)
+                    continue
+                order = (-round(gain / max(1, cost), 12), -round(gain, 12), self.key[node])
+                if best is None or order < best[0]:
+                    best = (order, union)
             if best is None:
                 break
             chosen = best[1]
@@ -145,25 +280,29 @@ class Problem:
             return x > y
         return (self.total(a), sorted(self.key[i] for i in a)) < (self.total(b), sorted(self.key[i] for i in b))
 
-    def exact(self) -> frozenset:
-        """Branch and bound over closed sets: a node is taken with its closure or left out with all that need it."""
-        best = frozenset()
+    def exact(self, seconds: float | None = None) -> frozenset:
+        """Branch and bound over closed sets: a node is taken with its closure or left out with all that need it. After ``seconds``
+        the best set found so far is the answer, and ``timed_out`` tells so."""
+        best, self.timed_out = frozenset(), False
+        until = None if seconds is None else time.monotonic() + seconds
         gains = {i: max(0.0, self.value[i]) + self.weight * len(set(self.deps[i])) for i in self.ids}
-
-        def search(chosen: frozenset, left: list) -> None:
-            nonlocal best
+        closures = {i: self.closure(i) for i in self.ids}
+        waiting = [(best, sorted(self.ids, key=lambda i: (-gains[i] / max(1, self.cost[i]), self.key[i])))]
+        while waiting:
+            if until is not None and time.monotonic() > until:
+                self.timed_out = True
+                break
+            chosen, left = waiting.pop()
             if self.better(chosen, best):
                 best = chosen
             if not left or self.objective(chosen) + sum(gains[i] for i in left) < self.objective(best) - TOLERANCE:
-                return
+                continue
             node, rest = left[0], left[1:]
-            union = chosen | self.closure(node)
+            union = chosen | closures[node]
             banned = set(self.ids) - chosen - set(left)
+            waiting.append((chosen, [i for i in rest if node not in closures[i]]))
             if not (union - chosen) & banned and self.total(union) <= self.allowance:
-                search(union, [i for i in rest if i not in union])
-            search(chosen, [i for i in rest if node not in self.closure(i)])
-
-        search(best, sorted(self.ids, key=lambda i: (-gains[i] / max(1, self.cost[i]), self.key[i])))
+                waiting.append((union, [i for i in rest if i not in union]))
         return best
 
     def ordered(self, chosen: frozenset) -> list:
@@ -179,13 +318,35 @@ class Problem:
 
 
 def solve(items: DataFrame, by: str, allowance: int, method: Callable[[Problem], frozenset] = Problem.density) -> DataFrame:
-    """by, node_id, rank of each task's choice with dependencies (items has deps). Tasks are solved in parallel, each in one task
-    of Spark, so a task's nodes must be of bounded number (as a conversation's turns are)."""
+    """by, node_id, rank of each task's choice with dependencies (items has deps).
+
+    Nodes whose closure alone costs more than the allowance can't be chosen and are dropped before; what is left of a task is
+    walked in one task of Spark, the tasks in parallel."""
     kind = dict(items.dtypes)
+    fit = bounded_closures(items, by, allowance).select(by, F.col("seed").alias("node_id")).distinct()
+    rows = items.select(by, "node_id", "cost", "value", "relevance", "uri", "deps").join(fit, [by, "node_id"], "left_semi")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         problem = Problem(rows, allowance)
         chosen = problem.ordered(method(problem))
         return pd.DataFrame({by: [rows[by].iloc[0]] * len(chosen), "node_id": chosen, "rank": range(1, len(chosen) + 1)})
 
-    return items.select(by, "node_id", "cost", "value", "relevance", "uri", "deps").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, node_id {kind['node_id']}, rank long")
+    return rows.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, node_id {kind['node_id']}, rank long")
+
+
+def select_auto(items: DataFrame, by: str, allowance: int) -> DataFrame:
+    """by, strategy, node_id: each task solved by the strategy that the cascade names for it."""
+    counts = items.groupBy(by).agg(F.count(F.lit(1)).alias("n_optional"), F.sum(F.size("deps")).alias("n_edges"), F.lit(True).alias("feasible"))
+    named = stored(cascade(counts, allowance).select(by, "strategy"))
+    wanted = {r["strategy"] for r in named.select("strategy").distinct().collect()}  # at most the five strategies
+    of = lambda *names: items.join(named.where(F.col("strategy").isin(*names)).select(by), by, "left_semi")
+    whole = lambda df: df.select(by, F.explode("chosen").alias("node_id"))
+    parts = {
+        "brute_force": lambda: whole(brute_force(of("brute_force"), by, allowance)),
+        "dynamic_programming": lambda: whole(knapsack(of("dynamic_programming"), by, allowance)),
+        "ilp": lambda: solve(of("ilp"), by, allowance, lambda p: p.exact(ILP_SECONDS)).select(by, "node_id"),
+        "graph_closure_greedy": lambda: solve(of("graph_closure_greedy"), by, allowance).select(by, "node_id"),
+        "density_greedy": lambda: density_greedy(of("density_greedy"), by, allowance).select(by, "node_id"),
+    }
+    chosen = reduce(DataFrame.unionByName, (parts[s]() for s in sorted(wanted)))
+    return chosen.join(named, by)

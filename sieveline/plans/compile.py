@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as tx
 from sieveline.operators import graph, policy, render, selection
+from sieveline.store import stored
 
 STRATEGIES = {"naive": selection.naive, "recency": selection.recency, "relevance_greedy": selection.relevance_greedy, "density_greedy": selection.density_greedy, "top_k": selection.top_k}
 
@@ -29,13 +30,16 @@ def compile_tasks(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, rules: D
     """nodes: task_id, node_id, uri, kind, content, created_at, trust_domain, sensitivity, instruction_authority, security_sink, semantic_score.
 
     Nodes are candidates of the task in their ``task_id``. Policy and supersession come before analysis and token counts; a node that either takes
-    out stays in the graph and isn't eligible. Tasks with a blocking action get no selection."""
-    found = policy.with_signals(nodes)
+    out stays in the graph and isn't eligible. Taint is followed along the taints and enables edges, within each task. A task with a
+    blocking action on any of its nodes gets no selection and no text."""
+    found = stored(policy.with_signals(nodes))
     matched = policy.match_rules(found, rules)
-    secured = policy.apply_actions(found, policy.decisions(matched))
+    flows = policy.flows(found, edges, rules, "task_id")
+    both = matched.select("task_id", "node_id", "rule_id", "action").unionByName(flows.select("task_id", "node_id", "rule_id", "action"))
+    secured = policy.apply_actions(found, policy.decisions(both))
     gone = graph.supersession(edges)[0].select(F.col("node_id").alias("gone_id"))
-    blocked = secured.where("blocked").select("node_id")
-    fit = secured.where("eligible AND NOT blocked").join(gone, F.col("node_id") == F.col("gone_id"), "left_anti")
+    blocked = secured.where("blocked").select("task_id", "node_id")
+    fit = secured.where("eligible").join(blocked.select("task_id").distinct(), "task_id", "left_anti").join(gone, F.col("node_id") == F.col("gone_id"), "left_anti")
     scored = fit.join(tasks, "task_id")
     segment = render.segment(F.col("node_id"), F.col("kind"), F.col("uri"), F.col("content"))
     analysed = scored.select("task_id", "node_id", "uri", "content", segment.alias("segment"), tx.token_count(segment).alias("cost"), tx.relevance_by_terms(F.col("content"), F.col("terms")).alias("relevance"), tx.freshness(F.col("created_at"), F.to_timestamp(F.lit(anchor))).alias("freshness"), "semantic_score")
@@ -44,4 +48,4 @@ def compile_tasks(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, rules: D
     segments = render.trim(chosen.join(valued.select("task_id", "node_id", "content", "segment"), ["task_id", "node_id"]), "task_id", allowance, render.ROLE_TOKENS)
     context = segments.groupBy("task_id").agg(render.joined("segment", "rank").alias("context"))
     rendered = context.select("task_id", render.generic_chat([("user", F.col("context"))]).alias("text"))
-    return Compilation(segments.select("task_id", "node_id", "rank", "cost", "used"), rendered, render.source_map(segments, "task_id"), policy.diagnostics(found, matched), blocked)
+    return Compilation(segments.select("task_id", "node_id", "rank", "cost", "used"), rendered, render.source_map(segments, "task_id"), policy.diagnostics(found, matched, flows), blocked)

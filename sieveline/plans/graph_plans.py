@@ -136,3 +136,67 @@ def conflict_pairs(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("dst"), F.min_by("source", "doc_id").alias("first_source"))
     return docs.join(first, "h").where("source <> first_source").select(F.col("doc_id").alias("src"), "dst", F.lit("CTX200").alias("code"))
+
+
+@query("WITH " + _EDGES.strip() + ", n AS (SELECT 'nation:' || n_nationkey AS node_id FROM nation) SELECT 'in' AS direction, dst AS node_id, split_part(src, ':', 1) AS other, count(*) AS n_edges FROM edges WHERE dst IN (FROM n) GROUP BY ALL UNION ALL SELECT 'out', src, split_part(dst, ':', 1), count(*) FROM edges WHERE src IN (FROM n) GROUP BY ALL")
+def incident_edges(spark, sf_dir):
+    """The edges into and out of each nation."""
+    edges = tables.record_edges(spark, sf_dir)
+    nations = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node_id"))
+    counted = lambda df, way, own, other: df.groupBy(F.lit(way).alias("direction"), F.col(own).alias("node_id"), F.substring_index(other, ":", 1).alias("other")).agg(F.count(F.lit(1)).alias("n_edges"))
+    return counted(graph.incoming(edges, nations, ("requires",)), "in", "dst", "src").unionAll(counted(graph.outgoing(edges, nations, ("requires",)), "out", "src", "dst"))
+
+
+@query("WITH " + _EDGES.strip() + """, gone AS (SELECT 'customer:' || c_custkey AS node_id FROM customer WHERE c_acctbal < 0), nodes AS (SELECT src AS node_id FROM edges UNION SELECT dst FROM edges)
+SELECT 'node' AS what, split_part(node_id, ':', 1) AS kind, count(*) AS n FROM nodes WHERE node_id NOT IN (FROM gone) GROUP BY ALL
+UNION ALL SELECT 'edge', split_part(src, ':', 1), count(*) FROM edges WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone) GROUP BY ALL
+UNION ALL SELECT 'unknown', 'customer', count(*) FROM gone WHERE node_id NOT IN (FROM nodes)""")
+def graph_removal(spark, sf_dir):
+    """The record graph without customers in debt: their edges go with them."""
+    edges = tables.record_edges(spark, sf_dir)
+    nodes = edges.select(F.col("src").alias("node_id")).unionAll(edges.select("dst")).distinct()
+    gone = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node_id"))
+    kept, left, unknown = graph.remove_nodes(nodes, edges, gone)
+    counted = lambda df, what, column: df.groupBy(F.lit(what).alias("what"), F.substring_index(column, ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return counted(kept, "node", "node_id").unionAll(counted(left, "edge", "src")).unionAll(unknown.agg(F.lit("unknown"), F.lit("customer"), F.count(F.lit(1))))
+
+
+@query("""SELECT CASE WHEN o_custkey % 5 = 0 THEN 'collision' ELSE 'kept' END AS outcome, count(*) AS n_nodes FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer) GROUP BY 1""".replace("SELECT CASE", "WITH c AS (SELECT o_custkey FROM orders) SELECT CASE").replace("WHEN o_custkey % 5 = 0", "WHEN o_custkey % 5 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey IN (FROM c)"))
+def graph_addition(spark, sf_dir):
+    """Customers, to whom those of the orders are added; every fifth of these has other content under its id."""
+    nodes = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("content_hash"))
+    asked = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node_id"))
+    other = F.when((F.col("node_id") % 5 == 0) & F.col("node_id").isNotNull(), F.concat(F.col("node_id").cast("string"), F.lit("!"))).otherwise(F.col("node_id").cast("string"))
+    all_nodes, collisions = graph.add_nodes(nodes, asked.select("node_id", F.sha2(other, 256).alias("content_hash")))
+    wrong = collisions.withColumn("outcome", F.lit("collision"))
+    joined = all_nodes.join(wrong, "node_id", "left").select(F.coalesce("outcome", F.lit("kept")).alias("outcome"))
+    return joined.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def _reply_graph(spark, sf_dir):
+    """Assistant turns need the turn before; ids fall with turns, so that the order of ids runs against the dependencies."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", (1000 - F.col("turn")).alias("node_id"), "role")
+    return turns.select("conv_id", "node_id"), turns.where("role = 'assistant'").select("conv_id", F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, max(CASE WHEN role <> 'assistant' OR turn = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM conversations)
+SELECT conv_id, 1000 - turn AS node_id, row_number() OVER (PARTITION BY conv_id ORDER BY block DESC, turn) AS place FROM t""")
+def topological_order(spark, sf_dir):
+    return graph.topological_order(*_reply_graph(spark, sf_dir), "conv_id")[0]
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, r AS (SELECT user_id, src, dst FROM e WHERE src <> dst UNION SELECT r.user_id, r.src, e.dst FROM r JOIN e ON e.src = r.dst WHERE e.src <> e.dst)
+SELECT DISTINCT user_id, 'CTX320' AS code FROM r WHERE src = dst""")
+def cycle_diagnostics(spark, sf_dir):
+    """Users whose types of events lead round in a circle have no order."""
+    edges = tables.transition_edges(spark, sf_dir).distinct()
+    nodes = edges.select("user_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return graph.topological_order(nodes, edges, "user_id")[1]
+
+
+@query("""WITH t AS (SELECT c.conv_id, c.turn FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1)
+SELECT conv_id || '.' || turn AS src, 'edge-' || substr(sha256('{"confidence":1.0,"edge_type":"responds_to","evidence":{"turn":' || turn || '},"schema_version":1,"source_node_id":"' || conv_id || '.' || turn || '","target_node_id":"' || conv_id || '.' || (turn - 1) || '"}'), 1, 24) AS edge_id FROM t""")
+def edge_identities(spark, sf_dir):
+    edges = tables.conversation_edges(spark, sf_dir)
+    evidence = F.concat(F.lit('{"turn":'), F.substring_index("src", ".", -1), F.lit("}"))
+    return edges.select("src", graph.edge_identity(F.col("src"), F.col("dst"), F.col("edge_type"), F.lit(1.0), evidence).alias("edge_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import normalize_newlines
+from sieveline.sources.files import discover
 
 MANIFEST = """incident_id string, title string, task string, time_anchor string,
 sources array<struct<alias:string,path:string,kind:string,created_at:string,trust_domain:string,sensitivity:string,instruction_authority:string>>,
@@ -16,9 +17,9 @@ def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFram
     """Nodes, edges, and problems (what, alias): duplicate aliases, files that are missing or outside, relationships without ends or evidence."""
     manifest = spark.read.schema(MANIFEST).option("multiLine", "true").option("mode", "FAILFAST").json(f"{root}/incident.json")
     sources = manifest.select("incident_id", F.explode("sources").alias("s")).select("incident_id", "s.*")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"), F.col("content").cast("string").alias("raw"))
+    files = discover(spark, root, include_hidden=True).select(F.col("path").alias("file"), F.col("content").cast("string").alias("raw"))
     contained = ~F.col("path").rlike(r"(^/|(^|/)\.\.(/|$))")
-    joined = sources.join(files, F.endswith(F.col("file"), F.concat(F.lit("/"), "path")) & contained, "left")
+    joined = sources.join(files, (F.col("file") == F.regexp_replace("path", r"^(\./)+", "")) & contained, "left")
     content = normalize_newlines(F.col("raw"))
     uri = F.concat(F.lit("incident://"), "incident_id", F.lit("/"), "path")
     identity = F.concat(F.lit("incident-"), F.substring(F.sha2(F.concat_ws("\n", "incident_id", uri, "kind", content), 256), 1, 24))
