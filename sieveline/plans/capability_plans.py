@@ -6,34 +6,38 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline.operators import capabilities as cp
+from sieveline.operators import incremental as inc
 from sieveline.queries import query
-from sieveline.store import read_table
+from sieveline.store import read_table, stored
 
 TOOLS = [
-    ("view", ["file_read"], ["secrets"], "public"),
-    ("signup", ["database_read"], ["profile"], "internal"),
-    ("error", ["code_execute"], ["log"], "public"),
-    ("click", ["network_send"], [], "public"),
-    ("purchase", ["external_write"], ["orders"], "public"),
+    ("view", "events", "local_repository", ["file_read", "credential_access"], ["secrets"], [], "public"),
+    ("signup", "events", "local_repository", ["database_read"], ["profile"], ["mailbox", "orders"], "internal"),
+    ("error", "events", "unverified_tool", ["code_execute"], ["log"], [], "public"),
+    ("click", "events", "local_repository", ["network_send"], [], [], "public"),
+    ("purchase", "events", "local_repository", ["external_write"], ["orders"], ["orders"], "public"),
 ]
+TOOL = "tool_id string, server_id string, trust_domain string, capabilities array<string>, resources_read array<string>, resources_written array<string>, output_sensitivity string"
 RESOURCES = [
     ("secrets", "credential", "internal", "local_repository", ["external"]),
     ("profile", "user_data", "sensitive", "local_repository", ["external"]),
     ("log", "file", "public", "unverified_tool", []),
     ("orders", "database", "sensitive", "local_repository", ["external"]),
+    ("mailbox", "message_store", "internal", "local_repository", []),
 ]
 _CALLS = "c AS MATERIALIZED (SELECT user_id AS plan_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS ordinal FROM events)"
 _READ = "CASE {0}.event_type WHEN 'view' THEN 'secrets' WHEN 'signup' THEN 'profile' WHEN 'error' THEN 'log' WHEN 'purchase' THEN 'orders' END"
-_SINK = "CASE {0}.event_type WHEN 'click' THEN 'network' WHEN 'purchase' THEN 'external' WHEN 'error' THEN 'execution' END"
-_FLOWS = f"""{_CALLS}, p AS (SELECT a.plan_id, {_READ.format('a')} AS source_id, {_SINK.format('b')} AS sink, a.ordinal AS i, b.ordinal AS j FROM c a JOIN c b ON b.plan_id = a.plan_id AND b.ordinal BETWEEN a.ordinal AND a.ordinal + 7),
-r AS (SELECT *, 'sensitive_to_external' AS risk FROM p WHERE source_id IN ('profile', 'orders') AND sink = 'network'
-UNION ALL SELECT *, 'untrusted_to_execution' FROM p WHERE source_id = 'log' AND sink = 'execution' UNION ALL SELECT *, 'credential_to_network' FROM p WHERE source_id = 'secrets' AND sink = 'network' AND j > i),
+_SINK = "CASE {0}.event_type WHEN 'click' THEN 'network' WHEN 'purchase' THEN 'external' WHEN 'error' THEN 'execution' WHEN 'signup' THEN 'message' END"
+_FLOWS = f"""{_CALLS}, w AS (SELECT plan_id, ordinal, event_type, {_READ.format('c')} AS source_id, 0 AS later FROM c UNION ALL SELECT plan_id, ordinal, event_type, 'tool-output://events/' || event_type || '/' || event_id, 1 FROM c UNION ALL SELECT plan_id, ordinal, event_type, 'capability://' || event_id || '/credential_access', 1 FROM c WHERE event_type = 'view'),
+p AS (SELECT a.plan_id, a.source_id, {_SINK.format('b')} AS sink, a.ordinal AS i, b.ordinal AS j FROM w a JOIN c b ON b.plan_id = a.plan_id AND b.ordinal BETWEEN a.ordinal + a.later AND a.ordinal + 7 WHERE a.source_id IS NOT NULL),
+r AS (SELECT *, 'sensitive_to_external' AS risk FROM p WHERE (source_id IN ('profile', 'orders') AND sink IN ('network', 'message')) OR (source_id LIKE 'capability:%' AND sink IN ('network', 'message', 'external'))
+UNION ALL SELECT *, 'untrusted_to_execution' FROM p WHERE (source_id = 'log' OR source_id LIKE 'tool-output://events/error/%') AND sink = 'execution' UNION ALL SELECT *, 'credential_to_network' FROM p WHERE (source_id = 'secrets' OR source_id LIKE 'capability:%') AND sink = 'network' AND j > i),
 f AS MATERIALIZED (SELECT *, 'sha256:' || sha256(plan_id || '|' || risk || '|' || source_id || '|' || array_to_string(range(i, j + 1), ',') || '|' || sink) AS flow_id,
 CASE WHEN risk = 'credential_to_network' THEN 'block' ELSE 'require_explicit_approval' END AS action, row_number() OVER (PARTITION BY plan_id ORDER BY risk, source_id, i, j, sink) AS flow FROM r QUALIFY flow <= 64)"""
 
 
 def inputs(spark, sf_dir):
-    tools = spark.createDataFrame(TOOLS, "tool_id string, capabilities array<string>, resources_read array<string>, output_sensitivity string")
+    tools = spark.createDataFrame(TOOLS, TOOL)
     resources = spark.createDataFrame(RESOURCES, "resource_id string, kind string, sensitivity string, trust_domain string, allowed_sinks array<string>")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     calls = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("plan_id"), F.row_number().over(order).alias("ordinal"), F.col("event_id").alias("call_id"), F.col("event_type").alias("tool_id"))
@@ -44,7 +48,7 @@ def inputs(spark, sf_dir):
 def decided_flows(spark, sf_dir):
     calls, bindings, tools, resources = inputs(spark, sf_dir)
     reached = cp.provenance(calls, bindings, tools, resources)
-    return cp.decide(cp.flows(calls, reached, tools))
+    return cp.decide(cp.flows(calls, reached, tools, resources))
 
 
 @query(f"WITH {_FLOWS} SELECT plan_id, risk, source_id, sink, flow_id, flow::INT AS flow FROM f")
@@ -70,7 +74,7 @@ def approvals_for(decided):
 
 @query(f"WITH {_STATUS} SELECT plan_id, status, count(*) AS n_flows FROM s GROUP BY ALL")
 def approval_match(spark, sf_dir):
-    decided = decided_flows(spark, sf_dir)
+    decided = stored(decided_flows(spark, sf_dir))
     return cp.approve(decided, approvals_for(decided)).groupBy("plan_id", "status").agg(F.count(F.lit(1)).alias("n_flows"))
 
 
@@ -80,7 +84,7 @@ SELECT plan_id, coalesce(n_approved, 0) AS n_approved, coalesce(n_pending, 0) AS
 FROM (SELECT DISTINCT plan_id FROM c) LEFT JOIN k USING (plan_id) LEFT JOIN b USING (plan_id)""")
 def capability_manifest(spark, sf_dir):
     calls, *_ = inputs(spark, sf_dir)
-    decided = decided_flows(spark, sf_dir)
+    decided = stored(decided_flows(spark, sf_dir))
     approvals = approvals_for(decided)
     return cp.manifest(calls, cp.approve(decided, approvals), cp.invalid_approvals(decided, approvals))
 
@@ -114,7 +118,7 @@ k AS (SELECT plan_id, bool_or(status = 'blocked') AS b, bool_or(status = 'pendin
 SELECT plan_id, CASE WHEN d OR coalesce(b, false) THEN 'block' WHEN coalesce(p, false) THEN 'require_approval' ELSE 'allow' END AS decision FROM m LEFT JOIN k USING (plan_id)""")
 def execution_gate(spark, sf_dir):
     """Drift or a blocked flow blocks a plan, a pending flow asks for approval."""
-    decided = decided_flows(spark, sf_dir)
+    decided = stored(decided_flows(spark, sf_dir))
     flows = cp.approve(decided, approvals_for(decided)).groupBy("plan_id").agg(F.bool_or(F.col("status") == "blocked").alias("b"), F.bool_or(F.col("status") == "pending").alias("p"))
     drift = observations(spark, sf_dir).groupBy("plan_id").agg(F.bool_or(F.col("status") == "observed_mismatch").alias("d"))
     choice = F.when(F.col("d") | F.coalesce("b", F.lit(False)), "block").when(F.coalesce("p", F.lit(False)), "require_approval").otherwise("allow")
@@ -139,3 +143,71 @@ def undeclared_resources(spark, sf_dir):
     declared = read_table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
     reads = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(declared, "l_suppkey", "left_anti")
     return reads.groupBy(F.col("l_partkey").alias("tool_id")).agg(F.count(F.lit(1)).alias("n_undeclared"))
+
+
+@query(f"""WITH {_CALLS}, g AS (SELECT plan_id, 'tool:' || event_type AS src, 'call:' || event_id AS dst, 'invoked_as' AS kind FROM c UNION ALL SELECT plan_id, 'call:' || event_id, 'output:' || event_id, 'produces' FROM c
+UNION ALL SELECT plan_id, 'output:' || event_id, 'call:' || lead(event_id) OVER (PARTITION BY plan_id ORDER BY ordinal), 'binding:previous' FROM c
+UNION ALL SELECT plan_id, 'resource:' || {_READ.format('c')}, 'call:' || event_id, 'declared_read' FROM c WHERE event_type <> 'click'
+UNION ALL SELECT plan_id, 'call:' || event_id, 'resource:orders', 'declared_write' FROM c WHERE event_type IN ('signup', 'purchase') UNION ALL SELECT plan_id, 'call:' || event_id, 'resource:mailbox', 'declared_write' FROM c WHERE event_type = 'signup'),
+k AS (SELECT plan_id, event_id, unnest(CASE event_type WHEN 'view' THEN ['file_read', 'credential_access'] WHEN 'signup' THEN ['database_read'] WHEN 'error' THEN ['code_execute'] WHEN 'click' THEN ['network_send'] ELSE ['external_write'] END) AS cap FROM c)
+SELECT plan_id, kind, count(DISTINCT (src, dst)) AS n_edges, count(DISTINCT src) AS n_sources FROM (FROM g WHERE dst IS NOT NULL UNION ALL SELECT plan_id, 'call:' || event_id, 'capability:' || event_id || ':' || cap, 'declares' FROM k UNION ALL SELECT plan_id, 'capability:' || event_id || ':' || cap, 'output:' || event_id, 'enables' FROM k) GROUP BY ALL""")
+def capability_graph(spark, sf_dir):
+    """How many edges of each kind a plan's graph has."""
+    calls, bindings, tools, resources = inputs(spark, sf_dir)
+    edges = cp.capability_graph(calls, bindings.withColumn("input_name", F.lit("previous")), tools, resources)
+    return edges.groupBy("plan_id", "kind").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src").alias("n_sources"))
+
+
+@query(f"""WITH {_STATUS}, x AS (SELECT s.*, 0 AS step, 'source' AS what, source_id AS name FROM s UNION ALL SELECT s.*, j - i + 2, 'sink', sink FROM s UNION ALL SELECT s.*, j - i + 3, 'decision', action || ' ' || status FROM s
+UNION ALL SELECT s.*, c.ordinal - i + 1, 'call', c.event_id || ' ' || c.event_type FROM s JOIN c ON c.plan_id = s.plan_id AND c.ordinal BETWEEN s.i AND s.j) SELECT plan_id, flow_id, step::INT AS step, what, name FROM x""")
+def flow_explanations(spark, sf_dir):
+    """Every decided flow step by step: source, calls, sink, decision."""
+    decided = stored(decided_flows(spark, sf_dir))
+    calls, *_ = inputs(spark, sf_dir)
+    return cp.explain_flows(cp.approve(decided, approvals_for(decided)), calls)
+
+
+@query(f"""WITH {_STATUS}, {_SEEN.split(', q AS')[0].replace('c AS MATERIALIZED', 'c2 AS MATERIALIZED')}, q AS{_SEEN.split(', q AS')[1].replace('FROM c)', 'FROM c2)')},
+m AS (SELECT plan_id, min(ordinal) AS drift_at FROM q WHERE status = 'observed_mismatch' GROUP BY plan_id)
+SELECT s.plan_id, s.status, drift_at IS NULL OR j <= drift_at AS sink_invoked, count(*) AS n_flows FROM s LEFT JOIN m ON m.plan_id = s.plan_id GROUP BY ALL""")
+def live_explanations(spark, sf_dir):
+    """From stored evidence alone: of which risky flows the sink was reached before drift stopped the plan."""
+    decided = stored(decided_flows(spark, sf_dir))
+    invoked = cp.replay(observations(spark, sf_dir)).where("invoked")
+    told = cp.explain_live(cp.approve(decided, approvals_for(decided)), invoked)
+    return told.groupBy("plan_id", "status", "sink_invoked").agg(F.count(F.lit(1)).alias("n_flows"))
+
+
+@query("""SELECT event_id AS call_id, 'm10b-' || substr(sha256('{"arguments":"' || (value > 100) || '","call_id":"' || event_id || '","plan_id":"' || user_id || '","server_id":"events","tool_id":"' || event_type || '","version":"1"}'), 1, 24) AS interaction_id,
+'sha256:' || sha256(props) AS content_hash, octet_length(props::BLOB) AS content_bytes, contains(props, '"k": 7') AS seven, contains(props, '99') AS late FROM events""")
+def observation_records(spark, sf_dir):
+    """Events as recorded tool results."""
+    rows = read_table(spark, sf_dir, "events").select(F.lit("events").alias("server_id"), F.col("event_type").alias("tool_id"), F.col("user_id").alias("plan_id"), F.col("event_id").alias("call_id"), (F.col("value") > 100).alias("arguments"), F.col("props").alias("text"), F.lit("1").alias("version"))
+    return cp.observed(rows, {"seven": '"k": 7', "late": "99"}).drop("plan_id", "source_uri")
+
+
+@query("""SELECT 'p' || p_partkey AS tool_id, 'CTX444' AS code, unnest(list_filter([CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'allows_execution' END, CASE WHEN p_size % 5 = 0 THEN 'allows_network' END, CASE WHEN p_size % 7 = 0 AND p_size % 2 = 1 THEN 'allows_external_write' END], lambda x: x IS NOT NULL)) AS flag FROM part""")
+def flag_contradictions(spark, sf_dir):
+    """Parts as tools, whose sizes tell capabilities and what their flags deny."""
+    size = F.col("p_size")
+    tools = read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("tool_id"), F.when(size % 2 == 0, F.array(F.lit("code_execute"), F.lit("network_send"))).otherwise(F.array(F.lit("message_send"), F.lit("network_send"))).alias("capabilities"),
+        (size % 3 != 0).alias("allows_execution"), (size % 5 != 0).alias("allows_network"), F.when(size % 7 == 0, F.lit(False)).alias("allows_external_write"),
+    )
+    return cp.contradictions(tools)
+
+
+@query("SELECT user_id % 4 = 0 AS changed, CASE WHEN user_id % 4 = 0 THEN 'recomputed' ELSE 'reused' END AS status, count(DISTINCT user_id) AS n_plans FROM events GROUP BY ALL")
+def capability_cache(spark, sf_dir):
+    """Analyses are kept under the hash of the plan, the declarations and the limits; every fourth plan has one more call now."""
+    calls, *_ = inputs(spark, sf_dir)
+    declared = F.lit(repr((TOOLS, RESOURCES, cp.RULES, cp.MAX_LENGTH, cp.MAX_FLOWS)))
+
+    def keys(rows):
+        listed = rows.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "call_id", "tool_id"))), lambda c: F.concat_ws(":", c["call_id"].cast("string"), c["tool_id"])), ",").alias("plan"))
+        return listed.select("plan_id", F.lit("capability").alias("stage"), inc.stage_key("capability", F.col("plan"), declared).alias("key_identity"))
+
+    more = calls.where("plan_id % 4 = 0 AND ordinal = 1").withColumn("ordinal", F.lit(0))
+    reused, fresh = inc.split_by_cache(stored(keys(calls.unionByName(more))), stored(keys(calls)).select("stage", "key_identity"))
+    counted = lambda df, status: df.groupBy((F.col("plan_id") % 4 == 0).alias("changed")).agg(F.lit(status).alias("status"), F.count(F.lit(1)).alias("n_plans"))
+    return counted(reused, "reused").unionAll(counted(fresh, "recomputed"))

@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as tx
-from sieveline.operators import graph, metrics, selection
+from sieveline.operators import evidence, graph, incremental, metrics, selection
 from sieveline.plans import selection_plans as sp
 from sieveline.plans.metric_plans import _SPANS, spans
 from sieveline.plans.text_plans import _RELEVANCE, TERMS, TOKENS_SQL
 from sieveline.queries import query
-from sieveline.sources import tables
-from sieveline.store import read_table
+from sieveline.sources import decoding, tables
+from sieveline.store import read_table, stored
 
 _WALKED = f"{sp._ITEMS}, {sp._walk('i', 'lang', sp._STABLE.format('relevance'), sp.ALLOWANCE)}"
 
@@ -35,7 +35,7 @@ t AS (SELECT d.*, row_number() OVER (PARTITION BY uri ORDER BY round(-k.relevanc
 SELECT uri, doc_id, place::INT AS place, count(n.line) AS overlap_lines FROM c LEFT JOIN n USING (uri, line) GROUP BY ALL""")
 def retrieval_trace(spark, sf_dir):
     """The ten best candidates of each source by relevance, and how many required lines each covers, attached afterwards."""
-    chosen, required = spans(spark, sf_dir)
+    chosen, required, _ = spans(spark, sf_dir)
     text = read_table(spark, sf_dir, "documents").select("doc_id", F.round(-tx.relevance(F.col("text"), TERMS), 9).alias("falling"))
     ranked = chosen.where("strategy = 'all'").join(text, "doc_id").withColumn("place", F.row_number().over(Window.partitionBy("uri").orderBy("falling", "doc_id"))).where("place <= 10")
     need = metrics.lines(required).distinct().withColumn("hit", F.lit(1))
@@ -63,3 +63,54 @@ def superseded_exclusion(spark, sf_dir):
     joined = docs.join(gone, F.col("doc_id") == F.col("node_id"), "left")
     saved = F.coalesce(F.sum(F.when(F.col("gone") == 1, F.col("cost"))), F.lit(0)).alias("saved_tokens")
     return joined.groupBy("source").agg(F.round(F.count("gone") / F.count(F.lit(1)), 6).alias("superseded_ratio"), saved)
+
+
+@query(f"""WITH RECURSIVE {_WALKED}, a AS (SELECT doc_id FROM documents), e AS (SELECT x.node_id AS src, y.node_id AS dst FROM i0 x JOIN i0 y ON y.copy = 1 AND x.copy > 1 JOIN documents dx ON dx.doc_id = x.node_id JOIN documents dy ON dy.doc_id = y.node_id WHERE dx.text = dy.text),
+b AS (SELECT src AS n, dst AS o FROM e UNION SELECT dst, src FROM e), r AS (SELECT n, string_agg(o, ',' ORDER BY o) AS related FROM b GROUP BY n)
+SELECT i0.node_id, CASE WHEN s.node_id IS NOT NULL THEN 'included' ELSE 'excluded' END AS status, CASE WHEN s.node_id IS NOT NULL THEN NULL WHEN i0.copy > 1 THEN 'superseded' WHEN i0.cost > {sp.ALLOWANCE} THEN 'infeasible_constraints' ELSE 'not_selected_under_objective' END AS reason,
+CASE WHEN i0.copy > 1 THEN 'CTX210' END AS codes, r.related FROM i0 LEFT JOIN s ON s.lang = i0.lang AND s.node_id = i0.node_id LEFT JOIN r ON r.n = i0.node_id""")
+def node_explanations(spark, sf_dir):
+    """What the stored evidence says of every document: chosen or why not, diagnostics, copies and what they are copies of."""
+    rows = stored(sp.items(spark, sf_dir).drop("content"))
+    chosen = stored(selection.relevance_greedy(rows, "lang", sp.ALLOWANCE).select("node_id"))
+    edges = stored(tables.copy_edges(spark, sf_dir))
+    gone = graph.supersession(edges)[0].select("node_id")
+    left = rows.select("node_id", F.when(F.col("cost") > sp.ALLOWANCE, "infeasible_constraints").otherwise("not_selected_under_objective").alias("reason")).unionAll(gone.select("node_id", F.lit("superseded")))
+    nodes = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"))
+    told = evidence.explain(nodes, chosen, left, gone.select("node_id", F.lit("CTX210").alias("code")), edges)
+    return told.select("node_id", "status", "reason", F.array_join("codes", ",").alias("codes"), F.array_join("related", ",").alias("related"))
+
+
+@query(f"""WITH {sp._TURNS}, k AS (SELECT conv_id, sum(cost)::BIGINT AS total, (sum(cost) FILTER (node_id % 3 <> 2))::BIGINT AS short, max(node_id) AS last FROM t GROUP BY conv_id)
+SELECT conv_id, 'final count exceeds budget' AS problem, 1 AS n FROM k WHERE short > 400 UNION ALL SELECT conv_id, 'allowance exceeds budget', 1 FROM k WHERE conv_id % 7 = 0
+UNION ALL SELECT conv_id, 'mandatory node absent', 1 FROM k WHERE last >= 2 UNION ALL SELECT conv_id, 'trim chain inconsistent', 1 FROM k WHERE last >= 2 AND conv_id % 3 = 0
+UNION ALL SELECT conv_id, 'excluded node selected', 1 FROM k WHERE conv_id % 5 = 0 UNION ALL SELECT conv_id, 'trimmed nodes differ from the delta', 1 FROM k WHERE last >= 5""")
+def manifest_consistency(spark, sf_dir):
+    """Manifests of conversations that trimmed every third turn but record only turn 2, some with a wrong chain or allowance."""
+    rows = stored(sp.turns(spark, sf_dir))
+    final = rows.where("node_id % 3 <> 2")
+    kept = final.groupBy("conv_id").agg(F.sum("cost").alias("final_tokens"))
+    builds = stored(rows.groupBy("conv_id").agg(F.sum("cost").alias("before_tokens")).join(kept, "conv_id").select("conv_id", F.lit(400).alias("budget"), F.when(F.col("conv_id") % 7 == 0, 401).otherwise(400).alias("source_allowance"), "before_tokens", "final_tokens"))
+    removed = rows.where("node_id = 2").join(builds, "conv_id")
+    trims = removed.select("conv_id", F.lit(1).alias("iteration"), "node_id", F.when(F.col("conv_id") % 3 == 0, F.col("before_tokens") + 1).otherwise(F.col("before_tokens")).alias("tokens_before"), F.col("final_tokens").alias("tokens_after"))
+    return evidence.manifest_problems(builds, rows, final, rows.where("conv_id % 5 = 0 AND node_id = 0"), rows.where("node_id = 2"), trims, "conv_id")
+
+
+@query("SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second, count(DISTINCT lang) AS n_tasks FROM documents")
+def selection_determinism(spark, sf_dir):
+    """The selection from rows in two orders and partitionings, one of them with the labels beside: they must not differ."""
+    rows = stored(sp.items(spark, sf_dir).drop("content"))
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality", "toxic")
+    labelled = rows.join(labels, F.col("node_id") == F.col("l_id"), "left").repartitionByRange(13, F.desc("node_id"))
+    one, other = (selection.density_greedy(df, "lang", sp.ALLOWANCE) for df in (rows.repartition(5, "node_id"), labelled))
+    n = read_table(spark, sf_dir, "documents").agg(F.count_distinct("lang").alias("n_tasks"))
+    return incremental.differences(one, other).crossJoin(n)  # one row each
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 = 1 THEN 'not_an_object' WHEN event_id % 6 = 2 THEN 'unknown_field' WHEN event_id % 6 = 3 THEN 'wrong_type' WHEN event_id % 6 = 4 THEN 'missing_field' WHEN event_id % 6 = 5 THEN 'unsupported_version' ELSE 'ok' END AS outcome FROM events""")
+def strict_decoding(spark, sf_dir):
+    """Events as envelopes, of which five in six are wrong in some way."""
+    k = F.get_json_object("props", "$.k")
+    cases = [F.concat(F.lit('{"schema_version":"1.0","k":'), k, F.lit("}")), F.concat(F.lit("["), k, F.lit("]")), F.concat(F.lit('{"schema_version":"1.0","more":1,"k":'), k, F.lit("}")), F.concat(F.lit('{"schema_version":"1.0","k":"'), k, F.lit('x"}')), F.lit('{"schema_version":"1.0"}'), F.concat(F.lit('{"schema_version":"2.0","k":'), k, F.lit("}"))]
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*cases), (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
+    return decoding.strict(rows, "raw", {"schema_version": "string", "k": "bigint"}, ("1.0", "1.1")).select("event_id", "outcome")

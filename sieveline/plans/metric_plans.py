@@ -6,15 +6,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import metrics
+from sieveline.operators import metrics, selection
+from sieveline.plans import selection_plans as sp
 from sieveline.queries import query
-from sieveline.store import read_table
+from sieveline.sources import tables
+from sieveline.store import read_table, stored
 
 #: A strategy is a rule of choice, so that one query evaluates several at once.
 STRATEGIES = {"short": "n_chars < 1500", "even": "doc_id % 2 = 0", "all": "true"}
 _SPANS = """d AS MATERIALIZED (SELECT doc_id, source AS uri, (doc_id % 97)::INT AS start_line, (doc_id % 97 + n_chars // 500)::INT AS end_line, (1 + n_chars // 4)::BIGINT AS tokens, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)),
 s AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT '{k}' AS strategy, * FROM d WHERE {v}" for k, v in STRATEGIES.items()) + """),
-st AS (SELECT DISTINCT strategy FROM s), req AS (SELECT strategy, d.* FROM d, st WHERE quality = 1 AND doc_id % 7 = 1)"""
+st AS (SELECT DISTINCT strategy FROM s), req AS (SELECT strategy, d.* FROM d, st WHERE quality = 1),
+acc AS (SELECT strategy, d.* FROM d, st WHERE doc_id - 1 IN (SELECT doc_id FROM d WHERE quality = 1)), fine AS (FROM req UNION ALL FROM acc)"""
 _LINES = "SELECT strategy, uri, unnest(range(start_line, end_line + 1)) AS line FROM {0}"
 
 
@@ -25,39 +28,42 @@ def spans(spark, sf_dir):
     rows = docs.join(labels, "doc_id", "left").select("doc_id", F.col("doc_id").alias("node_id"), F.col("doc_id").alias("rank"), F.col("source").alias("uri"), start.alias("start_line"), end.alias("end_line"), (1 + F.floor(F.col("n_chars") / 4)).alias("tokens"), "n_chars", "quality")
     names = F.array_compact(F.array(*[F.when(F.expr(rule.replace(" = ", " == ")), F.lit(name)) for name, rule in STRATEGIES.items()]))
     chosen = rows.withColumn("strategy", F.explode(names))
-    required = rows.where("quality = 1 AND doc_id % 7 = 1").withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in STRATEGIES])))
-    return chosen, required
+    each = F.explode(F.array(*[F.lit(s) for s in STRATEGIES]))
+    good = rows.where("quality = 1")
+    required = good.withColumn("strategy", each)
+    accepted = rows.join(good.select((F.col("doc_id") + 1).alias("doc_id")), "doc_id", "left_semi").withColumn("strategy", each)
+    return chosen, required, accepted
 
 
 @query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT strategy, uri FROM req), h AS (SELECT DISTINCT strategy, uri FROM s),
 r AS (SELECT n.strategy, count(h.uri) / count(*) AS file_recall FROM n LEFT JOIN h USING (strategy, uri) GROUP BY n.strategy),
-p AS (SELECT h.strategy, count(n.uri) / count(*) AS file_precision FROM h LEFT JOIN n USING (strategy, uri) GROUP BY h.strategy)
+x AS (SELECT DISTINCT strategy, uri FROM fine), p AS (SELECT h.strategy, count(x.uri) / count(*) AS file_precision FROM h LEFT JOIN x USING (strategy, uri) GROUP BY h.strategy)
 SELECT strategy, round(file_recall, 6) AS file_recall, round(file_precision, 6) AS file_precision FROM r JOIN p USING (strategy)""")
 def file_recall_precision(spark, sf_dir):
-    chosen, required = spans(spark, sf_dir)
-    found = metrics.file_metrics(chosen, required, required, "strategy")
+    chosen, required, accepted = spans(spark, sf_dir)
+    found = metrics.file_metrics(chosen, required, accepted, "strategy")
     return found.select("strategy", F.round("file_recall", 6).alias("file_recall"), F.round("file_precision", 6).alias("file_precision"))
 
 
 @query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('req')})), h AS (SELECT DISTINCT * FROM ({_LINES.format('s')}))
 SELECT n.strategy, round(count(h.line) / count(*), 6) AS span_recall FROM n LEFT JOIN h USING (strategy, uri, line) GROUP BY n.strategy""")
 def span_recall(spark, sf_dir):
-    chosen, required = spans(spark, sf_dir)
+    chosen, required, _ = spans(spark, sf_dir)
     return metrics.span_recall(chosen, required, "strategy").select("strategy", F.round("span_recall", 6).alias("span_recall"))
 
 
-@query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('req')})), c AS (SELECT strategy, uri, doc_id, tokens / (end_line - start_line + 1) AS share, unnest(range(start_line, end_line + 1)) AS line FROM s),
+@query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('fine')})), c AS (SELECT strategy, uri, doc_id, tokens / (end_line - start_line + 1) AS share, unnest(range(start_line, end_line + 1)) AS line FROM s),
 m AS (SELECT c.*, n.line IS NOT NULL AS good, row_number() OVER (PARTITION BY c.strategy, c.uri, c.line ORDER BY doc_id) AS turn FROM c LEFT JOIN n ON n.strategy = c.strategy AND n.uri = c.uri AND n.line = c.line)
 SELECT strategy, round(coalesce(sum(share) FILTER (good AND turn = 1), 0) / sum(share), 6) AS useful_ratio, round(coalesce(sum(share) FILTER (good AND turn > 1), 0) / sum(share), 6) AS redundant_ratio, round(coalesce(sum(share) FILTER (NOT good), 0) / sum(share), 6) AS unsupported_ratio FROM m GROUP BY strategy""")
 def useful_redundant_unsupported(spark, sf_dir):
-    chosen, required = spans(spark, sf_dir)
+    chosen, required, accepted = spans(spark, sf_dir)
     names = ("useful_ratio", "redundant_ratio", "unsupported_ratio")
-    return metrics.token_ratios(chosen, required, "strategy").select("strategy", *[F.round(n, 6).alias(n) for n in names])
+    return metrics.token_ratios(chosen, required.unionByName(accepted), "strategy").select("strategy", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query(f"WITH {_SPANS} SELECT strategy, uri, count(DISTINCT line) AS n_lines, count(*) AS n_line_units FROM ({_LINES.format('s')}) GROUP BY ALL")
 def line_units(spark, sf_dir):
-    chosen, _ = spans(spark, sf_dir)
+    chosen, *_ = spans(spark, sf_dir)
     return metrics.lines(chosen, "strategy").groupBy("strategy", "uri").agg(F.count_distinct("line").alias("n_lines"), F.count(F.lit(1)).alias("n_line_units"))
 
 
@@ -68,21 +74,52 @@ _DEPS = "dep AS (SELECT strategy, a.source AS src, b.source AS dst FROM document
 FROM dep LEFT JOIN h x ON x.strategy = dep.strategy AND x.uri = dep.src LEFT JOIN h y ON y.strategy = dep.strategy AND y.uri = dep.dst GROUP BY dep.strategy""")
 def dependency_coverage(spark, sf_dir):
     """A document depends on the next one if that has another language."""
-    chosen, _ = spans(spark, sf_dir)
+    chosen, *_ = spans(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents")
     following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("source").alias("dst"), F.col("lang").alias("next_lang"))
     pairs = docs.join(following, "doc_id").where("lang <> next_lang").select(F.explode(F.array(*[F.lit(s) for s in STRATEGIES])).alias("strategy"), F.col("source").alias("src"), "dst")
     return metrics.dependency_coverage(chosen, pairs, "strategy").select("strategy", F.round("dependency_coverage", 6).alias("dependency_coverage"))
 
 
-@query("SELECT l_shipmode_group AS strategy, round(avg(recall), 6) AS mean_recall, round(avg(use), 6) AS mean_budget_use, count(*) AS n_runs FROM (SELECT l_returnflag AS l_shipmode_group, l_orderkey, avg((l_linestatus = 'F')::INT) AS recall, least(1.0::DOUBLE, sum(l_quantity) / 100) AS use FROM lineitem GROUP BY ALL) GROUP BY 1")
+_RUN = "strategy || '|' || uri"
+
+
+@query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('req')})), h AS (SELECT DISTINCT * FROM ({_LINES.format('s')})),
+r AS (SELECT n.strategy, n.uri, count(h.line) / count(*) AS recall FROM n LEFT JOIN h USING (strategy, uri, line) GROUP BY ALL), b AS (SELECT strategy, uri, sum(tokens) / 100000 AS budget_use FROM s GROUP BY ALL)
+SELECT strategy, round(avg(coalesce(recall, 1)), 6) AS mean_recall, round(avg(budget_use), 6) AS mean_budget_use, count(*) AS n_runs FROM b LEFT JOIN r USING (strategy, uri) GROUP BY strategy""")
 def strategy_means(spark, sf_dir):
-    """Unweighted means over runs: a run is an order's lines of one return flag, its strategy."""
-    runs = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("strategy"), "l_orderkey").agg(F.avg((F.col("l_linestatus") == "F").cast("int")).alias("recall"), F.least(F.lit(1.0), F.sum("l_quantity") / 100).alias("use"))
-    return runs.groupBy("strategy").agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("use"), 6).alias("mean_budget_use"), F.count(F.lit(1)).alias("n_runs"))
+    """Unweighted means over runs; a run is a strategy's choice of one source's documents."""
+    chosen, required, _ = spans(spark, sf_dir)
+    run = lambda df: df.withColumn("run", F.concat_ws("|", "strategy", "uri"))
+    recall = metrics.span_recall(run(chosen), run(required), "run").withColumnRenamed("run", "r_run")
+    use = metrics.budget_use(run(chosen).withColumn("cost", F.col("tokens")), "run", 100_000)
+    rows = use.join(recall, F.col("run") == F.col("r_run"), "left").select(F.substring_index("run", "|", 1).alias("strategy"), F.coalesce("span_recall", F.lit(1.0)).alias("recall"), "budget_use")
+    return rows.groupBy("strategy").agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("budget_use"), 6).alias("mean_budget_use"), F.count(F.lit(1)).alias("n_runs"))
 
 
-@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'infeasible' ELSE 'failed' END AS status, o_orderpriority AS task, count(*) AS n FROM orders GROUP BY ALL")
+@query(f"""WITH {sp._TURNS}, k AS (SELECT conv_id, max(node_id) AS last, sum(cost) FILTER (node_id <= 3) AS cost, bool_or(role = 'system' AND node_id <= 3) AS barred, sum(cost) FILTER (node_id = 0) AS first FROM t GROUP BY conv_id)
+SELECT CASE WHEN last >= 3 AND (barred OR cost > 300) THEN 'infeasible' WHEN first <= 300 THEN 'completed' ELSE 'failed' END AS status, count(*) AS n_tasks FROM k GROUP BY 1""")
 def suite_status(spark, sf_dir):
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "infeasible").otherwise("failed")
-    return read_table(spark, sf_dir, "orders").groupBy(status.alias("status"), F.col("o_orderpriority").alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    """Conversations as tasks: infeasible where what is mandatory isn't allowed or doesn't fit, failed where nothing fits."""
+    rows = stored(sp.turns(spark, sf_dir))
+    wrong = selection.mandatory_problems(rows, "conv_id", rows.where("node_id = 3"), rows.where("role <> 'system'"), 300).select(F.col("conv_id").alias("w_conv"), "code")
+    chosen = selection.solve(rows, "conv_id", 300).select(F.col("conv_id").alias("c_conv")).distinct()
+    tasks = rows.select("conv_id").distinct().join(wrong, F.col("conv_id") == F.col("w_conv"), "left").join(chosen, F.col("conv_id") == F.col("c_conv"), "left")
+    status = F.when(F.col("code").isNotNull(), "infeasible").when(F.col("c_conv").isNotNull(), "completed").otherwise("failed")
+    return tasks.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n_tasks"))
+
+
+@query("""WITH e AS (SELECT c.conv_id, c.turn FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1),
+r AS (SELECT c.conv_id, count(e.turn) / count(*) AS v FROM conversations c LEFT JOIN e ON e.conv_id = c.conv_id AND e.turn = c.turn GROUP BY c.conv_id),
+x AS (SELECT conv_id, count(*) FILTER (length(text) >= 300) / count(*) AS v FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id),
+y AS (SELECT conv_id, count(*) FILTER ((length(text) % 3 = 0) = (turn % 2 = 0)) / count(*) AS v FROM conversations GROUP BY conv_id)
+SELECT c.conv_id, round(coalesce(r.v, 1), 6) AS relation_coverage, round(coalesce(x.v, 1), 6) AS superseded_exclusion, round(coalesce(y.v, 1), 6) AS security_correctness FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN r USING (conv_id) LEFT JOIN x USING (conv_id) LEFT JOIN y USING (conv_id)""")
+def incident_metrics(spark, sf_dir):
+    """Conversations as incidents: replies wanted to every turn, even turns as superseded, short turns as selected."""
+    turns = read_table(spark, sf_dir, "conversations")
+    wanted = turns.select("conv_id", F.concat_ws(".", "conv_id", "turn").alias("src"), F.concat_ws(".", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("dst"), F.lit("responds_to").alias("edge_type"))
+    edges = tables.conversation_edges(spark, sf_dir).withColumn("conv_id", F.substring_index("src", ".", 1).cast("long"))
+    node = turns.select("conv_id", F.col("turn").alias("node_id"), "text")
+    act = lambda condition: F.when(condition, "redact").otherwise("none").alias("action")
+    found = metrics.incident_metrics(edges, wanted, node.where("node_id % 2 = 0"), node.where(F.length("text") < 300), node.select("conv_id", "node_id", act(F.length("text") % 3 == 0)), node.select("conv_id", "node_id", act(F.col("node_id") % 2 == 0)), "conv_id")
+    return found.select("conv_id", *[F.round(n, 6).alias(n) for n in ("relation_coverage", "superseded_exclusion", "security_correctness")])

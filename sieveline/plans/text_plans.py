@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as tx
+from sieveline.operators import render
 from sieveline.queries import query
 from sieveline.sources import files, rules, tables
 from sieveline.store import read_table
@@ -124,3 +125,36 @@ def source_fact_rules(spark, sf_dir):
     """Of the rules that match, the last that sets a fact decides it."""
     docs = tables.document_nodes(spark, sf_dir).select("doc_id", "uri")
     return rules.apply_rules(docs, RULES, {"trust_domain": "retrieved_document", "sensitivity": "public"}).select("doc_id", "trust_domain", "sensitivity", F.size("matched_globs").alias("n_rules"))
+
+
+_RECORD = """'{"content":' || to_json(text) || ',"created_at":null,"instruction_authority":"none","kind":"document","metadata":{"lang":' || to_json(lang) || '},"node_id":"' || doc_id || '","provenance":{"end_line":null,"start_line":null,"uri":"doc://' || source || '/' || doc_id || '"},"sensitivity":"internal","transformations":[],"trust_domain":"' || CASE WHEN source LIKE 'src1%' THEN 'external_content' ELSE 'retrieved_document' END || '"}'"""
+
+
+def _record():
+    null = F.lit(None)
+    provenance = F.struct(null.cast("int").alias("end_line"), null.cast("int").alias("start_line"), F.col("uri").alias("uri"))
+    return render.structured_record(
+        content=F.col("content"), created_at=null.cast("string"), instruction_authority=F.col("instruction_authority"), kind=F.col("kind"), metadata=F.struct("lang"), node_id=F.col("doc_id").cast("string"),
+        provenance=provenance, sensitivity=F.lit("internal"), transformations=F.array().cast("array<string>"), trust_domain=F.col("trust_domain"),
+    )
+
+
+@query(f"WITH r AS (SELECT doc_id, {_RECORD} AS text FROM documents) SELECT doc_id AS node_id, sha256(text) AS record_sha256, {TOKENS_SQL} AS record_tokens FROM r")
+def structured_records(spark, sf_dir):
+    """Each document as the canonical JSON of a record, with the tokens that it costs in that form."""
+    record = tables.document_nodes(spark, sf_dir).select(F.col("doc_id").alias("node_id"), _record().alias("record"))
+    return record.select("node_id", F.sha2("record", 256).alias("record_sha256"), tx.token_count(F.col("record")).alias("record_tokens"))
+
+
+@query("""SELECT doc_id AS node_id, 'sha256:' || sha256('{"content":' || to_json(text) || ',"kind":"document","node_schema_version":2,"source":{"end_line":null,"revision":null,"start_line":null,"uri":"doc://' || source || '/' || doc_id || '"}}') AS semantic_hash FROM documents""")
+def semantic_hashes(spark, sf_dir):
+    null = F.lit(None)
+    source = F.struct(null.cast("int").alias("end_line"), null.cast("string").alias("revision"), null.cast("int").alias("start_line"), F.col("uri").alias("uri"))
+    return tables.document_nodes(spark, sf_dir).select(F.col("doc_id").alias("node_id"), tx.semantic_hash(F.struct("content", "kind", F.lit(2).alias("node_schema_version"), source.alias("source"))).alias("semantic_hash"))
+
+
+@query(f"SELECT doc_id AS node_id, round({_RELEVANCE}, 6) AS relevance, 1.0::DOUBLE AS trust, round({_RELEVANCE} + 0.2, 6) AS value FROM documents")
+def smoke_analysis(spark, sf_dir):
+    """The quick analysis: relevance, and full trust for all."""
+    rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), tx.relevance(F.col("text"), TERMS).alias("relevance"), F.lit(1.0).alias("trust"))
+    return rows.select("node_id", F.round("relevance", 6).alias("relevance"), "trust", F.round(tx.base_value(relevance=F.col("relevance"), trust=F.col("trust")), 6).alias("value"))

@@ -1,5 +1,9 @@
 """Hand-checkable graphs: closures, cycles, order, taint."""
 
+import random
+
+import pytest
+
 from sieveline.operators import graph
 
 
@@ -55,3 +59,34 @@ def test_supersession_and_subgraph(spark):
     assert graph.induced(replaced, ids(spark, "x", "y", "old")).count() == 1
     cluster = graph.dependents(edges(spark, ("a", "requires", "b"), ("b", "requires", "c"), ("q", "requires", "c")).select("src", "dst"), ids(spark, "c"), ids(spark, "a", "b"))
     assert names(cluster) == ["a", "b", "c"]
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(1)
+    for n, m in ((12, 16), (40, 60), (25, 80)):
+        pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)})
+        reach = {k: {k} for k in range(n)}
+        for _ in range(n):
+            for a, b in pairs:
+                reach[a] |= reach[b]
+        parts = {k: frozenset(j for j in range(n) if j in reach[k] and k in reach[j]) for k in range(n)}
+        want = sorted((k, min(p)) for k, p in parts.items() if len(p) > 1)
+        got = graph.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+        assert sorted((r.node_id, r.component) for r in got) == want
+
+
+def test_edits_and_order(spark):
+    nodes = spark.createDataFrame([("a", "1"), ("b", "2")], "node_id string, content_hash string")
+    added = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3"), ("d", "4"), ("d", "5")], "node_id string, content_hash string")
+    whole, wrong = graph.add_nodes(nodes, added)
+    assert names(whole) == ["a", "b", "c"] and names(wrong) == ["b", "d"]
+    all_edges = edges(spark, ("a", "calls", "b"), ("b", "imports", "c"), ("c", "calls", "a"))
+    kept, left, unknown = graph.remove_nodes(whole, all_edges, ids(spark, "b", "zz"))
+    assert names(kept) == ["a", "c"] and [(r.src, r.dst) for r in left.collect()] == [("c", "a")] and names(unknown) == ["zz"]
+    assert names(graph.outgoing(all_edges, ids(spark, "b"), ("calls",)), "dst") == [] and names(graph.incoming(all_edges, ids(spark, "b")), "src") == ["a"]
+    table = spark.createDataFrame([(1, "z"), (1, "b"), (1, "a"), (2, "p"), (2, "q")], "t long, node_id string")
+    links = spark.createDataFrame([(1, "a", "z"), (2, "p", "q"), (2, "q", "p")], "t long, src string, dst string")
+    order, cycles = graph.topological_order(table, links, "t")
+    assert [r.node_id for r in order.orderBy("t", "place").collect()] == ["b", "z", "a"] and [(r.t, r.code) for r in cycles.collect()] == [(2, "CTX320")]
+    with pytest.raises(Exception, match="too many nodes"):
+        graph.topological_order(table, links, "t", most=2)

@@ -1,6 +1,7 @@
 """Exact methods agree, greedy ones are strictly worse where they must be, dependencies are charged once."""
 
 import itertools
+import random
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sieveline.operators import selection
+from sieveline.operators import render, selection
 from sieveline.operators.selection import Problem
 
 
@@ -82,3 +83,103 @@ def test_top_k_falls_back(spark):
     rows = frame(spark, [("a", 0.1, 2), ("b", 0.9, 2)]).withColumn("semantic_score", F.when(F.col("node_id") == "a", 1.0))
     assert [r.node_id for r in selection.top_k(rows, "task", 2).collect()] == ["b"]
     assert [r.node_id for r in selection.top_k(rows.withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.5))), "task", 2).collect()] == ["a"]
+
+
+def test_exact_gives_its_best_when_time_is_out_and_does_not_recurse():
+    p = problem([(f"n{k:04d}", 1 + k % 7, 1 + k % 5) for k in range(3000)], 100, [(f"n{k:04d}", f"n{k - 1:04d}") for k in range(1, 3000)])
+    chosen = p.exact(0.5)
+    assert p.timed_out and p.total(chosen) <= 100 and all(d in chosen for i in chosen for d in p.deps[i])
+
+
+def tasks_of_all_sizes(spark):
+    rows = []
+    for task, n, chained in (("small", 6, True), ("flat", 20, False), ("linked", 24, True), ("deep", 130, True), ("wide", 300, False)):
+        for k in range(n):
+            rows.append((task, f"{task}{k:03d}", 1 + (k * 7) % 5, float(1 + (k * 11) % 9), 0.0, f"{k:03d}", [f"{task}{k - 1:03d}"] if chained and k % 3 else []))
+    return spark.createDataFrame(rows, "task string, node_id string, cost long, value double, relevance double, uri string, deps array<string>")
+
+
+def test_auto_takes_every_branch(spark):
+    rows = tasks_of_all_sizes(spark)
+    got = selection.select_auto(rows, "task", 12).collect()
+    assert {r.task: r.strategy for r in got} == {"small": "brute_force", "flat": "dynamic_programming", "linked": "ilp", "deep": "graph_closure_greedy", "wide": "density_greedy"}
+    for task in ("small", "flat", "linked"):
+        own = [r for r in rows.collect() if r.task == task]
+        p = Problem(pd.DataFrame([r.asDict() for r in own]), 12)
+        chosen = frozenset(r.node_id for r in got if r.task == task)
+        assert p.total(chosen) <= 12 and abs(p.objective(chosen) - p.objective(p.exact())) < 1e-9
+    for r in got:
+        assert r.node_id.startswith(r.task)
+
+
+def test_brute_force_of_random_problems(spark):
+    rng = random.Random(3)
+    rows = []
+    for task in range(12):
+        n = rng.randint(1, 8)
+        for k in range(n):
+            rows.append((task, k, rng.randint(1, 5), float(rng.randint(0, 6)), 0.0, f"{k:02d}", sorted({d for d in (rng.randrange(n), rng.randrange(n)) if d != k and rng.random() < 0.4})))
+    frame = spark.createDataFrame(rows, "task long, node_id long, cost long, value double, relevance double, uri string, deps array<long>")
+    got = {r.task: r for r in selection.brute_force(frame, "task", 9).collect()}
+    for task in range(12):
+        p = Problem(pd.DataFrame([dict(zip(frame.columns, r)) for r in rows if r[0] == task]), 9)
+        assert abs(got[task].objective - p.objective(brute(p))) < 1e-6 and p.total(got[task].chosen) == got[task].cost <= 9
+
+
+def test_enforced_budget_is_the_plain_loop(spark):
+    rng = random.Random(5)
+    rows, deps, want = [], [], {}
+    for task in range(15):
+        n = rng.randint(2, 9)
+        order = rng.sample(range(n), n)
+        cost = [rng.randint(1, 9) for _ in range(n)]
+        needs = {k: {d for d in (rng.randrange(n), rng.randrange(n)) if d < k and rng.random() < 0.6} for k in range(n)}
+        rows += [(task, k, order[k], cost[k]) for k in range(n)]
+        deps += [(task, k, d) for k in range(n) for d in needs[k]]
+
+        def reach(k, found=None):
+            found = {k} if found is None else found
+            for d in needs[k] - found:
+                found.add(d)
+                reach(d, found)
+            return found
+
+        safe, left = reach(n - 1) if task % 2 else set(), set(range(n))
+        while sum(cost[k] for k in left) > 14:
+            for k in sorted(left, key=lambda k: -order[k]):
+                cluster = {j for j in left if k in reach(j)}
+                if not cluster & safe:
+                    left -= cluster
+                    break
+            else:
+                break
+        want[task] = left
+    segments = spark.createDataFrame(rows, "task long, node_id long, rank long, tokens long")
+    links = spark.createDataFrame(deps, "task long, src long, dst long").groupBy("task", F.col("src").alias("node_id")).agg(F.collect_list("dst").alias("deps"))
+    items = segments.join(links, ["task", "node_id"], "left").select("task", "node_id", F.col("tokens").alias("cost"), F.coalesce("deps", F.array().cast("array<long>")).alias("deps"))
+    last = segments.where("task % 2 = 1").groupBy("task").agg(F.max("node_id").alias("node_id"))
+    done = render.enforce(segments, selection.bounded_closures(items, "task", 10**6), last, "task", 14).collect()
+    for task, left in want.items():
+        own = [r for r in done if r.task == task]
+        assert {r.node_id for r in own if r.kept} == left
+        if {r.code for r in own} == {"CTX510"}:
+            assert sum(r.tokens for r in own if r.kept) > 14
+        else:
+            assert sum(r.tokens for r in own if r.kept) <= 14 and min((r.tokens_after for r in own if not r.kept), default=sum(r.tokens for r in own if r.kept)) == sum(r.tokens for r in own if r.kept)
+
+
+def test_canonical_seeds_give_the_selection_back(spark):
+    rng = random.Random(9)
+    pairs = {(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(45)) if a != b}
+    held = {3, 17}
+    reach = {k: {k} for k in range(30)}
+    for _ in range(30):
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    seeds, whole = set(range(30)), set(range(30))
+    for k in range(30):
+        if k not in held and set().union(*(reach[j] for j in seeds - {k})) == whole:
+            seeds.remove(k)
+    chosen = spark.createDataFrame([(k, k, k in held) for k in range(30)], "node_id long, rank long, mandatory boolean")
+    got = selection.canonical_seeds(chosen, spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()
+    assert sorted(r.node_id for r in got) == sorted(seeds)
