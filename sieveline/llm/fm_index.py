@@ -1,9 +1,12 @@
-"""An FM-index over words: k-ordered suffix array, its Burrows-Wheeler transform in a wavelet matrix, backward search."""
+"""A compressed FM-index over words: the Burrows-Wheeler transform in a wavelet matrix, every EVERY-th place of the suffix array, backward search."""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: One place in so many is kept; others are found by steps through the transform.
+EVERY = 8
+
 
 class WaveletMatrix:
     """Rank queries over a sequence of symbols; each level holds packed bits and a count for every 64 of them."""
@@ -31,12 +34,27 @@ class WaveletMatrix:
         return i
 
 
+    def follow(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position i, and where i goes when it is followed down."""
+        symbol = np.zeros(len(i), np.int64)
+        for shift, words, ones, zeros in self.levels:
+            block, bit = i >> 6, (i & 63).astype(np.uint64)
+            before = ones[block] + np.bitwise_count(words[block] & ((np.uint64(1) << bit) - np.uint64(1)))
+            one = (words[block] >> bit & np.uint64(1)).astype(bool)
+            symbol |= one.astype(np.int64) << shift
+            i = np.where(one, zeros + before, i - before)
+        return symbol, i
+
+
 class FMIndex:
-    """Finds patterns of up to ``depth`` symbols. Symbol 0 separates texts and is never searched."""
+    """Symbol 0 separates texts and is never searched."""
 
-    def __init__(self, text: np.ndarray, symbols: int, depth: int):
-        self.suffixes = suffix_order(text, depth)
-        transform = text[self.suffixes - 1]
+    def __init__(self, text: np.ndarray, symbols: int):
+        suffixes = suffix_order(text)
+        transform = text[suffixes - 1]
+        kept = suffixes % EVERY == 0
+        self.kept = WaveletMatrix(kept.astype(np.int64), 2)  # of one level: a bit map with counts
+        self.samples = suffixes[kept].astype(np.int32)
         self.tree = WaveletMatrix(transform.astype(np.int64), symbols)
         counts = np.bincount(text, minlength=symbols)
         every = np.arange(symbols, dtype=np.int64)
@@ -58,24 +76,41 @@ class FMIndex:
             reached[going] = step + 1
         return reached, low, high
 
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """The text position of each row: steps back through the transform until a position that was kept (0 always is)."""
+        found, going, now, steps = np.empty(len(rows), np.int64), np.arange(len(rows)), rows, 0
+        while len(going):
+            is_kept, rank = self.kept.follow(now)
+            done = is_kept == 1
+            found[going[done]] = self.samples[rank[done] - self.kept.levels[0][3]] + steps
+            going, now, steps = going[~done], now[~done], steps + 1
+            symbol, place = self.tree.follow(now)
+            now = self.base[symbol] + place
+        return found
+
     def first_places(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The smallest text position among the suffixes low to high of each search."""
+        """The smallest text position among the rows low to high of each search."""
         if not len(low):
             return low
-        padded = np.append(self.suffixes, self.n)
-        return np.minimum.reduceat(padded, np.stack([low, high], axis=1).ravel())[::2]
+        sizes = high - low
+        begins = np.cumsum(sizes) - sizes
+        rows = np.arange(sizes.sum()) + np.repeat(low - begins, sizes)
+        distinct, which = np.unique(rows, return_inverse=True)
+        return np.minimum.reduceat(self.places(distinct)[which], begins)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols (or some more)."""
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by doubling the length that ranks tell."""
     rank, reach = text.astype(np.int64), 1
     order = np.argsort(rank, kind="stable")
-    while reach < depth:
+    while reach < 2 * len(text):
         ahead = np.zeros(len(rank), np.int64)
         ahead[:-reach] = rank[reach:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + ahead
         order = np.argsort(key, kind="stable")
         rank = np.empty(len(rank), np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))[: len(order)]
+        if rank[order[-1]] == len(order) - 1:
+            break
         reach *= 2
     return order

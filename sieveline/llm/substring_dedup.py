@@ -3,10 +3,10 @@
 Every window of a text is dealt by its minimizer, the least hash of its groups of ``GRAM`` words, so equal windows always
 meet. Neighbouring windows with one minimizer travel together as a segment. Pass 1 counts minimizers; those met once cannot
 be in a repeated window. Pass 2 cuts the segments of the others; copies of a segment are gathered within each task, so a
-passage that a third of all rows share leaves a task as one row. Shards of segments then get an FM-index each
-(Burrows-Wheeler transform in a wavelet matrix, suffix array for places): backward search streams every window of the shard's
-segments against it, matching statistics below the threshold end a search early, and for the rest the suffixes found give
-the earliest place. Those places go back to the occurrences, and a last pass cuts the texts.
+passage that a third of all rows share leaves a task as one row; copies are told by a 128-bit hash and compared byte by byte.
+Shards of segments then get a compressed FM-index each (Burrows-Wheeler transform in a wavelet matrix, one place of the suffix
+array in eight): backward search streams every window of the shard's repeated segments against it, matching statistics
+below the threshold end a search early, and for the rest the suffixes found give the earliest place. Those places go back to the occurrences, and a last pass cuts the texts.
 
 What is common to tasks is bounded: bit maps of ``KEY_BITS`` and ``ROW_BITS`` bits. They only save work, as bits shared by
 chance let a segment or text through that needn't be; results stay exact. Minimizers met more than ``HOT`` times are dealt
@@ -104,7 +104,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text_or_empty()).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-CUT = "key long, sid binary, did long, mark long, start int, windows int, content string"
+CUT = "key long, sid binary, did long, mark long, start int, windows int, content string, copies int"
 
 
 def cut_segments(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
@@ -114,7 +114,7 @@ def cut_segments(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> Data
         gathered: dict[bytes, list] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(key, sid, did, None, start, windows, content.decode()) for sid, (key, did, start, windows, content) in gathered.items()]
+            rows = [(key, sid, did, None, start, windows, content.decode(), copies) for sid, (key, did, start, windows, content, copies) in gathered.items()]
             gathered.clear()
             return _cut_batch(rows)
 
@@ -131,26 +131,37 @@ def cut_segments(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> Data
                         sid = xxhash.xxh3_128_digest(content)
                         if single:
                             key = int.from_bytes(sid[:8], "little", signed=True)
-                        rows.append((key, sid, did, mark, a, m, None))
+                        rows.append((key, sid, did, mark, a, m, None, None))
                         known = gathered.get(sid)
                         if known is None:
-                            gathered[sid] = [key, did, a, m, content]
-                        elif (did, a) < (known[1], known[2]):
+                            gathered[sid] = [key, did, a, m, content, 1]
+                            continue
+                        _same(known[4], content)
+                        known[5] += 1
+                        if (did, a) < (known[1], known[2]):
                             known[1:3] = did, a
+                if len(rows) > GATHERED:
+                    yield _cut_batch(rows)
+                    rows = []
+                if len(gathered) > GATHERED:
+                    yield flush()
             yield _cut_batch(rows)
-            if len(gathered) > GATHERED:
-                yield flush()
         yield flush()
 
     return _rows(docs).mapInArrow(run, CUT)
 
 
-_CUT_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+def _same(one: bytes, other: bytes) -> None:
+    if one != other:
+        raise ValueError("two passages share a 128-bit hash")
+
+
+_CUT_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32())
 
 
 def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CUT_TYPES, strict=True)], names=["key", "sid", "did", "mark", "start", "windows", "content"])
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CUT_TYPES, strict=True)], names=["key", "sid", "did", "mark", "start", "windows", "content", "copies"])
 
 
 def _search_shard(shard: dict[bytes, list]) -> list[tuple]:
@@ -158,8 +169,9 @@ def _search_shard(shard: dict[bytes, list]) -> list[tuple]:
     by_key: dict[int, int] = {}
     for key, *_ in shard.values():
         by_key[key] = by_key.get(key, 0) + 1
-    out = [(sid, did, start, None, None) for sid, (key, did, start, _, _) in shard.items() if by_key[key] == 1]
-    several = sorted(((did, start, sid, windows, content) for sid, (key, did, start, windows, content) in shard.items() if by_key[key] > 1))
+    # a segment of one place that shares its minimizer with no other has no window that comes twice
+    out = [(sid, did, start, None, None) for sid, (key, did, start, _, _, copies) in shard.items() if by_key[key] == copies == 1]
+    several = sorted(((did, start, sid, windows, content) for sid, (key, did, start, windows, content, copies) in shard.items() if by_key[key] > 1 or copies > 1))
     if not several:
         return out
     number: dict[bytes, int] = {}
@@ -170,7 +182,7 @@ def _search_shard(shard: dict[bytes, list]) -> list[tuple]:
         symbols += [number.setdefault(w, len(number) + 1) for w in content.split(b" ")]
         symbols.append(0)
     text = np.array(symbols, np.int64)
-    index = FMIndex(text, len(number) + 1, WINDOW)
+    index = FMIndex(text, len(number) + 1)
     counts = np.array([s[3] for s in several])
     begins = np.array(begins)
     own = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -206,20 +218,23 @@ def first_places(contents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["f_sid", "f_did", "f_start", "e_did", "e_start"])
 
         for batch in batches:
-            for key, sid, did, start, windows, content in zip(*[batch.column(k).to_pylist() for k in range(5)], batch.column(5).cast(pa.binary()).to_pylist(), strict=True):
+            for key, sid, did, start, windows, content, copies in zip(*[batch.column(k).to_pylist() for k in range(5)], batch.column(5).cast(pa.binary()).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 if key != last and size > SHARD:
                     yield flush()
                     size = 0
                 last = key
                 known = shard.get(sid)
                 if known is None:
-                    shard[sid] = [key, did, start, windows, content]
+                    shard[sid] = [key, did, start, windows, content, copies]
                     size += windows + WINDOW
-                elif (did, start) < (known[1], known[2]):
+                    continue
+                _same(known[4], content)
+                known[5] += copies
+                if (did, start) < (known[1], known[2]):
                     known[1:3] = did, start
         yield flush()
 
-    dealt = contents.select("key", "sid", "did", "start", "windows", "content").repartition("key").sortWithinPartitions("key")
+    dealt = contents.select("key", "sid", "did", "start", "windows", "content", "copies").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "f_sid binary, f_did long, f_start int, e_did array<long>, e_start array<int>")
 
 
