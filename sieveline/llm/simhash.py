@@ -187,6 +187,13 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS, place: int = PLACE)
     return _deal(rows, place).mapInArrow(run, "a long, b long").distinct()
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a task holds the sets of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
@@ -209,7 +216,7 @@ def sketches(rows: DataFrame, row: str) -> DataFrame:
     """row, content (which set it is), fp, keys for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1).cast(pa.binary())]
             content = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             arrays = [batch.column(0), pa.array(content, pa.binary()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
@@ -238,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """The pairs a, b whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             keep = []
             for one, other in zip(batch.column(2), batch.column(3), strict=True):
                 one, other = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
@@ -278,7 +285,7 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY, place
     pairs = durable(_candidates(distinct, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "hashes"])
 
