@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HELD_OUT, SAMPLE, ENTRIES, PHRASES, SUPPORT, EVIDENCE = 5, 200_000, 4000, 2000, 5, 24.0
+HELD_OUT, SAMPLE, ENTRIES, PHRASES, SUPPORT, EVIDENCE, COUNTED = 5, 200_000, 4000, 2000, 5, 24.0, 150_000
 #: Look-alike letters and the digits and signs used for letters.
 LOOKALIKES = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"}
@@ -155,8 +155,8 @@ def _counted(rows: DataFrame, per_text) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[1 if toxic else 0].update(per_text(text))
-            if sum(map(len, counts)) > 500_000:
-                yield flush()
+                if sum(map(len, counts)) > COUNTED:
+                    yield flush()
         yield flush()
 
     return rows.mapInArrow(run, "entry string, toxic_n long, clean_n long").groupBy("entry").agg(F.sum("toxic_n").alias("toxic_n"), F.sum("clean_n").alias("clean_n"))
