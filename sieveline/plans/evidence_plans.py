@@ -21,7 +21,7 @@ _WALKED = f"{sp._ITEMS}, {sp._walk('i', 'lang', sp._STABLE.format('relevance'),
 FROM i0 LEFT JOIN s ON s.lang = i0.lang AND s.node_id = i0.node_id GROUP BY ALL""")
 def selection_reasons(spark, sf_dir):
     """Every document's reason, from stored evidence: the copies' edges, the costs and the walk."""
-    rows = sp.items(spark, sf_dir).drop("content")
+    rows = sp.items(spark, sf_dir)
     chosen = selection.relevance_greedy(rows, "lang", sp.ALLOWANCE).select(F.col("node_id").alias("chosen_id"))
     reason = F.when(F.col("chosen_id").isNotNull(), "selected").when(F.col("cost") > sp.ALLOWANCE, "infeasible_constraints").otherwise("not_selected_under_objective")
     kept = rows.join(chosen, F.col("node_id") == F.col("chosen_id"), "left").select("lang", reason.alias("reason"))
@@ -71,7 +71,7 @@ SELECT i0.node_id, CASE WHEN s.node_id IS NOT NULL THEN 'included' ELSE 'exclude
 CASE WHEN i0.copy > 1 THEN 'CTX210' END AS codes, r.related FROM i0 LEFT JOIN s ON s.lang = i0.lang AND s.node_id = i0.node_id LEFT JOIN r ON r.n = i0.node_id""")
 def node_explanations(spark, sf_dir):
     """What the stored evidence says of every document: chosen or why not, diagnostics, copies and what they are copies of."""
-    rows = stored(sp.items(spark, sf_dir).drop("content"))
+    rows = sp.items(spark, sf_dir)
     chosen = stored(selection.relevance_greedy(rows, "lang", sp.ALLOWANCE).select("node_id"))
     edges = stored(tables.copy_edges(spark, sf_dir))
     gone = graph.supersession(edges)[0].select("node_id")
@@ -99,7 +99,7 @@ def manifest_consistency(spark, sf_dir):
 @query("SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second, count(DISTINCT lang) AS n_tasks FROM documents")
 def selection_determinism(spark, sf_dir):
     """The selection from rows in two orders and partitionings, one of them with the labels beside: they must not differ."""
-    rows = stored(sp.items(spark, sf_dir).drop("content"))
+    rows = sp.items(spark, sf_dir)
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality", "toxic")
     labelled = rows.join(labels, F.col("node_id") == F.col("l_id"), "left").repartitionByRange(13, F.desc("node_id"))
     one, other = (selection.density_greedy(df, "lang", sp.ALLOWANCE) for df in (rows.repartition(5, "node_id"), labelled))

@@ -31,13 +31,13 @@ _FINAL = " SELECT lang, node_id, cost, rank, used FROM s"
 
 
 def items(spark, sf_dir):
-    """Documents that no copy supersedes, with cost, relevance and value."""
-    gone = graph.supersession(tables.copy_edges(spark, sf_dir))[0].select(F.col("node_id").alias("gone_id"))
-    docs = tables.document_nodes(spark, sf_dir)
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Documents that no copy supersedes, with cost, relevance and value, stored; one pass over the texts, which aren't kept."""
     trust = F.when(F.col("trust_domain") == "external_content", 0.0).otherwise(1.0)
-    scored = kept.select(F.col("doc_id").alias("node_id"), "lang", "uri", tx.token_count(F.col("content")).alias("cost"), tx.relevance(F.col("content"), TERMS).alias("relevance"), trust.alias("trust"), "content")
-    return scored.withColumn("value", tx.base_value(relevance=F.col("relevance"), trust=F.col("trust")))
+    content = F.col("content")
+    scored = stored(tables.document_nodes(spark, sf_dir).select("doc_id", "lang", "uri", tx.token_count(content).alias("cost"), tx.relevance(content, TERMS).alias("relevance"), trust.alias("trust"), tx.content_hash(content).alias("content_hash")))
+    gone = graph.supersession(tables.copies(scored.select("doc_id", "content_hash")))[0].select(F.col("node_id").alias("gone_id"))
+    kept = scored.join(gone, scored["doc_id"] == gone["gone_id"], "left_anti")
+    return stored(kept.select(F.col("doc_id").alias("node_id"), "lang", "uri", "cost", "relevance", "trust", tx.base_value(relevance=F.col("relevance"), trust=F.col("trust")).alias("value")))
 
 
 @query(f"WITH RECURSIVE {_ITEMS}, {_walk('i', 'lang', 'uri, node_id', ALLOWANCE)}{_FINAL}")
@@ -214,7 +214,7 @@ _SELECTED = f"{_ITEMS}, {_walk('i', 'lang', _STABLE.format('relevance'), ALLOWAN
 
 def selected_segments(spark, sf_dir, *scores: str):
     """The chosen documents with their segments; contents are looked up for the chosen only."""
-    rows = stored(items(spark, sf_dir).drop("content"))
+    rows = items(spark, sf_dir)
     chosen = selection.relevance_greedy(rows, "lang", ALLOWANCE).join(rows.select("node_id", "uri", *scores), "node_id")
     texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
     return chosen.join(texts, "node_id").withColumn("segment", render.segment(F.col("node_id").cast("string"), F.lit("document"), F.col("uri"), F.col("content")))
@@ -273,5 +273,5 @@ def lowering_validation(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_ITEMS}, {_walk('i', 'lang', _STABLE.format('relevance'), ALLOWANCE)} SELECT lang, sum(cost)::BIGINT AS used_tokens, round(sum(cost) / {ALLOWANCE}, 6) AS budget_use FROM s GROUP BY lang")
 def budget_utilisation(spark, sf_dir):
-    used = metrics.budget_use(selection.relevance_greedy(items(spark, sf_dir).drop("content"), "lang", ALLOWANCE), "lang", ALLOWANCE)
+    used = metrics.budget_use(selection.relevance_greedy(items(spark, sf_dir), "lang", ALLOWANCE), "lang", ALLOWANCE)
     return used.select("lang", "used_tokens", F.round("budget_use", 6).alias("budget_use"))

@@ -57,6 +57,10 @@ def transition_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal documents: every other one is superseded by that of the smallest id."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+    return copies(read_table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash")))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """The same for rows of doc_id and content_hash."""
     kept = docs.groupBy("content_hash").agg(F.min("doc_id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash", "dst")
     return docs.join(kept, "content_hash").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst", F.lit("supersedes").alias("edge_type"))
