@@ -22,11 +22,13 @@ from sieveline.store import stored
 #: Limits of the exact methods and of evidence.
 BRUTE_FORCE, DP_NODES, DP_BUDGET, DP_STATES, DP_BYTES, ILP_NODES, ILP_EDGES, ILP_SECONDS = 16, 256, 100_000, 2_000_000, 256 * 1024 * 1024, 120, 2000, 2.0
 TIES, TOLERANCE = 8, 1e-12
+LINES = ("start_line", "end_line")
 
 
-def stable_key(primary: Column) -> list[Column]:
-    """The full tie-break: primary and relevance falling, then cost, place and id."""
-    return [F.round(-primary, 9), F.round(-F.col("relevance"), 9), F.col("cost"), F.col("uri"), F.col("node_id")]
+def stable_key(items: DataFrame, primary: Column) -> list[Column]:
+    """The full tie-break: primary and relevance falling, then cost, place (with lines, where items has them; null is 0) and id."""
+    lines = [F.coalesce(F.col(c), F.lit(0)) for c in LINES if c in items.columns]
+    return [F.round(-primary, 9), F.round(-F.col("relevance"), 9), F.col("cost"), F.col("uri"), *lines, F.col("node_id")]
 
 
 def candidates(items: DataFrame, by: str, order: list[Column], allowance: int) -> DataFrame:
@@ -68,23 +70,23 @@ def naive(items: DataFrame, by: str, allowance: int) -> DataFrame:
 
 
 def relevance_greedy(items: DataFrame, by: str, allowance: int) -> DataFrame:
-    return greedy(items, by, stable_key(F.col("relevance")), allowance)
+    return greedy(items, by, stable_key(items, F.col("relevance")), allowance)
 
 
 def recency(items: DataFrame, by: str, allowance: int) -> DataFrame:
-    return greedy(items, by, stable_key(F.col("freshness")), allowance)
+    return greedy(items, by, stable_key(items, F.col("freshness")), allowance)
 
 
 def density_greedy(items: DataFrame, by: str, allowance: int) -> DataFrame:
     """Without dependencies the gain of an item never changes, so the rounds are one walk by value for each token."""
-    return greedy(items.where("value > 0"), by, stable_key(F.col("value") / F.greatest(F.lit(1), F.col("cost"))), allowance)
+    return greedy(items.where("value > 0"), by, stable_key(items, F.col("value") / F.greatest(F.lit(1), F.col("cost"))), allowance)
 
 
 def top_k(items: DataFrame, by: str, allowance: int) -> DataFrame:
     """By semantic score; a task in which an item has none falls back to density."""
     whole = Window.partitionBy(by)
     marked = items.withColumn("complete", F.count_if(F.col("semantic_score").isNull()).over(whole) == 0)
-    return greedy(marked.where("complete"), by, stable_key(F.col("semantic_score")), allowance).unionAll(density_greedy(marked.where("NOT complete"), by, allowance))
+    return greedy(marked.where("complete"), by, stable_key(items, F.col("semantic_score")), allowance).unionAll(density_greedy(marked.where("NOT complete"), by, allowance))
 
 
 def knapsack(items: DataFrame, by: str, allowance: int) -> DataFrame:
@@ -236,7 +238,8 @@ class Problem:
         rows = rows.sort_values("node_id")
         self.ids = rows["node_id"].tolist()
         self.cost, self.value = dict(zip(self.ids, rows["cost"], strict=True)), dict(zip(self.ids, rows["value"], strict=True))
-        self.key = {i: (-r, c, u, i) for i, r, c, u in zip(self.ids, rows["relevance"], rows["cost"], rows["uri"], strict=True)}
+        lines = [rows[c].fillna(0) for c in LINES if c in rows]
+        self.key = {i: (-r, c, u, *place, i) for i, r, c, u, *place in zip(self.ids, rows["relevance"], rows["cost"], rows["uri"], *lines, strict=True)}
         self.deps = {i: [d for d in ds if d in self.cost] for i, ds in zip(self.ids, rows["deps"], strict=True)}
         self.allowance, self.weight = allowance, dependency_weight
 
@@ -324,7 +327,7 @@ def solve(items: DataFrame, by: str, allowance: int, method: Callable[[Problem],
     walked in one task of Spark, the tasks in parallel."""
     kind = dict(items.dtypes)
     fit = bounded_closures(items, by, allowance).select(by, F.col("seed").alias("node_id")).distinct()
-    rows = items.select(by, "node_id", "cost", "value", "relevance", "uri", "deps").join(fit, [by, "node_id"], "left_semi")
+    rows = items.select(by, "node_id", "cost", "value", "relevance", "uri", "deps", *[c for c in LINES if c in items.columns]).join(fit, [by, "node_id"], "left_semi")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         problem = Problem(rows, allowance)

@@ -14,7 +14,7 @@ from sieveline.operators import policy
 from sieveline.plans.text_plans import TOKENS_SQL
 from sieveline.queries import query
 from sieveline.sources import tables
-from sieveline.store import read_table
+from sieveline.store import read_table, stored
 
 #: By doc_id modulo their number.
 PHRASES = [
@@ -101,8 +101,7 @@ def policy_applied(spark, sf_dir):
 @query(f"WITH {_APPLIED} SELECT source, count(*) FILTER (blo) AS n_blocked, bool_or(blo) AS gate_closed FROM x GROUP BY source")
 def block_gate(spark, sf_dir):
     """Whether a compilation over a source's documents is stopped before selection."""
-    found = nodes(spark, sf_dir)
-    done = policy.apply_actions(found, policy.decisions(policy.match_rules(found, rules(spark))))
+    done = policy.apply_in_place(policy.decide_in_place(nodes(spark, sf_dir), RULES))
     return done.groupBy("source").agg(F.count_if("blocked").alias("n_blocked"), F.bool_or("blocked").alias("gate_closed"))
 
 
@@ -121,7 +120,7 @@ _CODED = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODES.
 UNION SELECT doc_id, 'CTX425' FROM n WHERE list_has_any(signals, ['claim_higher_authority', 'override_prior_instructions', 'change_privileged_policy']) UNION SELECT doc_id, {_CODED} FROM m)
 SELECT code, count(*) AS n_nodes, min(doc_id) AS first_node FROM d GROUP BY code""")
 def security_diagnostics(spark, sf_dir):
-    found = nodes(spark, sf_dir)
+    found = stored(nodes(spark, sf_dir).drop("content"))  # the patterns run once; what follows reads the facts only
     coded = policy.diagnostics(found, policy.match_rules(found, rules(spark)))
     return coded.groupBy("code").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("node_id").alias("first_node"))
 

@@ -169,3 +169,16 @@ def test_streamed_cache(spark, sf, tmp_path):
     entry = cache.read().limit(1).select("stage", "key_identity", F.lit("other").alias("payload"))
     with pytest.raises(ValueError):
         cache.add(entry)
+
+
+def test_rules_in_a_table_and_in_place_agree(spark):
+    from sieveline.operators import policy
+    from sieveline.plans.policy_plans import PHRASES, RULES
+
+    rows = [(k, PHRASES[k % len(PHRASES)], domain, level, "none", None) for k, (domain, level) in enumerate((d, s) for _ in range(13) for d in ("external_content", "retrieved_document", None) for s in ("secret", "internal", "public", None))]
+    nodes = policy.with_signals(spark.createDataFrame(rows, "node_id int, content string, trust_domain string, sensitivity string, instruction_authority string, security_sink string"))
+    joined = policy.apply_actions(nodes, policy.decisions(policy.match_rules(nodes, spark.createDataFrame(RULES, policy.RULE))))
+    in_place = policy.apply_in_place(policy.decide_in_place(nodes, RULES))
+    told = lambda df: sorted((r["node_id"], r["content"], tuple(r["transformations"]), r["eligible"], r["blocked"]) for r in df.collect())
+    assert told(joined) == told(in_place)
+    assert {r[4] for r in told(joined)} == {True, False}

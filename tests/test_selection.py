@@ -183,3 +183,14 @@ def test_canonical_seeds_give_the_selection_back(spark):
     chosen = spark.createDataFrame([(k, k, k in held) for k in range(30)], "node_id long, rank long, mandatory boolean")
     got = selection.canonical_seeds(chosen, spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()
     assert sorted(r.node_id for r in got) == sorted(seeds)
+
+
+def test_lines_are_in_the_sort_key(spark):
+    rows = [("t", "a", "f", 20, 30, 3), ("t", "b", "f", 5, 9, 3), ("t", "c", "f", None, None, 3), ("t", "d", "f", 5, 7, 3), ("t", "e", "e", 90, 91, 3)]
+    items = spark.createDataFrame(rows, "task string, node_id string, uri string, start_line int, end_line int, cost int").withColumns({"relevance": F.lit(0.5), "value": F.lit(0.5), "deps": F.array().cast("array<string>")})
+    order = ["e", "c", "d", "b", "a"]  # equal in all else: by uri, start line (null is 0), end line, id
+    walked = selection.relevance_greedy(items, "task", 12).orderBy("rank").collect()
+    assert [r["node_id"] for r in walked] == order[:4]
+    solved = selection.solve(items, "task", 100).orderBy("rank").collect()
+    assert [r["node_id"] for r in solved] == order
+    assert [r["node_id"] for r in selection.relevance_greedy(items.drop("start_line", "end_line"), "task", 12).orderBy("rank").collect()] == ["e", "a", "b", "c"]
