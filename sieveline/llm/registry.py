@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, exact_dedup, lm, mixing, packing, pii, simhash, substring_dedup, topk, toxicity
+from sieveline.llm import chat, exact_dedup, filter_audit, lm, mixing, packing, pii, simhash, substring_dedup, topk, toxicity
 from sieveline.llm.common import table
 
 
@@ -47,5 +47,9 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op4_lm, op5_simhash, op6_substring_dedup, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing)}
-ORACLES = {"op1_topk": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle()}
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op4_lm, op5_simhash, op6_substring_dedup, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing, op13_filter_audit)}
+ORACLES = {"op1_topk": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle(), "op13_filter_audit": filter_audit.ORACLE}
