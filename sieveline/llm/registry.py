@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat, codes, exact_dedup, filter_audit, lm, mixing, packing, pii, simhash, substring_dedup, topk, toxicity
+from sieveline.llm import chat, codes, exact_dedup, filter_audit, licenses, lm, mixing, packing, pii, simhash, substring_dedup, topk, toxicity
 from sieveline.llm.common import table
 
 
@@ -51,9 +51,13 @@ def op11_codes(spark, sf_dir):
     return codes.encode(table(spark, sf_dir, "embeddings"))
 
 
+def op12_licenses(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op4_lm, op5_simhash, op6_substring_dedup, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing, op11_codes, op13_filter_audit)}
-ORACLES = {"op1_topk": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle(), "op11_codes": codes.oracle(), "op13_filter_audit": filter_audit.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_pii, op4_lm, op5_simhash, op6_substring_dedup, op7_exact_dedup, op8_toxicity, op9_chat_format, op10_mixing, op11_codes, op12_licenses, op13_filter_audit)}
+ORACLES = {"op1_topk": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE, "op10_mixing": mixing.oracle(), "op11_codes": codes.oracle(), "op12_licenses": licenses.oracle(), "op13_filter_audit": filter_audit.ORACLE}
