@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import durable, text_or_empty
@@ -66,7 +66,7 @@ def words(text: Column) -> Column:
 class Index:
     """The templates (with the base phrases as the first ones), their postings and, once weights are known, their rare words.
 
-    What it holds is as large as the templates; it is written into the plan as literals."""
+    What it holds is as large as the templates; it is written into the plan as literals; words are of letters and digits."""
 
     def __init__(self, templates: list[tuple[str, str, tuple[str, ...]]], base: dict[str, str]):
         self.n_base = len(base)
@@ -98,30 +98,33 @@ class Index:
                 left -= self.weight[w] * own.count(w)
             self.rare.append(rare)
 
-    def possible(self, present: Column) -> Column:
-        """Whether the words (distinct, of the vocabulary) can match any template: a rare word, and weight enough in all."""
+    def possible(self, present: str) -> str:
+        """SQL: whether the words (distinct, of the vocabulary) can match any template: a rare word, and weight enough in all."""
+        fits = []
+        for own, rare, needed in zip(self.words, self.rare, self.needed, strict=True):
+            held = " + ".join(f"IF(array_contains({present}, '{w}'), {self.weight[w] * own.count(w)}L, 0L)" for w in sorted(set(own)))
+            fits.append(f"arrays_overlap({present}, {_array(rare)}) AND {held} >= {needed}")
+        return " OR ".join(fits)
 
-        def fits(t: int) -> Column:
-            held = [F.when(F.array_contains(present, w), self.weight[w] * self.words[t].count(w)).otherwise(0) for w in sorted(set(self.words[t]))]
-            return F.arrays_overlap(present, F.lit(self.rare[t])) & (reduce(Column.__add__, held) >= self.needed[t])
+    def postings(self, spark: SparkSession) -> DataFrame:
+        """word, template, place, weight, must, rare: a row for each word of each template."""
+        rows = ", ".join(f"('{w}', {t}, {p}L, {self.weight[w]}L, {int(p in self.mandatory[t])}, {w in self.rare[t]})" for t, own in enumerate(self.words) for p, w in enumerate(own))
+        return spark.sql(f"SELECT * FROM VALUES {rows} AS p(word, template, place, weight, must, rare)")
 
-        return reduce(Column.__or__, map(fits, range(len(self.words))))
+    def facts(self, spark: SparkSession) -> DataFrame:
+        """t, label, base, whole, needed, musts: a row for each template."""
+        rows = ", ".join(f"({t}, '{label}', {t < self.n_base}, {self.whole[t]}L, {self.needed[t]}L, {len(self.mandatory[t])})" for t, label in enumerate(self.labels))
+        return spark.sql(f"SELECT * FROM VALUES {rows} AS f(t, label, base, whole, needed, musts)")
 
-    def postings(self, rows: DataFrame) -> DataFrame:
-        """word, template, place, weight, must, rare: a row for each word of each template, made from any one-row frame."""
-        entries = [F.struct(F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(p).alias("place"), F.lit(self.weight[w]).cast("long").alias("weight"), F.lit(int(p in self.mandatory[t])).alias("must"), F.lit(w in self.rare[t]).alias("rare")) for t, own in enumerate(self.words) for p, w in enumerate(own)]
-        return rows.select(F.inline(F.array(*entries)))
 
-    def facts(self, rows: DataFrame) -> DataFrame:
-        """t, label, base, whole, needed, musts: a row for each template."""
-        entries = [F.struct(F.lit(t).alias("t"), F.lit(self.labels[t]).alias("label"), F.lit(t < self.n_base).alias("base"), F.lit(self.whole[t]).cast("long").alias("whole"), F.lit(self.needed[t]).cast("long").alias("needed"), F.lit(len(self.mandatory[t])).alias("musts")) for t in range(len(self.words))]
-        return rows.select(F.inline(F.array(*entries)))
+def _array(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
 def weighed_index(docs: DataFrame, templates: list = TEMPLATES, base: dict = BASE, share: float = SHARE) -> Index:
     """The index with weights from all documents; the driver gets one count for each word of the templates."""
     index = Index(templates, base)
-    held = docs.select(F.explode(F.array_append(F.array_intersect(F.lit(index.vocabulary), words(text_or_empty())), F.lit(""))).alias("word"))
+    held = docs.select(F.explode(F.array_append(F.array_intersect(F.expr(_array(index.vocabulary)), words(text_or_empty())), F.lit(""))).alias("word"))
     found = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     index.weigh(found.pop("", 0), found, share)
     return index
@@ -129,11 +132,11 @@ def weighed_index(docs: DataFrame, templates: list = TEMPLATES, base: dict = BAS
 
 def matches(rows: DataFrame, index: Index) -> DataFrame:
     """row, label, base, at, weight, whole for each place of a template; rows has row and hits (word, place in the file)."""
-    one = rows.sparkSession.range(1)
+    spark = rows.sparkSession
     hits = rows.select("row", F.inline("hits"))
-    votes = hits.join(F.broadcast(index.postings(one)), "word")  # a row for each word of the templates
+    votes = hits.join(F.broadcast(index.postings(spark)), "word")  # a row for each word of the templates
     summed = votes.groupBy("row", "template", (F.col("at") - F.col("place")).alias("at")).agg(F.sum("weight").alias("weight"), F.sum("must").alias("must"), F.bool_or("rare").alias("rare"))
-    facts = F.broadcast(index.facts(one))  # a row for each template
+    facts = F.broadcast(index.facts(spark))  # a row for each template
     return summed.join(facts, F.col("template") == F.col("t")).where("rare AND weight >= needed AND must = musts").select("row", "label", "base", "at", "weight", "whole")
 
 
@@ -141,17 +144,10 @@ def license_scan(docs: DataFrame, templates: list = TEMPLATES, base: dict = BASE
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best share of a template's weight at one place)."""
     index = weighed_index(docs, templates, base, share)
 
-    def looked_up(ws: Column) -> Column:
-        present = F.array_intersect(F.lit(index.vocabulary), ws)
-
-        def taken(own: Column) -> Column:
-            placed = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("at"))), lambda x: F.array_contains(own, x["word"]))
-            return F.when(index.possible(own), placed).otherwise(F.array().cast("array<struct<word:string,at:bigint>>"))
-
-        return F.struct(F.size(ws).cast("long").alias("n_words"), F.element_at(F.transform(F.array(present), taken), 1).alias("hits"))
-
     # transform over an array of one binds its element once, whatever the optimiser moves around
-    scanned = docs.select("doc_id", F.element_at(F.transform(F.array(words(text_or_empty())), looked_up), 1).alias("s"))
+    hits = f"""transform(array(array_intersect({_array(index.vocabulary)}, ws)), own -> CASE WHEN {index.possible("own")} THEN
+      filter(transform(ws, (w, i) -> struct(w AS word, bigint(i) AS at)), x -> array_contains(own, x.word)) ELSE array() END)[0]"""
+    scanned = docs.select("doc_id", F.array(words(text_or_empty())).alias("bound")).select("doc_id", F.expr(f"transform(bound, ws -> struct(bigint(size(ws)) AS n_words, {hits} AS hits))[0]").alias("s"))
     rows = durable(scanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.n_words", "s.hits"))
     found = matches(rows.where(F.size("hits") > 0), index)
     base_at = F.when(F.col("base"), F.col("at"))
