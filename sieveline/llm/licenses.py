@@ -54,7 +54,7 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
 ]
 #: The Kelvin sign is the only character outside ASCII whose lower case is in ASCII; another one stands for it before ``lower``.
-_KELVIN, _ANGSTROM = "K", "Å"
+_KELVIN, _ANGSTROM = "\u212a", "\u212b"
 
 
 def words(text: Column) -> Column:
