@@ -7,8 +7,8 @@ about allowance * ln(allowance) candidates, however many items there are. Items
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.graph import induced, strong_components
+from sieveline.operators.problem import EXPLORED, HEURISTIC, INFEASIBLE, LINES, OPTIMAL, STOPPED, Problem
 from sieveline.store import stored
 
 #: Limits of the exact methods and of evidence.
-BRUTE_FORCE, DP_NODES, DP_BUDGET, DP_STATES, DP_BYTES, ILP_NODES, ILP_EDGES, ILP_SECONDS = 16, 256, 100_000, 2_000_000, 256 * 1024 * 1024, 120, 2000, 2.0
-TIES, TOLERANCE = 8, 1e-12
-LINES = ("start_line", "end_line")
+BRUTE_FORCE, DP_NODES, DP_BUDGET, DP_STATES, DP_BYTES, ILP_NODES, ILP_EDGES = 16, 256, 100_000, 2_000_000, 256 * 1024 * 1024, 120, 2000
+TIES = 8
 
 
 def stable_key(items: DataFrame, primary: Column) -> list[Column]:
@@ -113,10 +113,11 @@ def knapsack(items: DataFrame, by: str, allowance: int) -> DataFrame:
 
 
 def brute_force(items: DataFrame, by: str, allowance: int, dependency_weight: float = 0.1) -> DataFrame:
-    """by, objective, cost, chosen: the best closed set of each task with at most BRUTE_FORCE nodes; others have no row.
+    """by, objective, cost, chosen: the best closed set of each task with at most BRUTE_FORCE nodes; others have no row. items may have mandatory and allowed.
 
     Every subset of a task is a row of its own (a number whose bits name the nodes), so subsets are spread over tasks of Spark."""
-    small = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("node_id", "cost", "value", "deps"))).alias("nodes")).where(F.size("nodes") <= BRUTE_FORCE)
+    of = lambda name, default: (F.coalesce(F.col(name), F.lit(default)) if name in items.columns else F.lit(default)).alias(name)
+    small = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("node_id", "cost", "value", "deps", of("mandatory", False), of("allowed", True)))).alias("nodes")).where(F.size("nodes") <= BRUTE_FORCE)
     at = lambda node, d: F.array_position(F.transform("nodes", lambda n: n["node_id"]), d) - 1
     masks = F.transform("nodes", lambda n: F.aggregate(F.array_distinct(F.filter(n["deps"], lambda d: at(n, d) >= 0)), F.lit(0).cast("long"), lambda m, d: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at(n, d).cast("int")))))
     ready = stored(small.select(by, "nodes", masks.alias("masks")))
@@ -125,7 +126,7 @@ def brute_force(items: DataFrame, by: str, allowance: int, dependency_weight: fl
 
     def step(s: Column, x: Column) -> Column:
         inside = F.call_function("shiftright", F.col("subset"), s["i"]).bitwiseAND(F.lit(1)) == 1
-        closed = s["closed"] & (~inside | (x["masks"].bitwiseAND(F.col("subset")) == x["masks"]))
+        closed = s["closed"] & F.when(inside, x["nodes"]["allowed"] & (x["masks"].bitwiseAND(F.col("subset")) == x["masks"])).otherwise(~x["nodes"]["mandatory"])
         gain = x["nodes"]["value"] + dependency_weight * F.bit_count(x["masks"])
         return F.struct(closed.alias("closed"), (s["objective"] + F.when(inside, gain).otherwise(0.0)).alias("objective"), (s["cost"] + F.when(inside, x["nodes"]["cost"]).otherwise(0)).cast("long").alias("cost"), (s["i"] + 1).alias("i"))
 
@@ -231,125 +232,134 @@ def cascade(counts: DataFrame, allowance: int) -> DataFrame:
     return counts.withColumn("strategy", choice)
 
 
-class Problem:
-    """One task's nodes with dependencies; a small helper for tasks of bounded size."""
-
-    def __init__(self, rows: pd.DataFrame, allowance: int, dependency_weight: float = 0.1):
-        rows = rows.sort_values("node_id")
-        self.ids = rows["node_id"].tolist()
-        self.cost, self.value = dict(zip(self.ids, rows["cost"], strict=True)), dict(zip(self.ids, rows["value"], strict=True))
-        lines = [rows[c].fillna(0) for c in LINES if c in rows]
-        self.key = {i: (-r, c, u, *place, i) for i, r, c, u, *place in zip(self.ids, rows["relevance"], rows["cost"], rows["uri"], *lines, strict=True)}
-        self.deps = {i: [d for d in ds if d in self.cost] for i, ds in zip(self.ids, rows["deps"], strict=True)}
-        self.allowance, self.weight = allowance, dependency_weight
-
-    def closure(self, node) -> frozenset:
-        found, stack = {node}, [node]
-        while stack:
-            fresh = [d for d in self.deps[stack.pop()] if d not in found]
-            found.update(fresh)
-            stack += fresh
-        return frozenset(found)
-
-    def total(self, chosen) -> int:
-        return sum(self.cost[i] for i in chosen)
-
-    def objective(self, chosen) -> float:
-        return sum(self.value[i] for i in chosen) + self.weight * sum(d in chosen for i in chosen for d in set(self.deps[i]))
-
-    def density(self, mandatory=()) -> frozenset:
-        """In each round the cluster (a node's closure without what is chosen) of the best gain for each token; what gains
-        nothing or doesn't fit is dropped for good."""
-        chosen, open_ids = frozenset().union(*map(self.closure, mandatory)), set(self.ids)
-        while open_ids := open_ids - chosen:
-            best = None
-            for node in sorted(open_ids):
-                union = chosen | self.closure(node)
-                gain, cost = self.objective(union) - self.objective(chosen), self.total(union) - self.total(chosen)
-                if gain <= TOLERANCE or self.total(union) > self.allowance:
-                    open_ids.discard(node)
-                    continue
-                order = (-round(gain / max(1, cost), 12), -round(gain, 12), self.key[node])
-                if best is None or order < best[0]:
-                    best = (order, union)
-            if best is None:
-                break
-            chosen = best[1]
-        return chosen
-
-    def better(self, a: frozenset, b: frozenset) -> bool:
-        x, y = self.objective(a), self.objective(b)
-        if abs(x - y) > TOLERANCE:
-            return x > y
-        return (self.total(a), sorted(self.key[i] for i in a)) < (self.total(b), sorted(self.key[i] for i in b))
-
-    def exact(self, seconds: float | None = None) -> frozenset:
-        """Branch and bound over closed sets: a node is taken with its closure or left out with all that need it. After ``seconds``
-        the best set found so far is the answer, and ``timed_out`` tells so."""
-        best, self.timed_out = frozenset(), False
-        until = None if seconds is None else time.monotonic() + seconds
-        gains = {i: max(0.0, self.value[i]) + self.weight * len(set(self.deps[i])) for i in self.ids}
-        closures = {i: self.closure(i) for i in self.ids}
-        waiting = [(best, sorted(self.ids, key=lambda i: (-gains[i] / max(1, self.cost[i]), self.key[i])))]
-        while waiting:
-            if until is not None and time.monotonic() > until:
-                self.timed_out = True
-                break
-            chosen, left = waiting.pop()
-            if self.better(chosen, best):
-                best = chosen
-            if not left or self.objective(chosen) + sum(gains[i] for i in left) < self.objective(best) - TOLERANCE:
-                continue
-            node, rest = left[0], left[1:]
-            union = chosen | closures[node]
-            banned = set(self.ids) - chosen - set(left)
-            waiting.append((chosen, [i for i in rest if node not in closures[i]]))
-            if not (union - chosen) & banned and self.total(union) <= self.allowance:
-                waiting.append((union, [i for i in rest if i not in union]))
-        return best
-
-    def ordered(self, chosen: frozenset) -> list:
-        """Repeatedly the least key among nodes whose dependencies are out; with a cycle, plainly by key."""
-        out, waiting = [], set(chosen)
-        while waiting:
-            ready = [i for i in waiting if not any(d in waiting for d in self.deps[i] if d != i)]
-            if not ready:
-                return sorted(chosen, key=self.key.get)
-            out.append(min(ready, key=self.key.get))
-            waiting.discard(out[-1])
-        return out
+def trimmed(items: DataFrame, by: str, order: list[Column], allowance: int) -> DataFrame:
+    """items without those that no walk in the given order (and no exact search, if the order is by value) can take: nodes that need none and that none
+    needs, beyond the first allowance / c of a cost c. Nodes in the graph, mandatory ones and free ones stay."""
+    needed = items.select(F.col(by).alias("n_by"), F.explode("deps").alias("n_node")).distinct()
+    within = (F.col(by) == F.col("n_by")) & (F.col("node_id") == F.col("n_node"))
+    marked = items.join(needed, within, "left").withColumn("alone", F.col("n_node").isNull() & (F.size("deps") == 0) & (F.col("cost") > 0)).drop("n_by", "n_node")
+    if "mandatory" in items.columns:
+        marked = marked.withColumn("alone", F.col("alone") & ~F.coalesce("mandatory", F.lit(False)))
+    return marked.where("NOT alone").unionByName(candidates(marked.where("alone"), by, order, allowance).drop("key")).drop("alone")
 
 
-def solve(items: DataFrame, by: str, allowance: int, method: Callable[[Problem], frozenset] = Problem.density) -> DataFrame:
-    """by, node_id, rank of each task's choice with dependencies (items has deps).
+#: What a method of Problem orders single nodes by.
+METHODS: dict[str, tuple[Callable[[Problem], frozenset], str | None]] = {
+    "graph_closure_greedy": (Problem.density, "density"), "density_greedy": (Problem.density, "density"), "ilp": (Problem.exact, "value"),
+    "relevance_greedy": (lambda p: p.walk(lambda i: (-round(p.primary[i], 9), *p.key[i])), "relevance"), "recency": (lambda p: p.walk(lambda i: (-round(p.primary[i], 9), *p.key[i])), "freshness"),
+    "top_k": (lambda p: p.walk(lambda i: (-round(p.primary[i], 9), *p.key[i])), "semantic_score"), "naive": (lambda p: p.walk(lambda i: p.key[i][2:]), None),
+}
+
+
+def outcome(items: DataFrame, by: str, allowance: int, strategy: str = "density_greedy", method: Callable[[Problem], frozenset] | None = None, most: int = 1_000_000) -> DataFrame:
+    """by, rank, node_id, status, gap: of each task a row of rank 0 with its status, then its choice with dependencies in order.
 
-    Nodes whose closure alone costs more than the allowance can't be chosen and are dropped before; what is left of a task is
-    walked in one task of Spark, the tasks in parallel."""
+    items has deps and may have mandatory and allowed. Single nodes that can't be chosen are dropped before; what is left of a
+    task is walked in one task of Spark, the tasks in parallel. A task with more than ``most`` nodes left is an error."""
     kind = dict(items.dtypes)
-    fit = bounded_closures(items, by, allowance).select(by, F.col("seed").alias("node_id")).distinct()
-    rows = items.select(by, "node_id", "cost", "value", "relevance", "uri", "deps", *[c for c in LINES if c in items.columns]).join(fit, [by, "node_id"], "left_semi")
+    run_method, primary = METHODS[strategy]
+    run_method = method or run_method
+    order = [F.col("uri"), F.col("node_id")] if primary is None else stable_key(items, F.col("value") / F.greatest(F.lit(1), F.col("cost")) if primary == "density" else F.col(primary))
+    extra = [c for c in (*LINES, "mandatory", "allowed") if c in items.columns]
+    scored = F.coalesce(F.col(primary), F.lit(0.0)) if primary in items.columns else F.lit(0.0)
+    rows = trimmed(items, by, order, allowance).select(by, "node_id", "cost", "value", "relevance", "uri", "deps", scored.cast("double").alias("primary"), *extra)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > most:
+            raise ValueError("a task has too many nodes for a walk with dependencies")
         problem = Problem(rows, allowance)
-        chosen = problem.ordered(method(problem))
-        return pd.DataFrame({by: [rows[by].iloc[0]] * len(chosen), "node_id": chosen, "rank": range(1, len(chosen) + 1)})
+        problem.primary = dict(zip(rows["node_id"], rows["primary"], strict=True))
+        chosen = problem.ordered(run_method(problem))
+        n = len(chosen)
+        return pd.DataFrame({by: [rows[by].iloc[0]] * (n + 1), "rank": range(n + 1), "node_id": pd.Series([None, *chosen], dtype="object"), "status": [problem.status] + [None] * n, "gap": pd.Series([problem.gap] + [None] * n, dtype="float64")})
 
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, node_id {kind['node_id']}, rank long")
+    return rows.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, rank long, node_id {kind['node_id']}, status string, gap double")
+
+
+def solve(items: DataFrame, by: str, allowance: int, method: Callable[[Problem], frozenset] = Problem.density) -> DataFrame:
+    """by, node_id, rank of each task's choice with dependencies."""
+    strategy = "ilp" if method is Problem.exact else "density_greedy"
+    return outcome(items, by, allowance, strategy, method).where("rank > 0").select(by, "node_id", "rank")
+
+
+@dataclass
+class Selection:
+    """chosen: by, node_id. record: by, requested, strategy, status, objective, used, gap, reason, code, a row for each task."""
+
+    chosen: DataFrame
+    record: DataFrame
+
+
+def named_strategies(items: DataFrame, by: str, allowance: int, requested: str) -> DataFrame:
+    """by, strategy, reason: the strategy that solves each task. Where a task is beyond what the requested one can do, density with the reason."""
+    of = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in items.columns else F.lit(default)
+    edges = F.size(F.array_distinct("deps"))
+    semantic = F.count_if(F.col("semantic_score").isNull()) if "semantic_score" in items.columns else F.count(F.lit(1))
+    counts = items.groupBy(by).agg(F.count_if(~of("mandatory", False) & of("allowed", True)).alias("n_optional"), F.count(F.lit(1)).alias("n_nodes"), F.sum(edges).alias("n_edges"), semantic.alias("n_unscored"), F.lit(True).alias("feasible"))
+    named = cascade(counts, allowance)
+    if requested == "auto":
+        return named.select(by, "strategy", F.lit(None).cast("string").alias("reason"))
+    n = F.col("n_optional")
+    states = (n + 1) * (allowance + 1)
+    dp = (F.col("n_edges") > 0) | (n > DP_NODES) | F.lit(allowance > DP_BUDGET) | (states > DP_STATES) | (states * 64 > DP_BYTES)
+    beyond = {"brute_force": (n > BRUTE_FORCE, "brute_force_nodes"), "dynamic_programming": (dp, "dynamic_programming_limits"), "ilp": ((F.col("n_nodes") > ILP_NODES) | (F.col("n_edges") > ILP_EDGES), "exact_limits"), "top_k": (F.col("n_unscored") > 0, "no_semantic_score")}.get(requested, (F.lit(False), None))
+    return named.select(by, F.when(beyond[0], "density_greedy").otherwise(requested).alias("strategy"), F.when(beyond[0], beyond[1]).alias("reason"))
+
+
+def select(items: DataFrame, by: str, allowance: int, requested: str = "auto", explored: int = EXPLORED, dependency_weight: float = 0.1) -> Selection:
+    """Each task solved by the strategy that is requested, or that the cascade names for it, with a record of how.
+
+    items: by, node_id, cost, value, relevance, uri, deps; mandatory and allowed, if there are any. A task whose mandatory closure isn't allowed or
+    doesn't fit is infeasible (CTX530) and gets nothing; one solved by another strategy than the requested one, or whose exact search
+    stopped after ``explored`` nodes with its best so far, has a reason and CTX520."""
+    rows, none = stored(items), F.lit(None).cast("string")
+    free = "mandatory" not in rows.columns and "allowed" not in rows.columns
+    every = rows.select(by).distinct()
+    if free:
+        broken = every.limit(0).select(by, none.alias("why"))
+    else:
+        full = stored(rows.withColumns({c: F.coalesce(F.col(c), F.lit(d)) if c in rows.columns else F.lit(d) for c, d in (("mandatory", False), ("allowed", True))}))
+        broken = stored(mandatory_problems(full, by, full.where("mandatory"), full.where("allowed"), allowance).select(by, F.col("reason").alias("why")))
+        rows = full.join(broken, by, "left_anti")
+    named = stored(named_strategies(rows, by, allowance, requested))
+    wanted = {r["strategy"] for r in named.select("strategy").distinct().collect()}  # at most the nine strategies
+    parts = []
+    for strategy in sorted(wanted):
+        own = rows.join(named.where(F.col("strategy") == strategy).select(by), by, "left_semi")
+        nothing = (F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("gap"))
+        if strategy == "brute_force":
+            found = brute_force(own, by, allowance, dependency_weight).select(by, F.explode_outer("chosen").alias("node_id"), *nothing)
+        elif strategy == "dynamic_programming" and free:
+            found = exact_knapsack(own, by, allowance).select(by, F.explode_outer("chosen").alias("node_id"), *nothing)
+        elif strategy == "density_greedy" and free and own.where(F.size("deps") > 0).isEmpty():
+            found = density_greedy(own, by, allowance).select(by, "node_id", *nothing)
+        else:
+            method = {"ilp": lambda p: p.exact(explored), "dynamic_programming": lambda p: p.exact(explored)}.get(strategy)
+            found = outcome(own, by, allowance, "ilp" if strategy == "dynamic_programming" else strategy, method).select(by, "node_id", "status", "gap")
+        parts.append(found)
+    found = stored(reduce(DataFrame.unionByName, parts)) if parts else stored(rows.limit(0).select(by, "node_id", none.alias("status"), F.lit(None).cast("double").alias("gap")))
+    chosen = found.where("node_id IS NOT NULL").select(by, "node_id")
+    gain = F.round(F.sum(F.col("value") + dependency_weight * F.size(F.array_distinct("deps"))), 9)
+    sums = chosen.join(rows, [by, "node_id"]).groupBy(by).agg(gain.alias("objective"), F.sum("cost").cast("long").alias("used"))
+    told = found.where("status IS NOT NULL").select(by, "status", "gap")
+    exact = F.col("strategy").isin("brute_force", "dynamic_programming")
+    status = F.when(F.col("why").isNotNull(), INFEASIBLE).when(F.col("reason").isNotNull(), "fallback").otherwise(F.coalesce("status", F.when(exact, OPTIMAL).otherwise(HEURISTIC)))
+    feasible = F.col("why").isNull()
+    reason = F.coalesce("why", "reason", F.when(F.col("status") == STOPPED, "explored_nodes"))
+    joined = every.join(broken, by, "left").join(named, by, "left").join(told, by, "left").join(sums, by, "left")
+    record = joined.select(
+        by, F.lit(requested).alias("requested"), F.coalesce("strategy", F.lit("brute_force")).alias("strategy"), status.alias("status"), F.when(feasible, F.coalesce("objective", F.lit(0.0))).alias("objective"), F.coalesce("used", F.lit(0)).alias("used"),
+        F.when(exact & feasible, 0.0).otherwise(F.col("gap")).alias("gap"), reason.alias("reason"), F.when(F.col("why").isNotNull(), "CTX530").when(reason.isNotNull(), "CTX520").alias("code"),
+    )
+    return Selection(chosen, record)
+
+
+def exact_knapsack(items: DataFrame, by: str, allowance: int) -> DataFrame:
+    """by, chosen: ``knapsack`` with values of fractions, as whole numbers of 1e-9."""
+    return knapsack(items.withColumn("value", F.round(F.col("value") * 1e9).cast("long")), by, allowance).select(by, "chosen")
 
 
 def select_auto(items: DataFrame, by: str, allowance: int) -> DataFrame:
-    """by, strategy, node_id: each task solved by the strategy that the cascade names for it."""
-    counts = items.groupBy(by).agg(F.count(F.lit(1)).alias("n_optional"), F.sum(F.size("deps")).alias("n_edges"), F.lit(True).alias("feasible"))
-    named = stored(cascade(counts, allowance).select(by, "strategy"))
-    wanted = {r["strategy"] for r in named.select("strategy").distinct().collect()}  # at most the five strategies
-    of = lambda *names: items.join(named.where(F.col("strategy").isin(*names)).select(by), by, "left_semi")
-    whole = lambda df: df.select(by, F.explode("chosen").alias("node_id"))
-    parts = {
-        "brute_force": lambda: whole(brute_force(of("brute_force"), by, allowance)),
-        "dynamic_programming": lambda: whole(knapsack(of("dynamic_programming"), by, allowance)),
-        "ilp": lambda: solve(of("ilp"), by, allowance, lambda p: p.exact(ILP_SECONDS)).select(by, "node_id"),
-        "graph_closure_greedy": lambda: solve(of("graph_closure_greedy"), by, allowance).select(by, "node_id"),
-        "density_greedy": lambda: density_greedy(of("density_greedy"), by, allowance).select(by, "node_id"),
-    }
-    chosen = reduce(DataFrame.unionByName, (parts[s]() for s in sorted(wanted)))
-    return chosen.join(named, by)
+    """by, node_id, strategy: what ``select`` chooses by the cascade."""
+    done = select(items, by, allowance)
+    return done.chosen.join(done.record.select(by, "strategy"), by)

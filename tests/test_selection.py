@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -85,10 +86,164 @@ def test_top_k_falls_back(spark):
     assert [r.node_id for r in selection.top_k(rows.withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.5))), "task", 2).collect()] == ["a"]
 
 
-def test_exact_gives_its_best_when_time_is_out_and_does_not_recurse():
-    p = problem([(f"n{k:04d}", 1 + k % 7, 1 + k % 5) for k in range(3000)], 100, [(f"n{k:04d}", f"n{k - 1:04d}") for k in range(1, 3000)])
-    chosen = p.exact(0.5)
-    assert p.timed_out and p.total(chosen) <= 100 and all(d in chosen for i in chosen for d in p.deps[i])
+def test_exact_stops_after_a_number_of_nodes_and_tells_the_gap():
+    rng = random.Random(5)
+    items = [(f"n{k:03d}", 10 + rng.randrange(90) / 7, 10 + rng.randrange(90)) for k in range(80)]
+    p = problem(items, 700)
+    whole = p.exact(10**6)
+    assert p.status == "optimal" and p.gap == 0
+    best = p.objective(whole)
+    chosen = p.exact(1)
+    assert p.status == "feasible_timeout" and p.explored <= 3 and p.total(chosen) <= 700
+    assert p.objective(chosen) <= best <= p.objective(chosen) + p.gap + 1e-9
+    assert p.exact(1) == chosen
+
+
+def graph_problem(seed, n, allowance=None, most=2, **more):
+    """Random dependencies, a tenth of them backwards (so there are cycles), values below zero, free nodes."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        deps = {rng.randrange(n) if rng.random() < 0.1 else rng.randrange(max(1, k)) for _ in range(rng.randrange(most + 1))} - {k}
+        rows.append({"node_id": f"n{k:05d}", "relevance": rng.randrange(4) / 4, "value": rng.randint(-3, 9) / 10, "cost": rng.randint(0, 9), "uri": str(rng.randrange(5)), "deps": [f"n{d:05d}" for d in sorted(deps)]})
+        rows[-1].update({c: rng.random() < share for c, share in more.items()})
+    return Problem(pd.DataFrame(rows), allowance or 3 * n // 2)
+
+
+def plain_density(p):
+    """The rounds as they are told: all remaining ranked anew each time."""
+    whole = lambda nodes: frozenset().union(*map(p.closure, nodes))
+    chosen = whole(p.mandatory)
+    if not chosen <= p.allowed or p.total(chosen) > p.allowance:
+        return frozenset()
+    left = set(p.ids) - chosen
+    while left:
+        ranked = []
+        for i in left:
+            union = chosen | p.closure(i)
+            if union == chosen or not union <= p.allowed:
+                continue
+            gain, cost = p.objective(union) - p.objective(chosen), p.total(union) - p.total(chosen)
+            ranked.append(((-round(gain / max(1, cost), 12), -round(gain, 12), p.key[i]), i, union, gain))
+        if not ranked:
+            break
+        _, i, union, gain = min(ranked)
+        left.discard(i)
+        if gain > 1e-12 and p.total(union) <= p.allowance:
+            chosen = union
+            left -= union
+    return chosen
+
+
+def best_worth(p):
+    """The greatest objective (in units) and then the least cost over all closed subsets."""
+    n, place = len(p.ids), {i: k for k, i in enumerate(p.ids)}
+    needs = [sum(1 << place[d] for d in set(p.deps[i])) for i in p.ids]
+    must = sum(1 << place[i] for i in p.mandatory)
+    barred = sum(1 << k for k, i in enumerate(p.ids) if i not in p.allowed)
+    best = None
+    for s in range(1 << n):
+        if s & must == must and not s & barred and all(needs[k] & ~s == 0 for k in range(n) if s >> k & 1):
+            own = [i for k, i in enumerate(p.ids) if s >> k & 1]
+            if p.total(own) <= p.allowance:
+                found = (sum(round(p.value[i] * 10) for i in own) + sum(len(set(p.deps[i])) for i in own), -p.total(own))
+                best = found if best is None else max(best, found)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(0, 1000, 100))
+def test_exact_is_brute_force_on_random_graphs(seed):
+    for k in range(seed, seed + 100):
+        p = graph_problem(k, 16 if k % 50 == 0 else 3 + k % 8, **({"mandatory": 0.1, "allowed": 0.8} if k % 4 == 0 else {}))
+        chosen = p.exact()
+        want = best_worth(p)
+        if want is None:
+            assert p.status == "infeasible" and not chosen
+        else:
+            assert p.status == "optimal" and p.gap == 0
+            assert (sum(round(p.value[i] * 10) + len(set(p.deps[i])) for i in chosen), -p.total(chosen)) == want
+
+
+@pytest.mark.parametrize("n", [60, 90, 120])
+def test_exact_proves_tasks_of_its_limit(n):
+    for seed in range(3):
+        p = graph_problem(seed, n, most=1 + seed)
+        chosen = p.exact()
+        assert p.status == "optimal" and p.total(chosen) <= p.allowance and all(d in chosen for i in chosen for d in p.deps[i])
+        assert p.objective(chosen) >= p.objective(p.density()) - 1e-9
+
+
+def test_density_is_the_plain_loop():
+    for seed in range(200):
+        p = graph_problem(seed, 1 + seed % 17, **({"mandatory": 0.1, "allowed": 0.9} if seed % 4 == 0 else {}))
+        assert p.density() == plain_density(p)
+
+
+def test_density_takes_what_gains_only_after_another_choice():
+    p = problem([("d", -1, 2), ("c", 0.5, 1), ("e", 3, 2)], 10, [("c", "d"), ("e", "d")])
+    assert p.density() == {"c", "d", "e"}
+
+
+def test_density_of_a_large_task_is_quick():
+    rng = random.Random(1)
+    rows = [{"node_id": k, "relevance": 0.0, "value": rng.randint(-3, 9) / 10, "cost": rng.randint(1, 30), "uri": "u", "deps": sorted({rng.randrange(max(0, k - 500), k) for _ in range(rng.randrange(3))}) if k else []} for k in range(100_000)]
+    p = Problem(pd.DataFrame(rows), 5000)
+    began = time.monotonic()
+    chosen = p.density()
+    assert time.monotonic() - began < 60 and 4000 < p.total(chosen) <= 5000 and all(d in chosen for i in chosen for d in p.deps[i])
+
+
+def test_walk_takes_clusters_in_order():
+    p = problem([("a", 0.9, 2), ("b", 0.1, 5), ("c", 0.8, 4), ("d", 0.2, 2)], 9, [("a", "b"), ("c", "b")])
+    order = lambda i: p.key[i]
+    assert p.walk(order) == {"a", "b", "d"}  # c no longer fits, d does
+
+
+def test_pruned_tasks_give_the_whole_choice(spark):
+    rng = random.Random(8)
+    rows = [("t", k, rng.randint(0, 6), rng.randint(-2, 9) / 2, rng.randrange(3) / 2, f"{rng.randrange(9)}", [k - rng.randrange(1, 9)] if k > 200 and k % 2 else []) for k in range(300)]
+    frame = spark.createDataFrame(rows, "task string, node_id long, cost int, value double, relevance double, uri string, deps array<long>")
+    p = Problem(pd.DataFrame([r.asDict() for r in frame.collect()]), 40)
+    got = selection.outcome(frame.repartition(5), "task", 40).where("rank > 0").orderBy("rank").collect()
+    assert [r.node_id for r in got] == p.ordered(p.density())
+    p.primary = {i: -k[0] for i, k in p.key.items()}
+    walked = selection.outcome(frame, "task", 40, "relevance_greedy").where("rank > 0").orderBy("rank").collect()
+    assert [r.node_id for r in walked] == p.ordered(p.walk(lambda i: p.key[i]))
+    exact = [r.node_id for r in selection.outcome(frame, "task", 40, "ilp").where("rank > 0").collect()]
+    assert abs(p.objective(frozenset(exact)) - p.objective(p.exact())) < 1e-9 and p.total(exact) <= 40
+
+
+def test_records_tell_status_fallback_and_infeasible(spark):
+    rows = tasks_of_all_sizes(spark)
+    record = {r.task: r for r in selection.select(rows, "task", 12).record.collect()}
+    assert {t: (r.strategy, r.status, r.code) for t, r in record.items()} == {
+        "small": ("brute_force", "optimal", None), "flat": ("dynamic_programming", "optimal", None), "linked": ("ilp", "optimal", None), "deep": ("graph_closure_greedy", "heuristic", None), "wide": ("density_greedy", "heuristic", None),
+    }
+    for requested, reason, fine in (("brute_force", "brute_force_nodes", {"small"}), ("dynamic_programming", "dynamic_programming_limits", {"flat"}), ("ilp", "exact_limits", {"small", "flat", "linked"}), ("top_k", "no_semantic_score", set())):
+        done = selection.select(rows, "task", 12, requested)
+        for r in done.record.collect():
+            if r.task in fine:
+                assert (r.strategy, r.status, r.reason, r.code) == (requested, "optimal", None, None)
+            else:
+                assert (r.strategy, r.status, r.reason, r.code) == ("density_greedy", "fallback", reason, "CTX520")
+            assert r.used <= 12 and r.requested == requested
+    stopped = {r.task: r for r in selection.select(rows, "task", 12, "ilp", explored=0).record.collect()}
+    assert all(r.status in ("optimal", "feasible_timeout", "fallback") and (r.status != "feasible_timeout" or (r.code == "CTX520" and r.gap > 0)) for r in stopped.values())
+    for requested in ("naive", "relevance_greedy", "graph_closure_greedy"):
+        done = selection.select(rows, "task", 12, requested)
+        assert {r.status for r in done.record.collect()} == {"heuristic"}
+        needs = {(r.task, r.node_id): r.deps for r in rows.collect()}
+        chosen = {(r.task, r.node_id) for r in done.chosen.collect()}
+        assert all((t, d) in chosen for t, i in chosen for d in needs[t, i])
+    marked = rows.withColumn("mandatory", F.col("node_id").isin("small002", "flat003", "linked005", "deep129", "wide001")).withColumn("allowed", ~F.col("node_id").isin("linked004", "wide000"))
+    done = selection.select(marked, "task", 12)
+    record, chosen = {r.task: r for r in done.record.collect()}, {r.node_id for r in done.chosen.collect()}
+    assert (record["linked"].status, record["linked"].code, record["linked"].reason) == ("infeasible", "CTX530", "mandatory_closure_not_allowed")
+    assert not any(i.startswith("linked") for i in chosen) and {"small002", "flat003", "wide001"} <= chosen and "wide000" not in chosen
+    for task in ("small", "flat"):
+        own = pd.DataFrame([r.asDict() for r in marked.where(F.col("task") == task).collect()])
+        p = Problem(own, 12)
+        assert record[task].status == "optimal" and abs(record[task].objective - p.objective(p.exact())) < 1e-9
 
 
 def tasks_of_all_sizes(spark):
