@@ -77,3 +77,11 @@ def incident_metrics(edges: DataFrame, required: DataFrame, superseded: DataFram
         parts.append(found.groupBy(by).agg(ratio(F.count_if(good), F.count(F.lit(1)), 1.0).alias(name)))
     joined = parts[0].join(parts[1], by, "full_outer").join(parts[2], by, "full_outer")
     return joined.na.fill(1.0)
+
+
+def means(runs: DataFrame, by: str, millionths: dict[str, Column]) -> DataFrame:
+    """by, the mean of each measure (given in whole millionths), n_runs. Sums are whole numbers and means are rounded down, so they depend
+    neither on the order of additions nor on ties."""
+    n = F.count(F.lit(1))
+    summed = runs.groupBy(by).agg(*[F.sum(m.cast("long")).alias(name) for name, m in millionths.items()], n.alias("n_runs"))
+    return summed.select(by, *[(F.floor(F.col(name) / F.col("n_runs")) / 1e6).alias(name) for name in millionths], "n_runs")

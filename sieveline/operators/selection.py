@@ -245,7 +245,7 @@ def trimmed(items: DataFrame, by: str, order: list[Column], allowance: int) -> D
 
 #: What a method of Problem orders single nodes by.
 METHODS: dict[str, tuple[Callable[[Problem], frozenset], str | None]] = {
-    "graph_closure_greedy": (Problem.density, "density"), "density_greedy": (Problem.density, "density"), "ilp": (Problem.exact, "value"),
+    "graph_closure_greedy": (Problem.density, "density"), "density_greedy": (Problem.density, "density"), "ilp": (Problem.exact, "value"), "brute_force": (Problem.brute, "value"),
     "relevance_greedy": (lambda p: p.walk(lambda i: (-round(p.primary[i], 9), *p.key[i])), "relevance"), "recency": (lambda p: p.walk(lambda i: (-round(p.primary[i], 9), *p.key[i])), "freshness"),
     "top_k": (lambda p: p.walk(lambda i: (-round(p.primary[i], 9), *p.key[i])), "semantic_score"), "naive": (lambda p: p.walk(lambda i: p.key[i][2:]), None),
 }
@@ -273,7 +273,9 @@ def outcome(items: DataFrame, by: str, allowance: int, strategy: str = "density_
         n = len(chosen)
         return pd.DataFrame({by: [rows[by].iloc[0]] * (n + 1), "rank": range(n + 1), "node_id": pd.Series([None, *chosen], dtype="object"), "status": [problem.status] + [None] * n, "gap": pd.Series([problem.gap] + [None] * n, dtype="float64")})
 
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, rank long, node_id {kind['node_id']}, status string, gap double")
+    # a given number of partitions, as adaptive execution would put many small tasks, which are slow ones, into one
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    return spread.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, rank long, node_id {kind['node_id']}, status string, gap double")
 
 
 def solve(items: DataFrame, by: str, allowance: int, method: Callable[[Problem], frozenset] = Problem.density) -> DataFrame:
@@ -327,9 +329,7 @@ def select(items: DataFrame, by: str, allowance: int, requested: str = "auto", e
     for strategy in sorted(wanted):
         own = rows.join(named.where(F.col("strategy") == strategy).select(by), by, "left_semi")
         nothing = (F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("gap"))
-        if strategy == "brute_force":
-            found = brute_force(own, by, allowance, dependency_weight).select(by, F.explode_outer("chosen").alias("node_id"), *nothing)
-        elif strategy == "dynamic_programming" and free:
+        if strategy == "dynamic_programming" and free:
             found = exact_knapsack(own, by, allowance).select(by, F.explode_outer("chosen").alias("node_id"), *nothing)
         elif strategy == "density_greedy" and free and own.where(F.size("deps") > 0).isEmpty():
             found = density_greedy(own, by, allowance).select(by, "node_id", *nothing)

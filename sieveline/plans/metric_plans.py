@@ -85,16 +85,17 @@ _RUN = "strategy || '|' || uri"
 
 
 @query(f"""WITH {_SPANS}, n AS (SELECT DISTINCT * FROM ({_LINES.format('req')})), h AS (SELECT DISTINCT * FROM ({_LINES.format('s')})),
-r AS (SELECT n.strategy, n.uri, count(h.line) / count(*) AS recall FROM n LEFT JOIN h USING (strategy, uri, line) GROUP BY ALL), b AS (SELECT strategy, uri, sum(tokens) / 100000 AS budget_use FROM s GROUP BY ALL)
-SELECT strategy, round(avg(coalesce(recall, 1)), 6) AS mean_recall, round(avg(budget_use), 6) AS mean_budget_use, count(*) AS n_runs FROM b LEFT JOIN r USING (strategy, uri) GROUP BY strategy""")
+r AS (SELECT n.strategy, n.uri, count(h.line) / count(*) AS recall FROM n LEFT JOIN h USING (strategy, uri, line) GROUP BY ALL), b AS (SELECT strategy, uri, sum(tokens)::BIGINT AS used FROM s GROUP BY ALL)
+SELECT strategy, (sum(round(coalesce(recall, 1) * 1000000)::BIGINT) // count(*))::BIGINT / 1000000 AS mean_recall, (sum(used) * 10 // count(*))::BIGINT / 1000000 AS mean_budget_use, count(*) AS n_runs FROM b LEFT JOIN r USING (strategy, uri) GROUP BY strategy""")
 def strategy_means(spark, sf_dir):
-    """Unweighted means over runs; a run is a strategy's choice of one source's documents."""
+    """Unweighted means over runs; a run is a strategy's choice of one source's documents. Means are whole millionths, summed as whole
+    numbers and rounded down, so that they depend neither on the order of additions nor on ties."""
     chosen, required, _ = spans(spark, sf_dir)
     run = lambda df: df.withColumn("run", F.concat_ws("|", "strategy", "uri"))
     recall = metrics.span_recall(run(chosen), run(required), "run").withColumnRenamed("run", "r_run")
     use = metrics.budget_use(run(chosen).withColumn("cost", F.col("tokens")), "run", 100_000)
-    rows = use.join(recall, F.col("run") == F.col("r_run"), "left").select(F.substring_index("run", "|", 1).alias("strategy"), F.coalesce("span_recall", F.lit(1.0)).alias("recall"), "budget_use")
-    return rows.groupBy("strategy").agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("budget_use"), 6).alias("mean_budget_use"), F.count(F.lit(1)).alias("n_runs"))
+    rows = use.join(recall, F.col("run") == F.col("r_run"), "left").select(F.substring_index("run", "|", 1).alias("strategy"), F.coalesce("span_recall", F.lit(1.0)).alias("recall"), "used_tokens")
+    return metrics.means(rows, "strategy", {"mean_recall": F.round(F.col("recall") * 1e6), "mean_budget_use": F.col("used_tokens") * 10})
 
 
 @query(f"""WITH {sp._TURNS}, k AS (SELECT conv_id, max(node_id) AS last, sum(cost) FILTER (node_id <= 3) AS cost, bool_or(role = 'system' AND node_id <= 3) AS barred, sum(cost) FILTER (node_id = 0) AS first FROM t GROUP BY conv_id)

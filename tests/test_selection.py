@@ -162,6 +162,8 @@ def test_exact_is_brute_force_on_random_graphs(seed):
         else:
             assert p.status == "optimal" and p.gap == 0
             assert (sum(round(p.value[i] * 10) + len(set(p.deps[i])) for i in chosen), -p.total(chosen)) == want
+        every = p.brute()
+        assert (p.total(every), round(p.objective(every), 9)) == (p.total(chosen), round(p.objective(chosen), 9)) and p.status == ("infeasible" if want is None else "optimal")
 
 
 @pytest.mark.parametrize("n", [60, 90, 120])
