@@ -75,6 +75,8 @@ class Problem:
         self.cost, self.value = dict(zip(self.ids, map(int, rows["cost"]), strict=True)), dict(zip(self.ids, rows["value"], strict=True))
         lines = [rows[c].fillna(0) for c in LINES if c in rows]
         self.key = {i: (-r, c, u, *place, i) for i, r, c, u, *place in zip(self.ids, rows["relevance"], rows["cost"], rows["uri"], *lines, strict=True)}
+        #: The order of what is chosen: value before relevance and the rest.
+        self.place = {i: (-round(v, 9), *self.key[i]) for i, v in self.value.items()}
         self.deps = {i: [d for d in ds if d in self.cost] for i, ds in zip(self.ids, rows["deps"], strict=True)}
         self.allowance, self.weight = allowance, dependency_weight
         of = lambda name, default: {i for i, x in zip(self.ids, rows[name], strict=True) if x} if name in rows else default
@@ -192,7 +194,7 @@ class Problem:
         x, y = self.objective(a), self.objective(b)
         if abs(x - y) > TOLERANCE:
             return x > y
-        return (self.total(a), sorted(self.key[i] for i in a)) < (self.total(b), sorted(self.key[i] for i in b))
+        return (self.total(a), [self.place[i] for i in self.ordered(a)]) < (self.total(b), [self.place[i] for i in self.ordered(b)])
 
     def exact(self, explored: int = EXPLORED) -> frozenset:
         """The best closed set that fits, of equal ones one of least cost. Sets status and gap: with more than ``explored`` nodes of the search
@@ -282,21 +284,21 @@ class Problem:
         left = left[gain[left] == gain[left].max()]
         left = left[cost[left] == cost[left].min()]
         sets = [self._named(k for k in range(len(self.ids)) if s >> k & 1) for s in left.tolist()]
-        return min(sets, key=lambda c: [self.key[i] for i in self.ordered(c)])
+        return min(sets, key=lambda c: [self.place[i] for i in self.ordered(c)])
 
     def ordered(self, chosen: frozenset) -> list:
-        """Repeatedly the least key among nodes whose dependencies are out; with a cycle, plainly by key."""
+        """Repeatedly the first by value and key among nodes whose dependencies are out; with a cycle, plainly so."""
         waits = {i: {d for d in self.deps[i] if d in chosen and d != i} for i in chosen}
         users: dict = {}
         for i, ds in waits.items():
             for d in ds:
                 users.setdefault(d, []).append(i)
-        ready, out = [(self.key[i], i) for i, ds in waits.items() if not ds], []
+        ready, out = [(self.place[i], i) for i, ds in waits.items() if not ds], []
         heapq.heapify(ready)
         while ready:
             out.append(heapq.heappop(ready)[1])
             for u in users.get(out[-1], ()):
                 waits[u].discard(out[-1])
                 if not waits[u]:
-                    heapq.heappush(ready, (self.key[u], u))
-        return out if len(out) == len(chosen) else sorted(chosen, key=self.key.get)
+                    heapq.heappush(ready, (self.place[u], u))
+        return out if len(out) == len(chosen) else sorted(chosen, key=self.place.get)

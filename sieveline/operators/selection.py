@@ -31,69 +31,74 @@ def stable_key(items: DataFrame, primary: Column) -> list[Column]:
     return [F.round(-primary, 9), F.round(-F.col("relevance"), 9), F.col("cost"), F.col("uri"), *lines, F.col("node_id")]
 
 
-def candidates(items: DataFrame, by: str, order: list[Column], allowance: int) -> DataFrame:
+def room(allowance: int | str) -> Column:
+    """The allowance: a number for all tasks, or the name of a column that holds each task's own."""
+    return F.col(allowance) if isinstance(allowance, str) else F.lit(allowance)
+
+
+def candidates(items: DataFrame, by: str, order: list[Column], allowance: int | str) -> DataFrame:
     """The items that the walk may take, with their order key."""
-    keyed = items.withColumn("key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)])).where(F.col("cost").between(1, allowance))
+    keyed = items.withColumn("key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)])).where(F.col("cost").between(1, room(allowance)))
     place = F.row_number().over(Window.partitionBy(by, "cost").orderBy("key"))
-    return keyed.withColumn("place", place).where((F.col("place") <= allowance) & (F.col("place") * F.col("cost") <= allowance)).drop("place")
+    return keyed.withColumn("place", place).where((F.col("place") <= room(allowance)) & (F.col("place") * F.col("cost") <= room(allowance))).drop("place")
 
 
-def greedy(items: DataFrame, by: str, order: list[Column], allowance: int) -> DataFrame:
+def greedy(items: DataFrame, by: str, order: list[Column], allowance: int | str) -> DataFrame:
     """by, node_id, cost, rank, used (tokens up to and including this node) of what a walk in the given order takes.
 
     The walk streams over the sorted candidates and holds only the tokens used so far."""
     kind = dict(items.dtypes)
-    rows = candidates(items, by, order, allowance).select(F.col(by), "node_id", F.col("cost").cast("long").alias("cost"), "key")
+    rows = candidates(items, by, order, allowance).select(F.col(by), "node_id", F.col("cost").cast("long").alias("cost"), "key", room(allowance).cast("long").alias("room"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, used, rank = object(), 0, 0
         for batch in batches:
             taken, ranks, sums = [], [], []
-            for k, (group, cost) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for k, (group, cost, most) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
                 if group != task:
                     task, used, rank = group, 0, 0
-                if used + cost <= allowance:
+                if used + cost <= most:
                     used, rank = used + cost, rank + 1
                     taken.append(k)
                     ranks.append(rank)
                     sums.append(used)
-            chosen = batch.take(pa.array(taken, pa.int32()))
+            chosen = batch.select([0, 1, 2]).take(pa.array(taken, pa.int32()))
             yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(ranks, pa.int64()), pa.array(sums, pa.int64())], names=[by, "node_id", "cost", "rank", "used"])
 
-    walked = rows.repartition(by).sortWithinPartitions(by, "key").select(by, "node_id", "cost").mapInArrow(run, f"{by} {kind[by]}, node_id {kind['node_id']}, cost long, rank long, used long")
+    walked = rows.repartition(by).sortWithinPartitions(by, "key").select(by, "node_id", "cost", "room").mapInArrow(run, f"{by} {kind[by]}, node_id {kind['node_id']}, cost long, rank long, used long")
     free = items.where("cost <= 0").select(by, "node_id", F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("used"))
     return walked.unionAll(free)
 
 
-def naive(items: DataFrame, by: str, allowance: int) -> DataFrame:
+def naive(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     return greedy(items, by, [F.col("uri"), F.col("node_id")], allowance)
 
 
-def relevance_greedy(items: DataFrame, by: str, allowance: int) -> DataFrame:
+def relevance_greedy(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     return greedy(items, by, stable_key(items, F.col("relevance")), allowance)
 
 
-def recency(items: DataFrame, by: str, allowance: int) -> DataFrame:
+def recency(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     return greedy(items, by, stable_key(items, F.col("freshness")), allowance)
 
 
-def density_greedy(items: DataFrame, by: str, allowance: int) -> DataFrame:
+def density_greedy(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     """Without dependencies the gain of an item never changes, so the rounds are one walk by value for each token."""
     return greedy(items.where("value > 0"), by, stable_key(items, F.col("value") / F.greatest(F.lit(1), F.col("cost"))), allowance)
 
 
-def top_k(items: DataFrame, by: str, allowance: int) -> DataFrame:
+def top_k(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     """By semantic score; a task in which an item has none falls back to density."""
     whole = Window.partitionBy(by)
     marked = items.withColumn("complete", F.count_if(F.col("semantic_score").isNull()).over(whole) == 0)
     return greedy(marked.where("complete"), by, stable_key(items, F.col("semantic_score")), allowance).unionAll(density_greedy(marked.where("NOT complete"), by, allowance))
 
 
-def knapsack(items: DataFrame, by: str, allowance: int) -> DataFrame:
+def knapsack(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     """by, best, chosen: the largest sum of whole values under the allowance without dependencies, of those the one of lower cost,
     and the node_ids that give it (dynamic programming over tokens, for tasks within the limits of the exact methods)."""
     kind = dict(items.dtypes)["node_id"]
-    listed = candidates(items, by, [-F.col("value"), F.col("node_id")], allowance).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("node_id", F.col("cost").cast("int").alias("cost"), F.col("value").cast("long").alias("value")))).alias("list"))
+    listed = candidates(items.withColumn("room", room(allowance).cast("int")), by, [-F.col("value"), F.col("node_id")], "room").groupBy(by, "room").agg(F.array_sort(F.collect_list(F.struct("node_id", F.col("cost").cast("int").alias("cost"), F.col("value").cast("long").alias("value")))).alias("list"))
     start = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).alias("saved"), F.array().cast(f"array<{kind}>").alias("chosen"))
 
     def step(state: Column, item: Column) -> Column:
@@ -108,11 +113,11 @@ def knapsack(items: DataFrame, by: str, allowance: int) -> DataFrame:
 
         return F.transform(state, choose)
 
-    table = F.array_repeat(start, allowance + 1)
+    table = F.array_repeat(start, F.col("room") + 1)
     return listed.select(by, F.element_at(F.aggregate("list", table, step), -1).alias("end")).select(by, "end.best", "end.chosen")
 
 
-def brute_force(items: DataFrame, by: str, allowance: int, dependency_weight: float = 0.1) -> DataFrame:
+def brute_force(items: DataFrame, by: str, allowance: int | str, dependency_weight: float = 0.1) -> DataFrame:
     """by, objective, cost, chosen: the best closed set of each task with at most BRUTE_FORCE nodes; others have no row. items may have mandatory and allowed.
 
     Every subset of a task is a row of its own (a number whose bits name the nodes), so subsets are spread over tasks of Spark."""
@@ -143,7 +148,7 @@ def problem_differences(nodes: DataFrame, analyses: DataFrame, configured: DataF
     return reduce(DataFrame.unionAll, (a.select("node_id").distinct().join(b.select("node_id"), "node_id", "left_anti").select(F.lit(name).alias("problem"), "node_id") for a, b, name in parts))
 
 
-def bounded_closures(items: DataFrame, by: str, allowance: int, seeds: DataFrame | None = None) -> DataFrame:
+def bounded_closures(items: DataFrame, by: str, allowance: int | str, seeds: DataFrame | None = None) -> DataFrame:
     """by, seed, node_id: the closure of each node (or seed: by, node_id) whose closure costs the allowance at most. A closure is
     given up as soon as it costs more, so each holds at most as many nodes as the allowance has tokens."""
     costs = items.select(F.col(by).alias("c_by"), F.col("node_id").alias("c_node"), "cost")
@@ -162,13 +167,14 @@ def bounded_closures(items: DataFrame, by: str, allowance: int, seeds: DataFrame
     return reached
 
 
-def mandatory_problems(items: DataFrame, by: str, mandatory: DataFrame, allowed: DataFrame, allowance: int) -> DataFrame:
+def mandatory_problems(items: DataFrame, by: str, mandatory: DataFrame, allowed: DataFrame, allowance: int | str) -> DataFrame:
     """by, code, reason, cost for tasks (by, node_id of mandatory) that can't be met: the closure of the mandatory nodes holds one that
     isn't allowed, or costs more than the allowance."""
     whole = closure_of(items, by, mandatory)
     priced = whole.join(items.select(by, "node_id", "cost"), [by, "node_id"]).join(allowed.select(by, "node_id", F.lit(True).alias("fine")).distinct(), [by, "node_id"], "left")
-    sums = priced.groupBy(by).agg(F.sum("cost").alias("cost"), F.bool_or(F.col("fine").isNull()).alias("barred"))
-    reason = F.when(F.col("barred"), "mandatory_closure_not_allowed").when(F.col("cost") > allowance, "mandatory_closure_exceeds_allowance")
+    priced = priced.join(items.groupBy(by).agg(F.max(room(allowance)).alias("room")), by)
+    sums = priced.groupBy(by).agg(F.sum("cost").alias("cost"), F.bool_or(F.col("fine").isNull()).alias("barred"), F.max("room").alias("room"))
+    reason = F.when(F.col("barred"), "mandatory_closure_not_allowed").when(F.col("cost") > F.col("room"), "mandatory_closure_exceeds_allowance")
     return sums.select(by, F.lit("CTX530").alias("code"), reason.alias("reason"), "cost").where("reason IS NOT NULL")
 
 
@@ -184,7 +190,7 @@ def closure_of(items: DataFrame, by: str, seeds: DataFrame) -> DataFrame:
     return reached
 
 
-def violations(items: DataFrame, by: str, selected: DataFrame, mandatory: DataFrame, blocked: DataFrame, allowance: int) -> DataFrame:
+def violations(items: DataFrame, by: str, selected: DataFrame, mandatory: DataFrame, blocked: DataFrame, allowance: int | str) -> DataFrame:
     """by, violation, n: duplicate, unknown, blocked, mandatory, dependency (nodes) and allowance (1) of each task's selection."""
     keys = [by, "node_id"]
     chosen, known = selected.select(*keys).distinct(), items.select(*keys)
@@ -224,15 +230,16 @@ def tie_groups(items: DataFrame, by: str) -> DataFrame:
     return groups.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= TIES)
 
 
-def cascade(counts: DataFrame, allowance: int) -> DataFrame:
+def cascade(counts: DataFrame, allowance: int | str) -> DataFrame:
     """The strategy for each task by its size; counts has n_optional, n_edges, feasible."""
     n, small = F.col("n_optional"), lambda c, most: c <= most
-    dp = small(n, DP_NODES) & F.lit(allowance <= DP_BUDGET) & ((n + 1) * (allowance + 1) <= DP_STATES) & ((n + 1) * (allowance + 1) * 64 <= DP_BYTES)
+    states = (n + 1) * (room(allowance) + 1)
+    dp = small(n, DP_NODES) & small(room(allowance), DP_BUDGET) & small(states, DP_STATES) & small(states * 64, DP_BYTES)
     choice = F.when(~F.col("feasible") | (n <= BRUTE_FORCE), "brute_force").when((F.col("n_edges") == 0) & dp, "dynamic_programming").when((n <= ILP_NODES) & (F.col("n_edges") <= ILP_EDGES), "ilp").when(F.col("n_edges") > 0, "graph_closure_greedy").otherwise("density_greedy")
     return counts.withColumn("strategy", choice)
 
 
-def trimmed(items: DataFrame, by: str, order: list[Column], allowance: int) -> DataFrame:
+def trimmed(items: DataFrame, by: str, order: list[Column], allowance: int | str) -> DataFrame:
     """items without those that no walk in the given order (and no exact search, if the order is by value) can take: nodes that need none and that none
     needs, beyond the first allowance / c of a cost c. Nodes in the graph, mandatory ones and free ones stay."""
     needed = items.select(F.col(by).alias("n_by"), F.explode("deps").alias("n_node")).distinct()
@@ -251,7 +258,7 @@ METHODS: dict[str, tuple[Callable[[Problem], frozenset], str | None]] = {
 }
 
 
-def outcome(items: DataFrame, by: str, allowance: int, strategy: str = "density_greedy", method: Callable[[Problem], frozenset] | None = None, most: int = 1_000_000) -> DataFrame:
+def outcome(items: DataFrame, by: str, allowance: int | str, strategy: str = "density_greedy", method: Callable[[Problem], frozenset] | None = None, most: int = 1_000_000) -> DataFrame:
     """by, rank, node_id, status, gap: of each task a row of rank 0 with its status, then its choice with dependencies in order.
 
     items has deps and may have mandatory and allowed. Single nodes that can't be chosen are dropped before; what is left of a
@@ -262,12 +269,12 @@ def outcome(items: DataFrame, by: str, allowance: int, strategy: str = "density_
     order = [F.col("uri"), F.col("node_id")] if primary is None else stable_key(items, F.col("value") / F.greatest(F.lit(1), F.col("cost")) if primary == "density" else F.col(primary))
     extra = [c for c in (*LINES, "mandatory", "allowed") if c in items.columns]
     scored = F.coalesce(F.col(primary), F.lit(0.0)) if primary in items.columns else F.lit(0.0)
-    rows = trimmed(items, by, order, allowance).select(by, "node_id", "cost", "value", "relevance", "uri", "deps", scored.cast("double").alias("primary"), *extra)
+    rows = trimmed(items, by, order, allowance).select(by, "node_id", "cost", "value", "relevance", "uri", "deps", scored.cast("double").alias("primary"), room(allowance).cast("long").alias("room"), *extra)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) > most:
             raise ValueError("a task has too many nodes for a walk with dependencies")
-        problem = Problem(rows, allowance)
+        problem = Problem(rows, int(rows["room"].iloc[0]))
         problem.primary = dict(zip(rows["node_id"], rows["primary"], strict=True))
         chosen = problem.ordered(run_method(problem))
         n = len(chosen)
@@ -278,7 +285,7 @@ def outcome(items: DataFrame, by: str, allowance: int, strategy: str = "density_
     return spread.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, rank long, node_id {kind['node_id']}, status string, gap double")
 
 
-def solve(items: DataFrame, by: str, allowance: int, method: Callable[[Problem], frozenset] = Problem.density) -> DataFrame:
+def solve(items: DataFrame, by: str, allowance: int | str, method: Callable[[Problem], frozenset] = Problem.density) -> DataFrame:
     """by, node_id, rank of each task's choice with dependencies."""
     strategy = "ilp" if method is Problem.exact else "density_greedy"
     return outcome(items, by, allowance, strategy, method).where("rank > 0").select(by, "node_id", "rank")
@@ -286,29 +293,29 @@ def solve(items: DataFrame, by: str, allowance: int, method: Callable[[Problem],
 
 @dataclass
 class Selection:
-    """chosen: by, node_id. record: by, requested, strategy, status, objective, used, gap, reason, code, a row for each task."""
+    """chosen: by, node_id, rank (dependencies first, then by value). record: by, requested, strategy, status, objective, used, gap, reason, code, a row for each task."""
 
     chosen: DataFrame
     record: DataFrame
 
 
-def named_strategies(items: DataFrame, by: str, allowance: int, requested: str) -> DataFrame:
+def named_strategies(items: DataFrame, by: str, allowance: int | str, requested: str) -> DataFrame:
     """by, strategy, reason: the strategy that solves each task. Where a task is beyond what the requested one can do, density with the reason."""
     of = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in items.columns else F.lit(default)
     edges = F.size(F.array_distinct("deps"))
     semantic = F.count_if(F.col("semantic_score").isNull()) if "semantic_score" in items.columns else F.count(F.lit(1))
-    counts = items.groupBy(by).agg(F.count_if(~of("mandatory", False) & of("allowed", True)).alias("n_optional"), F.count(F.lit(1)).alias("n_nodes"), F.sum(edges).alias("n_edges"), semantic.alias("n_unscored"), F.lit(True).alias("feasible"))
-    named = cascade(counts, allowance)
+    counts = items.groupBy(by).agg(F.count_if(~of("mandatory", False) & of("allowed", True)).alias("n_optional"), F.count(F.lit(1)).alias("n_nodes"), F.sum(edges).alias("n_edges"), semantic.alias("n_unscored"), F.lit(True).alias("feasible"), F.max(room(allowance)).alias("room"))
+    named = cascade(counts, "room")
     if requested == "auto":
         return named.select(by, "strategy", F.lit(None).cast("string").alias("reason"))
     n = F.col("n_optional")
-    states = (n + 1) * (allowance + 1)
-    dp = (F.col("n_edges") > 0) | (n > DP_NODES) | F.lit(allowance > DP_BUDGET) | (states > DP_STATES) | (states * 64 > DP_BYTES)
+    states = (n + 1) * (F.col("room") + 1)
+    dp = (F.col("n_edges") > 0) | (n > DP_NODES) | (F.col("room") > DP_BUDGET) | (states > DP_STATES) | (states * 64 > DP_BYTES)
     beyond = {"brute_force": (n > BRUTE_FORCE, "brute_force_nodes"), "dynamic_programming": (dp, "dynamic_programming_limits"), "ilp": ((F.col("n_nodes") > ILP_NODES) | (F.col("n_edges") > ILP_EDGES), "exact_limits"), "top_k": (F.col("n_unscored") > 0, "no_semantic_score")}.get(requested, (F.lit(False), None))
     return named.select(by, F.when(beyond[0], "density_greedy").otherwise(requested).alias("strategy"), F.when(beyond[0], beyond[1]).alias("reason"))
 
 
-def select(items: DataFrame, by: str, allowance: int, requested: str = "auto", explored: int = EXPLORED, dependency_weight: float = 0.1) -> Selection:
+def select(items: DataFrame, by: str, allowance: int | str, requested: str = "auto", explored: int = EXPLORED, dependency_weight: float = 0.1) -> Selection:
     """Each task solved by the strategy that is requested, or that the cascade names for it, with a record of how.
 
     items: by, node_id, cost, value, relevance, uri, deps; mandatory and allowed, if there are any. A task whose mandatory closure isn't allowed or
@@ -330,17 +337,20 @@ def select(items: DataFrame, by: str, allowance: int, requested: str = "auto", e
         own = rows.join(named.where(F.col("strategy") == strategy).select(by), by, "left_semi")
         nothing = (F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("gap"))
         if strategy == "dynamic_programming" and free:
-            found = exact_knapsack(own, by, allowance).select(by, F.explode_outer("chosen").alias("node_id"), *nothing)
+            found = exact_knapsack(own, by, allowance).select(by, F.explode_outer("chosen").alias("node_id"), F.lit(None).cast("long").alias("rank"), *nothing)
         elif strategy == "density_greedy" and free and own.where(F.size("deps") > 0).isEmpty():
-            found = density_greedy(own, by, allowance).select(by, "node_id", *nothing)
+            found = density_greedy(own, by, allowance).select(by, "node_id", F.lit(None).cast("long").alias("rank"), *nothing)
+        elif strategy in ROWS and free and own.where(F.size("deps") > 0).isEmpty():
+            found = ROWS[strategy](own, by, allowance).select(by, "node_id", F.lit(None).cast("long").alias("rank"), *nothing)
         else:
             method = {"ilp": lambda p: p.exact(explored), "dynamic_programming": lambda p: p.exact(explored)}.get(strategy)
-            found = outcome(own, by, allowance, "ilp" if strategy == "dynamic_programming" else strategy, method).select(by, "node_id", "status", "gap")
+            found = outcome(own, by, allowance, "ilp" if strategy == "dynamic_programming" else strategy, method).select(by, "node_id", "rank", "status", "gap")
         parts.append(found)
-    found = stored(reduce(DataFrame.unionByName, parts)) if parts else stored(rows.limit(0).select(by, "node_id", none.alias("status"), F.lit(None).cast("double").alias("gap")))
-    chosen = found.where("node_id IS NOT NULL").select(by, "node_id")
+    found = stored(reduce(DataFrame.unionByName, parts)) if parts else stored(rows.limit(0).select(by, "node_id", F.lit(None).cast("long").alias("rank"), none.alias("status"), F.lit(None).cast("double").alias("gap")))
+    priced = found.where("node_id IS NOT NULL").select(by, "node_id", F.col("rank").alias("walked")).join(rows, [by, "node_id"])
+    chosen = priced.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("walked", *stable_key(priced, F.col("value")))).cast("long")).select(by, "node_id", "rank")
     gain = F.round(F.sum(F.col("value") + dependency_weight * F.size(F.array_distinct("deps"))), 9)
-    sums = chosen.join(rows, [by, "node_id"]).groupBy(by).agg(gain.alias("objective"), F.sum("cost").cast("long").alias("used"))
+    sums = priced.groupBy(by).agg(gain.alias("objective"), F.sum("cost").cast("long").alias("used"))
     told = found.where("status IS NOT NULL").select(by, "status", "gap")
     exact = F.col("strategy").isin("brute_force", "dynamic_programming")
     status = F.when(F.col("why").isNotNull(), INFEASIBLE).when(F.col("reason").isNotNull(), "fallback").otherwise(F.coalesce("status", F.when(exact, OPTIMAL).otherwise(HEURISTIC)))
@@ -354,12 +364,16 @@ def select(items: DataFrame, by: str, allowance: int, requested: str = "auto", e
     return Selection(chosen, record)
 
 
-def exact_knapsack(items: DataFrame, by: str, allowance: int) -> DataFrame:
+def exact_knapsack(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     """by, chosen: ``knapsack`` with values of fractions, as whole numbers of 1e-9."""
     return knapsack(items.withColumn("value", F.round(F.col("value") * 1e9).cast("long")), by, allowance).select(by, "chosen")
 
 
-def select_auto(items: DataFrame, by: str, allowance: int) -> DataFrame:
+#: Walks of tasks without dependencies, streamed.
+ROWS = {"naive": naive, "recency": recency, "relevance_greedy": relevance_greedy, "top_k": top_k}
+
+
+def select_auto(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
     """by, node_id, strategy: what ``select`` chooses by the cascade."""
     done = select(items, by, allowance)
     return done.chosen.join(done.record.select(by, "strategy"), by)

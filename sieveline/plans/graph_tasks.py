@@ -62,11 +62,11 @@ def density_graph_budget(spark, sf_dir):
     return selection.solve(order_graph(spark, sf_dir, "o_custkey"), "task", CUSTOMER_ALLOWANCE).select("task", "node_id")
 
 
-@query(f"""WITH RECURSIVE {_DENSITY}, q AS MATERIALIZED (SELECT s.task, s.node_id, g.cost, g.deps FROM s JOIN g USING (task, node_id)),
-r AS (SELECT DISTINCT task, []::VARCHAR[] AS done FROM q UNION ALL SELECT task, list_append(done, node_id) FROM (SELECT r.task, r.done, q.node_id, row_number() OVER (PARTITION BY r.task ORDER BY q.cost, q.node_id) AS turn FROM r JOIN q ON q.task = r.task AND NOT list_contains(r.done, q.node_id) AND list_has_all(r.done, q.deps)) WHERE turn = 1)
+@query(f"""WITH RECURSIVE {_DENSITY}, q AS MATERIALIZED (SELECT s.task, s.node_id, g.cost, g.v, g.deps FROM s JOIN g USING (task, node_id)),
+r AS (SELECT DISTINCT task, []::VARCHAR[] AS done FROM q UNION ALL SELECT task, list_append(done, node_id) FROM (SELECT r.task, r.done, q.node_id, row_number() OVER (PARTITION BY r.task ORDER BY -q.v, q.cost, q.node_id) AS turn FROM r JOIN q ON q.task = r.task AND NOT list_contains(r.done, q.node_id) AND list_has_all(r.done, q.deps)) WHERE turn = 1)
 SELECT task, unnest(done) AS node_id, generate_subscripts(done, 1)::BIGINT AS rank FROM (SELECT task, arg_max(done, len(done)) AS done FROM r GROUP BY task)""")
 def dependency_order(spark, sf_dir):
-    """The order in which a choice is rendered: the least key among nodes whose dependencies are out."""
+    """The order in which a choice is rendered: the best value (then the rest of the key) among nodes whose dependencies are out."""
     return selection.solve(order_graph(spark, sf_dir, "o_custkey"), "task", CUSTOMER_ALLOWANCE).select("task", "node_id", "rank")
 
 

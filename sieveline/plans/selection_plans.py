@@ -256,8 +256,8 @@ def budget_enforcement(spark, sf_dir):
     """Neighbouring turns are rendered the wrong way round, so that what goes first takes turns with it that stand before it. Turn 0 is mandatory."""
     rows = stored(turns(spark, sf_dir))
     ranked = rows.select("conv_id", "node_id", F.col("node_id").bitwiseXOR(F.lit(1)).alias("rank"), F.col("cost").alias("tokens"))
-    closures = selection.bounded_closures(rows, "conv_id", 10**9)
-    done = render.enforce(ranked, closures, rows.where("node_id = 0"), "conv_id", 300, render.ROLE_TOKENS)
+    links = rows.select("conv_id", F.col("node_id").alias("src"), F.explode("deps").alias("dst"))
+    done = render.enforce(ranked, links, rows.where("node_id = 0"), "conv_id", 300, render.ROLE_TOKENS)
     return done.select("conv_id", "node_id", "kept", "iteration", "tokens_before", "tokens_after", "code")
 
 
