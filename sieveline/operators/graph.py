@@ -196,28 +196,40 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done if done is not None else left.withColumn("level", F.lit(0)).limit(0)
 
 
+def within_groups(edges: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
+    """The edges of each group (by, src, dst, edge_type): those whose two ends are nodes of it (by, node_id). Edges that have ``by`` belong to that group only."""
+    end = lambda name: nodes.select(F.col(by), F.col("node_id").alias(name)).distinct()
+    first = edges.join(end("src"), [by, "src"] if by in edges.columns else "src")
+    return first.select(by, "src", "dst", "edge_type").join(end("dst"), [by, "dst"], "left_semi").select(by, "src", "dst", "edge_type")
+
+
 def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_length: int = 8, max_paths: int = 32, by: str | None = None) -> DataFrame:
     """Simple paths from sources to the first sink on them, at most ``max_length`` edges; the first ``max_paths`` by source,
-    length and node ids, over all or within each value of the column ``by`` of sources."""
-    links = edges.select("src", "dst").distinct()
-    ends = sinks.select(F.col("node_id").alias("sink_id")).distinct()
+    length and node ids, over all or within each value of the column ``by`` of sources. Where edges or sinks have ``by`` too, a path stays among those of its own value."""
     keep = [by] if by else []
+    own = lambda df: [c for c in keep if c in df.columns]
+    links = edges.select(*[F.col(c).alias(f"l_{c}") for c in own(edges)], "src", "dst").distinct()
+    ends = sinks.select(*[F.col(c).alias(f"s_{c}") for c in own(sinks)], F.col("node_id").alias("sink_id")).distinct()
     open_paths = stored(sources.select(*keep, F.array("node_id").alias("path")).distinct())
-    found = None
+    found = sources.select(*keep, F.array("node_id").alias("path")).limit(0)
     for _ in range(max_length):
-        grown = open_paths.join(links, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(*keep, F.array_append("path", F.col("dst")).alias("path"), "dst")
-        marked = stored(grown.join(ends, grown["dst"] == ends["sink_id"], "left"))
+        if open_paths.isEmpty():
+            break
+        on = [F.element_at("path", -1) == F.col("src"), *[F.col(c) == F.col(f"l_{c}") for c in own(edges)]]
+        grown = open_paths.join(links, on).where(~F.array_contains("path", F.col("dst"))).select(*keep, F.array_append("path", F.col("dst")).alias("path"), "dst")
+        marked = stored(grown.join(ends, [F.col("dst") == F.col("sink_id"), *[F.col(c) == F.col(f"s_{c}") for c in own(sinks)]], "left"))
         closed = marked.where("sink_id IS NOT NULL").select(*keep, "path")
-        found = closed if found is None else found.unionAll(closed)
+        found = found.unionAll(closed)
         open_paths = marked.where("sink_id IS NULL").select(*keep, "path")
     order = Window.partitionBy(*(keep or [F.lit(0)])).orderBy(F.element_at("path", 1), F.size("path"), "path")
     return found.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= max_paths)
 
 
-def supersession(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Superseded node ids with their successor, and the nodes with more than one successor, which is an error."""
-    pairs = edges.where("edge_type = 'supersedes'").groupBy("src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("successor"))
-    return pairs.where("n = 1").select(F.col("src").alias("node_id"), "successor"), pairs.where("n > 1").select(F.col("src").alias("node_id"), "n")
+def supersession(edges: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Superseded node ids with their successor (within each value of ``by``), and the nodes with more than one successor, which is an error."""
+    keep = [by] if by else []
+    pairs = edges.where("edge_type = 'supersedes'").groupBy(*keep, "src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("successor"))
+    return pairs.where("n = 1").select(*keep, F.col("src").alias("node_id"), "successor"), pairs.where("n > 1").select(*keep, F.col("src").alias("node_id"), "n")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

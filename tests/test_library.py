@@ -182,3 +182,62 @@ def test_rules_in_a_table_and_in_place_agree(spark):
     told = lambda df: sorted((r["node_id"], r["content"], tuple(r["transformations"]), r["eligible"], r["blocked"]) for r in df.collect())
     assert told(joined) == told(in_place)
     assert {r[4] for r in told(joined)} == {True, False}
+
+
+def compile_rows(spark, rows, edges, tasks, budget, strategy="auto", **more):
+    schema = "task_id string, node_id string, uri string, kind string, content string, created_at timestamp, trust_domain string, sensitivity string, instruction_authority string, security_sink string, semantic_score double"
+    nodes = spark.createDataFrame([(task, i, f"u/{i}", "document", text, None, domain, level, "none", sink, None) for task, i, text, domain, level, sink in rows], schema)
+    table = spark.createDataFrame([*policy.DEFAULT_RULES, ("x-block", 9, True, "block_compilation", "CTX410", [], ["confidential"], [], []), ("y-out", 8, True, "exclude", "CTX410", ["excluded"], [], [], [])], policy.RULE)
+    return compile_tasks(nodes, spark.createDataFrame(edges, "src string, dst string, edge_type string"), tasks, table, "2024-01-01 00:00:00", budget, strategy, **more)
+
+
+def test_tasks_do_not_touch_each_other(spark):
+    node = lambda task, i, domain="repository", level="public", sink=None: (task, i, "alpha " + i, domain, level, sink)
+    rows = [node("A", "a", level="sensitive"), node("A", "old"), node("A", "b"), node("B", "x", sink="network"), node("B", "new"), node("B", "c"), node("C", "a", level="sensitive"), node("C", "x", sink="network"), node("C", "old"), node("C", "new")]
+    edges = [("a", "x", "taints"), ("old", "new", "supersedes"), ("b", "c", "requires")]
+    tasks = spark.createDataFrame([(t, ["alpha"]) for t in "ABC"], "task_id string, terms array<string>")
+    done = compile_rows(spark, rows, edges, tasks, 2000)
+    assert {(r.task_id, r.node_id) for r in done.selected.collect()} == {("A", "a"), ("A", "old"), ("A", "b"), ("B", "x"), ("B", "new"), ("B", "c"), ("C", "a"), ("C", "x"), ("C", "new")}
+    texts = {r.task_id: r.text for r in done.rendered.collect()}
+    assert "alpha a" in texts["A"] and "alpha a" not in texts["C"] and sg.REDACTED in texts["C"]
+    assert [r.code for r in done.diagnostics.where("code = 'CTX430'").collect()] == ["CTX430"]
+
+
+def test_allowance_is_what_the_instructions_leave(spark):
+    rows = [(t, i, "alpha " * n, "repository", "public", None) for t in "st" for i, n in (("a", 30), ("b", 20), ("c", 40))]
+    tasks = spark.createDataFrame([("s", ["alpha"], "You help.", "Be brief.", "No secrets.", "{}", "Say it"), ("t", ["alpha"], "", None, "", None, "")], "task_id string, terms array<string>, system string, developer string, policy string, tools string, user string")
+    done = compile_rows(spark, rows, [], tasks, 150, "naive")
+    text = {r.task_id: r for r in done.rendered.collect()}
+    assert text["s"].text.startswith("<<<GENERIC_CHAT version=1>>>\n<<<ROLE system>>>\nYou help.\n<<<END_ROLE>>>\n<<<ROLE developer>>>\nBe brief.\n\nNo secrets.\n\n{}\n<<<END_ROLE>>>\n<<<ROLE user>>>\nSay it\n<<<END_ROLE>>>\n<<<ROLE user>>>\n<<<CONTEXT node_id=a")
+    assert text["t"].text.startswith("<<<GENERIC_CHAT version=1>>>\n<<<ROLE user>>>\n<<<CONTEXT")
+    count = spark.createDataFrame([(r.task_id, r.text) for r in text.values()], "task_id string, text string").select("task_id", tx.token_count(F.col("text")).alias("n")).collect()
+    assert all(text[r.task_id].tokens == r.n <= 150 for r in count)
+    assert {(r.task_id, r.node_id) for r in done.selected.collect()} == {("s", "a"), ("t", "a"), ("t", "b")}
+    assert done.overflow.isEmpty()
+
+
+def test_compilation_keeps_dependencies_together(spark):
+    rows = [("t", i, "alpha " * n, domain, "public", None) for i, n, domain in (("a", 10, "repository"), ("b", 30, "repository"), ("c", 20, "repository"), ("d", 5, "repository"), ("e", 5, "excluded"))]
+    edges = [("a", "b", "requires"), ("d", "e", "imports"), ("c", "a", "supports")]
+    tasks = spark.createDataFrame([("t", ["alpha"])], "task_id string, terms array<string>")
+    chosen = lambda budget, strategy="auto", **more: [r.node_id for r in compile_rows(spark, rows, edges, tasks, budget, strategy, **more).selected.orderBy("rank").collect()]
+    assert chosen(2000) == ["c", "b", "a"]
+    for budget, strategy in ((100, "relevance_greedy"), (140, "graph_closure_greedy")):
+        got = chosen(budget, strategy)
+        assert got and "d" not in got and "e" not in got and ("a" not in got or got.index("b") < got.index("a"))
+    ids = lambda *names: spark.createDataFrame([("t", n) for n in names], "task_id string, node_id string")
+    assert chosen(2000, barred=ids("b")) == ["c"] and "a" in chosen(160, mandatory=ids("a"))
+    done = compile_rows(spark, rows, edges, tasks, 60, mandatory=ids("a"))
+    assert done.selected.isEmpty() and done.rendered.isEmpty() and [(r.status, r.code) for r in done.record.collect()] == [("infeasible", "CTX530")]
+
+
+def test_mandatory_nodes_that_only_the_markers_push_over_the_budget_overflow(spark):
+    rows = [("t", "a", "alpha " * 20, "repository", "public", None)]
+    tasks = spark.createDataFrame([("t", ["alpha"])], "task_id string, terms array<string>")
+    must = spark.createDataFrame([("t", "a")], "task_id string, node_id string")
+    whole = compile_rows(spark, rows, [], tasks, 2000, mandatory=must).rendered.first().tokens
+    assert compile_rows(spark, rows, [], tasks, whole, mandatory=must).rendered.first().tokens == whole
+    done = compile_rows(spark, rows, [], tasks, whole - 1, mandatory=must)
+    assert [r.task_id for r in done.overflow.collect()] == ["t"] and done.rendered.isEmpty() and {r.code for r in done.trimmed.collect()} == {"CTX510"}
+    free = compile_rows(spark, rows, [], tasks, whole - 1)
+    assert free.selected.isEmpty() and {r.code for r in free.trimmed.collect()} == {"CTX500"} and free.rendered.first().tokens <= whole - 1
