@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline.operators import capabilities as cp
+from sieveline.operators import execution
 from sieveline.operators import incremental as inc
 from sieveline.queries import query
 from sieveline.store import read_table, stored
@@ -211,3 +212,13 @@ def capability_cache(spark, sf_dir):
     reused, fresh = inc.split_by_cache(stored(keys(calls.unionByName(more))), stored(keys(calls)).select("stage", "key_identity"))
     counted = lambda df, status: df.groupBy((F.col("plan_id") % 4 == 0).alias("changed")).agg(F.lit(status).alias("status"), F.count(F.lit(1)).alias("n_plans"))
     return counted(reused, "reused").unionAll(counted(fresh, "recomputed"))
+
+
+@query("""WITH t AS (SELECT conv_id AS plan_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS place, role, conv_id % 17 = 3 AS whole, length(text) % 7 = 0 AS blocked, length(text) % 11 = 0 AS drift FROM conversations),
+d AS (SELECT plan_id, min(place) AS drift_at FROM t WHERE drift AND NOT blocked AND NOT whole GROUP BY plan_id)
+SELECT t.plan_id, place, role || place AS call_id, CASE WHEN place > drift_at THEN 'stopped' WHEN whole OR blocked THEN 'blocked' WHEN drift THEN 'drifted' ELSE 'invoked' END AS status FROM t LEFT JOIN d USING (plan_id)""")
+def execution_loop(spark, sf_dir):
+    """Turns as the calls of a plan: blocked sinks are passed over, a drift stops what comes after it."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    turns = read_table(spark, sf_dir, "conversations").withColumn("place", place.cast("long"))
+    return execution.run(turns.select(F.col("conv_id").alias("plan_id"), "place", F.concat("role", F.col("place").cast("string")).alias("call_id"), (F.col("conv_id") % 17 == 3).alias("plan_blocked"), (F.length("text") % 7 == 0).alias("blocked"), (F.length("text") % 11 == 0).alias("drift")))
