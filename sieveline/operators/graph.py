@@ -13,6 +13,8 @@ from sieveline.store import stored
 #: The edge types that carry dependencies unless others are named, and those that carry taint.
 DEPENDENCY = ("calls", "imports", "requires")
 TAINT = ("enables", "taints")
+#: The edge types that record a conflict, and its code.
+CONFLICT, CONFLICT_CODE = ("contradicts", "conflicts"), "CTX200"
 
 
 def dependency_edges(edges: DataFrame, types: tuple[str, ...] = DEPENDENCY) -> DataFrame:
@@ -235,3 +237,8 @@ def supersession(edges: DataFrame, by: str | None = None) -> tuple[DataFrame, Da
 def neighbours(edges: DataFrame) -> DataFrame:
     """node_id, neighbour: both directions, distinct."""
     return edges.select(F.col("src").alias("node_id"), F.col("dst").alias("neighbour")).unionAll(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("neighbour"))).distinct()
+
+
+def conflicts(edges: DataFrame) -> DataFrame:
+    """src, dst, edge_type, code: edges that say that their ends contradict each other. Reported in their direction, each once; nothing is kept from selection for it."""
+    return edges.where(F.col("edge_type").isin(*CONFLICT)).select("src", "dst", "edge_type", F.lit(CONFLICT_CODE).alias("code")).distinct()

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as tx
-from sieveline.operators import evidence, graph, incremental, metrics, selection
+from sieveline.operators import artifact, evidence, graph, incremental, metrics, selection
 from sieveline.plans import selection_plans as sp
 from sieveline.plans.metric_plans import _SPANS, spans
 from sieveline.plans.text_plans import _RELEVANCE, TERMS, TOKENS_SQL
 from sieveline.queries import query
 from sieveline.sources import decoding, tables
-from sieveline.store import read_table, stored
+from sieveline.store import read_table, shared_dir, stored
 
 _WALKED = f"{sp._ITEMS}, {sp._walk('i', 'lang', sp._STABLE.format('relevance'), sp.ALLOWANCE)}"
 
@@ -114,3 +116,18 @@ def strict_decoding(spark, sf_dir):
     cases = [F.concat(F.lit('{"schema_version":"1.0","k":'), k, F.lit("}")), F.concat(F.lit("["), k, F.lit("]")), F.concat(F.lit('{"schema_version":"1.0","more":1,"k":'), k, F.lit("}")), F.concat(F.lit('{"schema_version":"1.0","k":"'), k, F.lit('x"}')), F.lit('{"schema_version":"1.0"}'), F.concat(F.lit('{"schema_version":"2.0","k":'), k, F.lit("}"))]
     rows = read_table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*cases), (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
     return decoding.strict(rows, "raw", {"schema_version": "string", "k": "bigint"}, ("1.0", "1.1")).select("event_id", "outcome")
+
+
+@query("""WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents), n AS (SELECT first, list(DISTINCT doc_id::VARCHAR ORDER BY doc_id::VARCHAR) AS copies FROM f WHERE doc_id <> first GROUP BY first)
+SELECT doc_id::VARCHAR AS node_id, CASE WHEN doc_id <> f.first THEN 'excluded' WHEN doc_id % 3 = 0 THEN 'included' ELSE 'unknown' END AS status, CASE WHEN doc_id <> f.first THEN 'superseded' END AS reason, CASE WHEN doc_id <> f.first THEN 'CTX120' END AS codes,
+CASE WHEN doc_id <> f.first THEN f.first::VARCHAR ELSE array_to_string(n.copies, ',') END AS related FROM f LEFT JOIN n ON n.first = f.doc_id""")
+def artifact_explanations(spark, sf_dir):
+    """Documents exported with their copies and what was decided, then explained from the stored artifact alone."""
+    path = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    nodes = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node_id"), F.lit("document").alias("kind"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("uri"), F.sha2("text", 256).alias("content_hash"), "doc_id")
+    edges = stored(tables.copy_edges(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "edge_type"))
+    gone = edges.select(F.col("src").alias("node_id"))
+    chosen = nodes.where("doc_id % 3 = 0").join(gone, "node_id", "left_anti").select("node_id", F.col("doc_id").alias("rank"), F.lit(None).cast("string").alias("reason"))
+    left = gone.select("node_id", F.lit(None).cast("long").alias("rank"), F.lit("superseded").alias("reason"))
+    artifact.export(spark, path, {"nodes": nodes, "edges": edges, "decisions": chosen.unionByName(left), "codes": gone.select("node_id", F.lit("CTX120").alias("code"))}, {"task": "documents"})
+    return artifact.explain(artifact.read(spark, path)).select("node_id", "status", "reason", F.array_join("codes", ",").alias("codes"), F.array_join("related", ",").alias("related"))

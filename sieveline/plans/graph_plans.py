@@ -135,7 +135,9 @@ def conflict_pairs(spark, sf_dir):
     """Equal documents from another source than the first of them contradict its provenance; reported, never blocking."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("dst"), F.min_by("source", "doc_id").alias("first_source"))
-    return docs.join(first, "h").where("source <> first_source").select(F.col("doc_id").alias("src"), "dst", F.lit("CTX200").alias("code"))
+    edges = docs.join(first, "h").where("source <> first_source").select(F.col("doc_id").alias("src"), "dst", F.lit("contradicts").alias("edge_type"))
+    others = tables.copy_edges(spark, sf_dir).select("src", "dst", "edge_type")  # of other types, which are no conflicts
+    return graph.conflicts(edges.unionByName(others)).select("src", "dst", "code")
 
 
 @query("WITH " + _EDGES.strip() + ", n AS (SELECT 'nation:' || n_nationkey AS node_id FROM nation) SELECT 'in' AS direction, dst AS node_id, split_part(src, ':', 1) AS other, count(*) AS n_edges FROM edges WHERE dst IN (FROM n) GROUP BY ALL UNION ALL SELECT 'out', src, split_part(dst, ':', 1), count(*) FROM edges WHERE src IN (FROM n) GROUP BY ALL")
