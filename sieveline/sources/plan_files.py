@@ -103,3 +103,23 @@ def reference_errors(plans: Plans, tools: DataFrame, resources: DataFrame) -> Da
     twice = plans.calls.groupBy("file", "call_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = plans.calls.join(twice, ["file", "call_id"]).where("place > first").select("file", "place", none("string"), F.lit("duplicate_call"))
     return unknown_tool.unionAll(unknown).unionAll(later).unionAll(repeated)
+
+
+#: Fixed value: the domain of an approver who names none.
+APPROVER_DOMAIN = "user_instruction"
+NAMED = ("approval_id", "plan_id", "flow_identity", "approver_identity")
+
+
+def scan_approvals(texts: DataFrame, domains: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """texts: file, text. file, approval_id, plan_id, flow_identity, approver_identity, approver_domain, approved, evidence_uri of the approvals without errors; and file, code for
+    each error: not_json, not_an_object, the name of a field that isn't a text (a boolean, for approved), unknown_domain (not one of ``domains``)."""
+    whole = texts.select("file", F.try_parse_json("text").alias("v")).withColumn("kind", _kind(F.col("v")))
+    at = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(_kind(at(name)), F.lit("VOID"))
+    domain = F.when(kind("approver_trust_domain") == "VOID", APPROVER_DOMAIN).otherwise(F.coalesce(_text(F.col("v"), "$.approver_trust_domain"), F.lit("")))
+    fine = F.col("kind") == "OBJECT"
+    found = {"not_json": F.col("v").isNull(), "not_an_object": F.col("v").isNotNull() & ~F.coalesce(fine, F.lit(False))}
+    inside = {name: _text(F.col("v"), f"$.{name}").isNull() for name in NAMED} | {"approved": kind("approved") != "BOOLEAN", "evidence_uri": ~kind("evidence_uri").isin("VOID", "STRING"), "unknown_domain": ~domain.isin(*domains)}
+    tests = [F.when(condition, F.lit(code)) for code, condition in found.items()] + [F.when(fine & condition, F.lit(code)) for code, condition in inside.items()]
+    told = stored(whole.select("file", F.array_compact(F.array(*tests)).alias("codes"), *[_text(F.col("v"), f"$.{name}").alias(name) for name in NAMED], domain.alias("approver_domain"), F.try_variant_get("v", "$.approved", "boolean").alias("approved"), F.try_variant_get("v", "$.evidence_uri", "string").alias("evidence_uri")))
+    return told.where(F.size("codes") == 0).drop("codes"), told.select("file", F.explode("codes").alias("code"))

@@ -47,3 +47,15 @@ def test_references_are_checked(spark):
     plans = scanned(spark, p={"schema_version": VERSION, "plan_id": "p", "calls": calls})
     found = plan_files.reference_errors(plans, spark.createDataFrame([("t",)], "tool_id string"), spark.createDataFrame([("r",)], "resource_id string"))
     assert {(r.place, r.input_name, r.code) for r in found.collect()} == {(0, "b", "unknown_resource"), (0, "c", "call_not_before"), (0, "d", "call_not_before"), (0, "e", "unknown_call"), (1, None, "unknown_tool"), (2, None, "duplicate_call")}
+
+
+def test_approvals_and_their_errors(spark):
+    base = {"approval_id": "a", "plan_id": "p", "flow_identity": "f", "approver_identity": "user:x", "approver_trust_domain": "user_instruction", "approved": True}
+    rows = {"ok": base, "bare": {k: v for k, v in base.items() if k != "approver_trust_domain"} | {"approved": False, "evidence_uri": None}, "uri": base | {"evidence_uri": "u"}, "list": [], "cut": "{", "few": {"approval_id": "x"}, "yes": base | {"approved": "yes"}, "number": base | {"evidence_uri": 123}, "who": base | {"approver_trust_domain": "nobody", "plan_id": ""}}
+    texts = spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in rows.items()], "file string, text string")
+    good, wrong = plan_files.scan_approvals(texts, ("user_instruction", "system_policy"))
+    assert {(r.file, r.approver_domain, r.approved, r.evidence_uri) for r in good.collect()} == {("ok", "user_instruction", True, None), ("bare", "user_instruction", False, None), ("uri", "user_instruction", True, "u")}
+    found = {}
+    for r in wrong.collect():
+        found.setdefault(r.file, set()).add(r.code)
+    assert found == {"list": {"not_an_object"}, "cut": {"not_json"}, "few": {"plan_id", "flow_identity", "approver_identity", "approved"}, "yes": {"approved"}, "number": {"evidence_uri"}, "who": {"unknown_domain", "plan_id"}}
