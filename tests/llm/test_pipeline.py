@@ -76,7 +76,7 @@ def test_hard_tables(spark, tmp_path):
 @pytest.fixture(scope="module")
 def duck(sf):
     connection = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations"):
+    for name in ("documents", "embeddings", "conversations", "labels"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return connection
 
