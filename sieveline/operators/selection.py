@@ -148,25 +148,6 @@ def problem_differences(nodes: DataFrame, analyses: DataFrame, configured: DataF
     return reduce(DataFrame.unionAll, (a.select("node_id").distinct().join(b.select("node_id"), "node_id", "left_anti").select(F.lit(name).alias("problem"), "node_id") for a, b, name in parts))
 
 
-def bounded_closures(items: DataFrame, by: str, allowance: int | str, seeds: DataFrame | None = None) -> DataFrame:
-    """by, seed, node_id: the closure of each node (or seed: by, node_id) whose closure costs the allowance at most. A closure is
-    given up as soon as it costs more, so each holds at most as many nodes as the allowance has tokens."""
-    costs = items.select(F.col(by).alias("c_by"), F.col("node_id").alias("c_node"), "cost")
-    links = stored(items.select(F.col(by).alias("l_by"), F.col("node_id").alias("l_src"), F.explode("deps").alias("l_dst")).distinct())
-    priced = lambda pairs: pairs.join(costs, (F.col(by) == F.col("c_by")) & (F.col("node_id") == F.col("c_node"))).select(by, "seed", "node_id", "cost")
-    start = (items if seeds is None else seeds).select(by, F.col("node_id").alias("seed"), "node_id").distinct()
-    frontier = stored(priced(start).where(F.col("cost") <= allowance))
-    reached = frontier
-    while not frontier.isEmpty():
-        step = frontier.join(links, (F.col(by) == F.col("l_by")) & (F.col("node_id") == F.col("l_src"))).select(by, "seed", F.col("l_dst").alias("node_id")).distinct()
-        fresh = priced(step.join(reached.select(by, "seed", "node_id"), [by, "seed", "node_id"], "left_anti"))
-        both = stored(reached.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True))))
-        dear = both.groupBy(by, "seed").agg(F.sum("cost").alias("whole")).where(F.col("whole") > allowance).select(by, "seed")
-        left = stored(both.join(dear, [by, "seed"], "left_anti"))
-        frontier, reached = left.where("fresh").drop("fresh"), left.drop("fresh")
-    return reached
-
-
 def mandatory_problems(items: DataFrame, by: str, mandatory: DataFrame, allowed: DataFrame, allowance: int | str) -> DataFrame:
     """by, code, reason, cost for tasks (by, node_id of mandatory) that can't be met: the closure of the mandatory nodes holds one that
     isn't allowed, or costs more than the allowance."""

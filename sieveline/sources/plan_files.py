@@ -29,52 +29,52 @@ class Plans:
     errors: DataFrame
 
 
-def _kind(value: Column) -> Column:
+def kind_of(value: Column) -> Column:
     """OBJECT, ARRAY, STRING and so on; null where there is nothing."""
     return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
 
 
-def _text(value: Column, path: str) -> Column:
+def text_at(value: Column, path: str) -> Column:
     """The string at a path; null where it's missing, empty or something else."""
     inner = F.try_variant_get(value, path, "variant")
-    return F.when(_kind(inner) == "STRING", F.nullif(F.try_variant_get(value, path, "string"), F.lit("")))
+    return F.when(kind_of(inner) == "STRING", F.nullif(F.try_variant_get(value, path, "string"), F.lit("")))
 
 
 def _is(value: Column, kind: str) -> Column:
     """Whether it has that kind; a missing one counts."""
-    return value.isNull() | (_kind(value) == kind)
+    return value.isNull() | (kind_of(value) == kind)
 
 
 def scan(texts: DataFrame) -> Plans:
     """texts: file, text."""
-    whole = stored(texts.select("file", F.try_parse_json("text").alias("v")).withColumn("kind", _kind(F.col("v"))))
+    whole = stored(texts.select("file", F.try_parse_json("text").alias("v")).withColumn("kind", kind_of(F.col("v"))))
     fine = whole.where("kind = 'OBJECT'")
     at = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
-    read = stored(fine.select("file", _text(F.col("v"), "$.plan_id").alias("plan_id"), at("schema_version").alias("version"), at("calls").alias("calls")))
+    read = stored(fine.select("file", text_at(F.col("v"), "$.plan_id").alias("plan_id"), at("schema_version").alias("version"), at("calls").alias("calls")))
     error = lambda df, condition, code, place=None, name=None: df.where(F.coalesce(condition, F.lit(True))).select("file", (F.lit(None) if place is None else F.col(place)).cast("int").alias("place"), (F.lit(None) if name is None else F.col(name)).cast("string").alias("input_name"), F.lit(code).alias("code"))
     number = lambda name: F.try_variant_get("version", f"$.{name}", "int")
     version = F.col("version")
-    is_list = _kind(F.col("calls")) == "ARRAY"
+    is_list = kind_of(F.col("calls")) == "ARRAY"
     errors = [
         error(whole, F.col("v").isNull(), "not_json"), error(whole.where("v IS NOT NULL"), F.col("kind") != "OBJECT", "not_an_object"),
-        error(read, F.col("plan_id").isNull(), "plan_id"), error(read, version.isNull(), "no_schema_version"), error(read.where("version IS NOT NULL"), _kind(version) != "OBJECT", "schema_version_not_an_object"),
-        error(read.where(_kind(version) == "OBJECT"), ~((number("major") == MAJOR) & (number("minor") == MINOR)), "schema_version_unknown"), error(read, ~F.coalesce(is_list, F.lit(False)), "calls_not_a_list"),
+        error(read, F.col("plan_id").isNull(), "plan_id"), error(read, version.isNull(), "no_schema_version"), error(read.where("version IS NOT NULL"), kind_of(version) != "OBJECT", "schema_version_not_an_object"),
+        error(read.where(kind_of(version) == "OBJECT"), ~((number("major") == MAJOR) & (number("minor") == MINOR)), "schema_version_unknown"), error(read, ~F.coalesce(is_list, F.lit(False)), "calls_not_a_list"),
     ]
     items = read.where(is_list).select("file", F.posexplode(F.try_variant_get("calls", "$", "array<variant>")).alias("place", "c"))
     of = lambda name: F.try_variant_get("c", f"$.{name}", "variant")
-    objects = stored(items.where(_kind(F.col("c")) == "OBJECT").select("file", "place", _text(F.col("c"), "$.call_id").alias("call_id"), _text(F.col("c"), "$.tool_id").alias("tool_id"), of("input_bindings").alias("bindings"), of("literal_inputs").alias("literals"), of("requested_approvals").alias("approvals")))
+    objects = stored(items.where(kind_of(F.col("c")) == "OBJECT").select("file", "place", text_at(F.col("c"), "$.call_id").alias("call_id"), text_at(F.col("c"), "$.tool_id").alias("tool_id"), of("input_bindings").alias("bindings"), of("literal_inputs").alias("literals"), of("requested_approvals").alias("approvals")))
     errors += [
-        error(items, _kind(F.col("c")) != "OBJECT", "call_not_an_object", "place"), error(objects, F.col("call_id").isNull(), "call_id", "place"), error(objects, F.col("tool_id").isNull(), "tool_id", "place"),
+        error(items, kind_of(F.col("c")) != "OBJECT", "call_not_an_object", "place"), error(objects, F.col("call_id").isNull(), "call_id", "place"), error(objects, F.col("tool_id").isNull(), "tool_id", "place"),
         error(objects, ~_is(F.col("bindings"), "OBJECT"), "bindings_not_an_object", "place"), error(objects, ~_is(F.col("literals"), "OBJECT"), "literals_not_an_object", "place"), error(objects, ~_is(F.col("approvals"), "ARRAY"), "approvals_not_a_list", "place"),
     ]
     invalid = lambda name, what: F.coalesce(F.col(name), F.concat(F.lit(f"<invalid-{what}-"), F.col("place").cast("string"), F.lit(">")))
-    size = F.coalesce(F.size(F.when(_kind(F.col("literals")) == "OBJECT", F.try_variant_get("literals", "$", "map<string,variant>"))), F.lit(0))
-    listed = F.coalesce(F.when(_kind(F.col("approvals")) == "ARRAY", F.try_variant_get("approvals", "$", "array<string>")), F.array().cast("array<string>"))
+    size = F.coalesce(F.size(F.when(kind_of(F.col("literals")) == "OBJECT", F.try_variant_get("literals", "$", "map<string,variant>"))), F.lit(0))
+    listed = F.coalesce(F.when(kind_of(F.col("approvals")) == "ARRAY", F.try_variant_get("approvals", "$", "array<string>")), F.array().cast("array<string>"))
     calls = objects.select("file", "place", invalid("call_id", "call").alias("call_id"), invalid("tool_id", "tool").alias("tool_id"), size.cast("long").alias("n_literals"), listed.alias("approvals"))
-    named = objects.where(_kind(F.col("bindings")) == "OBJECT").select("file", "place", invalid("call_id", "call").alias("call_id"), F.explode(F.try_variant_get("bindings", "$", "map<string,variant>")).alias("input_name", "b"))
-    is_text, is_object = _kind(F.col("b")) == "STRING", _kind(F.col("b")) == "OBJECT"
+    named = objects.where(kind_of(F.col("bindings")) == "OBJECT").select("file", "place", invalid("call_id", "call").alias("call_id"), F.explode(F.try_variant_get("bindings", "$", "map<string,variant>")).alias("input_name", "b"))
+    is_text, is_object = kind_of(F.col("b")) == "STRING", kind_of(F.col("b")) == "OBJECT"
     plain = F.when(is_text, F.try_variant_get("b", "$", "string"))
-    typed = lambda path: F.when(is_object & (_kind(F.try_variant_get("b", path, "variant")) == "STRING"), F.try_variant_get("b", path, "string"))
+    typed = lambda path: F.when(is_object & (kind_of(F.try_variant_get("b", path, "variant")) == "STRING"), F.try_variant_get("b", path, "string"))
     after = F.substr(plain, F.lit(len(CALL) + 1))
     dotted = F.instr(after, ".")
     resource = F.coalesce(F.when(plain.startswith(RESOURCE), F.substr(plain, F.lit(len(RESOURCE) + 1))), typed("$.resource_id"))
@@ -113,13 +113,13 @@ NAMED = ("approval_id", "plan_id", "flow_identity", "approver_identity")
 def scan_approvals(texts: DataFrame, domains: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """texts: file, text. file, approval_id, plan_id, flow_identity, approver_identity, approver_domain, approved, evidence_uri of the approvals without errors; and file, code for
     each error: not_json, not_an_object, the name of a field that isn't a text (a boolean, for approved), unknown_domain (not one of ``domains``)."""
-    whole = texts.select("file", F.try_parse_json("text").alias("v")).withColumn("kind", _kind(F.col("v")))
+    whole = texts.select("file", F.try_parse_json("text").alias("v")).withColumn("kind", kind_of(F.col("v")))
     at = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
-    kind = lambda name: F.coalesce(_kind(at(name)), F.lit("VOID"))
-    domain = F.when(kind("approver_trust_domain") == "VOID", APPROVER_DOMAIN).otherwise(F.coalesce(_text(F.col("v"), "$.approver_trust_domain"), F.lit("")))
+    kind = lambda name: F.coalesce(kind_of(at(name)), F.lit("VOID"))
+    domain = F.when(kind("approver_trust_domain") == "VOID", APPROVER_DOMAIN).otherwise(F.coalesce(text_at(F.col("v"), "$.approver_trust_domain"), F.lit("")))
     fine = F.col("kind") == "OBJECT"
     found = {"not_json": F.col("v").isNull(), "not_an_object": F.col("v").isNotNull() & ~F.coalesce(fine, F.lit(False))}
-    inside = {name: _text(F.col("v"), f"$.{name}").isNull() for name in NAMED} | {"approved": kind("approved") != "BOOLEAN", "evidence_uri": ~kind("evidence_uri").isin("VOID", "STRING"), "unknown_domain": ~domain.isin(*domains)}
+    inside = {name: text_at(F.col("v"), f"$.{name}").isNull() for name in NAMED} | {"approved": kind("approved") != "BOOLEAN", "evidence_uri": ~kind("evidence_uri").isin("VOID", "STRING"), "unknown_domain": ~domain.isin(*domains)}
     tests = [F.when(condition, F.lit(code)) for code, condition in found.items()] + [F.when(fine & condition, F.lit(code)) for code, condition in inside.items()]
-    told = stored(whole.select("file", F.array_compact(F.array(*tests)).alias("codes"), *[_text(F.col("v"), f"$.{name}").alias(name) for name in NAMED], domain.alias("approver_domain"), F.try_variant_get("v", "$.approved", "boolean").alias("approved"), F.try_variant_get("v", "$.evidence_uri", "string").alias("evidence_uri")))
+    told = stored(whole.select("file", F.array_compact(F.array(*tests)).alias("codes"), *[text_at(F.col("v"), f"$.{name}").alias(name) for name in NAMED], domain.alias("approver_domain"), F.try_variant_get("v", "$.approved", "boolean").alias("approved"), F.try_variant_get("v", "$.evidence_uri", "string").alias("evidence_uri")))
     return told.where(F.size("codes") == 0).drop("codes"), told.select("file", F.explode("codes").alias("code"))
