@@ -1,24 +1,27 @@
 r"""Personal data: exact patterns, then information-theoretic sanitisation of the terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern in whole texts. Each
-distinct value found is a protected entity. The corpus says how much a term t reveals of an entity e: with document counts
-over all documents, PMI(e; t) = log(p(e, t) / (p(e) p(t))) and IC(e) = -log p(e); PMI / IC is 1 when t occurs only in
+distinct value found is a protected entity, and so are the parts that many values share (the name and the host of an address, the
+network of an IP address, the issuer of a card), unless ``parts`` is off. The corpus says how much a term t reveals of an entity e:
+with document counts over all distinct texts (copies are no independent evidence), PMI(e; t) = log(p(e, t) / (p(e) p(t))) and IC(e) = -log p(e); PMI / IC is 1 when t occurs only in
 documents that hold e, and 0 when they are independent. Every term of a document that holds e is judged, wherever it stands.
 Where the ratio reaches ``GENERALISE``, every occurrence of the term in the documents that hold e gets a span of kind
 ``generalise`` (the value is replaced by its shape), from ``REMOVE`` on of kind ``remove``. Chance must be ruled out: of the
 terms told for an entity an expected share of ``FALSE_SHARE`` at most may share so many documents with it by chance (Benjamini
 and Hochberg's procedure over all distinct terms of the corpus). No number of documents is asked for: the terms that only the two
 documents of an entity have are told in a common corpus, those of a single document where documents outnumber the distinct
-terms by far; elsewhere they can't be told from words that are merely rare, and stay.
+terms by far; elsewhere they can't be told from words that are merely rare, and stay. ``false_share=float("inf")`` lifts that
+test and leaves the plain threshold.
 
 All of it is DataFrame functions. Patterns start only where a run of their characters starts or where the last match
 ended, which gives the same matches as the plain patterns without trying every start of a long run. Texts are scanned for
-patterns once; terms are looked up only in rows with a hit. Entities that stand in the same documents count as one, and a
+patterns once; terms are looked up only in texts with a hit. Entities that stand in the same documents count as one, and a
 term is paired only with entities whose ratio it can reach by its document count, which loses none; pairs are counted with
 map-side combine.
 
-Defined cases: null text counts as empty; repeated rows each get their spans and each count as a document; an empty table
-gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty; rows of equal texts (by MD5) get equal spans and count as one document; very long texts
+are scanned whole, their matches in blocks; terms of equal ratio and chance are told or kept together; an empty table gives an
+empty result; other columns are ignored. A term is three letters or more: numbers and shorter words are never judged.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ GENERALISE, REMOVE, FALSE_SHARE, SUBSET = 0.9, 0.999, 0.01, 64
 TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])\p{L}[\p{L}\p{M}]{2,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 PAIRS, BLOCK = "array<struct<value:string,gap:string>>", 128
+#: An entity of more distinct texts than one in HOT_SHARE of all mentions (and HOT_LEAST) is joined by broadcast: HOT_SHARE entities at most.
+HOT_LEAST, HOT_SHARE, SALTS = 10_000, 1000, 16
 
 
 def _digits(value: Column) -> Column:
@@ -93,16 +98,16 @@ _MAY_HOLD = {"email": lambda t: t.contains("@"), "ip": lambda t: t.contains(".")
 
 
 def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Stored, one row per row of docs: uid, doc_id, spans (by start, then kind), text (of rows with spans only, unless keep_text)."""
+    """Stored, one row per row of docs: doc_id, content (MD5 of the text), spans (by start, then kind), text (of rows with spans only, unless keep_text)."""
     text = text_or_empty()
     empty = F.array().cast(SPAN)
     found = F.concat(*[F.when(_MAY_HOLD[k](text), _positions(text, k)).otherwise(empty) for k in KINDS])
     rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
     ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"))))
     spans = F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("found", found)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("found", found)
     held = F.col("text") if keep_text else F.when(F.size("found") > 0, F.col("text"))
-    return durable(rows.select("uid", "doc_id", held.alias("text"), F.when(F.size("found") > 0, spans).otherwise(empty).alias("spans")))
+    return durable(rows.select("doc_id", F.md5("text").alias("content"), held.alias("text"), F.when(F.size("found") > 0, spans).otherwise(empty).alias("spans")))
 
 
 def _words(text: Column) -> Column:
@@ -110,13 +115,37 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _groups(scanned: DataFrame) -> DataFrame:
-    """uid, grp, n_entity: the entities of each row; those that stand in the same rows are one group."""
-    held = scanned.select("uid", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))).alias("entity"))
-    # two hashes over the set of rows, 128 bits, tell the sets apart
-    rows = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("rows"), F.col("uid"))).alias("y"))
-    grouped = held.groupBy("entity").agg(rows.alias("grp"))
-    return held.join(grouped, "entity").select("uid", "grp", F.col("grp.n").alias("n_entity")).distinct()
+def distinct_texts(rows: DataFrame, *more: str) -> DataFrame:
+    """content, text and more columns that depend on it, once for each distinct text; copies are combined before the shuffle."""
+    return rows.groupBy("content").agg(*[F.first(c).alias(c) for c in ("text", *more)])
+
+
+def _entities(span: Column, parts: bool) -> Column:
+    """The protected entities of a span: its value and, if wanted, the parts of it that other values share."""
+    value = F.lower(span["value"])
+    digits = _digits(value)
+    shared = {
+        "email": [F.concat(F.lit("name:"), F.substring_index(value, "@", 1)), F.concat(F.lit("host:"), F.substring_index(value, "@", -1))],
+        "ip": [F.concat(F.lit("network:"), F.substring_index(value, ".", 3))],
+        "card": [F.concat(F.lit("issuer:"), F.substring(digits, 1, 6))],
+    }
+    found = F.array(F.concat_ws(":", span["kind"], value))
+    if parts:
+        for kind, names in shared.items():
+            found = F.when(span["kind"] == kind, F.concat(F.array(F.concat_ws(":", span["kind"], value)), F.array(*names))).otherwise(found)
+    return found
+
+
+def _groups(hits: DataFrame, parts: bool) -> DataFrame:
+    """content, grp, n_entity: the entities of each distinct text; those that stand in the same texts are one group."""
+    held = durable(hits.select("content", F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda x: _entities(x, parts))))).alias("entity")))
+    # two hashes over the set of texts, 128 bits, tell the sets apart
+    texts = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("content")).alias("x"), F.bit_xor(F.xxhash64(F.lit("texts"), F.col("content"))).alias("y"))
+    grouped = durable(held.groupBy("entity").agg(texts.alias("grp")))
+    hot = F.col("grp.n") > max(HOT_LEAST, held.count() // HOT_SHARE)
+    large = F.broadcast(grouped.where(hot))
+    joined = held.join(large, "entity").unionByName(held.join(large, "entity", "left_anti").join(grouped.where(~hot), "entity"))
+    return joined.select("content", "grp", F.col("grp.n").alias("n_entity")).distinct()
 
 
 def chance(n_both: Column, n_entity: Column, n_term: Column, n_docs: Column) -> Column:
@@ -133,16 +162,19 @@ def chance(n_both: Column, n_entity: Column, n_term: Column, n_docs: Column) ->
     return F.least(bound(n_entity, n_term), bound(n_term, n_entity), F.aggregate(each, F.lit(0.0), lambda s, x: s + x))
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float = GENERALISE, false_share: float = FALSE_SHARE) -> DataFrame:
-    """uid, term, ratio: the terms of each row that give away an entity of it, and how much of its information at most."""
-    in_docs = durable(docs.select(F.explode(_words(text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
-    sizes = scanned.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(in_docs.agg(F.count(F.lit(1)).alias("n_terms")))
+def disclosures(docs: DataFrame, scanned: DataFrame, hits: DataFrame, generalise: float = GENERALISE, false_share: float = FALSE_SHARE, parts: bool = True) -> DataFrame:
+    """content, term, ratio: the terms of each distinct text that give away an entity of it, and how much of its information at most.
+
+    hits: content, text, spans of the distinct texts with spans."""
+    texts = distinct_texts(docs.select(text_or_empty().alias("text")).withColumn("content", F.md5("text")))
+    in_docs = durable(texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    sizes = scanned.agg(F.count_distinct("content").alias("n_docs")).crossJoin(in_docs.agg(F.count(F.lit(1)).alias("n_terms")))
     # n_both is n_entity at most, so a term of more documents than this stays below the ratio
     most = F.col("n_entity") * F.pow(F.col("n_docs") / F.col("n_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
-    groups = durable(_groups(scanned).crossJoin(F.broadcast(sizes)).withColumn("most", most))
+    groups = durable(_groups(hits, parts).crossJoin(F.broadcast(sizes)).withColumn("most", most))
     reach = F.broadcast(groups.agg(F.max("most").alias("reach")))
-    counted = scanned.where(F.size("spans") > 0).select("uid", F.explode(_words(F.col("text"))).alias("term")).join(in_docs.join(reach, F.col("n_term") <= F.col("reach")).drop("reach"), "term")
-    pairs = durable(groups.join(counted, "uid").where(F.col("n_term") <= F.col("most")).drop("most"))
+    counted = hits.select("content", F.explode(_words(F.col("text"))).alias("term")).join(in_docs.join(reach, F.col("n_term") <= F.col("reach")).drop("reach"), "term")
+    pairs = durable(groups.join(counted, "content").where(F.col("n_term") <= F.col("most")).drop("most"))
     both = pairs.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("n_both"), *[F.first(c).alias(c) for c in ("n_entity", "n_term", "n_docs", "n_terms")])
     information = -F.log(F.col("n_entity") / F.col("n_docs"))
     ratio = 1 + F.log(F.col("n_both") / F.col("n_term")) / F.nullif(information, F.lit(0.0))
@@ -151,25 +183,29 @@ def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float = GENERAL
     ranked = judged.groupBy("grp", "chance").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms")).withColumn("rank", F.sum("n").over(Window.partitionBy("grp").orderBy("chance")))
     cut = ranked.where(F.col("chance") <= F.log(F.col("rank") * false_share / F.col("n_terms"))).groupBy("grp").agg(F.max("chance").alias("cut"))
     told = judged.where(F.col("ratio") >= generalise).join(cut, "grp").where("chance <= cut").select("grp", "term", "ratio")
-    return pairs.select("uid", "grp", "term").join(told, ["grp", "term"]).groupBy("uid", "term").agg(F.max("ratio").alias("ratio"))
+    return pairs.select("content", "grp", "term").join(told, ["grp", "term"]).groupBy("content", "term").agg(F.max("ratio").alias("ratio"))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """uid, term, start, end: every term of uid, text with its place."""
+    """content, term, start, end: every term of content, text with its place."""
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    each = rows.select("uid", F.posexplode(F.arrays_zip(words.alias("word"), F.split("text", TERM, -1).alias("gap")))).where(F.col("col.word").isNotNull())
-    end = F.sum(F.length("col.gap") + F.length("col.word")).over(Window.partitionBy("uid").orderBy("pos")).cast("int")
-    return each.select("uid", "col.word", end.alias("end")).select("uid", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
+    each = rows.select("content", F.posexplode(F.arrays_zip(words.alias("word"), F.split("text", TERM, -1).alias("gap")))).where(F.col("col.word").isNotNull())
+    end = F.sum(F.length("col.gap") + F.length("col.word")).over(Window.partitionBy("content").orderBy("pos")).cast("int")
+    return each.select("content", "col.word", end.alias("end")).select("content", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
-def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, false_share: float = FALSE_SHARE, keep_text: bool = False) -> DataFrame:
+def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, false_share: float = FALSE_SHARE, keep_text: bool = False, parts: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, base and added (arrays of start, end, kind), ordered by start, then kind."""
     scanned = scan(docs, keep_text)
-    told = durable(disclosures(docs, scanned, generalise, false_share))
+    hits = durable(distinct_texts(scanned.where(F.size("spans") > 0), "spans"))
+    told = durable(disclosures(docs, scanned, hits, generalise, false_share, parts))
     kind = F.when(F.col("ratio") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    places = _occurrences(scanned.where(F.size("spans") > 0).join(told.select("uid").distinct(), "uid", "left_semi").select("uid", "text"))
-    extra = places.join(told, ["uid", "term"]).groupBy("uid").agg(F.collect_list(F.struct("start", "end", kind.alias("kind"))).alias("extra")).withColumnRenamed("uid", "x_uid")
-    joined = scanned.join(extra, F.col("uid") == F.col("x_uid"), "left")
+    places = _occurrences(hits.join(told.select("content").distinct(), "content", "left_semi").select("content", "text"))
+    extra = places.join(told, ["content", "term"]).groupBy("content").agg(F.collect_list(F.struct("start", "end", kind.alias("kind"))).alias("extra"))
+    # the spans of a text go back to all its copies, which are dealt out over SALTS tasks
+    dealt = extra.select(F.col("content").alias("x_content"), "extra", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("x_salt"))
+    salted = scanned.drop(*([] if keep_text else ["text"])).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = salted.join(dealt, (F.col("content") == F.col("x_content")) & (F.col("salt") == F.col("x_salt")), "left")
     plain = "array<struct<start:int,end:int,kind:string>>"
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     return joined.select("doc_id", *(["text"] if keep_text else []), base.alias("base"), F.coalesce(F.array_sort("extra"), F.array().cast(plain)).alias("added"))

@@ -145,6 +145,7 @@ def test_pii_many_hits_in_one_text_and_plain_statistics(spark):
         rows.append((k, " ".join(words)))
     words = {k: {w.lower() for w in re.findall(r"(?<![\w@.])[A-Za-z]{3,}(?![\w@.])", t)} for k, t in rows}
     entity = {f"mail{j}@x.org": {k for k, t in rows if f"mail{j}@x.org" in t} for j in (0, 8, 16)}
+    entity["x.org"] = set().union(*entity.values())
     terms = {w: {k for k in words if w in words[k]} for w in set().union(*words.values())}
     told = collections.defaultdict(set)
     for docs_of in entity.values():
@@ -172,14 +173,14 @@ def test_pii_many_hits_in_one_text_and_plain_statistics(spark):
 
 def test_pii_terms_far_from_a_rare_entity(spark):
     far = " and".join([""] * 30)
-    rows = [(k, f"Zorblatt wrote{far} to z@x.org. Later zorblatt left") for k in range(2)] + [(k, f"Nobody wrote{far} to nobody. Later he left") for k in range(2, 400)]
+    rows = [(k, f"Zorblatt wrote{far} to z@x.org. Later zorblatt left {k}") for k in range(2)] + [(k, f"Nobody wrote{far} to nobody. Later he left {k}") for k in range(2, 400)]
     table = spark.createDataFrame(rows + [(400, "Zorblatt2 wrote here")], "doc_id long, text string")
     text = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
-    assert all(text[k] == f" wrote{far} to [EMAIL]. Later  left" for k in range(2)) and all(text[k] == t for k, t in rows[2:])
+    assert all(text[k] == f" wrote{far} to [EMAIL]. Later  left {k}" for k in range(2)) and all(text[k] == t for k, t in rows[2:])
     spans = {r.doc_id: r.spans for r in pii.personal_data(table).collect()}
     start = rows[0][1].index("z@x.org")
     assert spans[1] == f"remove:0:8,email:{start}:{start + 7},remove:{start + 15}:{start + 23}"
-    many = [(0, "Zorblatt wrote to z@x.org and y@x.org")] + [(k, "Nobody wrote to nobody and left") for k in range(1, 3000)]
+    many = [(0, "Zorblatt wrote to z@x.org and y@x.org")] + [(k, f"Nobody wrote to nobody and left {k}") for k in range(1, 3000)]
     alone = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(many, "doc_id long, text string")).collect()}
     assert alone[0] == " wrote to [EMAIL] and [EMAIL]" and alone[7] == many[7][1]
     # few documents: a word of one of them is no evidence
@@ -187,6 +188,27 @@ def test_pii_terms_far_from_a_rare_entity(spark):
     assert few[0] == "Zorblatt wrote to [EMAIL] and [EMAIL]"
 
 
+def test_pii_copies_are_no_evidence(spark):
+    """Copies of one text count once; what its distinct neighbours tell is put back on all its copies."""
+    copies = [(k, "Zorblatt wrote to z@x.org about quiet rivers") for k in range(40)]
+    others = [(k, f"Nobody wrote to nobody about loud streets {k}") for k in range(40, 200)]
+    table = spark.createDataFrame(copies + others, "doc_id long, text string").repartition(7)
+    assert all(r.n_added == 0 for r in pii.personal_data(table).collect())
+    told = [(k, f"Zorblatt wrote to z@x.org about loud streets {k}") for k in range(200, 204)] + others + copies[:3]
+    found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    assert all(found[k].spans.startswith("remove:0:8,email:") for k in (0, 1, 2, 200, 203)) and found[0].spans == found[2].spans
+    plain = {r.doc_id: r.n_added for r in pii.personal_data(table, false_share=float("inf")).collect()}
+    assert plain[0] == plain[39] == 3 and plain[40] == 0
+
+
+def test_pii_parts_are_entities(spark):
+    rows = [(k, f"Mail u{k}@zorblatt.org for the Zorblatt office in room {k}") for k in range(6)] + [(k, f"Mail u{k}@plain{k}.org for the other office in room {k}") for k in range(6, 120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.personal_data(table).collect()}
+    assert all("remove:" in found[k] for k in range(6)) and not any("remove:" in found[k] for k in range(6, 120))
+    assert not any("remove:" in r.spans for r in pii.personal_data(table, parts=False).collect())
+
+
 def test_language_model(docs, none, spark):
     got = lm.score_documents(docs, head_size=5).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
