@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.graph import neighbours
@@ -77,31 +78,82 @@ def rebuild(spark: SparkSession, path: str, current: DataFrame, build_again: Cal
     return found
 
 
-def manifest_problems(builds: DataFrame, selected: DataFrame, final: DataFrame, excluded: DataFrame, mandatory: DataFrame, trims: DataFrame, by: str) -> DataFrame:
-    """by, problem, n: where the parts of a manifest contradict each other.
-
-    builds: by, budget, source_allowance, before_tokens, final_tokens; the sets: by, node_id; trims: by, iteration, node_id,
-    tokens_before, tokens_after (a row for each removed node)."""
-    keys = [by, "node_id"]
+@dataclass
+class Manifest:
+    """What builds record of themselves, for many builds at once (``by`` names the build in every table).
+
+    builds: by, budget, source_allowance, before_tokens, final_tokens, policy (its text), policy_identity and, once sealed, build_id. The sets hold by, node_id:
+    selected (by the optimizer), final (emitted), excluded, mandatory, forced (by dependencies), blocked and barred (by security).
+    trims: by, iteration, node_id, tokens_before, tokens_after, a row for each removed node. diagnostics: by, code, node_id.
+    security_codes: by, code."""
+
+    by: str
+    builds: DataFrame
+    selected: DataFrame
+    final: DataFrame
+    excluded: DataFrame
+    mandatory: DataFrame
+    forced: DataFrame
+    blocked: DataFrame
+    barred: DataFrame
+    trims: DataFrame
+    diagnostics: DataFrame
+    security_codes: DataFrame
+
+    def identities(self) -> DataFrame:
+        """by, due_id: a hash of everything recorded of each build but its id, whatever the order of rows."""
+        facts = self.builds.drop("build_id")
+        parts = {"builds": facts} | {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("by", "builds")}
+        printed = [prints(df, self.by, *df.columns).select(self.by, F.lit(name).alias("part"), "print") for name, df in parts.items()]
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "print"))), lambda x: F.concat_ws("=", x["part"], x["print"])), ",")
+        return reduce(DataFrame.unionAll, printed).groupBy(self.by).agg(F.concat(F.lit("sha256:"), F.sha2(listed, 256)).alias("due_id"))
+
+    def sealed(self) -> Manifest:
+        """The same with each build's id."""
+        facts = self.builds.drop("build_id")
+        return replace(self, builds=stored(facts.join(self.identities().withColumnRenamed("due_id", "build_id"), self.by)))
+
+
+def policy_identity(policy: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(policy, 256))
+
+
+def manifest_problems(m: Manifest) -> DataFrame:
+    """by, problem, n: where the parts of a sealed manifest contradict each other, seventeen ways."""
+    by, keys = m.by, [m.by, "node_id"]
     counted = lambda df, name: df.groupBy(by).agg(F.lit(name).alias("problem"), F.count(F.lit(1)).alias("n"))
-    flagged = lambda condition, name: builds.where(condition).select(by, F.lit(name).alias("problem"), F.lit(1).cast("long").alias("n"))
-    steps = trims.select(by, "iteration", "tokens_before", "tokens_after").distinct()
+    flagged = lambda df, condition, name: df.where(condition).select(by, F.lit(name).alias("problem"), F.lit(1).cast("long").alias("n"))
+    missing = lambda df, within, name, on=keys: counted(df.select(*on).distinct().join(within, on, "left_anti"), name)
     order = Window.partitionBy(by).orderBy("iteration")
-    chained = steps.join(builds.select(by, "before_tokens", "final_tokens"), by).withColumns({"place": F.row_number().over(order), "due": F.coalesce(F.lag("tokens_after").over(order), "before_tokens"), "next": F.lead("iteration").over(order)})
-    removed = selected.join(final, keys, "left_anti")
-    parts = [
-        flagged("final_tokens > budget", "final count exceeds budget"),
-        flagged("source_allowance > budget", "allowance exceeds budget"),
-        counted(final.join(selected, keys, "left_anti"), "final node not selected"),
-        counted(mandatory.join(final, keys, "left_anti"), "mandatory node absent"),
-        counted(excluded.join(selected, keys, "left_semi"), "excluded node selected"),
-        counted(chained.where("iteration <> place"), "trim iterations not contiguous"),
-        counted(chained.where("tokens_before <> due"), "trim chain inconsistent"),
-        counted(chained.where("next IS NULL AND tokens_after <> final_tokens"), "last trim differs from final count"),
-        counted(trims.select(*keys).exceptAll(removed.select(*keys)).unionAll(removed.select(*keys).exceptAll(trims.select(*keys))), "trimmed nodes differ from the delta"),
-    ]
-    untrimmed = builds.join(steps.select(by).distinct(), by, "left_anti").where("before_tokens <> final_tokens")
-    return reduce(DataFrame.unionAll, [*parts, counted(untrimmed, "untrimmed counts differ")])
+    steps = m.trims.select(by, "iteration", "tokens_before", "tokens_after").distinct()
+    chained = steps.join(m.builds.select(by, "before_tokens", "final_tokens"), by).withColumns({"place": F.row_number().over(order), "due": F.coalesce(F.lag("tokens_after").over(order), "before_tokens"), "next": F.lead("iteration").over(order)})
+    trimmed, removed = m.trims.select(*keys), m.selected.select(*keys).join(m.final, keys, "left_anti")
+    untrimmed = m.builds.join(steps.select(by).distinct(), by, "left_anti")
+    superseded = m.diagnostics.where("code = 'CTX210' AND node_id IS NOT NULL")
+    # the delta is compared in builds that trimmed; the others are held by their counts
+    delta = removed.join(steps.select(by).distinct(), by, "left_semi")
+    return reduce(
+        DataFrame.unionAll,
+        [
+            flagged(m.builds.join(m.identities(), by, "left"), ~F.col("build_id").eqNullSafe(F.col("due_id")), "build_identity"),
+            flagged(m.builds, "final_tokens > budget", "final_over_budget"),
+            flagged(m.builds, "source_allowance > budget", "allowance_over_budget"),
+            missing(m.final, m.selected, "final_unselected"),
+            missing(m.forced, m.selected, "forced_absent"),
+            missing(m.mandatory, m.final, "mandatory_absent"),
+            counted(m.excluded.select(*keys).distinct().join(m.selected, keys, "left_semi"), "excluded_selected"),
+            flagged(m.builds, ~F.col("policy_identity").eqNullSafe(policy_identity(F.col("policy"))), "policy_identity"),
+            counted(m.blocked.select(*keys).distinct(), "blocked_node"),
+            missing(m.barred, m.excluded, "barred_not_excluded"),
+            missing(m.security_codes, m.diagnostics, "security_code_absent", [by, "code"]),
+            missing(superseded, m.excluded, "superseded_not_excluded"),
+            counted(chained.where("iteration <> place"), "trim_gap"),
+            counted(chained.where("tokens_before <> due"), "trim_chain"),
+            counted(chained.where("next IS NULL AND tokens_after <> final_tokens"), "trim_end"),
+            counted(trimmed.exceptAll(delta).unionAll(delta.exceptAll(trimmed)), "trim_delta"),
+            flagged(untrimmed, "before_tokens <> final_tokens", "untrimmed_counts"),
+        ],
+    )
 
 
 def explain(nodes: DataFrame, selected: DataFrame, reasons: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -85,3 +85,26 @@ def means(runs: DataFrame, by: str, millionths: dict[str, Column]) -> DataFrame:
     n = F.count(F.lit(1))
     summed = runs.groupBy(by).agg(*[F.sum(m.cast("long")).alias(name) for name, m in millionths.items()], n.alias("n_runs"))
     return summed.select(by, *[(F.floor(F.col(name) / F.col("n_runs")) / 1e6).alias(name) for name in millionths], "n_runs")
+
+
+#: What each metric says of a run without the rows that it needs: nothing asked for is met, nothing chosen wastes nothing.
+EMPTY = {"file_recall": 1.0, "file_precision": 1.0, "span_recall": 1.0, "dependency_coverage": 1.0, "useful_ratio": 1.0, "redundant_ratio": 0.0, "unsupported_ratio": 0.0, "budget_use": 0.0}
+
+
+def run_metrics(runs: DataFrame, selected: DataFrame, required: DataFrame, accepted: DataFrame, dependencies: DataFrame, by: str, budget: int) -> DataFrame:
+    """One row for each run (by, unique in runs) with all metrics that reproduce: of the ten, latency and runtime depend on the machine.
+
+    selected: by, node_id, rank, uri, start_line, end_line, tokens; required, accepted: by, uri, start_line, end_line; dependencies: by, src, dst (uris)."""
+    span = [by, "uri", "start_line", "end_line"]
+    useful = required.select(*span).unionAll(accepted.select(*span))
+    parts = [
+        file_metrics(selected, required, accepted, by),
+        span_recall(selected, required, by),
+        dependency_coverage(selected, dependencies, by),
+        token_ratios(selected, useful, by),
+        budget_use(selected.withColumn("cost", F.col("tokens")), by, budget).drop("used_tokens"),
+    ]
+    joined = runs
+    for part in parts:
+        joined = joined.join(part, by, "left")
+    return joined.select(*runs.columns, *[F.coalesce(name, F.lit(value)).alias(name) for name, value in EMPTY.items()])

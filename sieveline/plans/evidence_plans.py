@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -83,19 +84,43 @@ def node_explanations(spark, sf_dir):
     return told.select("node_id", "status", "reason", F.array_join("codes", ",").alias("codes"), F.array_join("related", ",").alias("related"))
 
 
-@query(f"""WITH {sp._TURNS}, k AS (SELECT conv_id, sum(cost)::BIGINT AS total, (sum(cost) FILTER (node_id % 3 <> 2))::BIGINT AS short, max(node_id) AS last FROM t GROUP BY conv_id)
-SELECT conv_id, 'final count exceeds budget' AS problem, 1 AS n FROM k WHERE short > 400 UNION ALL SELECT conv_id, 'allowance exceeds budget', 1 FROM k WHERE conv_id % 7 = 0
-UNION ALL SELECT conv_id, 'mandatory node absent', 1 FROM k WHERE last >= 2 UNION ALL SELECT conv_id, 'trim chain inconsistent', 1 FROM k WHERE last >= 2 AND conv_id % 3 = 0
-UNION ALL SELECT conv_id, 'excluded node selected', 1 FROM k WHERE conv_id % 5 = 0 UNION ALL SELECT conv_id, 'trimmed nodes differ from the delta', 1 FROM k WHERE last >= 5""")
-def manifest_consistency(spark, sf_dir):
-    """Manifests of conversations that trimmed every third turn but record only turn 2, some with a wrong chain or allowance."""
+def recorded(spark, sf_dir):
+    """Manifests of conversations that left out every third turn, but record turn 2 alone; ids and some parts are wrong in some conversations."""
     rows = stored(sp.turns(spark, sf_dir))
     final = rows.where("node_id % 3 <> 2")
-    kept = final.groupBy("conv_id").agg(F.sum("cost").alias("final_tokens"))
-    builds = stored(rows.groupBy("conv_id").agg(F.sum("cost").alias("before_tokens")).join(kept, "conv_id").select("conv_id", F.lit(400).alias("budget"), F.when(F.col("conv_id") % 7 == 0, 401).otherwise(400).alias("source_allowance"), "before_tokens", "final_tokens"))
-    removed = rows.where("node_id = 2").join(builds, "conv_id")
-    trims = removed.select("conv_id", F.lit(1).alias("iteration"), "node_id", F.when(F.col("conv_id") % 3 == 0, F.col("before_tokens") + 1).otherwise(F.col("before_tokens")).alias("tokens_before"), F.col("final_tokens").alias("tokens_after"))
-    return evidence.manifest_problems(builds, rows, final, rows.where("conv_id % 5 = 0 AND node_id = 0"), rows.where("node_id = 2"), trims, "conv_id")
+    sums = rows.groupBy("conv_id").agg(F.sum("cost").alias("before_tokens")).join(final.groupBy("conv_id").agg(F.sum("cost").alias("final_tokens")), "conv_id")
+    policy = F.concat(F.lit("policy of "), F.col("conv_id").cast("string"))
+    stated = F.when(F.col("conv_id") % 13 == 0, F.lit("another")).otherwise(evidence.policy_identity(policy))
+    builds = stored(sums.select("conv_id", F.lit(400).alias("budget"), F.when(F.col("conv_id") % 7 == 0, 401).otherwise(400).alias("source_allowance"), "before_tokens", "final_tokens", policy.alias("policy"), stated.alias("policy_identity")))
+    removed = rows.where("node_id = 2 AND conv_id % 17 <> 0").join(builds, "conv_id")
+    before = F.when(F.col("conv_id") % 3 == 0, F.col("before_tokens") + 1).otherwise(F.col("before_tokens"))
+    after = F.when(F.col("conv_id") % 19 == 0, F.col("final_tokens") - 1).otherwise(F.col("final_tokens"))
+    trims = removed.select("conv_id", F.when(F.col("conv_id") % 23 == 0, 2).otherwise(1).alias("iteration"), "node_id", before.alias("tokens_before"), after.alias("tokens_after"))
+    nodes = lambda condition: rows.where(condition).select("conv_id", "node_id")
+    code = lambda condition, name: rows.where(condition).select("conv_id", F.lit(name).alias("code"), "node_id")
+    excluded = nodes("(conv_id % 5 = 0 AND node_id = 0) OR (conv_id % 2 = 0 AND node_id = 1)")
+    diagnostics = code("node_id = 1 AND conv_id % 29 < 15", "CTX210").unionAll(code("conv_id % 31 <> 0 AND node_id = 0", "CTX410"))
+    barred = nodes("conv_id % 4 = 0 AND node_id IN (0, 1)")
+    chosen = rows.where("NOT (conv_id % 2 = 0 AND node_id = 1)")
+    return evidence.Manifest("conv_id", builds, chosen.select("conv_id", "node_id"), final.select("conv_id", "node_id"), excluded, nodes("node_id = 2"), nodes("node_id = 1"), nodes("conv_id % 37 = 0 AND node_id = 0"), barred, trims, diagnostics, code("node_id = 0", "CTX410").select("conv_id", "code"))
+
+
+_EX = "((conv_id % 5 = 0 AND node_id = 0) OR (conv_id % 2 = 0 AND node_id = 1))"
+
+
+@query(f"""WITH {sp._TURNS}, k AS (SELECT conv_id, sum(cost)::BIGINT AS total, coalesce((sum(cost) FILTER (node_id % 3 <> 2))::BIGINT, 0) AS short, bool_or(node_id = 2) AND conv_id % 17 <> 0 AS trimmed FROM t GROUP BY conv_id HAVING count(*) FILTER (node_id % 3 <> 2) > 0),
+p AS (SELECT conv_id, 'build_identity' AS problem FROM k WHERE conv_id % 11 = 0 UNION ALL SELECT conv_id, 'final_over_budget' FROM k WHERE short > 400 UNION ALL SELECT conv_id, 'allowance_over_budget' FROM k WHERE conv_id % 7 = 0
+UNION ALL SELECT conv_id, 'final_unselected' FROM t WHERE conv_id % 2 = 0 AND node_id = 1 UNION ALL SELECT conv_id, 'forced_absent' FROM t WHERE conv_id % 2 = 0 AND node_id = 1 UNION ALL SELECT conv_id, 'mandatory_absent' FROM t WHERE node_id = 2
+UNION ALL SELECT conv_id, 'excluded_selected' FROM t WHERE conv_id % 5 = 0 AND node_id = 0 UNION ALL SELECT conv_id, 'policy_identity' FROM k WHERE conv_id % 13 = 0 UNION ALL SELECT conv_id, 'blocked_node' FROM t WHERE conv_id % 37 = 0 AND node_id = 0
+UNION ALL SELECT conv_id, 'barred_not_excluded' FROM t WHERE conv_id % 4 = 0 AND node_id IN (0, 1) AND NOT {_EX} UNION ALL SELECT conv_id, 'security_code_absent' FROM t WHERE conv_id % 31 = 0 AND node_id = 0
+UNION ALL SELECT conv_id, 'superseded_not_excluded' FROM t WHERE node_id = 1 AND conv_id % 29 < 15 AND NOT {_EX} UNION ALL SELECT conv_id, 'trim_gap' FROM k WHERE trimmed AND conv_id % 23 = 0 UNION ALL SELECT conv_id, 'trim_chain' FROM k WHERE trimmed AND conv_id % 3 = 0
+UNION ALL SELECT conv_id, 'trim_end' FROM k WHERE trimmed AND conv_id % 19 = 0 UNION ALL SELECT t.conv_id, 'trim_delta' FROM t JOIN k USING (conv_id) WHERE trimmed AND node_id % 3 = 2 AND node_id > 2 UNION ALL SELECT conv_id, 'untrimmed_counts' FROM k WHERE NOT trimmed AND short <> total)
+SELECT conv_id, problem, count(*) AS n FROM p GROUP BY ALL""")
+def manifest_consistency(spark, sf_dir):
+    """Every contradiction inside every manifest; the ids of some were altered after they were sealed."""
+    sealed = recorded(spark, sf_dir).sealed()
+    altered = sealed.builds.withColumn("build_id", F.when(F.col("conv_id") % 11 == 0, F.lit("sha256:0")).otherwise(F.col("build_id")))
+    return evidence.manifest_problems(replace(sealed, builds=altered))
 
 
 @query("SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second, count(DISTINCT lang) AS n_tasks FROM documents")

@@ -4,6 +4,9 @@ documents that start close to each other share some."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.operators import metrics, selection
@@ -124,3 +127,61 @@ def incident_metrics(spark, sf_dir):
     act = lambda condition: F.when(condition, "redact").otherwise("none").alias("action")
     found = metrics.incident_metrics(edges, wanted, node.where("node_id % 2 = 0"), node.where(F.length("text") < 300), node.select("conv_id", "node_id", act(F.length("text") % 3 == 0)), node.select("conv_id", "node_id", act(F.col("node_id") % 2 == 0)), "conv_id")
     return found.select("conv_id", *[F.round(n, 6).alias(n) for n in ("relation_coverage", "superseded_exclusion", "security_correctness")])
+
+
+_CHOSEN = " UNION ALL ".join(
+    f"SELECT '{name}' AS strategy, lang, node_id, cost, rank FROM (WITH RECURSIVE {sp._walk('i', 'lang', order, sp.ALLOWANCE, where)} SELECT lang, node_id, cost, rank FROM s)"
+    for name, order, where in (("density_greedy", sp._STABLE.format("value / greatest(1, cost)"), "value > 0"), ("naive", "uri, node_id", "true"), ("relevance_greedy", sp._STABLE.format("relevance"), "true"))
+)
+_RUNS = f"""{sp._ITEMS}, a AS MATERIALIZED ({_CHOSEN}),
+d AS MATERIALIZED (SELECT doc_id, lang, source AS uri, (doc_id % 97)::INT AS start_line, (doc_id % 97 + n_chars // 500)::INT AS end_line, quality FROM documents LEFT JOIN labels USING (doc_id)),
+st AS (SELECT unnest(['density_greedy', 'naive', 'relevance_greedy']) AS strategy), rn AS MATERIALIZED (SELECT strategy, lang FROM st, (SELECT DISTINCT lang FROM d WHERE lang IS NOT NULL)),
+req AS (SELECT strategy, d.* FROM d, st WHERE quality = 1), acc AS (SELECT strategy, d.* FROM d, st WHERE doc_id - 1 IN (SELECT doc_id FROM d WHERE quality = 1)),
+se AS MATERIALIZED (SELECT a.strategy, a.lang, a.node_id, a.rank, a.cost AS tokens, d.uri, d.start_line, d.end_line FROM a JOIN d ON d.doc_id = a.node_id),
+nf AS (SELECT DISTINCT strategy, lang, uri FROM req), ff AS (FROM nf UNION SELECT strategy, lang, uri FROM acc), hf AS (SELECT DISTINCT strategy, lang, uri FROM se),
+nl AS (SELECT DISTINCT strategy, lang, uri, unnest(range(start_line, end_line + 1)) AS line FROM req), fl AS MATERIALIZED (FROM nl UNION SELECT DISTINCT strategy, lang, uri, unnest(range(start_line, end_line + 1)) FROM acc),
+sl AS MATERIALIZED (SELECT strategy, lang, uri, node_id, rank, tokens / (end_line - start_line + 1) AS share, unnest(range(start_line, end_line + 1)) AS line FROM se), hl AS (SELECT DISTINCT strategy, lang, uri, line FROM sl),
+dp AS (SELECT st.strategy, x.lang, x.uri AS src, y.uri AS dst FROM d x JOIN d y ON y.doc_id = x.doc_id + 1 AND y.lang = x.lang, st),
+m1 AS (SELECT nf.strategy, nf.lang, count(hf.uri) / count(*) AS v FROM nf LEFT JOIN hf USING (strategy, lang, uri) GROUP BY ALL), m2 AS (SELECT hf.strategy, hf.lang, count(ff.uri) / count(*) AS v FROM hf LEFT JOIN ff USING (strategy, lang, uri) GROUP BY ALL),
+m3 AS (SELECT nl.strategy, nl.lang, count(hl.line) / count(*) AS v FROM nl LEFT JOIN hl USING (strategy, lang, uri, line) GROUP BY ALL),
+m4 AS (SELECT dp.strategy, dp.lang, count(*) FILTER (x.uri IS NOT NULL AND y.uri IS NOT NULL) / count(*) AS v FROM dp LEFT JOIN hf x ON x.strategy = dp.strategy AND x.lang = dp.lang AND x.uri = dp.src LEFT JOIN hf y ON y.strategy = dp.strategy AND y.lang = dp.lang AND y.uri = dp.dst GROUP BY ALL),
+tl AS (SELECT sl.*, fl.line IS NOT NULL AS good, row_number() OVER (PARTITION BY sl.strategy, sl.lang, sl.uri, sl.line ORDER BY rank, node_id) AS turn FROM sl LEFT JOIN fl ON fl.strategy = sl.strategy AND fl.lang = sl.lang AND fl.uri = sl.uri AND fl.line = sl.line),
+m5 AS (SELECT strategy, lang, coalesce(sum(share) FILTER (good AND turn = 1), 0) / sum(share) AS u, coalesce(sum(share) FILTER (good AND turn > 1), 0) / sum(share) AS r, coalesce(sum(share) FILTER (NOT good), 0) / sum(share) AS x FROM tl GROUP BY ALL),
+m6 AS (SELECT strategy, lang, sum(tokens) / {sp.ALLOWANCE} AS v FROM se GROUP BY ALL),
+ms AS (SELECT rn.strategy, rn.lang, round(coalesce(m1.v, 1), 9) AS file_recall, round(coalesce(m2.v, 1), 9) AS file_precision, round(coalesce(m3.v, 1), 9) AS span_recall, round(coalesce(m4.v, 1), 9) AS dependency_coverage, round(coalesce(m5.u, 1), 9) AS useful_ratio,
+ round(coalesce(m5.r, 0), 9) AS redundant_ratio, round(coalesce(m5.x, 0), 9) AS unsupported_ratio, round(coalesce(m6.v, 0), 9) AS budget_use
+ FROM rn LEFT JOIN m1 USING (strategy, lang) LEFT JOIN m2 USING (strategy, lang) LEFT JOIN m3 USING (strategy, lang) LEFT JOIN m4 USING (strategy, lang) LEFT JOIN m5 USING (strategy, lang) LEFT JOIN m6 USING (strategy, lang))"""
+
+
+def runs(spark, sf_dir):
+    """strategy, lang and the metrics of each selection strategy's run over each language's documents, to nine places. A run must cover the
+    lines of its language's good documents; those next to a good one are accepted; a document depends on the next one of its language."""
+    items = sp.items(spark, sf_dir)
+    strategies = {"density_greedy": selection.density_greedy, "naive": selection.naive, "relevance_greedy": selection.relevance_greedy}
+    picked = [choose(items, "lang", sp.ALLOWANCE).select(F.lit(name).alias("strategy"), "node_id", "cost", "rank") for name, choose in strategies.items()]
+    chosen = stored(reduce(DataFrame.unionAll, picked))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    line = (F.col("doc_id") % 97).cast("int")
+    docs = read_table(spark, sf_dir, "documents").where("lang IS NOT NULL").join(labels, "doc_id", "left")
+    rows = stored(docs.select("doc_id", "lang", F.col("source").alias("uri"), line.alias("start_line"), (F.col("doc_id") % 97 + F.floor(F.col("n_chars") / 500)).cast("int").alias("end_line"), "quality"))
+    each = lambda df: df.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies)))).withColumn("run", run)
+    run = F.concat_ws("|", "strategy", "lang")
+    selected = stored(chosen.join(rows, F.col("node_id") == F.col("doc_id")).select(run.alias("run"), "node_id", "rank", "uri", "start_line", "end_line", F.col("cost").alias("tokens")))
+    good = rows.where("quality = 1")
+    accepted = rows.join(good.select((F.col("doc_id") + 1).alias("doc_id")), "doc_id", "left_semi")
+    following = rows.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("uri").alias("dst"))
+    needs = rows.join(following, ["doc_id", "lang"]).select("lang", F.col("uri").alias("src"), "dst")
+    measured = metrics.run_metrics(each(rows.select("lang").distinct()), selected, each(good), each(accepted), each(needs), "run", sp.ALLOWANCE)
+    return measured.select("strategy", "lang", *[F.round(name, 9).alias(name) for name in metrics.EMPTY])
+
+
+@query(f"WITH RECURSIVE {_RUNS} SELECT strategy, lang, {', '.join(f'round({m}, 6) AS {m}' for m in metrics.EMPTY)} FROM ms")
+def run_metrics(spark, sf_dir):
+    """All metrics of each strategy's run over each language."""
+    return runs(spark, sf_dir).select("strategy", "lang", *[F.round(name, 6).alias(name) for name in metrics.EMPTY])
+
+
+@query(f"WITH RECURSIVE {_RUNS} SELECT strategy, {', '.join(f'(sum(round({m} * 1000000)::BIGINT) // count(*))::BIGINT / 1000000 AS {m}' for m in metrics.EMPTY)}, count(*) AS n_runs FROM ms GROUP BY strategy")
+def strategy_report(spark, sf_dir):
+    """The unweighted mean of every metric over a strategy's runs."""
+    return metrics.means(runs(spark, sf_dir), "strategy", {name: F.round(F.col(name) * 1e6) for name in metrics.EMPTY})
