@@ -73,7 +73,7 @@ def relevance_by_terms(content: Column, task_terms: Column) -> Column:
 def freshness(created_at: Column, anchor: Column) -> Column:
     """1 / (1 + age in days); ages below zero count as zero, no time as no freshness."""
     age = F.greatest(F.lit(0.0), (F.unix_micros(anchor) - F.unix_micros(created_at.cast("timestamp"))) / F.lit(1e6)) / F.lit(86400.0)
-    return F.coalesce(1 / (1 + age), F.lit(0.0))
+    return F.when(created_at.isNull() | anchor.isNull(), F.lit(0.0)).otherwise(1 / (1 + age))  # greatest() passes over nulls
 
 
 #: The weights of a node's base value.
@@ -85,6 +85,12 @@ def base_value(**parts: Column) -> Column:
     return F.round(reduce(lambda a, b: a + b, (value * F.lit(WEIGHTS[name]) for name, value in parts.items())), 12)
 
 
+def analysis(content: Column, task_terms: Column, created_at: Column, anchor: Column) -> dict[str, Column]:
+    """What is found out of a node before selection. Trust, risk and redundancy have weights, but nothing measures them: they are zero."""
+    nothing = F.lit(0.0)
+    return {"relevance": relevance_by_terms(content, task_terms), "freshness": freshness(created_at, anchor), "token_count": token_count(content), "trust": nothing, "risk": nothing, "redundancy": nothing}
+
+
 def module_name(path: Column) -> Column:
     """A source path as a dotted name, without the suffix of a package's own file."""
     dotted = F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))

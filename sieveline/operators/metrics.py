@@ -108,3 +108,33 @@ def run_metrics(runs: DataFrame, selected: DataFrame, required: DataFrame, accep
     for part in parts:
         joined = joined.join(part, by, "left")
     return joined.select(*runs.columns, *[F.coalesce(name, F.lit(value)).alias(name) for name, value in EMPTY.items()])
+
+
+#: What a suite of tasks must offer, as counts of tasks: all, those with dependencies, those with each wanted tag.
+LEAST_TASKS, LEAST_DEPENDENT = 5, 2
+
+
+def span_problems(spans: DataFrame, sources: DataFrame, changed: DataFrame, by: str) -> DataFrame:
+    """by, uri, start_line, end_line, problem: ground truth that its sources don't bear out. ``no_reason`` (null or blank), ``bad_bounds`` (before line 1 or
+    ending before its start), ``no_source``, ``beyond_source``, ``unchanged_source`` (no part of the task's change).
+
+    spans: by, uri, start_line, end_line, reason; sources: uri, n_lines (unique by uri); changed: by, uri."""
+    known = sources.select("uri", F.greatest(F.lit(1), F.col("n_lines")).alias("n_lines"))
+    moved = changed.select(by, "uri").distinct().withColumn("moved", F.lit(True))
+    joined = spans.join(known, "uri", "left").join(moved, [by, "uri"], "left")
+    tests = {
+        "no_reason": F.coalesce(F.length(F.trim("reason")), F.lit(0)) == 0,
+        "bad_bounds": (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")),
+        "no_source": F.col("n_lines").isNull(),
+        "beyond_source": F.col("end_line") > F.col("n_lines"),
+        "unchanged_source": F.col("moved").isNull(),
+    }
+    found = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in tests.items()]))
+    return joined.select(by, "uri", "start_line", "end_line", F.explode(found).alias("problem"))
+
+
+def suite_problems(tasks: DataFrame, tags: list[str]) -> DataFrame:
+    """problem: what a suite lacks. tasks: task_id, n_dependencies, tags."""
+    counts = tasks.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_dependencies") > 0).alias("d"), *[F.count_if(F.array_contains("tags", tag)).alias(f"t{k}") for k, tag in enumerate(tags)])
+    lacking = [F.when(F.col("n") < LEAST_TASKS, "few_tasks"), F.when(F.col("d") < LEAST_DEPENDENT, "few_dependent_tasks"), *[F.when(F.col(f"t{k}") == 0, f"no_task:{tag}") for k, tag in enumerate(tags)]]
+    return counts.select(F.explode(F.array_compact(F.array(*lacking))).alias("problem"))

@@ -222,3 +222,24 @@ def execution_loop(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
     turns = read_table(spark, sf_dir, "conversations").withColumn("place", place.cast("long"))
     return execution.run(turns.select(F.col("conv_id").alias("plan_id"), "place", F.concat("role", F.col("place").cast("string")).alias("call_id"), (F.col("conv_id") % 17 == 3).alias("plan_blocked"), (F.length("text") % 7 == 0).alias("blocked"), (F.length("text") % 11 == 0).alias("drift")))
+
+
+@query("""WITH t AS (SELECT conv_id AS plan_id, conv_id % 7 AS suite, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS place, role, text, conv_id % 17 = 3 AS whole, length(text) % 7 = 0 AS blocked, length(text) % 11 = 0 AS drift FROM conversations),
+d AS (SELECT plan_id, min(place) AS drift_at FROM t WHERE drift AND NOT blocked AND NOT whole GROUP BY plan_id),
+r AS (SELECT t.*, role || place AS call_id, CASE WHEN place > drift_at THEN 'stopped' WHEN whole OR blocked THEN 'blocked' WHEN drift THEN 'drifted' ELSE 'invoked' END AS status FROM t LEFT JOIN d USING (plan_id)),
+p AS (SELECT suite, plan_id, count(*) FILTER (length(text) % 13 = 0 AND status IN ('invoked', 'drifted')) AS leaks, count(*) FILTER (status = 'invoked') AS i, count(*) FILTER (status = 'drifted') AS d, count(*) FILTER (status = 'blocked') AS b, count(*) FILTER (status = 'stopped') AS s FROM r GROUP BY ALL),
+c AS (SELECT suite, count(DISTINCT call_id) FILTER (status = 'blocked') AS n_blocked_calls, count(DISTINCT plan_id || ':' || place) FILTER (role = 'user') AS n_approvals FROM r GROUP BY suite)
+SELECT p.suite, count(*) AS n_plans, count(*) FILTER (leaks = 0) AS n_passed, sum(i)::BIGINT AS n_invoked, sum(d)::BIGINT AS n_drifted, sum(b)::BIGINT AS n_blocked, sum(s)::BIGINT AS n_stopped, any_value(n_blocked_calls) AS n_blocked_calls, any_value(n_approvals) AS n_approvals, sum(leaks)::BIGINT AS n_leaks, true AS repeats, true AS tells_changes
+FROM p JOIN c USING (suite) GROUP BY p.suite""")
+def suite_rollup(spark, sf_dir):
+    """Conversations as plans in seven suites. The identity must repeat from rows in another order and partitioning, and differ where one status does."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    turns = stored(read_table(spark, sf_dir, "conversations").withColumn("place", place.cast("long")))
+    calls = turns.select(F.col("conv_id").alias("plan_id"), "place", F.concat("role", F.col("place").cast("string")).alias("call_id"), (F.col("conv_id") % 17 == 3).alias("plan_blocked"), (F.length("text") % 7 == 0).alias("blocked"), (F.length("text") % 11 == 0).alias("drift"))
+    leaks = turns.select(F.col("conv_id").alias("plan_id"), "place", (F.length("text") % 13 == 0).alias("leaked"))
+    ran = stored(execution.run(calls).join(leaks, ["plan_id", "place"]).withColumn("suite", F.col("plan_id") % 7))
+    flows = turns.select((F.col("conv_id") % 7).alias("suite"), F.col("conv_id").alias("plan_id"), F.concat_ws(":", "conv_id", "place").alias("flow_id"), F.when(F.col("role") == "user", "pending").otherwise("allowed").alias("status"))
+    one = stored(execution.suite(ran, flows, "suite"))
+    again = execution.suite(ran.repartitionByRange(5, F.desc("place")), flows.repartition(3, "flow_id"), "suite").select("suite", F.col("identity").alias("second"))
+    other = execution.suite(ran.withColumn("status", F.when(F.col("place") == 0, "altered").otherwise(F.col("status"))), flows, "suite").select("suite", F.col("identity").alias("third"))
+    return one.join(again, "suite").join(other, "suite").withColumn("repeats", F.col("identity") == F.col("second")).withColumn("tells_changes", F.col("identity") != F.col("third")).drop("identity", "second", "third")

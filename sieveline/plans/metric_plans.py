@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.functions import text as tx
 from sieveline.operators import metrics, selection
 from sieveline.plans import selection_plans as sp
+from sieveline.plans.text_plans import LINES_SQL
 from sieveline.queries import query
 from sieveline.sources import tables
 from sieveline.store import read_table, stored
@@ -185,3 +187,27 @@ def run_metrics(spark, sf_dir):
 def strategy_report(spark, sf_dir):
     """The unweighted mean of every metric over a strategy's runs."""
     return metrics.means(runs(spark, sf_dir), "strategy", {name: F.round(F.col(name) * 1e6) for name in metrics.EMPTY})
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, 'doc://' || doc_id AS uri, doc_id % 40 AS start_line, doc_id % 40 + doc_id % 9 - 1 AS end_line, {LINES_SQL} AS n_lines FROM documents),
+p AS (SELECT *, 'no_reason' AS problem FROM d WHERE doc_id % 11 = 0 UNION ALL SELECT *, 'bad_bounds' FROM d WHERE start_line < 1 OR end_line < start_line UNION ALL SELECT *, 'no_source' FROM d WHERE doc_id % 13 = 0
+UNION ALL SELECT *, 'beyond_source' FROM d WHERE doc_id % 13 <> 0 AND end_line > greatest(1, n_lines) UNION ALL SELECT *, 'unchanged_source' FROM d WHERE doc_id % 7 = 0) SELECT source, uri, start_line::INT AS start_line, end_line::INT AS end_line, problem FROM p""")
+def span_validation(spark, sf_dir):
+    """A span of each document, held against the document's own lines: some have bad bounds or end beyond it, lack a reason, a source or a change."""
+    docs = read_table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    rows = docs.select("doc_id", "source", F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("uri"), tx.line_count(F.col("text")).alias("n_lines"))
+    at = F.col("doc_id") % 40
+    spans = rows.select("source", "uri", at.cast("int").alias("start_line"), (at + F.col("doc_id") % 9 - 1).cast("int").alias("end_line"), F.when(F.col("doc_id") % 11 == 0, " ").otherwise("needed").alias("reason"))
+    return metrics.span_problems(spans, rows.where("doc_id % 13 <> 0").select("uri", "n_lines"), rows.where("doc_id % 7 <> 0"), "source")
+
+
+@query("""WITH d AS (SELECT source, doc_id, doc_id % 97 AS s, doc_id % 97 + n_chars // 500 AS e FROM documents WHERE source IS NOT NULL), n AS (SELECT *, lead(s) OVER w AS s2, lead(e) OVER w AS e2 FROM d WINDOW w AS (PARTITION BY source ORDER BY s, doc_id))
+SELECT source, count(*) AS n_pairs, count(*) FILTER (least(e, e2) >= greatest(s, s2)) AS n_overlapping, sum(greatest(0, least(e, e2) - greatest(s, s2) + 1))::BIGINT AS shared_lines FROM n WHERE s2 IS NOT NULL GROUP BY source""")
+def span_overlaps(spark, sf_dir):
+    """How many lines each span shares with the one that starts next in its source."""
+    line = F.col("doc_id") % 97
+    rows = read_table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", "doc_id", line.alias("s"), (line + F.floor(F.col("n_chars") / 500)).alias("e"))
+    order = Window.partitionBy("source").orderBy("s", "doc_id")
+    pairs = rows.select("source", "s", "e", F.lead("s").over(order).alias("s2"), F.lead("e").over(order).alias("e2")).where("s2 IS NOT NULL")
+    shared = tx.overlap_lines(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))
+    return pairs.select("source", shared.alias("shared")).groupBy("source").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("shared") > 0).alias("n_overlapping"), F.sum("shared").alias("shared_lines"))

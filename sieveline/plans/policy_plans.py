@@ -166,3 +166,22 @@ def flow_diagnostics(spark, sf_dir):
     rules = spark.createDataFrame(policy.DEFAULT_RULES, policy.RULE)
     coded = policy.diagnostics(nodes, policy.match_rules(nodes, rules), policy.flows(nodes, edges, rules, "user_id"))
     return coded.groupBy("code").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query("""WITH t AS (SELECT CASE role WHEN 'system' THEN 'system_policy' WHEN 'user' THEN 'user_instruction' ELSE 'developer_instruction' END AS domain, conv_id, turn FROM conversations),
+p AS (SELECT a.domain AS first, b.domain AS second FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1), o AS (SELECT * FROM (VALUES ('system_policy', 0), ('developer_instruction', 1), ('user_instruction', 2)) v(domain, place))
+SELECT first, second, x.place <= y.place AS dominates, count(*) AS n_turns FROM p JOIN o x ON x.domain = first JOIN o y ON y.domain = second GROUP BY ALL""")
+def trust_dominance(spark, sf_dir):
+    """Whether the trust domain of each turn dominates that of the turn before, assistants speaking for developers."""
+    domain = F.when(F.col("role") == "system", "system_policy").when(F.col("role") == "user", "user_instruction").otherwise("developer_instruction")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", domain.alias("first"))
+    earlier = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("first").alias("second"))
+    marked = turns.join(earlier, ["conv_id", "turn"]).withColumn("dominates", policy.dominance(F.col("first"), F.col("second")))
+    return marked.groupBy("first", "second", "dominates").agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+@query("""SELECT event_id, contains(lower(props), 'k')::INT / 2.0::DOUBLE AS relevance, 1 / (1 + greatest(0, epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(ts)) / 1e6 / 86400) AS freshness, """ + TOKENS_SQL.replace("text", "props") + """ AS token_count, 0.0::DOUBLE AS trust, 0.0::DOUBLE AS risk, 0.0::DOUBLE AS redundancy FROM events""")
+def node_analysis(spark, sf_dir):
+    """What is found out of each event before selection."""
+    found = tx.analysis(F.col("props"), F.array(F.lit("k"), F.lit("zebra")), F.col("ts"), F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    return read_table(spark, sf_dir, "events").select("event_id", *[value.alias(name) for name, value in found.items()])

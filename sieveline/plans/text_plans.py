@@ -42,6 +42,10 @@ def token_ids(spark, sf_dir):
 _BREAK = "\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]"
 
 
+#: The number of lines of a text.
+LINES_SQL = f"greatest(1, len(regexp_split_to_array(text, '{_BREAK}')) - (regexp_split_to_array(text, '{_BREAK}')[-1] = '')::INT)"
+
+
 @query(f"SELECT doc_id, greatest(1, len(p) - (p[-1] = '')::INT)::BIGINT AS n_lines FROM (SELECT doc_id, regexp_split_to_array(text, '{_BREAK}') AS p FROM documents)")
 def line_counts(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", tx.line_count(F.col("text")).alias("n_lines"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tomllib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,22 @@ def validate(rules: list[dict[str, str]]) -> None:
                 raise ValueError(f"a rule may not set {name} to {value}")
 
 
+def read_rules(text: str, table: str = "source_rules") -> list[dict[str, str]]:
+    """The rules of a TOML text, in order: an array of tables that hold texts, a glob and facts only. A text without that array has none."""
+    found = tomllib.loads(text).get(table, [])
+    if not isinstance(found, list):
+        raise ValueError(f"{table} must be an array of tables")
+    for k, rule in enumerate(found):
+        if not isinstance(rule, dict):
+            raise ValueError(f"{table}[{k}] must be a table")
+        if unknown := sorted(set(rule) - {"glob", *ALLOWED}):
+            raise ValueError(f"{table}[{k}] has unknown keys: {', '.join(unknown)}")
+        if wrong := sorted(name for name, value in rule.items() if not isinstance(value, str)):
+            raise ValueError(f"{table}[{k}] must hold texts: {', '.join(wrong)}")
+    validate(found)
+    return found
+
+
 def apply_rules(nodes: DataFrame, rules: list[dict[str, str]], defaults: dict[str, str]) -> DataFrame:
     """nodes (with uri) and a column for each fact of defaults, plus matched_globs in rule order."""
     validate(rules)
