@@ -190,7 +190,7 @@ def test_rules_in_a_table_and_in_place_agree(spark):
 
 def compile_rows(spark, rows, edges, tasks, budget, strategy="auto", **more):
     schema = "task_id string, node_id string, uri string, kind string, content string, created_at timestamp, trust_domain string, sensitivity string, instruction_authority string, security_sink string, semantic_score double"
-    nodes = spark.createDataFrame([(task, i, f"u/{i}", "document", text, None, domain, level, "none", sink, None) for task, i, text, domain, level, sink in rows], schema)
+    nodes = spark.createDataFrame([(task, i, f"u/{i}", "document", text, NOW, domain, level, "none", sink, None) for task, i, text, domain, level, sink in rows], schema)
     table = spark.createDataFrame([*policy.DEFAULT_RULES, ("x-block", 9, True, "block_compilation", "CTX410", [], ["confidential"], [], []), ("y-out", 8, True, "exclude", "CTX410", ["excluded"], [], [], [])], policy.RULE)
     return compile_tasks(nodes, spark.createDataFrame(edges, "src string, dst string, edge_type string"), tasks, table, "2024-01-01 00:00:00", budget, strategy, **more)
 
