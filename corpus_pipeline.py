@@ -23,7 +23,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
+    """The document with the smallest id of each group of texts whose sets of shingles are linked."""
     return simhash.keep_near(docs)
 
 

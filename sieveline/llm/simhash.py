@@ -11,16 +11,19 @@ reference fingerprints: a row is only held against those within 3 of it there, p
 differ by more than 3 are discarded (triangle inequality), and the survivors are verified by their differing bits. A
 meeting place gives a spanning forest of its links, never all pairs of a group.
 
-``keep_near`` links texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more. Their fingerprints
-differ in some ten bits then, too many to meet on blocks. So they meet on ``BANDS`` keys of ``ROWS`` least hashes each, which at
-a similarity of 0.8 misses one pair of 500; there the same pivot table discards pairs whose fingerprints differ in more than
-``WIDE`` bits, and the survivors are verified by their sets, exactly. In a place of up to ``SMALL`` rows all pairs are held
-against each other, in others forests of growing distance, since all pairs would be too many: there a text may miss a link that
-only a farther neighbour has (a test with 200 variants of one text finds 98.5 % of them). Only distinct sets are compared, and each link's sets meet
-by a salted join, so that a set with many links is not one task.
+``keep_near`` links texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more, all of them, in two
+steps. The first joins most texts cheaply: they meet on ``BANDS`` keys of ``ROWS`` least hashes each, the pivot table discards
+pairs there whose fingerprints differ in more than ``WIDE`` bits, forests of growing distance stand for large places, and sets
+verify the rest. It may miss links (keys that differ, far fingerprints, farther neighbours), so the second step is exact:
+similar sets share one of their first shingles, in any order of shingles that all sets keep (a set of n shingles needs
+n - 0.8 n + 1 of them, rounded up). Sets that the first step left in different components and that share such a shingle are
+verified, unless their sizes, the places of that shingle or the number of first shingles that they share rule the pair out. The order, by counts in ``COUNTERS``
+hashed counters of all shingles, only keeps places small. Of two components one pair is tried first, so that those that are
+linked need not be held against each other whole; then all pairs are verified that are left between different ones.
+Only distinct sets are compared, and each link's sets meet by a salted join, so that a set with many links is not one task.
 
 Places with more than ``PLACE`` rows are dealt out: rows fall into chunks by hash, and each pair of chunks is compared in a
-task of its own. That is exact and bounds the memory of a task.
+task of its own. That is exact and bounds the memory of a task. Pairs within the largest component of a place are left out.
 
 Defined cases: null text counts as empty; documents without words share fingerprint zero and are linked; null ids never
 become a component_id unless all ids of the component are null; repeated rows are linked; ``keep_near`` keeps exactly one row
@@ -30,6 +33,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,10 +45,12 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import durable, numbered, text_or_empty, unused
 from sieveline.llm.components import connected_components
+from sieveline.llm.substring_dedup import ROW_BITS, _has, bit_map
 
 SEED, SHINGLE, BITS, PLACE, SMALL = 42, 3, 3, 1024, 8
 WORDS, SIMILARITY, BANDS, ROWS, WIDE, FANOUT = 5, 0.8, 12, 4, 24, 64
 STEPS = (3, 6, 9, 12, 16, WIDE)
+COUNTERS, SLICE, SENT, EPSILON = 1 << 18, 1 << 12, 1 << 20, 1e-6
 _WIDTHS = (11, 11, 11, 11, 10, 10)
 _EDGES = np.cumsum((0, *_WIDTHS)).tolist()
 _BLOCKS = [((1 << w) - 1) << at for w, at in zip(_WIDTHS, _EDGES, strict=False)]
@@ -242,16 +248,17 @@ def _candidates(distinct: DataFrame, place: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sets are similar."""
+    """The pairs a, b (and what else they have) whose sets are similar."""
+    columns, schema = pairs.columns, pairs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             keep = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+            for one, other in zip(batch.column(len(columns)), batch.column(len(columns) + 1), strict=True):
                 one, other = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(both >= similarity * (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
     for end in ("a", "b"):
         # a row with many links has its set copied, one copy for each FANOUT of them
@@ -259,7 +266,161 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         spread = sets.join(copies, "row").select(F.col("row").alias("s_row"), F.col("copies").alias("of"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias(f"set_{end}"))
         numbered_pairs = pairs.join(copies, F.col(end) == F.col("row")).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("copies")).cast("int")).drop("row", "copies")
         pairs = numbered_pairs.join(spread.drop("of"), (F.col(end) == F.col("s_row")) & (F.col("salt") == F.col("copy"))).drop("salt", "s_row", "copy")
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.select(*columns, "set_a", "set_b").mapInArrow(run, schema)
+
+
+def _sets(rows: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
+    """row, hashes of the rows in pairs, and of a few others that share a bit with them; only sets travel, no texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    wanted = bit_map(ends, F.xxhash64("end"), ROW_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(_has(wanted, np.asarray(batch.column(1)).view(np.uint64))))
+            for part in _parts([some]):
+                sets = [shingle_set(t.as_py()).tobytes() for t in part.column(2).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["row", "hashes"])
+
+    return durable(rows.select(F.col(row).alias("row"), F.xxhash64(row).alias("mark"), text_or_empty().alias("text")).mapInArrow(run, "row long, hashes binary"))
+
+
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)
+
+
+def shingle_counts(rows: DataFrame) -> np.ndarray:
+    """How many sets hold the shingles of each hashed counter: 8 * COUNTERS bytes come to the driver, whatever the rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                np.add.at(counts, _counters(shingle_set(text.as_py())), 1)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNTERS // SLICE), pa.int64()), pa.array([part.tobytes() for part in counts.reshape(-1, SLICE)], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(part.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array([part.tobytes() for part in sums.values()], pa.binary())], names=["slice", "counts"])
+
+    found = np.zeros((COUNTERS // SLICE, SLICE), np.int64)
+    counted = rows.select(text_or_empty().alias("text")).mapInArrow(count, "slice long, counts binary").repartition("slice")
+    for r in counted.mapInArrow(add, "slice long, counts binary").toLocalIterator():
+        found[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return found.ravel()
+
+
+def first_shingles(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, of which two similar sets share one: fewer shingles are left than a similar set has in common."""
+    take = len(hashes) - math.ceil(similarity * len(hashes) - EPSILON) + 1
+    return hashes[np.argsort(counts[_counters(hashes)], kind="stable")[:take]]
+
+
+def _shared(rows: DataFrame, row: str, similarity: float) -> DataFrame:
+    """token, row, size, at: first shingles that more rows have, the size of the row's set and the shingle's place in its order."""
+    counts = shingle_counts(rows)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, 128):
+            sets = [shingle_set(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+            first = [first_shingles(s, counts, similarity) for s in sets]
+            lengths = [len(f) for f in first]
+            spots = [(len(s) << 32) + np.arange(n) for s, n in zip(sets, lengths, strict=True)]
+            arrays = [np.concatenate(first).view(np.int64), np.repeat(np.asarray(batch.column(0)), lengths), np.concatenate(spots)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["token", "row", "spot"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, runs in _runs(batches, 1):
+            sizes = np.diff(runs)
+            token, row_of, spot = found[np.repeat(sizes > 1, sizes)].T
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (token, row_of, spot >> 32, spot & 0xFFFFFFFF)], names=["token", "row", "size", "at"])
+
+    indexed = rows.select(F.col(row).alias("row"), text_or_empty().alias("text")).mapInArrow(index, "token long, row long, spot long")
+    return indexed.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "token long, row long, size long, at long")
+
+
+def _crossing(root: np.ndarray, size: np.ndarray, at: np.ndarray, runs: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs inside runs, which are ordered by size, of unlike roots, unless sizes rule them out or, were this their first common shingle, what stands behind it."""
+    sizes = np.diff(runs)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    i = np.arange(len(of))
+    for lag in range(1, sizes.max()):
+        i = i[i < len(of) - lag]
+        i = i[(of[i] == of[i + lag]) & (size[i] >= similarity * size[i + lag] - EPSILON)]
+        j = i + lag
+        most = np.minimum(size[i] - at[i], size[j] - at[j])
+        may = (root[i] != root[j]) & (most * (1 + similarity) >= similarity * (size[i] + size[j]) - EPSILON)
+        if may.any():
+            yield i[may], j[may]
+
+
+def _left_over(shared: DataFrame, rooted: DataFrame, similarity: float, place: int) -> DataFrame:
+    """a, b, root_a, root_b, together: pairs of rows of unlike roots that may be similar, and how many first shingles they share.
+
+    Of two sets, the one whose first shingles end earlier in the order has its other shingles in common at most, and those
+    first ones that both have."""
+    named = durable(shared.join(rooted.select(F.col("row").alias("r_row"), "root"), F.col("row") == F.col("r_row")).drop("r_row"))
+    each = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    places = each.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    chunks = lambda n: F.ceil(n / place).cast("long")
+    places = durable(places.select(F.col("token").alias("p_token"), "main", (F.col("n") <= place).alias("whole"), chunks(F.col("most")).alias("inner"), chunks(F.col("n") - F.col("most")).alias("outer")))
+    zero, of_main = F.lit(0).cast("long"), F.col("root") == F.col("main")
+    # rows of the place's largest root meet the others only
+    own = F.when(F.col("whole"), zero).when(of_main, F.col("outer") + F.pmod(F.xxhash64("row"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("row"), F.col("outer")))
+    last = F.when(F.col("whole"), zero).when(of_main, F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
+    pairs = F.transform(F.sequence(zero, last), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
+    dealt = named.join(places, F.col("token") == F.col("p_token")).withColumn("own", own).select("token", F.explode(pairs).alias("p"), "row", "root", "size", "at")
+    dealt = dealt.select("token", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "row", "root", "size", "at").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, runs in _runs(batches, 3):
+            row, root, size, at = np.ascontiguousarray(found[:, 3:].T)
+            held, many = [], 0
+            for i, j in _crossing(root, size, at, runs, similarity):
+                a, b = np.where(row[i] < row[j], (i, j), (j, i))
+                held.append(np.stack([row[a], row[b], root[a], root[b], size[a], size[b]]))
+                many += len(i)
+                if many > SENT:
+                    yield send(held)
+                    held, many = [], 0
+            if held:
+                yield send(held)
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(held, axis=1)], names=columns)
+
+    columns = ["a", "b", "root_a", "root_b", "size_a", "size_b"]
+    met = durable(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).distinct())
+    first = {end: named.select(F.col("row").alias(f"{end}_row"), F.col("token").alias(f"{end}_token")) for end in ("a", "b")}
+    met = met.join(first["a"], F.col("a") == F.col("a_row")).join(first["b"], (F.col("b") == F.col("b_row")) & (F.col("a_token") == F.col("b_token")))
+    met = met.groupBy(*columns).agg(F.count(F.lit(1)).alias("together"))
+    others = F.ceil(similarity * F.greatest("size_a", "size_b") - EPSILON) - 1
+    both = F.col("together") + others
+    return met.where(both * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - EPSILON).drop("size_a", "size_b")
+
+
+def _joined(rooted: DataFrame, links: DataFrame, columns: tuple[str, ...] = ("root",)) -> DataFrame:
+    """rooted with the roots in columns replaced by the least of those that links connect."""
+    labels = connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    for c in columns:
+        new = labels.select(F.col("node").alias("l_node"), F.col("root").alias("l_root"))
+        rooted = rooted.join(new, F.col(c) == F.col("l_node"), "left").withColumn(c, F.coalesce("l_root", c)).drop("l_node", "l_root")
+    return rooted
+
+
+def _completed(rows: DataFrame, row: str, rooted: DataFrame, similarity: float, place: int) -> DataFrame:
+    """rooted (a row for each distinct set) with the roots joined that similar sets link."""
+    pairs = durable(_left_over(durable(_shared(rows, row, similarity)), rooted, similarity, place))
+    sets = _sets(rows, row, pairs)
+    best = pairs.groupBy(F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")).agg(F.max_by(F.struct("a", "b", "root_a", "root_b"), "together").alias("one")).select("one.*")
+    best = durable(best)
+    links = durable(_verified(best, sets, similarity))
+    rest = pairs.select("a", "b", "root_a", "root_b").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    apart = _joined(rest.withColumns({"now_a": F.col("root_a"), "now_b": F.col("root_b")}), links, ("now_a", "now_b")).where("now_a <> now_b").select(best.columns)
+    return _joined(rooted, links.unionAll(_verified(durable(apart), sets, similarity)))
 
 
 def _labelled(rows: DataFrame, first: Column, bits: int, place: int) -> DataFrame:
@@ -283,17 +444,9 @@ def near_groups(rows: DataFrame, row: str, similarity: float = SIMILARITY, place
     marked = durable(sketches(rows, row))
     distinct = durable(marked.groupBy("content").agg(F.min_by(F.struct("row", "fp", "keys"), "row").alias("one")).select("content", "one.row", "one.fp", "one.keys"))
     pairs = durable(_candidates(distinct, place))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "hashes"])
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    texts = rows.select(F.col(row).alias("row"), text_or_empty().alias("text")).join(ends, F.col("row") == F.col("end"), "left_semi")
-    sets = durable(texts.mapInArrow(run, "row long, hashes binary"))
-    labels = connected_components(_verified(pairs, sets, similarity))
-    rooted = distinct.select("content", F.col("row").alias("d_row")).join(labels, F.col("d_row") == F.col("node"), "left").select(F.col("content").alias("d_content"), F.coalesce("root", "d_row").alias("root"))
+    labels = connected_components(_verified(pairs, _sets(rows, row, pairs), similarity))
+    rooted = durable(distinct.select("content", "row").join(labels, F.col("row") == F.col("node"), "left").select("content", "row", F.coalesce("root", "row").alias("root")))
+    rooted = _completed(rows, row, rooted, similarity, place).select(F.col("content").alias("d_content"), "root")
     return marked.select("row", "content").join(rooted, F.col("content") == F.col("d_content")).select("row", "root")
 
 

@@ -388,6 +388,28 @@ def test_near_texts_of_a_large_group(spark):
         assert kept >= {g for g in group if group.count(g) == 1} and len(kept) - len(set(group)) <= 0.02 * (400 - len(set(group)))
 
 
+@pytest.mark.parametrize("place", [1024, 32])
+def test_near_texts_lose_no_link(spark, place):
+    """Chains of variants in one large group: each link counts, at any size of a place and any distance of fingerprints."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(60)] = f"w{rng.randrange(50000)}"
+        texts.append(" ".join(words[: rng.randrange(3, 60)] if k % 3 == 0 else words))
+    sets = [{tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for x in map(str.split, texts)]
+    group = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert ids(simhash.keep_near(rows, place=place)) == sorted(set(group))
+
+
 def test_packing_holds_the_targets_in_each_window(spark):
     rows = [(k, "some words of a text " * 8, f"s{k % 2 if k % 10 else k % 200}") for k in range(3000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
