@@ -394,9 +394,10 @@ def _left_over(shared: DataFrame, rooted: DataFrame, similarity: float, place: i
 
     columns = ["a", "b", "root_a", "root_b", "size_a", "size_b"]
     met = durable(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).distinct())
-    first = {end: named.select(F.col("row").alias(f"{end}_row"), F.col("token").alias(f"{end}_token")) for end in ("a", "b")}
-    met = met.join(first["a"], F.col("a") == F.col("a_row")).join(first["b"], (F.col("b") == F.col("b_row")) & (F.col("a_token") == F.col("b_token")))
-    met = met.groupBy(*columns).agg(F.count(F.lit(1)).alias("together"))
+    first = durable(named.groupBy("row").agg(F.collect_list("token").alias("tokens")))
+    for end in ("a", "b"):  # a pair stays one row, however many first shingles it shares
+        met = met.join(first.select(F.col("row").alias(f"{end}_row"), F.col("tokens").alias(f"{end}_tokens")), F.col(end) == F.col(f"{end}_row")).drop(f"{end}_row")
+    met = met.select(*columns, F.size(F.array_intersect("a_tokens", "b_tokens")).alias("together"))
     others = F.ceil(similarity * F.greatest("size_a", "size_b") - EPSILON) - 1
     both = F.col("together") + others
     return met.where(both * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - EPSILON).drop("size_a", "size_b")

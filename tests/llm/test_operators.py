@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -410,6 +411,44 @@ def test_near_texts_lose_no_link(spark, place):
     assert ids(simhash.keep_near(rows, place=place)) == sorted(set(group))
 
 
+def join_rows(spark, work):
+    """The most rows that a join makes while work runs, all runs of joins on the same columns together."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), {}
+    before = store.executionsCount()
+    result = work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for k in range(before, runs.size()):
+        values = store.executionMetrics(runs.apply(k).executionId())
+        nodes = store.planGraph(runs.apply(k).executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+            for m in metrics if "Join" in node.name() else []:
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    key = node.desc().partition("]")[0] + node.desc().partition("]")[2].split("]")[0]
+                    key = re.sub(r"#\d+L?|\(\d+\)", "", key)
+                    made[key] = made.get(key, 0) + int(values.apply(m.accumulatorId()).replace(",", ""))
+    return result, max(made.values())
+
+
+def test_near_texts_join_each_pair_once(spark):
+    """A group of texts that share most first shingles, none of them similar: each pair is one row, not one for each shingle."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k, spots in enumerate(rng.sample([*combinations(range(4, 196, 8), 4)], 100)):
+        words = list(base)
+        for at in spots:
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept, most = join_rows(spark, lambda: ids(simhash.keep_near(rows)))
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in map(str.split, texts)]
+    links = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert links == 0 and kept == list(range(100))
+    assert most <= 2 * 4950, most
+
+
 def test_packing_holds_the_targets_in_each_window(spark):
     rows = [(k, "some words of a text " * 8, f"s{k % 2 if k % 10 else k % 200}") for k in range(3000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
