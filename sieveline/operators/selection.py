@@ -2,7 +2,8 @@
 
 The greedy walk skips what doesn't fit and goes on, so it can't be a running sum. It is cut down before it runs: of the
 items of one cost c at most allowance / c can ever be taken, and only the first ones in order, so each task walks at most
-about allowance * ln(allowance) candidates, however many items there are. Items that cost nothing are always taken.
+about allowance * ln(allowance) candidates, however many items there are. Items that cost nothing are always taken, at their
+place in the order. Where a key is null, the item comes last.
 """
 
 from __future__ import annotations
@@ -37,18 +38,27 @@ def room(allowance: int | str) -> Column:
 
 
 def candidates(items: DataFrame, by: str, order: list[Column], allowance: int | str) -> DataFrame:
-    """The items that the walk may take, with their order key."""
-    keyed = items.withColumn("key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)])).where(F.col("cost").between(1, room(allowance)))
-    place = F.row_number().over(Window.partitionBy(by, "cost").orderBy("key"))
+    """The items that the walk may take, but for those that cost nothing, with their order key."""
+    keyed = _keyed(items, order).where(F.col("cost").between(1, room(allowance)))
+    place = F.row_number().over(Window.partitionBy(by, "cost").orderBy(*_sorted(order)))
     return keyed.withColumn("place", place).where((F.col("place") <= room(allowance)) & (F.col("place") * F.col("cost") <= room(allowance))).drop("place")
 
 
+def _keyed(items: DataFrame, order: list[Column]) -> DataFrame:
+    return items.withColumn("key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)]))
+
+
+def _sorted(order: list[Column]) -> list[Column]:
+    return [F.col(f"key.k{i}").asc_nulls_last() for i in range(len(order))]
+
+
 def greedy(items: DataFrame, by: str, order: list[Column], allowance: int | str) -> DataFrame:
     """by, node_id, cost, rank, used (tokens up to and including this node) of what a walk in the given order takes.
 
     The walk streams over the sorted candidates and holds only the tokens used so far."""
     kind = dict(items.dtypes)
-    rows = candidates(items, by, order, allowance).select(F.col(by), "node_id", F.col("cost").cast("long").alias("cost"), "key", room(allowance).cast("long").alias("room"))
+    shaped = lambda df: df.select(F.col(by), "node_id", F.greatest(F.col("cost"), F.lit(0)).cast("long").alias("cost"), "key", room(allowance).cast("long").alias("room"))
+    rows = shaped(candidates(items, by, order, allowance)).unionAll(shaped(_keyed(items, order).where((F.col("cost") <= 0) & (room(allowance) >= 0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, used, rank = object(), 0, 0
@@ -65,9 +75,7 @@ def greedy(items: DataFrame, by: str, order: list[Column], allowance: int | str)
             chosen = batch.select([0, 1, 2]).take(pa.array(taken, pa.int32()))
             yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(ranks, pa.int64()), pa.array(sums, pa.int64())], names=[by, "node_id", "cost", "rank", "used"])
 
-    walked = rows.repartition(by).sortWithinPartitions(by, "key").select(by, "node_id", "cost", "room").mapInArrow(run, f"{by} {kind[by]}, node_id {kind['node_id']}, cost long, rank long, used long")
-    free = items.where("cost <= 0").select(by, "node_id", F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("used"))
-    return walked.unionAll(free)
+    return rows.repartition(by).sortWithinPartitions(by, *_sorted(order)).select(by, "node_id", "cost", "room").mapInArrow(run, f"{by} {kind[by]}, node_id {kind['node_id']}, cost long, rank long, used long")
 
 
 def naive(items: DataFrame, by: str, allowance: int | str) -> DataFrame:
