@@ -19,7 +19,7 @@ def odd(sf, tmp_path_factory):
     return str(path), duck
 
 
-@pytest.mark.parametrize("name", ["budget_trim", "naive_budget", "relevance_budget", "rendered_segments", "select_documents"])
+@pytest.mark.parametrize("name", ["budget_trim", "naive_budget", "relevance_budget", "rendered_segments", "select_documents", "source_map_offsets"])
 def test_documents_without_tokens(spark, odd, name):
     path, duck = odd
     result = QUERIES[name](spark, path)
