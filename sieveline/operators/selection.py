@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,12 +230,15 @@ def cascade(counts: DataFrame, allowance: int | str) -> DataFrame:
 def trimmed(items: DataFrame, by: str, order: list[Column], allowance: int | str) -> DataFrame:
     """items without those that no walk in the given order (and no exact search, if the order is by value) can take: nodes that need none and that none
     needs, beyond the first allowance / c of a cost c. Nodes in the graph, mandatory ones and free ones stay."""
-    needed = items.select(F.col(by).alias("n_by"), F.explode("deps").alias("n_node")).distinct()
-    within = (F.col(by) == F.col("n_by")) & (F.col("node_id") == F.col("n_node"))
-    marked = items.join(needed, within, "left").withColumn("alone", F.col("n_node").isNull() & (F.size("deps") == 0) & (F.col("cost") > 0)).drop("n_by", "n_node")
+    rows = items.withColumn("end", F.explode(F.concat(F.array(F.struct(F.col("node_id").alias("node"), F.lit(True).alias("own"))), F.transform(F.coalesce("deps", F.slice(F.array("node_id"), 1, 0)), lambda d: F.struct(d.alias("node"), F.lit(False).alias("own"))))))
+    ends = rows.select(F.col(by), F.col("end.node").alias("node"), F.when(F.col("end.own"), F.struct(*items.columns)).alias("row"), (~F.col("end.own")).alias("needed"))
+    marked = ends.groupBy(by, "node").agg(F.first("row", ignorenulls=True).alias("row"), F.bool_or("needed").alias("needed")).where("row IS NOT NULL")
+    alone = ~F.col("needed") & (F.size("row.deps") == 0) & (F.col("row.cost") > 0)
     if "mandatory" in items.columns:
-        marked = marked.withColumn("alone", F.col("alone") & ~F.coalesce("mandatory", F.lit(False)))
-    return marked.where("NOT alone").unionByName(candidates(marked.where("alone"), by, order, allowance).drop("key")).drop("alone")
+        alone = alone & ~F.coalesce("row.mandatory", F.lit(False))
+    single = _keyed(marked.select(by, *[F.col(f"row.{c}").alias(c) for c in items.columns if c != by], alone.alias("alone")), order)
+    place = F.row_number().over(Window.partitionBy(by, "cost", "alone").orderBy(*_sorted(order)))
+    return single.withColumn("place", place).where(~F.col("alone") | (F.col("place") * F.col("cost") <= room(allowance))).drop("key", "alone", "place")
 
 
 #: What a method of Problem orders single nodes by.
@@ -247,37 +249,77 @@ METHODS: dict[str, tuple[Callable[[Problem], frozenset], str | None]] = {
 }
 
 
-def outcome(items: DataFrame, by: str, allowance: int | str, strategy: str = "density_greedy", method: Callable[[Problem], frozenset] | None = None, most: int = 1_000_000) -> DataFrame:
+def outcome(items: DataFrame, by: str, allowance: int | str, strategy: str = "density_greedy", method: Callable[[Problem], frozenset] | None = None, most: int = 1_000_000, placed: bool = False) -> DataFrame:
     """by, rank, node_id, status, gap: of each task a row of rank 0 with its status, then its choice with dependencies in order.
 
     items has deps and may have mandatory and allowed. Single nodes that can't be chosen are dropped before; what is left of a
-    task is walked in one task of Spark, the tasks in parallel. A task with more than ``most`` nodes left is an error."""
+    task is walked in one task of Spark, the tasks in parallel. A task with more than ``most`` nodes left is an error. placed: the
+    rows of a task lie in one partition already, where they stay."""
     kind = dict(items.dtypes)
     run_method, primary = METHODS[strategy]
     run_method = method or run_method
     order = [F.col("uri"), F.col("node_id")] if primary is None else stable_key(items, F.col("value") / F.greatest(F.lit(1), F.col("cost")) if primary == "density" else F.col(primary))
     extra = [c for c in (*LINES, "mandatory", "allowed") if c in items.columns]
     scored = F.coalesce(F.col(primary), F.lit(0.0)) if primary in items.columns else F.lit(0.0)
-    rows = trimmed(items, by, order, allowance).select(by, "node_id", "cost", "value", "relevance", "uri", "deps", scored.cast("double").alias("primary"), room(allowance).cast("long").alias("room"), *extra)
+    columns = [by, "node_id", "cost", "value", "relevance", "uri", "deps", "primary", "room", *extra]
+    rows = trimmed(items, by, order, allowance).withColumns({"primary": scored.cast("double"), "room": room(allowance).cast("long")}).select(*columns)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError("a task has too many nodes for a walk with dependencies")
-        problem = Problem(rows, int(rows["room"].iloc[0]))
-        problem.primary = dict(zip(rows["node_id"], rows["primary"], strict=True))
+    def solved(own: dict[str, list], out: list[list]) -> None:
+        problem = Problem(own, int(own["room"][0]))
+        problem.primary = dict(zip(own["node_id"], own["primary"], strict=True))
         chosen = problem.ordered(run_method(problem))
-        n = len(chosen)
-        return pd.DataFrame({by: [rows[by].iloc[0]] * (n + 1), "rank": range(n + 1), "node_id": pd.Series([None, *chosen], dtype="object"), "status": [problem.status] + [None] * n, "gap": pd.Series([problem.gap] + [None] * n, dtype="float64")})
+        for k, rest in enumerate(([None, problem.status, problem.gap], *([i, None, None] for i in chosen))):
+            for column, x in zip(out, (own[by][0], k, *rest), strict=True):
+                column.append(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, list] = {}
+        out: list[list] = [[] for _ in range(5)]
+        for batch in batches:
+            kinds = (batch.schema.field(0).type, pa.int64(), batch.schema.field(1).type, pa.string(), pa.float64())
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[by, "rank", "node_id", "status", "gap"])  # noqa: E731, B023
+            lists = [c.to_pylist() for c in batch.columns]
+            starts = [0, *(k for k in range(1, len(lists[0])) if lists[0][k] != lists[0][k - 1]), len(lists[0])]
+            for start, end in zip(starts, starts[1:], strict=False):
+                if start == end:
+                    continue
+                if own and own[by][0] != lists[0][start]:
+                    solved(own, out)
+                    own = {}
+                for name, values in zip(columns, lists, strict=True):
+                    own.setdefault(name, []).extend(values[start:end])
+                if len(own[by]) > most:
+                    raise ValueError("a task has too many nodes for a walk with dependencies")
+            if len(out[0]) >= 10_000:
+                yield made()
+                out = [[] for _ in range(5)]
+        if own:
+            solved(own, out)
+        if out[0]:
+            yield made()
 
     # a given number of partitions, as adaptive execution would put many small tasks, which are slow ones, into one
-    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
-    return spread.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, rank long, node_id {kind['node_id']}, status string, gap double")
+    spread = rows if placed else rows.repartition(_partitions(rows), by)
+    return spread.sortWithinPartitions(by).mapInArrow(run, f"{by} {kind[by]}, rank long, node_id {kind['node_id']}, status string, gap double")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def solve(items: DataFrame, by: str, allowance: int | str, method: Callable[[Problem], frozenset] = Problem.density) -> DataFrame:
+def by_task(df: DataFrame, by: str) -> DataFrame:
+    """df with the rows of a task in one partition, for ``placed``."""
+    return df.repartition(_partitions(df), by)
+
+
+def solve(items: DataFrame, by: str, allowance: int | str, method: Callable[[Problem], frozenset] = Problem.density, placed: bool = False) -> DataFrame:
     """by, node_id, rank of each task's choice with dependencies."""
     strategy = "ilp" if method is Problem.exact else "density_greedy"
-    return outcome(items, by, allowance, strategy, method).where("rank > 0").select(by, "node_id", "rank")
+    return outcome(items, by, allowance, strategy, method, placed=placed).where("rank > 0").select(by, "node_id", "rank")
+
+
+#: The exact strategies, whose tasks are small.
+SMALL = ("brute_force", "dynamic_programming", "ilp")
 
 
 @dataclass
@@ -323,7 +365,10 @@ def select(items: DataFrame, by: str, allowance: int | str, requested: str = "au
     wanted = {r["strategy"] for r in named.select("strategy").distinct().collect()}  # at most the nine strategies
     parts = []
     for strategy in sorted(wanted):
-        own = rows.join(named.where(F.col("strategy") == strategy).select(by), by, "left_semi")
+        small = strategy in SMALL  # tasks of a few nodes are sent once
+        own = by_task(rows, by) if small else rows
+        if len(wanted) > 1 or not free:
+            own = own.join(named.where(F.col("strategy") == strategy).select(by), by, "left_semi")
         nothing = (F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("gap"))
         if strategy == "dynamic_programming" and free:
             found = exact_knapsack(own, by, allowance).select(by, F.explode_outer("chosen").alias("node_id"), F.lit(None).cast("long").alias("rank"), *nothing)
@@ -333,7 +378,7 @@ def select(items: DataFrame, by: str, allowance: int | str, requested: str = "au
             found = ROWS[strategy](own, by, allowance).select(by, "node_id", F.lit(None).cast("long").alias("rank"), *nothing)
         else:
             method = {"ilp": lambda p: p.exact(explored), "dynamic_programming": lambda p: p.exact(explored)}.get(strategy)
-            found = outcome(own, by, allowance, "ilp" if strategy == "dynamic_programming" else strategy, method).select(by, "node_id", "rank", "status", "gap")
+            found = outcome(own, by, allowance, "ilp" if strategy == "dynamic_programming" else strategy, method, placed=small).select(by, "node_id", "rank", "status", "gap")
         parts.append(found)
     found = stored(reduce(DataFrame.unionByName, parts)) if parts else stored(rows.limit(0).select(by, "node_id", F.lit(None).cast("long").alias("rank"), none.alias("status"), F.lit(None).cast("double").alias("gap")))
     priced = found.where("node_id IS NOT NULL").select(by, "node_id", F.col("rank").alias("walked")).join(rows, [by, "node_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators import selection
 from sieveline.queries import query
-from sieveline.store import read_table, stored
+from sieveline.store import read_table
 
 CUSTOMER_ALLOWANCE, ORDER_ALLOWANCE = 25, 16
 #: Values are whole tenths, so that sums and the bonus of a tenth for each dependency are exact.
@@ -24,26 +24,27 @@ cl AS MATERIALIZED (SELECT task, node_id AS root, node_id FROM g UNION SELECT a.
 
 
 def order_graph(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
-    """task (``o_custkey`` or ``o_orderkey``), node_id, cost, value, relevance, uri, deps: each task's lines and what they need."""
+    """task (``o_custkey`` or ``o_orderkey``), node_id, cost, value, relevance, uri, deps: each task's lines and what they need, in one partition."""
     t = lambda name: read_table(spark, sf_dir, name)
-    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity"))
-    rows = stored(lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("o_custkey", "o_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "c_nationkey", "s_nationkey"))
+    # what is sent are keys; names and lists are made where a task's rows have met
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").cast("int").alias("quantity"))
+    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_nationkey")
+    sold = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = selection.by_task(sold.select(F.col(task).cast("long").alias("task"), "o_custkey", "o_orderkey", "l_linenumber", "l_suppkey", "quantity", "c_nationkey", "s_nationkey"), "task")
     name = lambda letter, *keys: F.concat(F.lit(letter), F.concat_ws(":", *keys))
-    quantity, none = F.col("l_quantity").cast("int"), F.array().cast("array<string>")
+    quantity, none = F.col("quantity"), F.array().cast("array<string>")
 
-    def kind(node, cost, tenths, deps) -> DataFrame:
-        return rows.select(F.col(task).cast("long").alias("task"), node.alias("node_id"), F.lit(cost).cast("long").alias("cost"), (F.lit(tenths).cast("long") / 10).alias("value"), deps.alias("deps")).distinct()
+    def kind(node, cost, tenths, deps):
+        return F.struct(node.alias("node_id"), F.lit(cost).cast("long").alias("cost"), (F.lit(tenths).cast("long") / 10).alias("value"), deps.alias("deps"))
 
-    parts = [
+    kinds = F.array(
         kind(name("l", "o_orderkey", "l_linenumber"), 1 + quantity % 5, (quantity % 7) * 5 - 5, F.array(name("o", "o_orderkey"), name("s", "l_suppkey"))),
         kind(name("o", "o_orderkey"), 2, (F.col("o_orderkey") % 3) * 5 - 10, F.array(name("c", "o_custkey"))),
         kind(name("s", "l_suppkey"), 3, -3, F.array(name("n", "s_nationkey"))), kind(name("c", "o_custkey"), 2, -2, F.array(name("n", "c_nationkey"))),
-        kind(name("n", "c_nationkey"), 1, -1, none).unionByName(kind(name("n", "s_nationkey"), 1, -1, none)).distinct(),
-    ]
-    nodes = parts[0]
-    for part in parts[1:]:
-        nodes = nodes.unionByName(part)
-    return stored(nodes.withColumns({"relevance": F.lit(0.0), "uri": F.col("node_id")}))
+        kind(name("n", "c_nationkey"), 1, -1, none), kind(name("n", "s_nationkey"), 1, -1, none),
+    )
+    nodes = rows.select("task", F.explode(kinds).alias("n")).select("task", "n.*").distinct()
+    return nodes.withColumns({"relevance": F.lit(0.0), "uri": F.col("node_id")})
 
 
 _DENSITY = f"""{_NODES.format("cust")},
@@ -59,7 +60,7 @@ s AS MATERIALIZED (SELECT task, unnest(sel) AS node_id FROM (SELECT task, arg_ma
 @query(f"WITH RECURSIVE {_DENSITY} SELECT task, node_id FROM s")
 def density_graph_budget(spark, sf_dir):
     """Each customer's lines with what they need, by density of what a choice adds."""
-    return selection.solve(order_graph(spark, sf_dir, "o_custkey"), "task", CUSTOMER_ALLOWANCE).select("task", "node_id")
+    return selection.solve(order_graph(spark, sf_dir, "o_custkey"), "task", CUSTOMER_ALLOWANCE, placed=True).select("task", "node_id")
 
 
 @query(f"""WITH RECURSIVE {_DENSITY}, q AS MATERIALIZED (SELECT s.task, s.node_id, g.cost, g.v, g.deps FROM s JOIN g USING (task, node_id)),
@@ -67,7 +68,7 @@ r AS (SELECT DISTINCT task, []::VARCHAR[] AS done FROM q UNION ALL SELECT task,
 SELECT task, unnest(done) AS node_id, generate_subscripts(done, 1)::BIGINT AS rank FROM (SELECT task, arg_max(done, len(done)) AS done FROM r GROUP BY task)""")
 def dependency_order(spark, sf_dir):
     """The order in which a choice is rendered: the best value (then the rest of the key) among nodes whose dependencies are out."""
-    return selection.solve(order_graph(spark, sf_dir, "o_custkey"), "task", CUSTOMER_ALLOWANCE).select("task", "node_id", "rank")
+    return selection.solve(order_graph(spark, sf_dir, "o_custkey"), "task", CUSTOMER_ALLOWANCE, placed=True).select("task", "node_id", "rank")
 
 
 _SUBSETS = f"""{_NODES.format("ord")}, li AS (SELECT task, list(node_id ORDER BY node_id) AS ids FROM g WHERE node_id LIKE 'l%' GROUP BY task),
