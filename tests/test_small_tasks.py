@@ -13,3 +13,22 @@ def test_exact_compares_a_few_sets_without_a_search(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(problem, "FEW", 0)
     assert [(p.total(c), round(p.objective(c), 9)) for p in cases for c in [p.exact()]] == searched
+
+
+def test_brute_force_builds_no_table_of_all_subsets(monkeypatch):
+    cases = [graph_problem(seed, 3 + seed % 9, allowance=10) for seed in range(40)]
+    monkeypatch.setattr(problem, "FEW", 0)
+    every = [p.brute() for p in cases]
+    monkeypatch.undo()
+    monkeypatch.setattr(problem, "np", None)
+    assert [p.brute() for p in cases] == every
+
+
+def test_tasks_may_lie_across_batches(spark):
+    rows = tasks_of_all_sizes(spark)
+    whole = sorted(map(tuple, selection.select(rows, "task", 12).chosen.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, selection.select(rows.coalesce(1), "task", 12).chosen.collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
