@@ -1,7 +1,9 @@
 """Small tasks: sets compared one by one, many tasks streamed through one task of Spark, and keys sent instead of nodes."""
 
+import pytest
 from test_selection import graph_problem, tasks_of_all_sizes
 
+from sieveline.catalogue import QUERIES
 from sieveline.operators import problem, selection
 
 
@@ -32,3 +34,14 @@ def test_tasks_may_lie_across_batches(spark):
         assert sorted(map(tuple, selection.select(rows.coalesce(1), "task", 12).chosen.collect())) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+
+
+@pytest.mark.parametrize("name", ["density_graph_budget"])
+def test_graphs_of_tasks_are_made_where_their_keys_have_met(spark, sf, name):
+    """Neither nodes nor lists of dependencies are shuffled: seven exchanges of keys for lines, orders, customers and suppliers."""
+    plan = exchanges(QUERIES[name](spark, sf))
+    assert len(plan) <= 7 and not any("node" in line for line in plan)
