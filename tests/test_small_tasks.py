@@ -40,7 +40,7 @@ def exchanges(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
 
 
-@pytest.mark.parametrize("name", ["density_graph_budget"])
+@pytest.mark.parametrize("name", ["density_graph_budget", "dependency_order"])
 def test_graphs_of_tasks_are_made_where_their_keys_have_met(spark, sf, name):
     """Neither nodes nor lists of dependencies are shuffled: seven exchanges of keys for lines, orders, customers and suppliers."""
     plan = exchanges(QUERIES[name](spark, sf))
