@@ -28,7 +28,7 @@ def test_flows_of_random_plans_are_those_of_the_joins(spark):
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
 
 
-@pytest.mark.parametrize("name", ["flow_explanations", "live_explanations", "policy_decisions", "capability_manifest"])
+@pytest.mark.parametrize("name", ["flow_explanations", "live_explanations", "policy_decisions", "capability_manifest", "approval_match"])
 def test_only_calls_and_flows_of_a_plan_are_sent(spark, sf, name):
     """Nothing is shuffled by calls or by single flows."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n")
