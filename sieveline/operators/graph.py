@@ -183,10 +183,39 @@ def topological_order(nodes: DataFrame, edges: DataFrame, by: str, most: int = 1
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node_id, level: how long the longest chain of dependencies below a node is; nodes on or above cycles have none."""
-    links = stored(edges.select("src", "dst").distinct())
-    left = stored(nodes.select("node_id").distinct())
-    level, done = 0, None
+    """node_id, level: how long the longest chain of dependencies below a node is; nodes on or above cycles have none.
+
+    While that takes off most of the links, nodes that none needs are set aside with theirs. What is left goes round by round, from
+    the nodes that need none; then each layer that was set aside is joined once with the levels below it, the last one first.
+    edges are read several times; parallel ones do no harm."""
+    links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    mark = lambda df, column, *flags: df.select(F.col(column).alias("node_id"), *[F.lit(f == column).alias(name) for f, name in zip(("src", "dst", "node_id"), flags, strict=True)])
+    names = ("user", "needed", "known")
+    ends = stored(mark(links, "src", *names).unionAll(mark(links, "dst", *names)).unionAll(mark(nodes, "node_id", *names)).groupBy("node_id").agg(*[F.bool_or(n).alias(n) for n in names]))
+    if not ends.where("NOT known").isEmpty():
+        ids = ends.where("known").select("node_id")
+        return levels(induced(links, ids), ids)
+    done, layers, n = ends.where("NOT user").select("node_id", F.lit(0).alias("level")), [], links.count()
+    inside = ends.where("user AND needed").select(F.col("node_id").alias("src"))
+    while n:
+        inner = stored(links.join(inside, "src", "left_semi"))
+        m = inner.count()
+        if 2 * m > n:
+            break
+        layers.append((links, inner.select(F.col("src").alias("node_id")).distinct()))
+        links, n, inside = inner, m, inner.select(F.col("dst").alias("src")).distinct()
+    if n:
+        done = stored(done.unionAll(_rounds(stored(links.distinct()))))
+    for layer, below in reversed(layers):
+        above = layer.join(done.withColumnRenamed("node_id", "dst"), "dst", "left").groupBy(F.col("src").alias("node_id")).agg(F.max("level").alias("top"), F.bool_or(F.col("level").isNull()).alias("open"))
+        done = done.unionAll(stored(above.where("NOT open").join(below, "node_id", "left_anti").select("node_id", (F.col("top") + 1).alias("level"))))
+    return done
+
+
+def _rounds(links: DataFrame) -> DataFrame:
+    """node_id, level (1 and more) of the nodes that need others, in a round for each level."""
+    left = stored(links.select(F.col("src").alias("node_id")).distinct())
+    level, done = 1, None
     while True:
         waiting = links.join(left, links["dst"] == left["node_id"], "left_semi").select(F.col("src").alias("node_id")).distinct()
         ready = stored(left.join(waiting, "node_id", "left_anti").withColumn("level", F.lit(level)))
